@@ -1,0 +1,52 @@
+"""Joins that hold up when one key has a large share of the rows."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+# How many slices one hot key of the large side is spread over.
+SPREAD = 32
+
+# How many of the most frequent keys are treated as hot; this many rows are broadcast at most.
+HOT_KEYS = 1000
+
+
+def spread_join(
+    large: DataFrame,
+    lookup: DataFrame,
+    on: Sequence[str],
+    how: str,
+    slice_by: Sequence[str],
+    spread: int = SPREAD,
+) -> DataFrame:
+    """Join ``large`` to ``lookup``, which has one row per key, with each key sliced.
+
+    Rows of one key are dealt out over ``spread`` slices by a hash of ``slice_by`` (columns
+    that tell rows of a key apart), and every lookup row is repeated once per slice. A key with
+    a third of all rows is then ``spread`` tasks instead of one.
+    """
+    slice_column = "__slice"
+    sliced = large.withColumn(
+        slice_column, F.pmod(F.xxhash64(*[F.col(c) for c in slice_by]), F.lit(spread)).cast("int")
+    )
+    repeated = lookup.withColumn(
+        slice_column, F.explode(F.sequence(F.lit(0), F.lit(spread - 1)))
+    )
+    return sliced.join(repeated, [*on, slice_column], how).drop(slice_column)
+
+
+def keep_rows_of(rows: DataFrame, key: Column, keys: DataFrame, hot: int = HOT_KEYS) -> DataFrame:
+    """The rows whose ``key`` is in ``keys`` (columns ``value`` and ``n``, the rows it holds).
+
+    The ``hot`` most frequent keys are matched by a broadcast of at most ``hot`` rows; all
+    other keys hold a small share each and are matched by a shuffle.
+    """
+    keyed = rows.withColumn("__key", key)
+    frequent = F.broadcast(keys.orderBy(F.desc("n"), "value").limit(hot).select(F.col("value").alias("__key")))
+    rest = keys.select(F.col("value").alias("__key")).join(frequent, "__key", "left_anti")
+    hot_rows = keyed.join(frequent, "__key", "left_semi")
+    cold_rows = keyed.join(frequent, "__key", "left_anti").join(rest, "__key", "left_semi")
+    return hot_rows.unionByName(cold_rows).drop("__key")
