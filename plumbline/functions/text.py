@@ -48,6 +48,15 @@ DECISION_SECONDS = 20
 BUDGET_MINUTES = 5
 
 
+# Characters that count as blank at either end of a text.
+BLANKS = " \t\n\r\x0b\x0c"
+
+
+def stripped(value: Column) -> Column:
+    """A text without blanks at its ends, line breaks included."""
+    return F.btrim(value, F.lit(BLANKS))
+
+
 def digits(count: Column) -> Column:
     """A whole number with thousands separators."""
     return F.format_number(count, 0)

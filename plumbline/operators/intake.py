@@ -101,7 +101,7 @@ def classify(replies: DataFrame, schema: DataFrame) -> DataFrame:
                 S.text(F.col("__cannot")),
             ).otherwise(F.lit(UNCLEAR)),
             "__said": F.when(
-                F.schema_of_variant("__why") == "STRING", F.trim(S.text(F.col("__why")))
+                F.schema_of_variant("__why") == "STRING", text.stripped(S.text(F.col("__why")))
             ),
         }
     )

@@ -63,7 +63,7 @@ def executable(rules: DataFrame) -> DataFrame:
 
 def judgment_fault(status: Column, reason: Column) -> Column:
     """Why a judgment cannot be stored, or null."""
-    blank = F.coalesce(F.length(F.trim(reason)) == 0, F.lit(True))
+    blank = F.coalesce(F.length(text.stripped(reason)) == 0, F.lit(True))
     return F.when(
         ~F.coalesce(status.isin(*STATES), F.lit(False)),
         F.concat(F.coalesce(status, F.lit("nothing")), F.lit(" is not a rule state")),
