@@ -37,8 +37,8 @@ def profile(
 
     Columns of one type are stacked as ``(column, value)`` pairs in their own type and counted
     per pair, so that a value is shuffled once per map task and never as text; the table is
-    read once per type it has, each time only for that type's columns. ``approximate`` trades
-    the exact distinct counts for a sketch and a single pass without that shuffle.
+    read once per type it has, each time only for that type's columns. ``approximate`` estimates
+    the distinct counts of columns with many values, which saves shuffling those values.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     if not fields:
@@ -119,30 +119,50 @@ def _described(
 
 
 def _approximate(df: DataFrame, table: str, fields: Sequence[T.StructField]) -> DataFrame:
+    """Estimated distinct counts from one pass; columns that look small are then counted exactly.
+
+    The estimates (one row) reach the driver, which picks the columns worth grouping.
+    """
+    estimates = df.agg(
+        *[F.approx_count_distinct(_value(f)).alias(str(i)) for i, f in enumerate(fields)]
+    ).first()
+    small = [f for f, n in zip(fields, estimates, strict=True) if n <= 2 * LOW_CARDINALITY]
+    large = [(f, n) for f, n in zip(fields, estimates, strict=True) if n > 2 * LOW_CARDINALITY]
+    parts = []
+    if small:
+        families: dict[str, list[T.StructField]] = {}
+        for field in small:
+            families.setdefault(_family(field.dataType), []).append(field)
+        parts += [_measured(df, group) for group in families.values()]
+    if large:
+        parts.append(_bounds(df, large))
+    return _described(reduce(DataFrame.unionByName, parts), df, table, fields)
+
+
+def _bounds(df: DataFrame, estimated: Sequence[tuple[T.StructField, int]]) -> DataFrame:
     aggregates = [F.count(F.lit(1)).alias("rows")]
-    for i, field in enumerate(fields):
+    rows = []
+    for i, (field, distinct) in enumerate(estimated):
         value = _value(field)
         ordered = not isinstance(field.dataType, sqltypes.UNORDERED)
         low, high = (F.min(value), F.max(value)) if ordered else (F.first(F.lit(None)),) * 2
         aggregates += [
             F.count(value).alias(f"non_null_{i}"),
-            F.approx_count_distinct(value).alias(f"distinct_{i}"),
             low.cast("string").alias(f"minimum_{i}"),
             high.cast("string").alias(f"maximum_{i}"),
-            _sketch(value.cast("string")).alias(f"sketch_{i}"),
         ]
-    rows = [
-        F.struct(
-            F.lit(str(df.columns.index(f.name))).alias("position"),
-            F.col("rows").alias("total_rows"),
-            *[
-                F.col(f"{part}_{i}").alias(part)
-                for part in ("non_null", "distinct", "minimum", "maximum", "sketch")
-            ],
+        rows.append(
+            F.struct(
+                F.lit(str(df.columns.index(field.name))).alias("position"),
+                F.col("rows").alias("total_rows"),
+                F.col(f"non_null_{i}").alias("non_null"),
+                F.lit(distinct).cast("bigint").alias("distinct"),
+                F.col(f"minimum_{i}").alias("minimum"),
+                F.col(f"maximum_{i}").alias("maximum"),
+                F.lit(None).cast("array<struct<item:string,count:bigint>>").alias("sketch"),
+            )
         )
-        for i, f in enumerate(fields)
-    ]
-    return _described(df.agg(*aggregates).select(F.inline(F.array(*rows))), df, table, fields)
+    return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
 def sample_rows(df: DataFrame, n: int = SAMPLE_ROWS, order_by: Sequence[str] = ()) -> DataFrame:

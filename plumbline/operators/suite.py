@@ -13,7 +13,7 @@ from dataclasses import replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,9 +25,20 @@ from plumbline.sources.tables import Scan
 
 SAMPLE_ROWS = 20
 
-METRIC_FIELDS = (
-    "position", "type", "column", "spec", "spec_key", "statement", "success", "element_count", "non_null_count",
-    "checked_count", "unexpected_count", "observed", "observed_number", "detail",
+# Rules counted in one aggregate. Beyond about a hundred fields Spark no longer generates code
+# for it, so a longer suite reads the table again, each time for the next rules' columns only.
+RULES_PER_SCAN = 48
+
+METRICS = {
+    "position": "int", "element_count": "bigint", "non_null_count": "bigint",
+    "checked_count": "bigint", "unexpected_count": "bigint", "observed": "string",
+    "observed_number": "double",
+}
+
+RULE_SCHEMA = (
+    "position int, type string, column string, spec string, spec_key string, statement string, "
+    "mostly double, low double, high double, known_success boolean, known_observed string, "
+    "detail string"
 )
 
 RESULT_COLUMNS = (
@@ -68,25 +79,45 @@ def run_suite(
 
 
 def results_of(df: DataFrame, checks: Sequence[Check], scan: Scan | None = None) -> DataFrame:
-    return rendered(metrics(df, checks), scan)
+    return rendered(metrics(df, checks), checks, scan)
 
 
 # --- metrics -------------------------------------------------------------------------
 
 
 def metrics(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    grouped = {}
+    """The numbers of every check, one row each."""
+    grouped: dict[str, list[Check]] = {}
+    counted, known = [], []
     for check in checks:
         if check.kind in ("unique", "distinct", "members"):
             grouped.setdefault(check.column, []).append(check)
-    scanned = [c for c in checks if c.kind not in ("unique", "distinct", "members")]
-    parts = [_scanned(df, scanned)] if scanned else []
+        elif check.kind in ("row", "mean"):
+            counted.append(check)
+        else:
+            known.append(check)
+    counted.sort(key=lambda c: c.column)
+    scans = [counted[i : i + RULES_PER_SCAN] for i in range(0, len(counted), RULES_PER_SCAN)]
+    if known:
+        scans = [(scans[0] if scans else []) + known, *scans[1:]]
+    parts = [_scanned(df, members) for members in scans]
     parts += [_grouped(df, column, members) for column, members in grouped.items()]
     return reduce(DataFrame.unionByName, parts)
 
 
+def _rows_of(counts: DataFrame, rows: Sequence[Mapping[str, str]]) -> DataFrame:
+    """One row of counts turned into a row per check; each says which count is which metric."""
+    structs = [
+        "struct(" + ", ".join(
+            f"cast({row.get(name, 'null')} as {kind}) as {name}" for name, kind in METRICS.items()
+        ) + ")"
+        for row in rows
+    ]
+    return counts.selectExpr(f"inline(array({', '.join(structs)}))")
+
+
 def _scanned(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """The shared aggregate: one row of counts, turned into one row per rule."""
+    """The shared aggregate over one scan."""
     columns = sorted({c.column for c in checks if c.kind in ("row", "mean")})
     non_null = {name: f"non_null_{i}" for i, name in enumerate(columns)}
     aggregates = [F.count(F.lit(1)).alias("rows")]
@@ -97,24 +128,25 @@ def _scanned(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
         elif check.kind == "mean":
             mean = F.avg(quoted(check.column)).cast("double")
             aggregates.append(mean.alias(f"mean_{check.position}"))
-    counts = df.agg(*aggregates)
-    rows = [_scanned_row(check, non_null) for check in checks]
-    return counts.select(F.inline(F.array(*rows)))
+    return _rows_of(df.agg(*aggregates), [_scanned_row(c, non_null) for c in checks])
 
 
-def _scanned_row(check: Check, non_null: Mapping[str, str]) -> Column:
-    rows = F.col("rows")
+def _scanned_row(check: Check, non_null: Mapping[str, str]) -> dict[str, str]:
+    row = {"position": str(check.position), "element_count": "rows"}
+    if check.kind == "row" and check.counts_nulls:
+        return row | {"checked_count": "rows", "unexpected_count": f"bad_{check.position}"}
     if check.kind == "row":
-        present = F.col(non_null[check.column])
-        checked = rows if check.counts_nulls else present
-        bad = F.col(f"bad_{check.position}")
-        return _metric(check, rows, None if check.counts_nulls else present, checked, bad)
+        present = non_null[check.column]
+        return row | {
+            "non_null_count": present,
+            "checked_count": present,
+            "unexpected_count": f"bad_{check.position}",
+        }
     if check.kind == "mean":
-        mean = F.col(f"mean_{check.position}")
-        return _metric(check, rows, observed=mean.cast("string"), number=mean)
+        return row | dict.fromkeys(("observed", "observed_number"), f"mean_{check.position}")
     if check.kind == "rows":
-        return _metric(check, rows, observed=rows.cast("string"), number=rows.cast("double"))
-    return _metric(check, rows, observed=F.lit(check.observed))
+        return row | dict.fromkeys(("observed", "observed_number"), "rows")
+    return row
 
 
 def group_key(df: DataFrame, column: str) -> Column:
@@ -147,8 +179,15 @@ def _grouped(df: DataFrame, column: str, checks: Sequence[Check]) -> DataFrame:
             violating = found if check.negated else present & ~found
             bad = F.sum(F.when(violating, F.col("n")))
             aggregates.append(F.coalesce(bad, F.lit(0)).alias(f"bad_{check.position}"))
-    rows = [_grouped_row(check) for check in checks]
-    return values.agg(*aggregates).select(F.inline(F.array(*rows)))
+    return _rows_of(values.agg(*aggregates), [_grouped_row(c) for c in checks])
+
+
+def _grouped_row(check: Check) -> dict[str, str]:
+    row = {"position": str(check.position), "element_count": "rows"}
+    if check.kind == "distinct":
+        return row | dict.fromkeys(("observed", "observed_number"), "distinct")
+    bad = "shared" if check.kind == "unique" else f"bad_{check.position}"
+    return row | {"non_null_count": "present", "checked_count": "present", "unexpected_count": bad}
 
 
 def _members(df: DataFrame, check: Check, flag: str) -> DataFrame:
@@ -169,51 +208,6 @@ def _members(df: DataFrame, check: Check, flag: str) -> DataFrame:
     return typed.select(F.col("value").cast(data_type)).distinct().withColumn(flag, F.lit(True))
 
 
-def _grouped_row(check: Check) -> Column:
-    rows, present, distinct = F.col("rows"), F.col("present"), F.col("distinct")
-    if check.kind == "distinct":
-        return _metric(
-            check, rows, observed=distinct.cast("string"), number=distinct.cast("double")
-        )
-    bad = F.col("shared") if check.kind == "unique" else F.col(f"bad_{check.position}")
-    return _metric(check, rows, present, present, bad)
-
-
-def _metric(
-    check: Check,
-    rows: Column,
-    non_null: Column | None = None,
-    checked: Column | None = None,
-    bad: Column | None = None,
-    observed: Column | None = None,
-    number: Column | None = None,
-) -> Column:
-    none = F.lit(None)
-    if bad is not None:
-        share = (checked - bad).cast("double") / F.nullif(checked, F.lit(0)).cast("double")
-        success = (checked == 0) | (share >= F.lit(check.mostly))
-    elif number is not None:
-        within = F.lit(True)
-        within = within if check.low is None else within & (number >= F.lit(check.low))
-        within = within if check.high is None else within & (number <= F.lit(check.high))
-        success = F.coalesce(number.isNotNull() & within, F.lit(False))
-    else:
-        success = F.lit(check.success)
-
-    def or_null(value: Column | None, kind: str) -> Column:
-        return (none if value is None else value).cast(kind)
-
-    values = (
-        F.lit(check.position), F.lit(check.type), F.lit(check.column).cast("string"),
-        F.lit(check.spec), F.lit(check.spec_key).cast("string"),
-        F.lit(check.statement).cast("string"), success, rows.cast("bigint"), or_null(non_null, "bigint"),
-        or_null(checked, "bigint"), or_null(bad, "bigint"),
-        or_null(observed, "string"), or_null(number, "double"),
-        F.lit(check.detail).cast("string"),
-    )
-    return F.struct(*[v.alias(name) for v, name in zip(values, METRIC_FIELDS, strict=True)])
-
-
 # --- verdicts and lines --------------------------------------------------------------
 
 
@@ -226,31 +220,63 @@ def percent(part: Column, whole: Column) -> Column:
     return F.try_divide((F.lit(100) * part).cast("double"), whole.cast("double"))
 
 
-def rendered(measured: DataFrame, scan: Scan | None = None) -> DataFrame:
-    """Metric rows with their verdict, proportions, sentence and rendered lines."""
+def described(spark: SparkSession, checks: Sequence[Check]) -> DataFrame:
+    """What is known of each check without reading data: as many rows as the suite has rules."""
+    def bound(value: Any) -> float | None:
+        return None if value is None else float(value)
+
+    return local_frame(
+        spark,
+        [
+            (
+                c.position, c.type, c.column, c.spec, c.spec_key, c.statement, c.mostly,
+                bound(c.low), bound(c.high), c.success if c.kind == "schema" else None,
+                c.observed, c.detail,
+            )
+            for c in checks
+        ],
+        RULE_SCHEMA,
+    )
+
+
+def _success() -> Column:
     c = F.col
-    missing = c("element_count") - c("non_null_count")
+    share = (c("checked_count") - c("unexpected_count")).cast("double") / F.nullif(
+        c("checked_count"), F.lit(0)
+    ).cast("double")
+    tolerated = (c("checked_count") == 0) | (share >= c("mostly"))
+    number = c("observed_number")
+    within = (c("low").isNull() | (number >= c("low"))) & (c("high").isNull() | (number <= c("high")))
+    return (
+        F.when(c("unexpected_count").isNotNull(), tolerated)
+        .when(c("known_success").isNotNull(), c("known_success"))
+        .otherwise(F.coalesce(number.isNotNull() & within, F.lit(False)))
+    )
+
+
+def rendered(measured: DataFrame, checks: Sequence[Check], scan: Scan | None = None) -> DataFrame:
+    """The numbers with their rule, verdict, proportions and rendered lines."""
+    c = F.col
+    rules = F.broadcast(described(measured.sparkSession, checks))
     total = c("element_count") if scan is None else F.lit(scan.total_rows).cast("bigint")
-    judged = measured.withColumns(
+    missing = c("element_count") - c("non_null_count")
+    judged = measured.join(rules, "position").withColumns(
         {
-            "verdict": verdict(c("success"), c("detail")),
+            "verdict": verdict(_success(), c("detail")),
+            "observed": F.coalesce("observed", "known_observed"),
             "scanned_rows": c("element_count"),
             "total_rows": total,
-            "missing_count": F.when(c("unexpected_count").isNotNull(), missing),
+            "missing_count": missing,
+            "missing_percent": percent(missing, c("element_count")),
             "unexpected_percent": percent(c("unexpected_count"), c("checked_count")),
-        }
-    )
-    lines = judged.withColumns(
-        {
-            "missing_percent": percent(c("missing_count"), c("element_count")),
             "unexpected_percent_total": F.when(
-                c("missing_count").isNotNull(), percent(c("unexpected_count"), c("element_count"))
+                missing.isNotNull(), percent(c("unexpected_count"), c("element_count"))
             ),
-            "status": text.status_atom(c("verdict"), c("scanned_rows"), c("total_rows")),
-            "magnitude": text.magnitude(c("unexpected_count"), c("scanned_rows")),
+            "magnitude": text.magnitude(c("unexpected_count"), c("element_count")),
         }
     )
-    return lines.select(*RESULT_COLUMNS)
+    status = text.status_atom(c("verdict"), c("scanned_rows"), c("total_rows"))
+    return judged.withColumn("status", status).select(*RESULT_COLUMNS)
 
 
 # --- violating rows ------------------------------------------------------------------
@@ -268,7 +294,8 @@ def violating_rows(df: DataFrame, check: Check) -> DataFrame:
 
 def _violating_values(df: DataFrame, check: Check, id_cols: Sequence[str] = ()) -> DataFrame:
     """The column values whose rows violate a grouped check, with row counts."""
-    first = [F.min(F.struct(*[quoted(c) for c in id_cols])).alias("first_id")] if id_cols else []
+    keys = [quoted(c) for c in id_cols]
+    first = [F.min(keys[0] if len(keys) == 1 else F.struct(*keys)).alias("first_id")] if keys else []
     values = (
         df.filter(quoted(check.column).isNotNull())
         .groupBy(group_key(df, check.column).alias("value"))
@@ -410,6 +437,43 @@ def with_evidence(
     return joined.withColumns({c: F.coalesce(c, empty) for c in ("samples", "evidence", "identified")})
 
 
+def run_isolated(
+    df: DataFrame, specs: Sequence[Mapping[str, Any]], scan: Scan | None = None
+) -> DataFrame:
+    """``run_suite``, run at once, in which a rule that raises is errored and the others stand.
+
+    The whole suite is one job; only when that job fails is each rule run on its own.
+    """
+    if not specs:
+        raise ValueError("a suite with no rules checks nothing")
+    checks = compiled(df, specs)
+    results = results_of(df, checks, scan)
+    try:
+        rows = results.collect()
+    except Exception:
+        rows = [_alone(df, check, scan) for check in checks]
+    return local_frame(df.sparkSession, rows, results.schema)
+
+
+def _alone(df: DataFrame, check: Check, scan: Scan | None) -> Row:
+    try:
+        return results_of(df, [check], scan).first()
+    except Exception as exc:
+        return errored_result(df, check, exc, scan)
+
+
+def errored_result(df: DataFrame, check: Check, exc: Exception, scan: Scan | None = None) -> Row:
+    """The result of a rule whose job raised: nothing was counted, and the reason is its detail."""
+    reason = f"{type(exc).__name__}: {str(exc).splitlines()[0][:500]}"
+    failed = replace(check, kind="errored", violation=None, detail=reason)
+    if scan is None:
+        measured = metrics(df, [failed])
+    else:
+        counted = df.sparkSession.range(1).select(F.lit(scan.scanned_rows).alias("rows"))
+        measured = _rows_of(counted, [_scanned_row(failed, {})])
+    return rendered(measured, [failed], scan).first()
+
+
 def specs_of(spark: SparkSession, executable: DataFrame) -> list[dict[str, Any]]:
     """One table's accepted specs for ``run_suite``, which compiles each on the driver."""
     rows = executable.select("rule_id", "spec").orderBy("rule_id").collect()

@@ -15,7 +15,13 @@ from pyspark.sql import functions as F
 
 from plumbline.functions import text
 from plumbline.operators import results as R
-from plumbline.operators.suite import SAMPLE_ROWS, compiled, rendered, results_of, with_evidence
+from plumbline.operators.suite import (
+    SAMPLE_ROWS,
+    compiled,
+    errored_result,
+    results_of,
+    with_evidence,
+)
 from plumbline.plans.compile import Check
 from plumbline.sources.local import local_frame
 from plumbline.sources.tables import Scan
@@ -70,22 +76,8 @@ def _settle(df: DataFrame, check: Check, scan: Scan, id_cols: Sequence[str]) ->
         kept = local_frame(df.sparkSession, [row], counted.schema)
         return with_evidence(kept, df, [check], id_cols, SAMPLE_ROWS).first().asDict()
     except Exception as exc:  # one broken rule may not end the run for the others
-        return _unreported(df.sparkSession, check, scan, exc)
-
-
-def _unreported(spark: SparkSession, check: Check, scan: Scan, exc: Exception) -> dict[str, Any]:
-    message = str(exc).split("\n", 1)[0][:500]
-    row = spark.range(1).select(
-        F.lit(check.position).alias("position"), F.lit(check.type).alias("type"),
-        F.lit(check.spec).alias("spec"), F.lit(check.spec_key).cast("string").alias("spec_key"),
-        F.lit(check.statement).cast("string").alias("statement"),
-        F.lit(check.column).cast("string").alias("column"), F.lit(False).alias("success"),
-        F.lit(scan.scanned_rows).cast("bigint").alias("element_count"),
-        *[F.lit(None).cast("bigint").alias(c) for c in ("non_null_count", "checked_count", "unexpected_count")],
-        F.lit(None).cast("string").alias("observed"), F.lit(None).cast("double").alias("observed_number"),
-        F.lit(f"{type(exc).__name__}: {message}").alias("detail"),
-    )
-    return {**rendered(row, scan).first().asDict(), "samples": [], "evidence": [], "identified": []}
+        row = errored_result(df, check, exc, scan)
+        return {**row.asDict(), "samples": [], "evidence": [], "identified": []}
 
 
 def _stored(

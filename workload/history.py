@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.functions import spec as S
 from plumbline.functions import text
 from plumbline.operators import history as H
 from plumbline.operators import results as R
 from plumbline.operators import review as V
-from plumbline.sources import tables as T
 from workload import derived as D
-from workload.rules import profiles, revisions
+from workload.checks import magnitude_sql
+from workload.rules import CURRENT, EVIDENCE, LABEL, key_sql, profiles, revisions, sentence_sql
 
 
 def runs(spark, sf_dir):
@@ -198,9 +197,6 @@ QUERIES = {
 
 # --- the SQL side --------------------------------------------------------------------
 
-from workload.checks import magnitude_sql  # noqa: E402
-from workload.rules import CURRENT, EVIDENCE, LABEL, key_sql, sentence_sql  # noqa: E402
-
 RUNS = D.for_oracle(D.RUNS)
 SUBMITTED = f"(select run_id, spec, {key_sql()} as spec_key from ({D.for_oracle(D.SUBMITTED)}) s)"
 SAMPLED = "case when scanned_rows < total_rows then format(' · sampled {:,} / {:,}', scanned_rows, total_rows) else '' end"
