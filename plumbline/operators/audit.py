@@ -61,23 +61,23 @@ def orphans(df: DataFrame, key: str, reference: DataFrame, reference_key: str) -
 def mismatched(
     left: DataFrame, right: DataFrame, on: tuple[str, str], values: tuple[str, str]
 ) -> DataFrame:
-    """Joined rows whose two values differ, without building the joined rows.
+    """Joined rows whose two values differ, without joining.
 
     For each key that is (rows on the left) x (rows on the right), less the pairs that agree,
-    which are counted per key and value. Nulls never compare, so they are left out.
+    which are counted per key and value. Rows are counted before either shuffle, so a key with
+    a large share of both tables costs no more than its distinct values. Nulls never compare,
+    so they are left out.
     """
-    def counted(df: DataFrame, key: str, value: str, n: str) -> DataFrame:
+    def side(df: DataFrame, key: str, value: str, a: int, b: int) -> DataFrame:
         present = df.select(quoted(key).alias("k"), quoted(value).alias("v")).dropna()
-        return present.groupBy("k", "v").agg(F.count(F.lit(1)).alias(n))
-
-    a = counted(left, on[0], values[0], "a")
-    b = counted(right, on[1], values[1], "b")
-    pairs = a.groupBy("k").agg(F.sum("a").alias("a")).join(b.groupBy("k").agg(F.sum("b").alias("b")), "k")
-    agreeing = a.join(b, ["k", "v"])
-    signed = pairs.select((F.col("a") * F.col("b")).alias("n")).unionByName(
-        agreeing.select((-F.col("a") * F.col("b")).alias("n"))
+        return present.withColumns({"a": F.lit(a).cast("bigint"), "b": F.lit(b).cast("bigint")})
+
+    both = side(left, on[0], values[0], 1, 0).unionByName(side(right, on[1], values[1], 0, 1))
+    per_value = both.groupBy("k", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    per_key = per_value.groupBy("k").agg(
+        F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("a") * F.col("b")).alias("agreeing")
     )
-    return signed.agg(_total(F.col("n")))
+    return per_key.agg(_total(F.col("a") * F.col("b") - F.col("agreeing")))
 
 
 def duplicate_rows(df: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -451,27 +451,32 @@ def run_isolated(
     try:
         rows = results.collect()
     except Exception:
-        rows = [_alone(df, check, scan) for check in checks]
+        rows = _one_by_one(df, checks, scan)
     return local_frame(df.sparkSession, rows, results.schema)
 
 
-def _alone(df: DataFrame, check: Check, scan: Scan | None) -> Row:
-    try:
-        return results_of(df, [check], scan).first()
-    except Exception as exc:
-        return errored_result(df, check, exc, scan)
+def _one_by_one(df: DataFrame, checks: Sequence[Check], scan: Scan | None) -> list[Row]:
+    settled: list[Row | Exception] = []
+    for check in checks:
+        try:
+            settled.append(results_of(df, [check], scan).first())
+        except Exception as exc:
+            settled.append(exc)
+    scanned = next((r.element_count for r in settled if isinstance(r, Row)), None)
+    return [
+        errored_result(df, check, r, scanned, scan) if isinstance(r, Exception) else r
+        for check, r in zip(checks, settled, strict=True)
+    ]
 
 
-def errored_result(df: DataFrame, check: Check, exc: Exception, scan: Scan | None = None) -> Row:
+def errored_result(
+    df: DataFrame, check: Check, exc: Exception, scanned: int | None, scan: Scan | None = None
+) -> Row:
     """The result of a rule whose job raised: nothing was counted, and the reason is its detail."""
     reason = f"{type(exc).__name__}: {str(exc).splitlines()[0][:500]}"
     failed = replace(check, kind="errored", violation=None, detail=reason)
-    if scan is None:
-        measured = metrics(df, [failed])
-    else:
-        counted = df.sparkSession.range(1).select(F.lit(scan.scanned_rows).alias("rows"))
-        measured = _rows_of(counted, [_scanned_row(failed, {})])
-    return rendered(measured, [failed], scan).first()
+    counted = local_frame(df.sparkSession, [(scanned,)], "rows bigint")
+    return rendered(_rows_of(counted, [_scanned_row(failed, {})]), [failed], scan).first()
 
 
 def specs_of(spark: SparkSession, executable: DataFrame) -> list[dict[str, Any]]:

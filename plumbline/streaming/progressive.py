@@ -76,7 +76,7 @@ def _settle(df: DataFrame, check: Check, scan: Scan, id_cols: Sequence[str]) ->
         kept = local_frame(df.sparkSession, [row], counted.schema)
         return with_evidence(kept, df, [check], id_cols, SAMPLE_ROWS).first().asDict()
     except Exception as exc:  # one broken rule may not end the run for the others
-        row = errored_result(df, check, exc, scan)
+        row = errored_result(df, check, exc, scan.scanned_rows, scan)
         return {**row.asDict(), "samples": [], "evidence": [], "identified": []}
 
 
