@@ -36,7 +36,7 @@ def has_object_kwargs(spec: Column | str) -> Column:
     return found.isNull() | F.schema_of_variant(found).startswith("OBJECT")
 
 
-def argument(params: Column, name: str) -> Column:
+def argument(params: Column, name: str | Column) -> Column:
     """One parameter as a variant; null when it is absent or is a JSON null."""
     value = F.try_element_at(params, F.lit(name))
     return F.when(~F.is_variant_null(value), value)
@@ -60,16 +60,23 @@ def elements(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
-def identity(type_name: Column, params: Column) -> Column:
-    """A rule's identity: its type and parameters, whatever order and spelling they came in."""
-    kept = F.map_filter(params, lambda k, v: (k != PROVENANCE) & ~F.is_variant_null(v))
+def identity(spec: Column, type_name: Column, params: Column) -> Column:
+    """A rule's identity: its type and parameters, whatever order and spelling they came in.
+
+    A text that is no spec is its own key. The key is never null: joins on it would otherwise
+    test it for null first, far below the join, on every row it is computed from.
+    """
+    kept = F.filter(
+        F.map_entries(params), lambda e: (e["key"] != PROVENANCE) & ~F.is_variant_null(e["value"])
+    )
     pairs = F.transform(
-        F.array_sort(F.map_keys(kept)),
-        lambda k: F.concat(F.lit('"'), k, F.lit('":'), F.to_json(F.try_element_at(kept, k))),
+        kept, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.to_json(e["value"]))
     )
-    body = F.coalesce(F.array_join(pairs, ","), F.lit(""))
-    return F.concat(F.lit('["'), type_name, F.lit('",{'), body, F.lit("}]"))
+    body = F.coalesce(F.array_join(F.array_sort(pairs), ","), F.lit(""))
+    key = F.concat(F.lit('["'), type_name, F.lit('",{'), body, F.lit("}]"))
+    return F.coalesce(key, spec, F.lit(""))
 
 
 def spec_key(spec: Column | str) -> Column:
-    return identity(rule_type(spec), kwargs(spec))
+    column = F.col(spec) if isinstance(spec, str) else spec
+    return identity(column, rule_type(column), kwargs(column))

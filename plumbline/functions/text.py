@@ -168,12 +168,11 @@ def statement(type_name: Column, params: Column) -> Column:
         .otherwise(F.lit(BOTH_BOUNDS))
     )
     pieces = F.split(F.replace(_template(type_name), F.lit(BOTH_BOUNDS), one_sided), "[{}]")
-    shown = F.transform_values(params, lambda _, v: readable(v))
     sentence = F.array_join(
         F.transform(
             pieces,
             lambda piece, i: F.when(
-                i % 2 == 1, F.coalesce(F.try_element_at(shown, piece), F.lit("None"))
+                i % 2 == 1, F.coalesce(readable(S.argument(params, piece)), F.lit("None"))
             ).otherwise(piece),
         ),
         "",
@@ -195,7 +194,7 @@ def with_sentence(rules: DataFrame) -> DataFrame:
     return parsed.withColumns(
         {
             "column": S.text(S.argument(params, "column")),
-            "spec_key": S.identity(kind, params),
+            "spec_key": S.identity(F.col("spec"), kind, params),
             "statement": statement(kind, params),
         }
     ).drop("__kwargs")

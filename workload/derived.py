@@ -22,7 +22,7 @@ def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
 
 def from_sql(spark: SparkSession, directory: str, sql: str) -> DataFrame:
     """A derived input as a DataFrame; the tables it names are the Parquet files."""
-    used = {n: df for n, df in load(spark, directory, *TABLES).items() if "{" + n + "}" in sql}
+    used = load(spark, directory, *[n for n in TABLES if "{" + n + "}" in sql])
     return spark.sql(sql, **used).withColumnRenamed("tab", "table")
 
 

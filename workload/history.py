@@ -115,13 +115,13 @@ def status_atom(spark, sf_dir):
 
 
 def user_tables(spark, sf_dir):
-    """Users and users that never were as tables, with event counts as sizes."""
+    """Users as tables, their events as rows, and buyers as tables that were never run."""
     events = D.table(spark, sf_dir, "events")
     name = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
     seen = events.groupBy(name.alias("table")).agg(F.count(F.lit(1)).alias("approx_rows"))
     customers = D.table(spark, sf_dir, "customer").filter("c_custkey >= 1000")
     unseen = customers.select(
-        F.concat(F.lit("user_"), F.col("c_custkey").cast("string")).alias("table"),
+        F.concat(F.lit("buyer_"), F.col("c_custkey").cast("string")).alias("table"),
         (F.col("c_nationkey").cast("bigint") * 1000).alias("approx_rows"),
     )
     return seen.unionByName(unseen)
@@ -143,7 +143,7 @@ def coverage_order(spark, sf_dir):
 def coverage_with_empty_bucket(spark, sf_dir):
     """Only tables that were never run: the other two buckets are there all the same."""
     rules = D.from_sql(spark, sf_dir, D.USER_REVISIONS)
-    unseen = user_tables(spark, sf_dir).filter("substring(table, 6) >= '1000' and length(table) = 9")
+    unseen = user_tables(spark, sf_dir).filter(F.col("table").startswith("buyer_"))
     listed = H.coverage_listing(unseen, rules, event_records(spark, sf_dir))
     return listed.groupBy("bucket_no", "bucket", "heading").agg(
         F.count("table").alias("tables"), F.max("status").alias("status")
@@ -221,7 +221,7 @@ EVENT_RECORDS = D.for_oracle(D.RECORDS)
 LATEST = f"(select * from ({EVENT_RECORDS}) v qualify row_number() over (partition by tab order by finished_at desc, record_id desc) = 1)"
 USER_TABLES = """(select 'user_' || user_id as tab, count(*) as approx_rows,
         count(*) filter (where user_id % 3 <> 0 and event_type = 'view') as accepted_rules from events group by user_id
-    union all select 'user_' || c_custkey, cast(c_nationkey as bigint) * 1000, 0 from customer where c_custkey >= 1000)"""
+    union all select 'buyer_' || c_custkey, cast(c_nationkey as bigint) * 1000, 0 from customer where c_custkey >= 1000)"""
 RANKED = f"""(
     select t.tab, t.approx_rows, accepted_rules, record_id, v.status as verdict,
            case when record_id is null then 'NEVER RUN' || case when accepted_rules = 0 then ' · NO RULES' else '' end
@@ -269,10 +269,10 @@ ORACLES = {
     "coverage_ranking": f"""select bucket_no, b.bucket, heading, tab as "table",
         case when tab is not null then format('{{:,}}', approx_rows) end as rows, accepted_rules, status, verdict, record_id
         from {BUCKETS} left join {RANKED} r on b.bucket = r.bucket""",
-    "coverage_order": f"""select b.bucket, tab as "table" from {BUCKETS} join {RANKED} r on b.bucket = r.bucket
+    "coverage_order": f"""select b.bucket, tab as "table" from {BUCKETS} left join {RANKED} r on b.bucket = r.bucket
         order by bucket_no, accepted_rules > 0, approx_rows desc, tab limit 50""",
     "coverage_with_empty_bucket": f"""select bucket_no, b.bucket, heading, count(tab) as tables, max(status) as status
-        from {BUCKETS} left join (select * from {RANKED} r where tab[6:] >= '1000' and length(tab) = 9) r
+        from {BUCKETS} left join (select * from {RANKED} r where tab like 'buyer%') r
         on b.bucket = r.bucket group by all""",
     "run_slots": f"""select tab as "table", format('{{:,}}', approx_rows) as rows, status, bucket from {RANKED} r""",
     "review_queue": f"""select rule_id, revision, tab as "table", spec, status, failing, magnitude from {QUEUE} q""",
