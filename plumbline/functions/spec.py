@@ -6,7 +6,7 @@ parameter, so ``0.98`` and ``"0.98"`` stay apart and ``0`` and ``0.0`` print ali
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: the parameter that names where a rule ran; it is no part of the rule.
@@ -25,11 +25,6 @@ def rule_type(spec: Column | str) -> Column:
     return F.when(F.schema_of_variant(found) == "STRING", F.try_variant_get(found, "$", "string"))
 
 
-def kwargs(spec: Column | str) -> Column:
-    """The spec's parameters as a map, or null when they are missing or are no object."""
-    return F.try_variant_get(_json(spec), "$.kwargs", KWARGS_TYPE)
-
-
 def has_object_kwargs(spec: Column | str) -> Column:
     """True when ``kwargs`` is left out or is an object."""
     found = F.try_variant_get(_json(spec), "$.kwargs", "variant")
@@ -77,6 +72,25 @@ def identity(spec: Column, type_name: Column, params: Column) -> Column:
     return F.coalesce(key, spec, F.lit(""))
 
 
-def spec_key(spec: Column | str) -> Column:
-    column = F.col(spec) if isinstance(spec, str) else spec
-    return identity(column, rule_type(column), kwargs(column))
+def with_parsed(rules: DataFrame) -> DataFrame:
+    """Rules (``spec``) with ``type`` and ``__kwargs``, each text being parsed once.
+
+    ``type`` is null unless it is a text, ``__kwargs`` unless it is an object.
+    """
+    parts = F.try_variant_get(_json("spec"), "$", "struct<type:variant,kwargs:variant>")
+    parsed = rules.withColumn("__spec", parts)
+    found = F.col("__spec.type")
+    return parsed.withColumns(
+        {
+            "type": F.when(F.schema_of_variant(found) == "STRING", text(found)),
+            "__kwargs": F.try_variant_get(F.col("__spec.kwargs"), "$", KWARGS_TYPE),
+        }
+    ).drop("__spec")
+
+
+def with_spec_key(rules: DataFrame) -> DataFrame:
+    """Rules (``spec``) with the ``spec_key`` under which rules that say the same are one."""
+    parsed = with_parsed(rules.withColumnsRenamed({"type": "__given_type"}))
+    key = identity(F.col("spec"), F.col("type"), F.col("__kwargs"))
+    keyed = parsed.withColumn("spec_key", key).drop("type", "__kwargs")
+    return keyed.withColumnsRenamed({"__given_type": "type"})

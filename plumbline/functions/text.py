@@ -189,7 +189,7 @@ def with_sentence(rules: DataFrame) -> DataFrame:
 
     The spec is parsed into columns first, so that no expression parses it again.
     """
-    parsed = rules.withColumns({"type": S.rule_type("spec"), "__kwargs": S.kwargs("spec")})
+    parsed = S.with_parsed(rules)
     kind, params = F.col("type"), F.col("__kwargs")
     return parsed.withColumns(
         {

@@ -162,9 +162,11 @@ def lint(candidates: DataFrame, schema: DataFrame | None, key: Sequence[str]) ->
     tell candidates apart. ``schema`` has one row per ``table`` and ``column``; without one,
     every rule that names a column is refused.
     """
-    parsed = candidates.withColumns(
-        {"__type": S.rule_type("spec"), "__kwargs": F.coalesce(S.kwargs("spec"), _no_kwargs())}
+    named_apart = candidates.withColumnsRenamed({"type": "__given_type"})
+    parsed = S.with_parsed(named_apart).withColumnsRenamed({"type": "__type"}).withColumnsRenamed(
+        {"__given_type": "type"}
     )
+    parsed = parsed.withColumn("__kwargs", F.coalesce("__kwargs", _no_kwargs()))
     named = F.try_element_at(F.col("__kwargs"), F.lit("column"))
     parsed = parsed.withColumn(
         "__column", F.when(F.schema_of_variant(named) == "STRING", S.text(named))

@@ -58,7 +58,7 @@ def accepted(rules: DataFrame) -> DataFrame:
 
 def executable(rules: DataFrame) -> DataFrame:
     """The specs a run submits: ``table, rule_id, spec, spec_key`` of the accepted rules."""
-    return accepted(rules).select("table", "rule_id", "spec", S.spec_key("spec").alias("spec_key"))
+    return S.with_spec_key(accepted(rules).select("table", "rule_id", "spec"))
 
 
 def judgment_fault(status: Column, reason: Column) -> Column:
@@ -225,15 +225,15 @@ def rule_counts(tables: DataFrame, rules: DataFrame) -> DataFrame:
 
 def new_proposals(proposals: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFrame:
     """The proposals (``table, spec``) whose table does not already hold the same rule."""
-    held = current(rules).select("table", S.spec_key("spec").alias("spec_key")).distinct()
-    keyed = proposals.withColumn("spec_key", S.spec_key("spec"))
+    held = S.with_spec_key(current(rules)).select("table", "spec_key").distinct()
+    keyed = S.with_spec_key(proposals)
     return spread_join(keyed, held, ["table", "spec_key"], "left_anti", key)
 
 
 def catalog_usage(rules: DataFrame, table: str | None = None) -> DataFrame:
     """Every rule type, marked when a current rule (of one table) is of that type."""
     newest = current(rules if table is None else rules.filter(F.col("table") == table))
-    used = newest.select(S.rule_type("spec").alias("type")).distinct().withColumn("__used", F.lit(True))
+    used = S.with_parsed(newest).select("type").distinct().withColumn("__used", F.lit(True))
     return (
         catalog(rules.sparkSession)
         .join(used, "type", "left")

@@ -23,7 +23,7 @@ RESULT_FIELDS = (
 
 
 def with_spec_key(df: DataFrame) -> DataFrame:
-    return df if "spec_key" in df.columns else df.withColumn("spec_key", S.spec_key("spec"))
+    return df if "spec_key" in df.columns else S.with_spec_key(df)
 
 
 def join_results(submitted: DataFrame, results: DataFrame) -> DataFrame:

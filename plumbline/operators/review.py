@@ -36,7 +36,7 @@ def review_queue(rules: DataFrame, records: DataFrame, table: str | None = None)
         records = records.filter(F.col("table") == table)
     newest = current(rules)
     held = newest.filter(F.col("status") == NEEDS_REVIEW)
-    running = newest.filter(F.col("status") == ACCEPTED).withColumn("spec_key", S.spec_key("spec"))
+    running = S.with_spec_key(newest.filter(F.col("status") == ACCEPTED))
     failed = spread_join(
         running, failing_results(records), ["table", "spec_key"], "inner", ["rule_id"]
     ).drop("spec_key")

@@ -207,9 +207,9 @@ RECORD = (
 
 
 def key_of(frame, s):
-    from plumbline.functions.spec import spec_key
+    from plumbline.functions.spec import with_spec_key
 
-    return frame([(json.dumps(s),)], "spec string").select(spec_key("spec").alias("k")).first().k
+    return with_spec_key(frame([(json.dumps(s),)], "spec string")).first().spec_key
 
 
 @pytest.fixture

@@ -191,7 +191,7 @@ def spec_identity(spark, sf_dir):
            || case o_orderkey % 5 when 0 then ',"max_value":null' else '' end
            || ',"column":"o_totalprice"}},"type":"expect_column_values_to_be_between"}}' as spec from {orders}""",
     )
-    return specs.select("o_orderkey", S.spec_key("spec").alias("spec_key"))
+    return S.with_spec_key(specs).select("o_orderkey", "spec_key")
 
 
 def open_judgments(spark, sf_dir):
