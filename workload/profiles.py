@@ -81,7 +81,7 @@ def profile_with_nulls(spark, sf_dir):
         F.nullif("event_type", F.lit("error")).alias("kind"),
         F.lit(None).cast("string").alias("nothing"),
         F.when(F.col("value") > 50, F.col("value")).alias("large"),
-        F.array(F.col("user_id") % 30, F.col("user_id") % 2).alias("pair"),
+        F.array(F.col("user_id") % 30, F.col("event_id") % 2).alias("pair"),
     )
     found = P.with_evidence_line(P.profile(rows, "events"))
     return found.select("column", "total_rows", "non_null", "distinct", "minimum", "maximum", "evidence")
@@ -140,7 +140,7 @@ QUERIES |= {
 }
 
 DERIVED_EVENTS = """(select nullif(event_type, 'error') as kind, cast(null as varchar) as nothing,
-    case when value > 50 then value end as large, [user_id % 30, user_id % 2] as pair from events)"""
+    case when value > 50 then value end as large, [user_id % 30, event_id % 2] as pair from events)"""
 UNORDERED.add("pair")
 ORACLES |= {
     "profile_with_nulls": " union all ".join(
