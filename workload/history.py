@@ -42,7 +42,8 @@ def valid_runs(spark, sf_dir):
 
 def records(spark, sf_dir):
     """A record per completed run; a run finished as many hours after the epoch as its number."""
-    hours = (F.col("run_id").cast("bigint") * 3600).cast("timestamp")
+    epoch = F.lit("1970-01-01").cast("timestamp_ntz")
+    hours = epoch + F.make_dt_interval(hours=F.col("run_id").cast("int"))
     return R.assemble_runs(
         valid_runs(spark, sf_dir), submitted(spark, sf_dir), results(spark, sf_dir), hours
     )
@@ -77,7 +78,7 @@ def run_records(spark, sf_dir):
     return found.select(
         "record_id", "table", "status", "scanned_rows", "total_rows", "coverage",
         F.size("results").cast("bigint").alias("rules"),
-        F.col("finished_at").cast("timestamp_ntz").alias("finished_at"),
+        "finished_at",
     )
 
 
