@@ -60,10 +60,9 @@ def audit_orphan_lines(spark, sf_dir):
 def audit_reconciliation(spark, sf_dir):
     """Order totals against the sum of their lines, in cents."""
     lineitem, orders = tables(spark, sf_dir, "lineitem", "orders")
-    sums = lineitem.groupBy("l_orderkey").agg(
-        F.round(F.sum(F.col("l_extendedprice").cast("decimal(18,2)")), 2).alias("lines")
-    )
-    totals = orders.select("o_orderkey", F.col("o_totalprice").cast("decimal(18,2)").alias("total"))
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    sums = lineitem.groupBy("l_orderkey").agg(F.sum(cents).alias("lines"))
+    totals = orders.select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("total"))
     return A.mismatched(totals, sums, ("o_orderkey", "l_orderkey"), ("total", "lines"))
 
 
@@ -185,9 +184,9 @@ ORACLES = {
         where o_orderkey is null""",
     "audit_reconciliation": """
         select count(*) as observed
-        from orders join (select l_orderkey, sum(cast(l_extendedprice as decimal(18,2))) as lines
+        from orders join (select l_orderkey, sum(cast(round(l_extendedprice * 100) as bigint)) as lines
                           from lineitem group by 1) l on o_orderkey = l_orderkey
-        where cast(o_totalprice as decimal(18,2)) <> lines""",
+        where cast(round(o_totalprice * 100) as bigint) <> lines""",
     "audit_mismatched_pairs": """
         select count(*) as observed
         from (select l_suppkey, nullif(l_linenumber, 7) as number from lineitem) l

@@ -16,13 +16,20 @@ TABLES = (
 ).split()
 
 
+# Tables already opened, by application, session and path; opening one reads a file footer.
+_OPENED: dict[tuple, tuple[SparkSession, DataFrame]] = {}
+
+
 def table(spark: SparkSession, directory: str, name: str) -> DataFrame:
-    return load(spark, directory, name)[name]
+    key = (spark.sparkContext.applicationId, id(spark), directory, name)
+    if key not in _OPENED:
+        _OPENED[key] = (spark, load(spark, directory, name)[name])
+    return _OPENED[key][1]
 
 
 def from_sql(spark: SparkSession, directory: str, sql: str) -> DataFrame:
     """A derived input as a DataFrame; the tables it names are the Parquet files."""
-    used = load(spark, directory, *[n for n in TABLES if "{" + n + "}" in sql])
+    used = {n: table(spark, directory, n) for n in TABLES if "{" + n + "}" in sql}
     return spark.sql(sql, **used).withColumnRenamed("tab", "table")
 
 
