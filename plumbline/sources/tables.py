@@ -45,10 +45,13 @@ def read_jdbc(
     spark: SparkSession, url: str, table: str, key: str, partitions: int, **options: str
 ) -> DataFrame:
     """A database table read by ranges of a numeric key, so that no single task reads it all."""
-    reader = spark.read.format("jdbc").option("url", url).options(**options)
-    bounds = reader.option("query", f"select min({key}) lo, max({key}) hi from {table}").load().first()
+    def reader():
+        return spark.read.format("jdbc").option("url", url).options(**options)
+
+    bounds = reader().option("query", f"select min({key}) lo, max({key}) hi from {table}").load().first()
     return (
-        reader.option("dbtable", table)
+        reader()
+        .option("dbtable", table)
         .option("partitionColumn", key)
         .option("lowerBound", str(bounds[0] or 0))
         .option("upperBound", str(bounds[1] or 0))
