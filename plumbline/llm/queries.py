@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import mixing, sharding, tokencount
+from plumbline.llm import jaccard, mixing, sharding, tokencount
 from plumbline.llm.common import text_or_empty
 
 
@@ -23,6 +23,11 @@ def op1_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the component of their near copies."""
+    return jaccard.near_copies(read(spark, sf_dir, "documents"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     mix = mixing.mixed(read(spark, sf_dir, "documents"), keep=("doc_id", "source"))
@@ -46,6 +51,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
+    "op3_near_copies": op3_near_copies,
     "op8_mix": op8_mix,
     "op10_token_counts": op10_token_counts,
 }
