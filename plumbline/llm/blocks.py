@@ -101,38 +101,50 @@ class GramSpace:
         return np.unique((distinct >> U(self.bits - self.range_bits)).astype(np.int64), return_index=True)
 
 
+def runs(block: int, hashes: np.ndarray, space: GramSpace) -> pa.RecordBatch:
+    """A block's distinct cut hashes and their counts, a row per range."""
+    distinct, counts = np.unique(space.cut(hashes), return_counts=True)
+    counts = np.minimum(counts, MOST).astype(np.uint8)
+    ranges, starts = space.ranges(distinct)
+    cuts = list(zip(starts, [*starts[1:], len(distinct)], strict=True))
+    arrays = [
+        pa.array(ranges, pa.int64()), pa.array([block] * len(ranges), pa.int64()),
+        pa.array([squeezed(distinct[a:b]) for a, b in cuts], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in cuts], pa.binary()),
+    ]
+    return pa.RecordBatch.from_arrays(arrays, ["range", "block", "grams", "counts"])
+
+
+RUNS = "range long, block long, grams binary, counts binary"
+ANSWERS = "block long, range long, told binary"
+
+
+def answered(sent: DataFrame) -> DataFrame:
+    """Rows (block, range, told) from runs of all blocks: in a run's order, how often each gram occurs."""
+
+    def answer(group: pa.Table) -> pa.Table:
+        each = [unsqueezed(g) for g in group["grams"].to_pylist()]
+        own = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8)
+        _, place = np.unique(np.concatenate(each), return_inverse=True)
+        counts = np.minimum(np.bincount(place, weights=own), MOST).astype(np.uint8)[place]
+        ends = np.cumsum([len(r) for r in each])
+        back = [counts[e - len(r) : e].tobytes() for e, r in zip(ends, each, strict=True)]
+        return pa.table({"block": group["block"], "range": group["range"], "told": pa.array(back, pa.binary())})
+
+    return sent.groupBy("range").applyInArrow(answer, ANSWERS)
+
+
 def gram_counts(blocks: DataFrame, grams: Callable[[list[bytes]], np.ndarray], space: GramSpace) -> DataFrame:
-    """Rows (block, range, counts): how often each distinct gram of the block occurs in all blocks.
+    """How often each distinct gram of a block occurs in all blocks, as ``answered`` tells it.
 
     ``grams`` hashes all grams of a list of texts; each occurrence that it returns counts once.
-    Counts are in the order of the block's distinct cut hashes, range by range, and stop at MOST.
     """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                distinct, counts = np.unique(space.cut(grams(texts_of(row["body"], row["sizes"]))), return_counts=True)
-                counts = np.minimum(counts, MOST).astype(np.uint8)
-                ranges, starts = space.ranges(distinct)
-                ends = [*starts[1:], len(distinct)]
-                arrays = [
-                    pa.array(ranges, pa.int64()), pa.array([row["block"]] * len(ranges), pa.int64()),
-                    pa.array([squeezed(distinct[a:b]) for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                    pa.array([counts[a:b].tobytes() for a, b in zip(starts, ends, strict=True)], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, ["range", "block", "grams", "counts"])
-
-    def answer(group: pa.Table) -> pa.Table:
-        runs = [unsqueezed(g) for g in group["grams"].to_pylist()]
-        own = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8)
-        _, place = np.unique(np.concatenate(runs), return_inverse=True)
-        counts = np.minimum(np.bincount(place, weights=own), MOST).astype(np.uint8)[place]
-        ends = np.cumsum([len(r) for r in runs])
-        told = [counts[e - len(r) : e].tobytes() for e, r in zip(ends, runs, strict=True)]
-        return pa.table({"block": group["block"], "range": group["range"], "told": pa.array(told, pa.binary())})
+                yield runs(row["block"], grams(texts_of(row["body"], row["sizes"])), space)
 
-    sent = blocks.select("block", "sizes", "body").mapInArrow(send, "range long, block long, grams binary, counts binary")
-    return sent.groupBy("range").applyInArrow(answer, "block long, range long, told binary")
+    return answered(blocks.select("block", "sizes", "body").mapInArrow(send, RUNS))
 
 
 def told(answers: pa.Table) -> np.ndarray:
@@ -140,3 +152,9 @@ def told(answers: pa.Table) -> np.ndarray:
     order = np.argsort(answers["range"].to_numpy())
     parts = answers["told"].to_pylist()
     return np.frombuffer(b"".join(parts[i] for i in order), np.uint8)
+
+
+def counts_of(hashes: np.ndarray, answers: pa.Table, space: GramSpace) -> np.ndarray:
+    """The counts of a block's hashes, each in its place; ``hashes`` are those that were sent."""
+    distinct, place = np.unique(space.cut(hashes), return_inverse=True)
+    return told(answers)[place] if len(distinct) else np.zeros(0, np.uint8)

@@ -63,8 +63,7 @@ def shingle_sets(blocks: DataFrame, width: int, percent: int) -> DataFrame:
         row = left.to_pylist()[0]
         sets = sets_of(B.texts_of(row["body"], row["sizes"]))
         every = np.concatenate([*sets, np.zeros(0, W.U)])
-        distinct, place = np.unique(space.cut(every), return_inverse=True)
-        counts = B.told(answers)[place] if len(distinct) else np.zeros(0, np.uint8)
+        counts = B.counts_of(every, answers, space)
         out, at = [], 0
         for i, (key, tokens) in enumerate(zip(row["keys"], sets, strict=True)):
             n, often = len(tokens), counts[at : at + len(tokens)]

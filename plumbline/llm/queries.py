@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard, mixing, sharding, tokencount
+from plumbline.llm import jaccard, mixing, sharding, substring, tokencount
 from plumbline.llm.common import text_or_empty
 
 
@@ -28,6 +28,18 @@ def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(read(spark, sf_dir, "documents"))
 
 
+def removed(spans: str) -> Column:
+    """The length of all spans that an array of starts and ends holds."""
+    sign = lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)
+    return F.aggregate(F.transform(spans, sign), F.lit(0).cast("long"), lambda a, x: a + x)
+
+
+def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the passages of 35 words that occur elsewhere."""
+    found = substring.repeated_passages(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", removed("spans").alias("n_removed"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the words that the mix takes of each."""
     mix = mixing.mixed(read(spark, sf_dir, "documents"), keep=("doc_id", "source"))
@@ -52,6 +64,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op3_near_copies": op3_near_copies,
+    "op7_repeated_passages": op7_repeated_passages,
     "op8_mix": op8_mix,
     "op10_token_counts": op10_token_counts,
 }

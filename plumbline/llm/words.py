@@ -106,3 +106,24 @@ def shingles(words: np.ndarray, width: int, powers: Powers) -> np.ndarray:
     if len(words) < width:
         return mix(rolling(words, len(words), powers) + U(len(words)))
     return np.unique(rolling(words, width, powers))
+
+
+def sliding(values: np.ndarray, width: int, pick: np.ufunc) -> np.ndarray:
+    """The minimum or maximum of each run of ``width`` values, by doubling."""
+    out, have = values, 1
+    while have < width:
+        step = min(have, width - have)
+        out = pick(out[: len(out) - step], out[step:])
+        have += step
+    return out
+
+
+def winnowed(grams: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of ``width`` grams the smallest, and the places of all grams that are smallest somewhere.
+
+    Equal runs have equal smallest grams at equal places within them, wherever they occur.
+    """
+    least = sliding(grams, width, np.minimum)
+    edge = np.zeros(width - 1, dtype=U)
+    most = sliding(np.concatenate((edge, least, edge)), width, np.maximum)
+    return least, np.flatnonzero(grams == most)
