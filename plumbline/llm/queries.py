@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard, mixing, sharding, substring, tokencount
+from plumbline.llm import jaccard, mixing, sharding, substring, suffixes, tokencount
 from plumbline.llm.common import text_or_empty
 
 
@@ -34,6 +34,15 @@ def removed(spans: str) -> Column:
     return F.aggregate(F.transform(spans, sign), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def op5_unique_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the strings of 50 bytes that a smaller doc_id has."""
+    found = suffixes.unique_bytes(read(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", "n_bytes", removed("spans").alias("n_removed"), (F.size("spans") / 2).cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 def op7_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the passages of 35 words that occur elsewhere."""
     found = substring.repeated_passages(read(spark, sf_dir, "documents"))
@@ -64,6 +73,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op3_near_copies": op3_near_copies,
+    "op5_unique_bytes": op5_unique_bytes,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_mix": op8_mix,
     "op10_token_counts": op10_token_counts,

@@ -30,7 +30,8 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
+#: A number for each byte.
+BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD1342543DE82EF95))
 
 
 def _powers(base: np.uint64, n: int) -> np.ndarray:
@@ -85,7 +86,7 @@ def word_hashes(texts: list[bytes], powers: Powers) -> tuple[np.ndarray, np.ndar
     starts, ends = edge[0::2], edge[1::2]  # the last byte is white space, so every word ends
     up, down = powers.of(len(blob))
     sums = np.zeros(len(blob) + 1, dtype=U)
-    np.cumsum(_BYTE[blob] * up, dtype=U, out=sums[1:])
+    np.cumsum(BYTE[blob] * up, dtype=U, out=sums[1:])
     hashes = mix((sums[ends] - sums[starts]) * down[starts])
     bounds = np.concatenate(([0], np.searchsorted(starts, ends_of_texts)))
     return hashes, bounds
