@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import jaccard, mixing, sharding, substring, suffixes, tokencount
+from plumbline.llm import decontaminate, jaccard, lines, mixing, sharding, substring, suffixes, tokencount
 from plumbline.llm.common import text_or_empty
 
 
@@ -28,6 +28,12 @@ def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_copies(read(spark, sf_dir, "documents"))
 
 
+def op6_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents that hold a benchmark item, with the share of its five-word shingles."""
+    found = decontaminate.contained(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return found.drop("text_hash")
+
+
 def removed(spans: str) -> Column:
     """The length of all spans that an array of starts and ends holds."""
     sign = lambda x, i: F.when(i % 2 == 0, -x).otherwise(x)
@@ -64,6 +70,13 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the runs of two lines that occur earlier."""
+    found = lines.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
+    return found.select("doc_id", "n_lines", gone.alias("n_removed"), F.size("spans").alias("n_runs"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Tokens of every whole document, and what of it 512 tokens hold."""
     counts = tokencount.token_counts(read(spark, sf_dir, "documents"), path or tokenizer_path())
@@ -74,9 +87,39 @@ QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op3_near_copies": op3_near_copies,
     "op5_unique_bytes": op5_unique_bytes,
+    "op6_contained_items": op6_contained_items,
     "op7_repeated_passages": op7_repeated_passages,
     "op8_mix": op8_mix,
+    "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op6_contained_items": r"""
+        with d as (
+          select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+          from documents),
+        i as (
+          select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
+          from benchmark),
+        ds as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
+        items as (select distinct item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from i),
+        n as (select item_id, count(*) as n_shingles from items group by 1)
+        select doc_id, item_id, n_shingles, count(*) as n_shared, count(*) / n_shingles as containment
+        from ds join items using (s) join n using (item_id)
+        group by doc_id, item_id, n_shingles having count(*) * 100 >= n_shingles * 80
+        """,
+    "op9_line_dedup": r"""
+        with l as (
+          select doc_id, string_split(text, chr(10)) as lines from documents),
+        p as (select doc_id, lines, unnest(range(1, len(lines))) as k from l),
+        w as (select doc_id, k, row_number() over (partition by lines[k], lines[k + 1] order by doc_id, k) as n from p),
+        gone as (select distinct doc_id, unnest([k, k + 1]) as k from w where n > 1),
+        spans as (
+          select doc_id, count(*) as n_removed, list(k) as ks, cast(count(*) filter (k <> coalesce(before, -1) + 1) as integer) as n_runs
+          from (select doc_id, k, lag(k) over (partition by doc_id order by k) as before from gone) group by 1)
+        select doc_id, cast(len(lines) as integer) as n_lines, cast(coalesce(n_removed, 0) as integer) as n_removed, coalesce(n_runs, 0) as n_runs,
+               sha256(array_to_string(list_filter(lines, lambda x, j: not coalesce(list_contains(ks, j), false)), chr(10))) as kept_sha256
+        from l left join spans using (doc_id)
+        """,
+}
