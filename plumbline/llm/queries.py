@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard, lines, mixing, sharding, substring, suffixes, tokencount
+from plumbline.llm import decontaminate, jaccard, lines, mixing, sharding, substring, suffixes, tokencount, toxicity
 from plumbline.llm.common import text_or_empty
 
 
@@ -23,6 +23,13 @@ def op1_byte_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the toxicity of their whole texts."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    scores = toxicity.toxicity(docs, read(spark, sf_dir, "labels"))
+    return scores.select("doc_id", "held_out", "score", "predicted")
+
+
 def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the component of their near copies."""
     return jaccard.near_copies(read(spark, sf_dir, "documents"))
@@ -85,6 +92,7 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
 
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
+    "op2_toxicity": op2_toxicity,
     "op3_near_copies": op3_near_copies,
     "op5_unique_bytes": op5_unique_bytes,
     "op6_contained_items": op6_contained_items,
