@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_or_empty, written
+from plumbline.llm.common import shipped, text_or_empty, written
 
 #: Text in a block, and text whose grams meet in one range.
 BLOCK_BYTES = 4 << 20
@@ -34,6 +34,7 @@ BLOCKS = "block long, keys array<long>, sizes array<int>, raw long, body binary"
 
 def packed(df: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """Blocks of whole texts (null: empty) with their keys, compressed, as a table in the shared folder."""
+    shipped(df.sparkSession)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), text_or_empty(text).alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from plumbline.llm.common import in_ranges, text_or_empty, tie_break, totals_before
+from plumbline.llm.common import in_ranges, shipped, text_or_empty, tie_break, totals_before
 
 #: Bytes that a row takes beside its text.
 OVERHEAD = 16
@@ -35,6 +35,7 @@ def byte_shards(
     columns named like an output are replaced.
     """
     size = (F.octet_length(text_or_empty(text)) + F.lit(overhead)).cast("long")
+    shipped(df.sparkSession)
     carried = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("size", "shard", "slot")]
     df = df.select(
         *[F.col(f"`{c}`") for c in carried], size.alias("size"), tie_break(df).alias("_tie"),

@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import text_or_empty
+from plumbline.llm.common import shipped, text_or_empty
 
 #: Tokens beyond which a text counts as over the limit.
 LIMIT = 512
@@ -262,6 +262,7 @@ def token_counts(df: DataFrame, path: str, budget: int = LIMIT, text: str = "tex
     prefix counts. Null and empty texts have 0 of each. Keys are carried as they are, null or
     repeated; no rows give no rows; other columns are not read.
     """
+    shipped(df.sparkSession)
     rows = df.select(F.col(f"`{key}`").alias("_key"), text_or_empty(text).alias("_text"))
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

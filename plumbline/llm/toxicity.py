@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import checkpointed, text_or_empty
+from plumbline.llm.common import checkpointed, shipped, text_or_empty
 
 #: Labelled rows, and rows with posterior labels, that are learned from at most (about).
 LABELLED = 40_000
@@ -27,52 +27,77 @@ TRAINED = 40_000
 #: Voters on words and on word beginnings; together at most 12, so there are few vote patterns.
 WORD_VOTERS = 5
 START_VOTERS = 5
-#: A lexicon term is in so many different toxic texts at least, and so many times likelier there.
-SUPPORT = 3
+#: A lexicon feature is so many times likelier in toxic texts at least, and so surely that among
+#: millions of chance features about one would pass.
+SURE = 24.0
 ODDS = 8.0
 TERMS = 2_000
 FEATURES = 6_000
 #: Bytes of the word beginnings.
-STARTS = (4, 5, 6)
+STARTS = (4, 5, 6, 7)
 THRESHOLD = 0.3
 #: Words whose features a worker keeps.
 KEPT_WORDS = 300_000
 _LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
-def words_of(text: str) -> set[bytes]:
-    """The distinct words of a whole text, in lower case, cut at ASCII marks and white space."""
-    return set(text.lower().encode().translate(_LETTERS).split())
+def words_of(text: str) -> Counter:
+    """The words of a whole text and how often it has each, in lower case, cut at ASCII marks and white space."""
+    return Counter(text.lower().encode().translate(_LETTERS).split())
 
 
-def features_of(word: bytes) -> list[bytes]:
+def terms_of(word: bytes) -> list[bytes]:
     """A word, and its beginnings marked as such."""
     return [word, *[word[:n] + b"*" for n in STARTS if len(word) > n]]
 
 
+def levels(often: int, total: int) -> int:
+    """How much of a text is one term: there at all (0), or with a share of its words (1 to 3)."""
+    if often < 2 or often * 100 < total:
+        return 0
+    return 1 if often * 50 < total else 2 if often < 3 or often * 25 < total else 3
+
+
+def features_of(words: Counter) -> list[bytes]:
+    """The terms of a text, each with its level and all below."""
+    often: Counter = Counter()
+    for word, n in words.items():
+        for term in terms_of(word):
+            often[term] += n
+    total = words.total()
+    return [term + b"\0%d" % k for term, n in often.items() for k in range(levels(n, total) + 1)]
+
+
 def held_out(key: str) -> Column:
     """Rows whose labels are never learned from."""
     return F.coalesce(F.crc32(F.col(f"`{key}`").cast("string")) % 4 == 2, F.lit(False))
 
 
 class Lookup:
-    """The known features of words, kept per word."""
+    """The numbers of a text's known features; the known terms are kept per word."""
 
     def __init__(self, numbers: dict[bytes, int]) -> None:
-        self.numbers, self.kept = numbers, {}
-
-    def __call__(self, words: set[bytes]) -> set[int]:
-        found: set[int] = set()
-        kept = self.kept
-        for word in words:
-            known = kept.get(word)
-            if known is None:
+        self.kept: dict[bytes, tuple] = {}
+        self.levels: dict[bytes, list] = {}
+        for feature, number in numbers.items():
+            term, level = feature.rsplit(b"\0", 1)
+            self.levels.setdefault(term, [None] * 4)[int(level)] = number
+
+    def __call__(self, words: Counter) -> set[int]:
+        often: dict[bytes, int] = {}
+        kept, known = self.kept, self.levels
+        for word, n in words.items():
+            terms = kept.get(word)
+            if terms is None:
                 if len(kept) > KEPT_WORDS:
                     kept.clear()
-                known = kept[word] = tuple(n for f in features_of(word) if (n := self.numbers.get(f)) is not None)
-            if known:
-                found.update(known)
-        return found
+                terms = kept[word] = tuple(t for t in terms_of(word) if t in known)
+            for term in terms:
+                often[term] = often.get(term, 0) + n
+        if not often:
+            return set()
+        total = words.total()
+        return {x for t, n in often.items() for x in known[t][: levels(n, total) + 1] if x is not None}
 
 
 @dataclass
@@ -206,7 +231,7 @@ def _text_counts(texts: DataFrame) -> DataFrame:
         often, toxic = Counter(), Counter()
         for batch in batches:
             for text, p in zip(batch.column("text").to_pylist(), batch.column("p").to_pylist(), strict=True):
-                found = {f for w in words_of(text) for f in features_of(w)}
+                found = features_of(words_of(text))
                 often.update(found)
                 if p > 1e-3:
                     for f in found:
@@ -220,13 +245,18 @@ def _text_counts(texts: DataFrame) -> DataFrame:
     return sums.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("often").alias("often"))
 
 
-def _telling(counts: DataFrame, toxic: float, clean: float, most: int, support: float, odds: float) -> list[tuple[bytes, float]]:
-    """The features that tell toxic texts, by how surely they do: at most ``most``."""
-    other = F.greatest(F.lit(0.0), F.col("often") - F.col("toxic"))
+def _telling(counts: DataFrame, toxic: float, clean: float, most: int, odds: float) -> list[tuple[bytes, float]]:
+    """The features that tell toxic texts, by how surely they do: at most ``most``.
+
+    How surely: the likelihood ratio of the feature's own share of toxic texts against theirs among all.
+    """
+    n, other = F.col("often"), F.greatest(F.lit(0.0), F.col("often") - F.col("toxic"))
+    share = toxic / (toxic + clean)
+    part = lambda k, p: F.when(k > 0, k * F.log(k / n / p)).otherwise(0.0)
     ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((other + 0.5) / (clean + 1.0))
-    sure = ratio / F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (other + 0.5))
-    rows = counts.where(F.col("toxic") >= support).withColumn("ratio", ratio).withColumn("sure", sure)
-    rows = rows.where(F.col("ratio") >= float(np.log(odds))).orderBy(F.col("sure").desc(), "feature").limit(most)
+    rows = counts.withColumn("sure", 2 * (part(F.col("toxic"), share) + part(other, 1 - share))).withColumn("ratio", ratio)
+    rows = rows.where((F.col("ratio") >= float(np.log(odds))) & (F.col("sure") >= SURE))
+    rows = rows.orderBy(F.col("sure").desc(), "feature").limit(most)
     return [(bytes(r["feature"]), r["ratio"]) for r in rows.select("feature", "ratio").collect()]
 
 
@@ -237,6 +267,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     per key (the larger one). Without labels of both kinds there are no voters, and every text scores
     the share of toxic labels (0.5 without any).
     """
+    shipped(df.sparkSession)
     texts = df.select(F.col(f"`{key}`").alias("key"), text_or_empty(text).alias("text"))
     known = labels.where(F.col(f"`{label}`").isNotNull() & F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("key")).agg((F.max(f"`{label}`") > 0).cast("double").alias("p"))
     known = known.where(~held_out("key"))
@@ -247,7 +278,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     sample = checkpointed(sample)
     row = sample.agg(F.sum("p"), F.count(F.lit(1))).first()
     toxic, clean = float(row[0] or 0), float(row[1] - (row[0] or 0))
-    terms = _telling(_text_counts(sample), toxic, clean, TERMS, SUPPORT, ODDS) if toxic and clean else []
+    terms = _telling(_text_counts(sample), toxic, clean, TERMS, ODDS) if toxic and clean else []
     if not terms:
         mean = toxic / (toxic + clean) if toxic + clean else 0.5
         mean = min(max(mean, 1e-3), 1 - 1e-3)
@@ -255,7 +286,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
 
     voters, seen = {}, {"w": 0, "s": 0}
     for term, _ in terms:  # dealt in turn, the surest first
-        kind = "s" if term.endswith(b"*") else "w"
+        kind = "s" if b"*" in term else "w"
         voters[term] = WORD_VOTERS + seen[kind] % START_VOTERS if kind == "s" else seen[kind] % WORD_VOTERS
         seen[kind] += 1
     m = WORD_VOTERS + START_VOTERS
@@ -295,7 +326,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     chosen = chosen.select("text").distinct().mapInArrow(judged, "text string, p double")
     row = chosen.agg(F.sum("p"), F.count(F.lit(1))).first()
     toxic, clean = float(row[0] or 0), float(row[1] - (row[0] or 0))
-    found = _telling(_text_counts(chosen), toxic, clean, FEATURES, SUPPORT - 0.5, ODDS / 2)
+    found = _telling(_text_counts(chosen), toxic, clean, FEATURES, ODDS / 2)
     numbers_of = {f: i for i, (f, _) in enumerate(found)}
     for term in voters:
         numbers_of.setdefault(term, len(numbers_of))
