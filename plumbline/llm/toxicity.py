@@ -27,9 +27,10 @@ TRAINED = 40_000
 #: Voters on words and on word beginnings; together at most 12, so there are few vote patterns.
 WORD_VOTERS = 5
 START_VOTERS = 5
-#: A lexicon feature is so many times likelier in toxic texts at least, and so surely that among
-#: millions of chance features about one would pass.
-SURE = 24.0
+#: A feature is so many times likelier in toxic texts at least, and so surely (twice the log of the
+#: likelihood ratio). Voters may be less sure: the label model weighs them.
+SURE = 20.0
+SURE_VOTER = 14.0
 ODDS = 8.0
 TERMS = 2_000
 FEATURES = 6_000
@@ -245,7 +246,7 @@ def _text_counts(texts: DataFrame) -> DataFrame:
     return sums.groupBy("feature").agg(F.sum("toxic").alias("toxic"), F.sum("often").alias("often"))
 
 
-def _telling(counts: DataFrame, toxic: float, clean: float, most: int, odds: float) -> list[tuple[bytes, float]]:
+def _telling(counts: DataFrame, toxic: float, clean: float, most: int, odds: float, sure: float) -> list[tuple[bytes, float]]:
     """The features that tell toxic texts, by how surely they do: at most ``most``.
 
     How surely: the likelihood ratio of the feature's own share of toxic texts against theirs among all.
@@ -255,7 +256,7 @@ def _telling(counts: DataFrame, toxic: float, clean: float, most: int, odds: flo
     part = lambda k, p: F.when(k > 0, k * F.log(k / n / p)).otherwise(0.0)
     ratio = F.log((F.col("toxic") + 0.5) / (toxic + 1.0)) - F.log((other + 0.5) / (clean + 1.0))
     rows = counts.withColumn("sure", 2 * (part(F.col("toxic"), share) + part(other, 1 - share))).withColumn("ratio", ratio)
-    rows = rows.where((F.col("ratio") >= float(np.log(odds))) & (F.col("sure") >= SURE))
+    rows = rows.where((F.col("ratio") >= float(np.log(odds))) & (F.col("sure") >= sure))
     rows = rows.orderBy(F.col("sure").desc(), "feature").limit(most)
     return [(bytes(r["feature"]), r["ratio"]) for r in rows.select("feature", "ratio").collect()]
 
@@ -278,7 +279,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     sample = checkpointed(sample)
     row = sample.agg(F.sum("p"), F.count(F.lit(1))).first()
     toxic, clean = float(row[0] or 0), float(row[1] - (row[0] or 0))
-    terms = _telling(_text_counts(sample), toxic, clean, TERMS, ODDS) if toxic and clean else []
+    terms = _telling(_text_counts(sample), toxic, clean, TERMS, ODDS, SURE_VOTER) if toxic and clean else []
     if not terms:
         mean = toxic / (toxic + clean) if toxic + clean else 0.5
         mean = min(max(mean, 1e-3), 1 - 1e-3)
@@ -326,7 +327,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     chosen = chosen.select("text").distinct().mapInArrow(judged, "text string, p double")
     row = chosen.agg(F.sum("p"), F.count(F.lit(1))).first()
     toxic, clean = float(row[0] or 0), float(row[1] - (row[0] or 0))
-    found = _telling(_text_counts(chosen), toxic, clean, FEATURES, ODDS / 2)
+    found = _telling(_text_counts(chosen), toxic, clean, FEATURES, ODDS / 2, SURE)
     numbers_of = {f: i for i, (f, _) in enumerate(found)}
     for term in voters:
         numbers_of.setdefault(term, len(numbers_of))
