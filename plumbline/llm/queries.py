@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard, lines, mixing, sharding, substring, suffixes, tokencount, toxicity
+from plumbline.llm import decontaminate, jaccard, lines, mixing, neighbours, sharding, substring, suffixes, tokencount, toxicity
 from plumbline.llm.common import text_or_empty
 
 
@@ -47,6 +47,12 @@ def removed(spans: str) -> Column:
     return F.aggregate(F.transform(spans, sign), F.lit(0).cast("long"), lambda a, x: a + x)
 
 
+def op4_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of each hundredth one."""
+    vectors = read(spark, sf_dir, "embeddings")
+    return neighbours.nearest(vectors, F.col("vec_id") % 100 == 0)
+
+
 def op5_unique_bytes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents without the strings of 50 bytes that a smaller doc_id has."""
     found = suffixes.unique_bytes(read(spark, sf_dir, "documents"))
@@ -94,6 +100,7 @@ QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op2_toxicity": op2_toxicity,
     "op3_near_copies": op3_near_copies,
+    "op4_neighbours": op4_neighbours,
     "op5_unique_bytes": op5_unique_bytes,
     "op6_contained_items": op6_contained_items,
     "op7_repeated_passages": op7_repeated_passages,
