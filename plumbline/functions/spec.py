@@ -55,6 +55,22 @@ def elements(value: Column) -> Column:
     return F.try_variant_get(value, "$", "array<variant>")
 
 
+def canonical(value: Column) -> Column:
+    """A parameter as JSON text in which a whole number has one spelling, in a list too."""
+    members = F.transform(elements(value), lambda v: F.coalesce(_whole(v), F.to_json(v), F.lit("null")))
+    listed = F.concat(F.lit("["), F.array_join(members, ","), F.lit("]"))
+    is_list = F.schema_of_variant(value).startswith("ARRAY")
+    return F.when(is_list, listed).otherwise(F.coalesce(_whole(value), F.to_json(value)))
+
+
+def _whole(value: Column) -> Column:
+    """A floating-point number that is whole, as an integer; null for anything else."""
+    found = F.try_variant_get(value, "$", "double")
+    floating = F.schema_of_variant(value).isin("DOUBLE", "FLOAT")
+    # whole numbers below this are exact in a double
+    return F.when(floating & (found == F.floor(found)) & (F.abs(found) < 2.0**53), found.cast("bigint").cast("string"))
+
+
 def identity(spec: Column, type_name: Column, params: Column) -> Column:
     """A rule's identity: its type and parameters, whatever order and spelling they came in.
 
@@ -65,7 +81,7 @@ def identity(spec: Column, type_name: Column, params: Column) -> Column:
         F.map_entries(params), lambda e: (e["key"] != PROVENANCE) & ~F.is_variant_null(e["value"])
     )
     pairs = F.transform(
-        kept, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), F.to_json(e["value"]))
+        kept, lambda e: F.concat(F.lit('"'), e["key"], F.lit('":'), canonical(e["value"]))
     )
     body = F.coalesce(F.array_join(F.array_sort(pairs), ","), F.lit(""))
     key = F.concat(F.lit('["'), type_name, F.lit('",{'), body, F.lit("}]"))

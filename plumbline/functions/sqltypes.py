@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The SQL type names a rule may use, with the Spark types each one describes.
@@ -48,6 +50,14 @@ TEXT = (T.StringType, T.CharType, T.VarcharType)
 UNORDERED = (T.ArrayType, T.MapType, T.StructType, T.VariantType)
 
 
+def in_order(column: Column, data_type: T.DataType) -> Column:
+    """A map with its entries in the order of their keys, so that equal maps print alike."""
+    if not isinstance(data_type, T.MapType):
+        return column
+    entry = lambda k: F.struct(k.alias("key"), F.element_at(column, k).alias("value"))
+    return F.map_from_entries(F.transform(F.array_sort(F.map_keys(column)), entry))
+
+
 def is_of_type(data_type: T.DataType, sql_name: str) -> bool:
     """Whether a column of ``data_type`` is stored as the SQL type ``sql_name``."""
     wanted = SQL_TYPES[sql_name.upper()]

@@ -63,7 +63,7 @@ def digits(count: Column) -> Column:
 
 
 def magnitude(unexpected: Column, scanned: Column) -> Column:
-    """``150 violating rows · of 500,000 rows scanned · 0.03%``; null when nothing was counted."""
+    """``42 violating rows · of 9,600 rows scanned · 0.44%``; null when nothing was counted."""
     share = F.when(
         scanned > 0, (F.lit(100) * unexpected).cast("double") / scanned.cast("double")
     ).otherwise(F.lit(0.0))
@@ -78,7 +78,7 @@ def magnitude(unexpected: Column, scanned: Column) -> Column:
 
 
 def status_atom(verdict: Column, scanned: Column, total: Column) -> Column:
-    """``FAILED · sampled 100,000 / 512,400``: a verdict with what it saw in the same string."""
+    """``FAILED · sampled 2,500 / 80,000``: a verdict with what it saw in the same string."""
     sampled = F.concat(F.lit("sampled "), digits(scanned), F.lit(" / "), digits(total))
     return F.concat_ws(
         SEPARATOR,
@@ -95,7 +95,7 @@ def never_run_atom(accepted_rules: Column) -> Column:
 
 
 def budget(position: Column, total: Column, table: Column) -> Column:
-    """``Decision 3 of 5 for orders · about 1 minute left``; null outside ``1..total``."""
+    """``Decision 2 of 9 for supplier · about 3 minutes left``; null outside ``1..total``."""
     left = F.ceil((total - position) * DECISION_SECONDS / 60)
     minutes = F.concat(
         F.lit("about "), left.cast("string"),
@@ -111,7 +111,7 @@ def budget(position: Column, total: Column, table: Column) -> Column:
 
 
 def evidence_row(ids: list[Column], value: Column) -> Column:
-    """``#88231 -450.0``: an offending value after the key of its row."""
+    """``#77 12.5``: an offending value after the key of its row."""
     shown = F.coalesce(value.cast("string"), F.lit(EMPTY_VALUE))
     keys = [F.concat(F.lit("#"), F.coalesce(c.cast("string"), F.lit(EMPTY_VALUE))) for c in ids]
     return F.trim(F.concat_ws(" ", *keys, shown))

@@ -13,22 +13,18 @@ from dataclasses import replace
 from functools import reduce
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Row, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from plumbline.functions import regex, sqltypes, text
-from plumbline.operators import skew
+from plumbline.functions.spec import with_spec_key
 from plumbline.plans.compile import Check, compile_rules, patterns, quoted
 from plumbline.sources.local import local_frame
 from plumbline.sources.tables import Scan
 
 SAMPLE_ROWS = 20
 
-# Rules counted in one aggregate. Beyond about a hundred fields Spark no longer generates code
-# for it, so a longer suite reads the table again, each time for the next rules' columns only.
-RULES_PER_SCAN = 48
-
 METRICS = {
     "position": "int", "element_count": "bigint", "non_null_count": "bigint",
     "checked_count": "bigint", "unexpected_count": "bigint", "observed": "string",
@@ -71,7 +67,7 @@ def run_suite(
 ) -> DataFrame:
     """One row per rule: counts, verdict and rendered lines. Lazy; refuses an empty suite.
 
-    ``scan`` carries the row cap of a capped read; without one the whole table was read.
+    ``scan`` says how many rows the table has, where the rows given are part of it.
     """
     if not specs:
         raise ValueError("a suite with no rules checks nothing")
@@ -85,6 +81,16 @@ def results_of(df: DataFrame, checks: Sequence[Check], scan: Scan | None = None)
 # --- metrics -------------------------------------------------------------------------
 
 
+def rules_per_scan(spark: SparkSession) -> int:
+    """Rules counted in one aggregate: as many as the session generates code for.
+
+    A rule is a field of the aggregate and at most one more for its column. A longer suite reads
+    the table again, each time for the next rules' columns only; no rule is left out.
+    """
+    fields = int(spark.conf.get("spark.sql.codegen.maxFields", "100"))
+    return max(1, (fields - 4) // 2)
+
+
 def metrics(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
     """The numbers of every check, one row each."""
     grouped: dict[str, list[Check]] = {}
@@ -97,7 +103,8 @@ def metrics(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
         else:
             known.append(check)
     counted.sort(key=lambda c: c.column)
-    scans = [counted[i : i + RULES_PER_SCAN] for i in range(0, len(counted), RULES_PER_SCAN)]
+    most = rules_per_scan(df.sparkSession)
+    scans = [counted[i : i + most] for i in range(0, len(counted), most)]
     if known:
         scans = [(scans[0] if scans else []) + known, *scans[1:]]
     parts = [_scanned(df, members) for members in scans]
@@ -153,7 +160,7 @@ def group_key(df: DataFrame, column: str) -> Column:
     """A column as something rows can be grouped by; values with no equality go by their text."""
     data_type = df.schema[column].dataType
     if isinstance(data_type, T.MapType | T.StructType | T.VariantType):
-        return F.to_json(quoted(column))
+        return F.to_json(sqltypes.in_order(quoted(column), data_type))
     return quoted(column)
 
 
@@ -191,21 +198,19 @@ def _grouped_row(check: Check) -> dict[str, str]:
 
 
 def _members(df: DataFrame, check: Check, flag: str) -> DataFrame:
+    """A long value set as a table in the column's type, which holds every member exactly."""
     data_type = df.schema[check.column].dataType
-    given = [(str(m) if isinstance(data_type, T.DecimalType) else m,) for m in check.members]
-    literal = {T.DecimalType: "string"}.get(type(data_type))
-    if isinstance(data_type, sqltypes.TEMPORAL):
-        literal = "string"
-    if isinstance(data_type, sqltypes.NUMERIC) and literal is None:
-        whole = all(isinstance(m, int) for m in check.members)
-        literal = "bigint" if whole else "double"
-        given = [(m if whole else float(m),) for m in check.members]
-    if isinstance(data_type, sqltypes.TEXT):
-        literal = "string"
-    frame = local_frame(df.sparkSession, given, f"value {literal or 'boolean'}")
-    fractional = literal == "double" and isinstance(data_type, T.IntegralType)
-    typed = frame.filter(F.col("value") == F.floor("value")) if fractional else frame
-    return typed.select(F.col("value").cast(data_type)).distinct().withColumn(flag, F.lit(True))
+    if isinstance(data_type, T.FloatType | T.DoubleType):
+        literal, given = "double", [(float(m),) for m in check.members]
+    elif isinstance(data_type, T.IntegralType):
+        literal, given = "bigint", [(int(m),) for m in check.members]
+    elif isinstance(data_type, T.BooleanType):
+        literal, given = "boolean", [(m,) for m in check.members]
+    else:
+        shown = [repr(m) if isinstance(m, float) else str(m) for m in check.members]
+        literal, given = "string", [(m,) for m in shown]
+    frame = local_frame(df.sparkSession, given, f"value {literal}")
+    return frame.select(F.col("value").cast(data_type)).distinct().withColumn(flag, F.lit(True))
 
 
 # --- verdicts and lines --------------------------------------------------------------
@@ -289,7 +294,10 @@ def violating_rows(df: DataFrame, check: Check) -> DataFrame:
     if check.kind == "row":
         violation = check.violation
         return df.filter(violation if check.counts_nulls else violation & quoted(check.column).isNotNull())
-    return skew.keep_rows_of(df, group_key(df, check.column), _violating_values(df, check))
+    values = _violating_values(df, check).select(F.col("value").alias("__key"))
+    keyed = df.withColumn("__key", group_key(df, check.column))
+    # a value with a large share of the rows is split at run time, on the side of the rows
+    return keyed.join(values, "__key", "left_semi").drop("__key")
 
 
 def _violating_values(df: DataFrame, check: Check, id_cols: Sequence[str] = ()) -> DataFrame:
@@ -319,15 +327,15 @@ def violations(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
     return violating_rows(df, _one(df, spec))
 
 
-def violation_counts(df: DataFrame, spec: Mapping[str, Any], n: int = SAMPLE_ROWS) -> DataFrame:
-    """The ``n`` most frequent offending values, with the rows each one accounts for."""
+def violation_counts(df: DataFrame, spec: Mapping[str, Any], n: int | None = SAMPLE_ROWS) -> DataFrame:
+    """The ``n`` most frequent offending values (all without ``n``), with the rows each one accounts for."""
     check = _one(df, spec)
     if check.kind in ("unique", "members"):
         values = _violating_values(df, check).select("value", "n")
     else:
         values = grouped_values(violating_rows(df, check), check.column)
-    ranked = values.orderBy(F.desc("n"), F.col("value").cast("string")).limit(n)
-    return ranked.select("value", F.col("n").alias("rows"))
+    ranked = values.orderBy(F.desc("n"), F.col("value").cast("string"))
+    return (ranked if n is None else ranked.limit(n)).select("value", F.col("n").alias("rows"))
 
 
 def sample_violations(
@@ -375,9 +383,11 @@ def _first_rows(df: DataFrame, check: Check, id_cols: Sequence[str], n: int) ->
     else:
         values = _violating_values(df, check, id_cols)
         first = values.orderBy("first_id" if id_cols else "value").limit(n).select(
-            F.col("value").alias("__key")
+            F.xxhash64("value").alias("__key")
         )
-        keyed = df.select(*wanted, group_key(df, check.column).alias("__key"))
+        # n hashes, however long the values are
+        keyed = df.select(*wanted, F.xxhash64(group_key(df, check.column)).alias("__key"))
+        keyed = keyed.filter(quoted(check.column).isNotNull())
         rows = keyed.join(F.broadcast(first), "__key", "left_semi").drop("__key")
     return (rows.orderBy(*order) if order else rows).limit(n)
 
@@ -391,8 +401,8 @@ def run_with_evidence(
 ) -> DataFrame:
     """``run_suite`` with up to ``n`` offending values and identified rows per rule.
 
-    The counts come first (one row per rule reaches the driver); only rules that found a
-    violating row are read again, each for its key and checked column alone.
+    The counts come first (one row per rule reaches the driver); the rules that found a violating
+    row are then looked up together, for their keys and checked columns alone.
     """
     if not specs:
         raise ValueError("a suite with no rules checks nothing")
@@ -407,22 +417,17 @@ def run_with_evidence(
 def with_evidence(
     results: DataFrame, df: DataFrame, checks: Sequence[Check], id_cols: Sequence[str], n: int
 ) -> DataFrame:
-    parts = [
-        _first_rows(df, check, id_cols, n).select(
-            F.lit(check.position).alias("position"),
-            F.monotonically_increasing_id().alias("key"),
-            _printable(df, check.column).alias("value"),
-            _evidence_text(df, check, id_cols).alias("line"),
-            F.to_json(F.struct(*[quoted(c) for c in dict.fromkeys([*id_cols, check.column])])).alias("row"),
-        )
-        for check in checks
-    ]
-    if not parts:
-        empty = F.array().cast("array<string>")
+    """Results with the first ``n`` violating rows of each check, all found in one scan of the table.
+
+    A row goes on with the positions of the rules it violates. Each task sends at most ``n`` rows per
+    rule, the first by key. Grouped checks choose their first values beforehand, one more read for
+    each of their columns, and take part in the same scan with those.
+    """
+    empty = F.array().cast("array<string>")
+    if not checks:
         return results.withColumns({"samples": empty, "evidence": empty, "identified": empty})
-    # At most n rows per rule, so the lists below are short.
     listed = (
-        reduce(DataFrame.unionByName, parts)
+        _violating_first(df, checks, id_cols, n)
         .groupBy("position")
         .agg(F.array_sort(F.collect_list(F.struct("key", "line", "value", "row"))).alias("rows"))
         .select(
@@ -433,10 +438,44 @@ def with_evidence(
         )
     )
     joined = results.join(listed, "position", "left")
-    empty = F.array().cast("array<string>")
     return joined.withColumns({c: F.coalesce(c, empty) for c in ("samples", "evidence", "identified")})
 
 
+def _violating_first(df: DataFrame, checks: Sequence[Check], id_cols: Sequence[str], n: int) -> DataFrame:
+    """``position, key, value, line, row``: at most ``n`` rows per check, numbered by key."""
+    wanted = list(dict.fromkeys([*id_cols, *[c.column for c in checks]]))
+    rows, broken = df, []
+    for check in checks:
+        if check.kind == "row":
+            present = F.lit(True) if check.counts_nulls else quoted(check.column).isNotNull()
+            hit = F.coalesce(check.violation & present, F.lit(False))
+        else:
+            values = _violating_values(df, check, id_cols)
+            first = values.orderBy("first_id" if id_cols else "value").limit(n)
+            key, flag = f"__key_{check.position}", f"__hit_{check.position}"
+            # n hashes, however long the values are
+            chosen = first.select(F.xxhash64("value").alias(key), F.lit(True).alias(flag))
+            hashed = F.when(quoted(check.column).isNotNull(), F.xxhash64(group_key(df, check.column)))
+            rows = rows.withColumn(key, hashed).join(F.broadcast(chosen), key, "left")
+            hit = F.col(flag).isNotNull()
+        broken.append(F.when(hit, F.lit(check.position)))
+    hits = rows.select(*[quoted(c) for c in wanted], F.explode(F.array_compact(F.array(*broken))).alias("__position"))
+    order = [quoted(c) for c in id_cols] or [F.monotonically_increasing_id()]
+    first = F.row_number().over(Window.partitionBy("__position").orderBy(*order))
+    hits = hits.withColumn("__key", first).filter(F.col("__key") <= n)
+
+    def by_check(shown) -> Column:
+        return F.coalesce(*[F.when(F.col("__position") == c.position, shown(c)) for c in checks])
+
+    return hits.select(
+        F.col("__position").alias("position"),
+        F.col("__key").alias("key"),
+        by_check(lambda c: _printable(df, c.column)).alias("value"),
+        by_check(lambda c: _evidence_text(df, c, id_cols)).alias("line"),
+        by_check(lambda c: F.to_json(F.struct(*[quoted(x) for x in dict.fromkeys([*id_cols, c.column])]))).alias("row"),
+    )
+
+
 def run_isolated(
     df: DataFrame, specs: Sequence[Mapping[str, Any]], scan: Scan | None = None
 ) -> DataFrame:
@@ -473,13 +512,17 @@ def errored_result(
     df: DataFrame, check: Check, exc: Exception, scanned: int | None, scan: Scan | None = None
 ) -> Row:
     """The result of a rule whose job raised: nothing was counted, and the reason is its detail."""
-    reason = f"{type(exc).__name__}: {str(exc).splitlines()[0][:500]}"
+    reason = f"{type(exc).__name__}: {exc}" if str(exc) else type(exc).__name__
     failed = replace(check, kind="errored", violation=None, detail=reason)
     counted = local_frame(df.sparkSession, [(scanned,)], "rows bigint")
     return rendered(_rows_of(counted, [_scanned_row(failed, {})]), [failed], scan).first()
 
 
 def specs_of(spark: SparkSession, executable: DataFrame) -> list[dict[str, Any]]:
-    """One table's accepted specs for ``run_suite``, which compiles each on the driver."""
-    rows = executable.select("rule_id", "spec").orderBy("rule_id").collect()
-    return [json.loads(row.spec) for row in rows]
+    """One table's accepted specs for ``run_suite``, each once, in the order of their first rule.
+
+    The driver compiles a suite, so it sees as many specs as the table has different rules.
+    """
+    keyed = executable if "spec_key" in executable.columns else with_spec_key(executable)
+    once = keyed.groupBy("spec_key").agg(F.min("rule_id").alias("rule_id"), F.min_by("spec", "rule_id").alias("spec"))
+    return [json.loads(row.spec) for row in once.orderBy("rule_id").collect()]

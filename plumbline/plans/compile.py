@@ -8,10 +8,11 @@ the reason, so that it never reaches the query the other rules share.
 from __future__ import annotations
 
 import json
+import struct
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from datetime import date, datetime
-from decimal import Decimal
+from decimal import Decimal, localcontext
 from typing import Any
 
 from pyspark.sql import Column
@@ -23,7 +24,7 @@ from plumbline.functions.spec import PROVENANCE
 from plumbline.plans.catalog import BY_NAME
 
 # Up to this many members a value set is part of the scan's own expression; a longer one is
-# joined to the column's grouped values.
+# joined to the column's grouped values. Both compare the same members in the column's own type.
 INLINE_SET = 1000
 
 
@@ -181,15 +182,38 @@ def _membership(
     if not isinstance(given, list | tuple | set | frozenset):
         raise CannotRun("value_set is not a list")
     # x IN (..., NULL) is never false, so a null member would hide every violation.
-    members = tuple(dict.fromkeys(_typed(data_type, v) for v in given if v is not None))
-    if not members:
+    typed = dict.fromkeys(_typed(data_type, v) for v in given if v is not None)
+    if not typed:
         raise CannotRun("value_set is empty")
+    members = tuple(m for m in typed if _representable(data_type, m))
     if len(members) > INLINE_SET:
         return {"kind": "members", "members": members, "negated": negated}
-    found = c.isin([_in_type(data_type, v) for v in members])
+    found = c.isin([_in_type(data_type, v) for v in members]) if members else F.lit(False)
     return {"kind": "row", "violation": found if negated else ~found}
 
 
+# The bits of Spark's whole number types.
+_BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
+
+
+def _representable(data_type: T.DataType, member: Any) -> bool:
+    """Whether a column of this type can hold the member exactly; no row equals one it cannot hold."""
+    if type(data_type) in _BITS:
+        most = 1 << (_BITS[type(data_type)] - 1)
+        return member == int(member) and -most <= member < most
+    if isinstance(data_type, T.DecimalType):
+        exact = Decimal(repr(member)) if isinstance(member, float) else Decimal(member)
+        with localcontext(prec=400):
+            scaled = exact.scaleb(data_type.scale)
+            return scaled == scaled.to_integral_value() and abs(scaled) < 10**data_type.precision
+    if isinstance(data_type, T.FloatType):
+        try:
+            return struct.unpack("f", struct.pack("f", member))[0] == member
+        except OverflowError:
+            return False
+    return True
+
+
 def _outside(value: Column, low: Column | None, high: Column | None) -> Column:
     below = F.lit(False) if low is None else value < low
     above = F.lit(False) if high is None else value > high

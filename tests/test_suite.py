@@ -8,22 +8,19 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import suite
 from plumbline.plans.catalog import RULE_TYPES
-from plumbline.sources.tables import scanned
+from plumbline.sources.tables import Scan
 from tests.conftest import spec
 
 
 @pytest.fixture(scope="module")
 def probe(spark):
-    """100 rows: the first 25 totals negative, emails 26 to 32 missing, four clean states."""
+    """60 parcels: every fifth weighs nothing or less, 12 to 15 have no label, three sizes."""
     n = F.col("id")
-    return (
-        spark.range(1, 101)
-        .select(
-            n.cast("int").alias("order_id"),
-            F.when(n <= 25, -(n * 3.5)).otherwise(n * 10).cast("decimal(10,2)").alias("order_total"),
-            F.element_at(F.array(*map(F.lit, ("paid", "shipped", "pending", "returned"))), (n % 4 + 1).cast("int")).alias("status"),
-            F.when(~n.between(26, 32), F.concat(F.lit("u"), n, F.lit("@example.com"))).alias("email"),
-        )
+    return spark.range(60).select(
+        n.cast("int").alias("parcel"),
+        F.when(n % 5 == 0, -n / 4).otherwise(n + 0.25).cast("decimal(8,2)").alias("weight"),
+        F.element_at(F.array(*map(F.lit, ("small", "large", "odd"))), (n % 3 + 1).cast("int")).alias("size"),
+        F.when(~n.between(12, 15), F.concat(F.lit("to:"), n)).alias("label"),
     )
 
 
@@ -33,42 +30,42 @@ def by_position(results):
 
 def test_probe_counts_and_tolerance(probe):
     rules = [
-        spec("column_values_to_be_between", column="order_total", min_value=0),
-        spec("column_values_to_not_be_null", column="email"),
-        spec("column_values_to_be_in_set", column="status", value_set=["paid", "shipped", "pending", "returned"]),
-        spec("column_values_to_be_between", column="order_total", min_value=0, mostly=0.5),
+        spec("column_values_to_not_be_null", column="label"),
+        spec("column_values_to_be_between", column="weight", min_value=0.01),
+        spec("column_values_to_be_between", column="weight", min_value=0.01, mostly=0.8),
+        spec("column_values_to_be_in_set", column="size", value_set=["odd", "large", "small"]),
     ]
     got = by_position(suite.run_suite(probe, rules))
-    assert [got[i].unexpected_count for i in range(4)] == [25, 7, 0, 25]
+    assert [got[i].unexpected_count for i in range(4)] == [4, 12, 12, 0]
     assert [got[i].verdict for i in range(4)] == ["failed", "failed", "passed", "passed"]
-    assert got[0].magnitude == "25 violating rows · of 100 rows scanned · 25.00%"
-    assert got[3].statement == "Every order_total is at least 0, in at least 50% of rows"
+    assert got[1].magnitude == "12 violating rows · of 60 rows scanned · 20.00%"
+    assert got[2].statement == "Every weight is at least 0.01, in at least 80% of rows"
 
 
 def test_nulls_are_skipped_except_by_the_null_rules(probe):
     rules = [
-        spec("column_values_to_match_regex", column="email", regex="@"),
-        spec("column_values_to_not_be_null", column="email", mostly=0.93),
+        spec("column_values_to_match_regex", column="label", regex="^to:"),
+        spec("column_values_to_not_be_null", column="label", mostly=0.9),
     ]
     got = by_position(suite.run_suite(probe, rules))
-    assert (got[0].unexpected_count, got[0].missing_count, got[0].missing_percent) == (0, 7, 7.0)
-    assert (got[1].verdict, got[1].missing_count, got[1].unexpected_percent) == ("passed", None, 7.0)
+    assert (got[0].unexpected_count, got[0].missing_count, round(got[0].missing_percent, 4)) == (0, 4, 6.6667)
+    assert (got[1].verdict, got[1].missing_count, round(got[1].unexpected_percent, 4)) == ("passed", None, 6.6667)
 
 
 def test_shapes_without_a_count_report_what_they_observed(probe):
     rules = [
-        spec("column_mean_to_be_between", column="order_total", max_value=400),
-        spec("column_unique_value_count_to_be_between", column="status", min_value=5),
-        spec("table_row_count_to_be_between", min_value=100, max_value=100),
-        spec("column_to_exist", column="nowhere"),
-        spec("column_values_to_be_of_type", column="order_total", type_="numeric"),
-        spec("column_values_to_be_in_type_list", column="order_id", type_list=["BIGINT", "TEXT"]),
+        spec("column_mean_to_be_between", column="parcel", max_value=29),
+        spec("column_unique_value_count_to_be_between", column="size", min_value=4),
+        spec("table_row_count_to_be_between", min_value=60, max_value=60),
+        spec("column_to_exist", column="sender"),
+        spec("column_values_to_be_of_type", column="weight", type_="decimal"),
+        spec("column_values_to_be_in_type_list", column="parcel", type_list=["SMALLINT", "DATE"]),
     ]
     got = by_position(suite.run_suite(probe, rules))
     assert [got[i].unexpected_count for i in range(6)] == [None] * 6
     assert [got[i].verdict for i in range(6)] == ["failed", "failed", "passed", "failed", "passed", "failed"]
-    assert got[0].observed_number == pytest.approx(461.125)
-    assert [got[i].observed for i in (1, 2, 3, 4, 5)] == ["4", "100", None, "NUMERIC", "INTEGER"]
+    assert got[0].observed_number == pytest.approx(29.5)
+    assert [got[i].observed for i in (1, 2, 3, 4, 5)] == ["3", "60", None, "NUMERIC", "INTEGER"]
     assert got[0].magnitude is None
 
 
@@ -93,17 +90,6 @@ def test_a_value_with_a_third_of_all_rows(spark):
     assert rows.count() == expected and rows.filter("v = -1").count() == 10_000
 
 
-def test_hot_and_cold_keys_are_both_kept(spark):
-    """With one hot key allowed, all other shared keys go the way of the shuffle."""
-    from plumbline.operators.skew import keep_rows_of
-
-    df = spark.range(1000).select((F.col("id") % 70).alias("v"), "id")
-    keys = df.groupBy(F.col("v").alias("value")).agg(F.count(F.lit(1)).alias("n")).filter("n > 14")
-    kept = keep_rows_of(df, F.col("v"), keys, hot=1)
-    assert kept.count() == df.join(keys.select(F.col("value").alias("v")), "v", "left_semi").count()
-    assert kept.columns == ["v", "id"]
-
-
 def test_nulls_in_a_value_set_do_not_hide_violations(frame):
     df = frame([("a",), ("b",), (None,)], "s string")
     rules = [
@@ -134,6 +120,40 @@ def test_long_value_sets_count_like_short_ones(frame, kind, values, members, ins
     assert suite.violations(df, barred).count() == inside
 
 
+# Members a column can hold, and members it cannot: too fine, too large, or another float.
+EXACT = [
+    ("tinyint", list(range(-100, 100)), [-100, 3, 99], [128, -129, 1000, 2.5]),
+    ("smallint", list(range(200)), [0, 7], [40_000, -40_000, 0.5]),
+    ("int", list(range(200)), [5, 6.0], [2**31, 1e300, 7.5]),
+    ("bigint", list(range(200)), [5, 2**62], [2**63, 1e30, 3.25]),
+    ("decimal(10,2)", [Decimal(i) / 4 for i in range(200)], [0.25, 10, 7.5], [1.005, 0.333, 1e12]),
+    ("float", [i / 8 for i in range(200)], [0.125, 3], [0.1, 16_777_217.5, 1e300]),
+    ("double", [i / 10 for i in range(200)], [0.1, 3, 1.7], [0.30000000000000004, -1]),
+    ("boolean", [True, False] * 100, [True], []),
+    ("string", [f"k{i}" for i in range(200)], ["k3", "k7"], ["K3", ""]),
+    ("date", [dt.date(2024, 1, 1) + dt.timedelta(i) for i in range(200)], ["2024-02-01"], ["1999-01-01"]),
+]
+
+
+@pytest.mark.parametrize("kind, values, held, foreign", EXACT, ids=[e[0] for e in EXACT])
+def test_the_length_of_a_value_set_changes_no_verdict(frame, monkeypatch, kind, values, held, foreign):
+    """The same members inside the scan's expression and as a joined table, in the column's own type."""
+    df = frame([(v,) for v in [*values, None]], f"v {kind}")
+    rules = [
+        spec("column_values_to_be_in_set", column="v", value_set=[*held, *foreign]),
+        spec("column_values_to_not_be_in_set", column="v", value_set=[*held, *foreign]),
+        *([spec("column_values_to_be_in_set", column="v", value_set=foreign)] if foreign else []),
+    ]
+    short = by_position(suite.run_suite(df, rules))
+    monkeypatch.setattr("plumbline.plans.compile.INLINE_SET", 0)
+    long = by_position(suite.run_suite(df, rules))
+    as_told = lambda r: (r.verdict, r.unexpected_count, r.missing_count, r.magnitude)
+    assert {i: as_told(r) for i, r in short.items()} == {i: as_told(r) for i, r in long.items()}
+    shown = {dt.date.isoformat(v) if isinstance(v, dt.date) else v for v in values}
+    inside = sum(m in shown for m in held) * (100 if kind == "boolean" else 1)
+    assert (short[0].unexpected_count, short[1].unexpected_count) == (200 - inside, inside)
+
+
 def test_bounds_on_dates_and_timestamps(frame):
     rows = [(dt.date(2024, 1, d), dt.datetime(2024, 1, d, 12)) for d in (1, 15, 31)]
     df = frame(rows, "d date, t timestamp_ntz")
@@ -180,18 +200,18 @@ def test_an_empty_table_passes_what_it_checks_and_has_no_mean(frame):
 
 
 BROKEN = [
-    (spec("column_values_to_be_between", column="nope", min_value=0), "nope"),
-    (spec("column_values_to_match_regex", column="s", regex="[unclosed"), "[unclosed"),
-    (spec("column_values_to_match_regex", column="n", regex="x"), "text"),
-    (spec("column_value_lengths_to_be_between", column="n", min_value=1), "text"),
-    (spec("column_mean_to_be_between", column="s", min_value=1), "numbers"),
-    (spec("column_values_to_be_between", column="n", min_value="a"), "'a'"),
-    (spec("column_values_to_be_in_set", column="n", value_set=["a"]), "'a'"),
-    (spec("column_values_to_be_in_set", column="s", value_set=[]), "empty"),
-    (spec("column_values_to_be_of_type", column="s", type_="NOPE"), "NOPE"),
-    (spec("column_values_to_be_vibey", column="s"), "vibey"),
-    (spec("table_row_count_to_be_between"), "min_value"),
-    (spec("column_values_to_not_be_null", column="s", mostly=2), "mostly"),
+    (spec("column_values_to_be_unique", column="gone"), "gone"),
+    (spec("column_value_lengths_to_be_between", column="n", max_value=3), "text"),
+    (spec("column_values_to_not_match_regex", column="n", regex="7"), "text"),
+    (spec("column_values_to_match_regex", column="s", regex="(a|"), "(a|"),
+    (spec("column_values_to_be_between", column="n", max_value="ten"), "'ten'"),
+    (spec("column_mean_to_be_between", column="s", max_value=0), "numbers"),
+    (spec("column_values_to_not_be_in_set", column="n", value_set=[1, "one"]), "'one'"),
+    (spec("column_values_to_not_be_in_set", column="n", value_set=[None]), "empty"),
+    (spec("column_values_to_be_in_type_list", column="s", type_list=["TEXT", "WORDS"]), "WORDS"),
+    (spec("column_kurtosis_to_be_between", column="n"), "kurtosis"),
+    (spec("column_unique_value_count_to_be_between", column="n"), "min_value"),
+    (spec("column_values_to_be_null", column="s", mostly=-1), "mostly"),
 ]
 
 
@@ -224,7 +244,7 @@ def test_a_suite_longer_than_one_scan(spark):
 
 def test_all_types_run(probe):
     given = {
-        "column": "order_id", "value_set": [1], "regex": "^u", "min_value": 1, "type_": "INTEGER", "type_list": ["TEXT"],
+        "column": "parcel", "value_set": [4], "regex": "^o", "min_value": 1, "type_": "INTEGER", "type_list": ["TEXT"],
     }
     rules = []
     for entry in RULE_TYPES:
@@ -232,7 +252,7 @@ def test_all_types_run(probe):
         if "at_least_one_bound" in entry.checks:
             kwargs["min_value"] = 1
         if entry.family == "regex/format":
-            kwargs["column"] = "status"
+            kwargs["column"] = "size"
         rules.append({"type": entry.name, "kwargs": kwargs})
     got = by_position(suite.run_suite(probe, rules))
     assert len(got) == 15 and not [r for r in got.values() if r.verdict == "errored"]
@@ -243,34 +263,51 @@ def test_no_rules_is_no_suite(probe):
         suite.run_suite(probe, [])
 
 
-def test_a_cap_shows_in_every_line(probe):
-    df, scan = scanned(probe, "orders", row_limit=40)
-    assert (scan.scanned_rows, scan.total_rows) == (40, 100)
-    row = suite.run_suite(df, [spec("column_values_to_be_null", column="order_id")], scan).first()
-    assert row.status == "FAILED · sampled 40 / 100"
-    assert row.magnitude == "40 violating rows · of 40 rows scanned · 100.00%"
+def test_a_part_that_was_read_shows_in_every_line(probe):
+    scan = Scan("parcels", 60, seen=24)
+    row = suite.run_suite(probe.filter("parcel < 24"), [spec("column_values_to_be_null", column="parcel")], scan).first()
+    assert row.status == "FAILED · sampled 24 / 60"
+    assert row.magnitude == "24 violating rows · of 24 rows scanned · 100.00%"
+
+
+def test_an_exception_without_a_message_is_a_reason_too(probe):
+    (check,) = suite.compiled(probe, [spec("column_values_to_be_null", column="label")])
+    for exc, reason in ((ValueError(), "ValueError"), (KeyError("a\n" + "b" * 900), "KeyError: " + repr("a\n" + "b" * 900))):
+        row = suite.errored_result(probe, check, exc, 60)
+        assert (row.verdict, row.detail) == ("errored", reason)
 
 
 def test_evidence_names_the_first_rows(probe):
     rules = [
-        spec("column_values_to_be_between", column="order_total", min_value=0),
-        spec("column_values_to_not_be_null", column="email"),
-        spec("column_values_to_be_unique", column="status"),
-        spec("column_to_exist", column="status"),
+        spec("column_values_to_be_between", column="weight", min_value=0.5),
+        spec("column_values_to_not_be_null", column="label"),
+        spec("column_values_to_be_unique", column="size"),
+        spec("column_to_exist", column="size"),
     ]
-    got = by_position(suite.run_with_evidence(probe, rules, ["order_id"]))
-    assert got[0].evidence[:2] == ["#1 -3.50", "#2 -7.00"] and len(got[0].evidence) == 20
-    assert got[1].evidence == [f"#{i} (empty)" for i in range(26, 33)]
-    assert got[2].evidence[:2] == ["#1 shipped", "#2 pending"] and len(got[2].samples) == 20
-    assert got[3].evidence == [] and got[0].identified[0] == '{"order_id":1,"order_total":-3.50}'
+    got = by_position(suite.run_with_evidence(probe, rules, ["parcel"]))
+    assert got[0].evidence[:3] == ["#0 0.00", "#5 -1.25", "#10 -2.50"] and len(got[0].evidence) == 12
+    assert got[1].evidence == [f"#{i} (empty)" for i in range(12, 16)]
+    assert got[2].evidence[:2] == ["#0 small", "#1 large"] and len(got[2].samples) == 20
+    assert got[3].evidence == [] and got[0].identified[1] == '{"parcel":5,"weight":-1.25}'
 
 
 def test_evidence_without_a_key_shows_bare_values(probe):
-    rule = spec("column_values_to_be_between", column="order_total", min_value=0, max_value=300)
-    row = suite.run_with_evidence(probe, [rule]).first()
+    row = suite.run_with_evidence(probe, [spec("column_values_to_be_between", column="weight", max_value=10)]).first()
     assert len(row.evidence) == 20 and all(line == value for line, value in zip(row.evidence, row.samples))
 
 
+def test_the_evidence_of_all_row_rules_is_one_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(500).select("id", (F.col("id") % 50).alias("v")).write.parquet(path)
+    df = spark.read.parquet(path)
+    checks = suite.compiled(df, [spec("column_values_to_be_between", column="v", min_value=i) for i in range(1, 31)])
+    counted = suite.results_of(df, checks)
+    found = suite._violating_first(df, checks, ["id"], 20)
+    assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    rows = by_position(suite.with_evidence(counted, df, checks, ["id"], 20))
+    assert rows[2].evidence == [f"#{i * 50 + j} {j}" for i in range(10) for j in range(3)][:20]
+
+
 def test_evidence_of_a_composite_key(frame):
     rows = [(b, a, "x" if a < 3 else f"y{a}{b}") for a in range(4) for b in range(3)]
     df = frame(rows, "b int, a int, v string")
@@ -288,7 +325,7 @@ def test_evidence_of_shared_values_starts_with_the_first_rows_by_key(spark):
 
 def test_schema_rules_have_no_violating_rows(probe):
     with pytest.raises(ValueError):
-        suite.violations(probe, spec("column_to_exist", column="email"))
+        suite.violations(probe, spec("column_to_exist", column="label"))
 
 
 def test_only_needed_columns_are_read(spark, tmp_path):

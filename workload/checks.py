@@ -115,7 +115,7 @@ NOT_MATCH = spec("column_values_to_not_match_regex", column="p_name", regex="^bl
 LENGTHS = spec("column_value_lengths_to_be_between", column="text", min_value=20, max_value=5000)
 MEAN = spec("column_mean_to_be_between", column="o_totalprice", min_value=0, max_value=200000.0)
 DISTINCT = spec("column_unique_value_count_to_be_between", column="o_custkey", min_value=1, max_value=1000)
-ROW_COUNT = spec("table_row_count_to_be_between", min_value=1, max_value=10000000)
+ROW_COUNT = spec("table_row_count_to_be_between", min_value=100, max_value=5000000)
 OF_TYPE = spec("column_values_to_be_of_type", column="l_quantity", type_="DOUBLE_PRECISION")
 IN_TYPE_LIST = spec("column_values_to_be_in_type_list", column="l_shipdate", type_list=["DATE", "TEXT"])
 EXISTS = spec("column_to_exist", column="l_comment")
@@ -197,8 +197,8 @@ ORACLES = {
         "count(distinct o_custkey)", "cast(v as varchar)", "v between 1 and 1000",
     ),
     "check_row_count": observed_sql(
-        ROW_COUNT, "Row count is between 1 and 10000000", "orders",
-        "count(*)", "cast(v as varchar)", "v between 1 and 10000000",
+        ROW_COUNT, "Row count is between 100 and 5000000", "orders",
+        "count(*)", "cast(v as varchar)", "v between 100 and 5000000",
     ),
     "check_of_type": observed_sql(
         OF_TYPE, "Every l_quantity is stored as DOUBLE_PRECISION", "lineitem",
@@ -247,20 +247,20 @@ LINEITEM_SUITE: tuple[tuple[dict, str], ...] = (
     (spec("column_values_to_not_be_in_set", column="l_linenumber", value_set=[6, 7.0]),
      counted_sql(spec("column_values_to_not_be_in_set", column="l_linenumber"),
                  "No l_linenumber is one of 6, 7", "lineitem", count_if("l_linenumber in (6, 7)"))),
-    (spec("column_values_to_be_in_type_list", column="l_tax", type_list=["NUMERIC", "DECIMAL"]),
-     observed_sql(spec("column_values_to_be_in_type_list"), "Every l_tax is stored as one of NUMERIC, DECIMAL",
+    (spec("column_values_to_be_in_type_list", column="l_tax", type_list=["REAL", "SMALLINT"]),
+     observed_sql(spec("column_values_to_be_in_type_list"), "Every l_tax is stored as one of REAL, SMALLINT",
                   "lineitem", "any_value(typeof(l_tax))",
-                  "case v when 'DOUBLE' then 'DOUBLE_PRECISION' else v end", "v like 'DECIMAL%'")),
+                  "case v when 'DOUBLE' then 'DOUBLE_PRECISION' else v end", "v in ('FLOAT', 'SMALLINT')")),
     (spec("column_values_to_be_of_type", column="l_orderkey", type_="bigint"),
      observed_sql(spec("column_values_to_be_of_type"), "Every l_orderkey is stored as bigint", "lineitem",
                   "any_value(typeof(l_orderkey))", "v", "v = 'BIGINT'")),
-    (spec("column_mean_to_be_between", column="l_quantity", min_value=0, max_value=100000),
-     observed_sql(spec("column_mean_to_be_between"), "The average l_quantity is between 0 and 100000",
-                  "lineitem", "avg(l_quantity)", "format('{:,.2f}', v)", "v between 0 and 100000")),
-    (spec("column_unique_value_count_to_be_between", column="l_returnflag", min_value=1, max_value=20),
+    (spec("column_mean_to_be_between", column="l_quantity", min_value=12, max_value=40),
+     observed_sql(spec("column_mean_to_be_between"), "The average l_quantity is between 12 and 40",
+                  "lineitem", "avg(l_quantity)", "format('{:,.2f}', v)", "v between 12 and 40")),
+    (spec("column_unique_value_count_to_be_between", column="l_returnflag", min_value=2, max_value=9),
      observed_sql(spec("column_unique_value_count_to_be_between"),
-                  "l_returnflag holds between 1 and 20 distinct values", "lineitem",
-                  "count(distinct l_returnflag)", "cast(v as varchar)", "v between 1 and 20")),
+                  "l_returnflag holds between 2 and 9 distinct values", "lineitem",
+                  "count(distinct l_returnflag)", "cast(v as varchar)", "v between 2 and 9")),
     (spec("table_row_count_to_be_between", max_value=1000),
      observed_sql(spec("table_row_count_to_be_between"), "Row count is at most 1000", "lineitem",
                   "count(*)", "cast(v as varchar)", "v <= 1000")),
@@ -458,26 +458,79 @@ def lines_per_customer(spark, sf_dir):
     return counts.select("o_custkey", text.magnitude(F.col("bad"), F.col("rows") * 1000).alias("magnitude"))
 
 
-def capped_suite(spark, sf_dir):
-    """A suite over a capped read: the cap shows in every line it produces."""
-    from plumbline.sources.tables import scanned
-
-    rows, marker = scanned(table(spark, sf_dir, "orders"), "orders", row_limit=1000)
-    results = suite.run_suite(rows, [ROW_COUNT, spec("column_values_to_not_be_null", column="o_orderkey")], marker)
-    return results.select("type", "status", "scanned_rows", "total_rows", "magnitude")
-
-
-QUERIES |= {"magnitude": lines_per_customer, "capped_suite": capped_suite}
+QUERIES |= {"magnitude": lines_per_customer}
 ORACLES |= {
     "magnitude": f"""
         select o_custkey, {magnitude_sql("b", "r")} as magnitude
         from (select o_custkey, count(*) filter (where o_orderstatus <> 'O') as b,
                      count(*) * 1000 as r from orders group by 1) c""",
-    "capped_suite": """
-        select type, 'PASSED' || case when 1000 < n then format(' · sampled {:,} / {:,}', 1000, n) else '' end as status,
-               least(1000, n) as scanned_rows, n as total_rows,
-               case when type = 'expect_column_values_to_not_be_null'
-                    then format('0 violating rows · of {:,} rows scanned · 0.00%', least(1000, n)) end as magnitude
-        from (select count(*) as n from orders) c,
-             (values ('expect_table_row_count_to_be_between'), ('expect_column_values_to_not_be_null')) t(type)""",
+}
+
+# --- value sets on either side of the length that changes the plan ----------------------
+
+# Per column type: the column, members it can and cannot hold, and what is outside in SQL.
+SETS = {
+    "decimal": ("orders", "cast(o_totalprice as decimal(10,2))", [x for i in range(600) for x in (i * 250, i * 250 + 0.005)],
+                "not (v % 250 = 0 and v < {n} * 125)"),
+    "float": ("lineitem", "cast(l_discount as float)", [0, 0.05] + [i + 0.1 for i in range(1200)], "v <> 0"),
+    "smallint": ("part", "cast(p_size as smallint)", [x for i in range(600) for x in (2 * i, 100_000 + i)],
+                 "not (v % 2 = 0 and v < {n})"),
+}
+
+
+def long_sets(spark, sf_dir):
+    """The first members of a set and the whole long one, on columns that cannot hold all members."""
+    found = None
+    for kind, (name, column, members, _) in SETS.items():
+        rows = table(spark, sf_dir, name).selectExpr(f"{column} as v")
+        rules = [spec("column_values_to_be_in_set", column="v", value_set=members[:n]) for n in (40, 1200)]
+        counted = suite.run_suite(rows, rules).select(
+            F.lit(kind).alias("kind"), F.when(F.col("position") == 0, 40).otherwise(1200).alias("members"),
+            "verdict", "unexpected_count",
+        )
+        found = counted if found is None else found.unionByName(counted)
+    return found
+
+
+def long_sets_sql() -> str:
+    return " union all ".join(
+        f"""select '{kind}' as kind, {n} as members, case when count(*) = 0 then 'passed' else 'failed' end as verdict,
+            count(*) as unexpected_count from (select {column} as v from {name}) t where {outside.format(n=n)}"""
+        for kind, (name, column, _, outside) in SETS.items()
+        for n in (40, 1200)
+    )
+
+
+# --- evidence of many failing rules -------------------------------------------------------
+
+LINE_KEYS = ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"]
+THIRTY = [spec("column_values_to_be_between", column="l_extendedprice", min_value=3000 + 100 * i) for i in range(30)]
+
+
+def evidence_of_thirty(spark, sf_dir):
+    """Thirty failing rules over one column; their evidence is one scan."""
+    found = suite.run_with_evidence(table(spark, sf_dir, "lineitem"), THIRTY, LINE_KEYS)
+    return found.select("position", "unexpected_count", F.array_join("evidence", "|").alias("evidence"))
+
+
+def evidence_of_thirty_sql() -> str:
+    line = "'#' || l_orderkey || ' #' || l_linenumber || ' #' || l_partkey || ' #' || l_suppkey || ' ' || l_extendedprice"
+    return f"""
+        select cast(i as int) as position, count(*) as unexpected_count,
+               array_to_string((list({line} order by l_orderkey, l_linenumber, l_partkey, l_suppkey))[1:20], '|') as evidence
+        from lineitem, range(30) r(i) where l_extendedprice < 3000 + 100 * i group by i"""
+
+
+def violation_counts_all(spark, sf_dir):
+    """Every offending value with its rows, not the most frequent ones alone."""
+    rule = spec("column_values_to_be_unique", column="l_partkey")
+    counts = suite.violation_counts(table(spark, sf_dir, "lineitem"), rule, n=None)
+    return counts.select(F.col("value").alias("l_partkey"), "rows")
+
+
+QUERIES |= {"long_sets": long_sets, "evidence_of_thirty": evidence_of_thirty, "violation_counts_all": violation_counts_all}
+ORACLES |= {
+    "long_sets": long_sets_sql(),
+    "evidence_of_thirty": evidence_of_thirty_sql(),
+    "violation_counts_all": "select l_partkey, count(*) as rows from lineitem group by 1 having count(*) > 1",
 }
