@@ -6,7 +6,7 @@ finished_at``; ``results`` is an array, and only completed runs are ever recorde
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
@@ -30,19 +30,16 @@ def latest(records: DataFrame, table: str) -> DataFrame:
 
 def latest_per_table(records: DataFrame) -> DataFrame:
     """The newest record of every table that has one."""
-    newest = F.max_by(
-        F.struct(*[F.col(c) for c in records.columns if c != "table"]),
-        F.struct("finished_at", "record_id"),
-    )
-    picked = records.groupBy("table").agg(newest.alias("r"))
-    return picked.select(*[F.col(c) if c == "table" else F.col(f"r.{c}") for c in records.columns])
+    order = Window.partitionBy("table").orderBy(F.desc("finished_at"), F.desc("record_id"))
+    # each task passes on one row per table
+    return records.withColumn("__nth", F.row_number().over(order)).filter(F.col("__nth") <= 1).drop("__nth")
 
 
 def find(records: DataFrame, record_id: str) -> DataFrame:
     """One record by id; an id nothing was written under is an error."""
     found = records.filter(F.col("record_id") == record_id)
     if found.isEmpty():
-        raise LookupError(f"no run record {record_id} has ever been written here")
+        raise LookupError(f"there is no record of a run {record_id}")
     return found
 
 

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,33 +9,35 @@ from plumbline.functions import spec as S
 from plumbline.functions import text
 from plumbline.operators.lint import lint
 from plumbline.operators.profile import with_evidence_line
-from plumbline.operators.skew import spread_join
 
-# The reasons a request can be refused for, and the longest quoted explanation.
+# The reasons a request can be refused for.
 MULTI_COLUMN, UNCLEAR, INVALID = "multi_column", "unclear", "invalid"
-DETAIL_LIMIT = 300
 PROPOSED = "proposed"
 
-NO_RULES = "the reply carried no rules"
-NOT_A_RULE = "a proposal must be an object carrying a type"
+NO_RULES = "there are no rules in this reply"
+NOT_A_RULE = "a rule is an object with a type"
+PAST_LIMIT = "this rule comes after the number of rules asked for"
 
 
 def proposals(
-    replies: DataFrame, schema: DataFrame, profiled: DataFrame, limit: int
+    replies: DataFrame, schema: DataFrame, profiled: DataFrame, limit: int | None = None
 ) -> DataFrame:
-    """The first ``limit`` rules of each reply, or the reason the reply was refused.
+    """The rules of each reply, or the reason the reply was refused.
 
     ``replies`` has ``reply_id``, ``table`` and ``reply`` (JSON text). A reply without rules is
-    refused, and one bad rule among the first ``limit`` refuses its whole reply: such replies
-    come out as one row with ``refusal`` set. ``limit`` also bounds a reply's rows below.
+    refused, and one bad rule refuses its whole reply: such replies come out as one row with
+    ``refusal`` set. With ``limit``, the rules after the first so many are not judged; each comes
+    out as a row whose ``refusal`` says so.
     """
     found = F.try_variant_get(F.try_parse_json("reply"), "$.rules", "array<variant>")
     read = replies.select("reply_id", "table", found.alias("rules"))
     empty = read.filter(F.coalesce(F.size("rules"), F.lit(0)) <= 0)
-    rules = read.select(
-        "reply_id", "table", F.posexplode(F.slice("rules", 1, limit)).alias("position", "rule")
-    ).withColumn("spec", F.to_json("rule"))
-    typed = rules.withColumn("well_formed", S.rule_type("spec").isNotNull())
+    rules = read.select("reply_id", "table", F.posexplode("rules").alias("position", "rule")).withColumn(
+        "spec", F.to_json("rule")
+    )
+    asked = F.lit(True) if limit is None else F.col("position") < limit
+    past = rules.filter(~asked).select("reply_id", "table", "position", "spec", F.lit(PAST_LIMIT).alias("refusal"))
+    typed = rules.filter(asked).withColumn("well_formed", S.rule_type("spec").isNotNull())
     judged = lint(typed, schema, ["reply_id", "position"]).withColumn(
         "fault", F.when(~F.col("well_formed"), F.lit(NOT_A_RULE)).otherwise(F.col("reason"))
     )
@@ -53,14 +53,15 @@ def proposals(
     kept = text.with_sentence(
         checked.filter(F.col("batch_fault").isNull()).select("reply_id", "table", "position", "spec")
     ).withColumn("status", F.lit(PROPOSED))
-    dressed = with_evidence(kept, profiled, ["reply_id", "position"])
-    return dressed.unionByName(refused, allowMissingColumns=True).select(
+    dressed = with_evidence(kept, profiled)
+    others = refused.unionByName(past, allowMissingColumns=True)
+    return dressed.unionByName(others, allowMissingColumns=True).select(
         "reply_id", "table", "position", "type", "column", "spec", "statement", "evidence",
         "status", "refusal",
     )
 
 
-def with_evidence(rules: DataFrame, profiled: DataFrame, key: Sequence[str]) -> DataFrame:
+def with_evidence(rules: DataFrame, profiled: DataFrame) -> DataFrame:
     """Rules (``table``, ``column``) with the profile's line on their column.
 
     A rule on no column, or on one the profile lacks, gets its table's row count alone.
@@ -69,8 +70,8 @@ def with_evidence(rules: DataFrame, profiled: DataFrame, key: Sequence[str]) ->
     sizes = profiled.groupBy("table").agg(
         F.concat(text.digits(F.max("total_rows")), F.lit(" rows scanned")).alias("__size")
     )
-    joined = spread_join(rules, lines, ["table", "column"], "left", key)
-    joined = spread_join(joined, sizes, ["table"], "left", key)
+    # a table with a large share of the rules is split at run time, on their side
+    joined = rules.join(lines, ["table", "column"], "left").join(sizes, ["table"], "left")
     return joined.withColumn("evidence", F.coalesce("__line", "__size")).drop("__line", "__size")
 
 
@@ -113,7 +114,7 @@ def classify(replies: DataFrame, schema: DataFrame) -> DataFrame:
         .when(F.col("__code") == MULTI_COLUMN, F.lit(text.MULTI_COLUMN_LIMIT))
         .otherwise(F.lit(text.UNCLEAR_REQUEST))
     )
-    said = F.when(~F.col("__usable") & (F.length("__said") > 0), F.substring("__said", 1, DETAIL_LIMIT))
+    said = F.when(~F.col("__usable") & (F.length("__said") > 0), F.col("__said"))
     told = text.with_sentence(judged.withColumnRenamed("reason", "fault"))
     return told.select(
         "reply_id",

@@ -14,10 +14,9 @@ from pyspark.sql import functions as F
 from plumbline.functions import regex
 from plumbline.functions import spec as S
 from plumbline.functions.sqltypes import SQL_TYPES
-from plumbline.operators.skew import spread_join
 from plumbline.plans.catalog import RULE_TYPES, RuleType
 
-NOT_IN_CATALOG = "is not one of the check types this product offers"
+NOT_IN_CATALOG = "is no rule type of the catalog"
 
 
 def _shown(value: Column) -> Column:
@@ -171,7 +170,7 @@ def lint(candidates: DataFrame, schema: DataFrame | None, key: Sequence[str]) ->
     parsed = parsed.withColumn(
         "__column", F.when(F.schema_of_variant(named) == "STRING", S.text(named))
     )
-    looked_up = _with_schema(parsed, schema, key)
+    looked_up = _with_schema(parsed, schema)
     arguments = (F.col("__type"), F.col("__kwargs"))
     faults = [fault(*arguments) for fault in FAULTS]
     faults.append(
@@ -189,15 +188,15 @@ def _no_kwargs() -> Column:
     )
 
 
-def _with_schema(parsed: DataFrame, schema: DataFrame | None, key: Sequence[str]) -> DataFrame:
+def _with_schema(parsed: DataFrame, schema: DataFrame | None) -> DataFrame:
     if schema is None:
         return parsed.withColumns({"__column_known": F.lit(False), "__table_known": F.lit(False)})
     columns = schema.select(
         "table", F.col("column").alias("__column"), F.lit(True).alias("__found")
     ).distinct()
     tables = schema.select("table", F.lit(True).alias("__listed")).distinct()
-    joined = spread_join(parsed, columns, ["table", "__column"], "left", key)
-    joined = spread_join(joined, tables, ["table"], "left", key)
+    # a table with a large share of the candidates is split at run time, on their side
+    joined = parsed.join(columns, ["table", "__column"], "left").join(tables, ["table"], "left")
     return joined.withColumns(
         {
             "__column_known": F.coalesce("__found", F.lit(False)),

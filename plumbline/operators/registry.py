@@ -8,20 +8,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import spec as S
 from plumbline.functions import text
 from plumbline.operators.intake import with_evidence
 from plumbline.operators.lint import lint
-from plumbline.operators.skew import spread_join
 from plumbline.plans.catalog import catalog
 
-# The four states of a rule and the size of one act of judgment.
+# The four states of a rule.
 PROPOSED, NEEDS_REVIEW, ACCEPTED, REJECTED = "proposed", "needs_review", "accepted", "rejected"
 STATES = (PROPOSED, NEEDS_REVIEW, ACCEPTED, REJECTED)
-BULK_CAP = 8
+
+UNKNOWN_RULE = "there is no rule with this id"
+NO_ORDER = "there is more than one of these for this rule, and no order was given"
 
 REVISION_SCHEMA = (
     "rule_id string, revision int, table string, spec string, status string, "
@@ -43,12 +44,10 @@ def revisions(
 
 def current(rules: DataFrame) -> DataFrame:
     """The newest revision of each rule."""
-    newest = F.max_by(
-        F.struct(*[F.col(c) for c in rules.columns if c != "rule_id"]),
-        F.struct(*[F.col(c) for c in ("revision", "written_at") if c in rules.columns]),
-    )
-    picked = rules.groupBy("rule_id").agg(newest.alias("r"))
-    return picked.select(*[F.col(c) if c == "rule_id" else F.col(f"r.{c}") for c in rules.columns])
+    last = [F.desc(c) for c in ("revision", "written_at", "spec", "status") if c in rules.columns]
+    nth = F.row_number().over(Window.partitionBy("rule_id").orderBy(*last))
+    # each task passes on one row per rule
+    return rules.withColumn("__nth", nth).filter(F.col("__nth") <= 1).drop("__nth")
 
 
 def accepted(rules: DataFrame) -> DataFrame:
@@ -66,8 +65,8 @@ def judgment_fault(status: Column, reason: Column) -> Column:
     blank = F.coalesce(F.length(text.stripped(reason)) == 0, F.lit(True))
     return F.when(
         ~F.coalesce(status.isin(*STATES), F.lit(False)),
-        F.concat(F.coalesce(status, F.lit("nothing")), F.lit(" is not a rule state")),
-    ).when((status == REJECTED) & blank, F.lit("a rejected rule must carry the reason it was rejected"))
+        F.concat(F.coalesce(status, F.lit("nothing")), F.lit(" is no state of a rule")),
+    ).when((status == REJECTED) & blank, F.lit("a rejection needs a reason"))
 
 
 def invalid_revisions(rules: DataFrame) -> DataFrame:
@@ -121,8 +120,12 @@ def propose(
     ``candidates`` has ``candidate_id``, ``table`` and ``spec``; ``batch`` and the candidate id
     make the rule id. ``refused`` returns the others.
     """
-    judged = lint(candidates, schema, ["candidate_id"]).filter("ok")
-    fresh = judged.withColumns(
+    judged = lint(candidates, schema, ["candidate_id"])
+    return _as_revisions(_fresh(judged, batch), at)
+
+
+def _fresh(judged: DataFrame, batch: str) -> DataFrame:
+    return judged.filter("ok").withColumns(
         {
             "rule_id": rule_id_of(F.lit(batch), F.col("candidate_id").cast("string")),
             "revision": F.lit(1),
@@ -130,7 +133,6 @@ def propose(
             "reason": F.lit(None).cast("string"),
         }
     )
-    return _as_revisions(fresh, at)
 
 
 def refused(candidates: DataFrame, schema: DataFrame) -> DataFrame:
@@ -138,42 +140,96 @@ def refused(candidates: DataFrame, schema: DataFrame) -> DataFrame:
     return lint(candidates, schema, ["candidate_id"]).filter("not ok")
 
 
-def amend(
-    rules: DataFrame, edits: DataFrame, schema: DataFrame, at: Column | None = None
+def _numbered(acts: DataFrame, order: Sequence[Column | str] | None) -> DataFrame:
+    """Acts on rules with ``__step``, their number among those on one rule.
+
+    Without an order, ``__step`` is null where a rule has more than one.
+    """
+    same = Window.partitionBy("rule_id")
+    if order is not None:
+        return acts.withColumn("__step", F.row_number().over(same.orderBy(*order)))
+    several = acts.groupBy("rule_id").agg(F.count(F.lit(1)).alias("__acts"))
+    counted = acts.join(several, "rule_id")
+    return counted.withColumn("__step", F.when(F.col("__acts") == 1, F.lit(1))).drop("__acts")
+
+
+def _judged_edits(
+    rules: DataFrame, edits: DataFrame, schema: DataFrame, order: Sequence[Column | str] | None
 ) -> DataFrame:
-    """The next revision of each edited rule (``rule_id, spec``), always held for review."""
+    """Every edit with the rule it is on, its number, and the ``fault`` against it, or null."""
     newest = current(rules).select("rule_id", "revision", "table")
-    edited = newest.join(edits.select("rule_id", "spec"), "rule_id")
-    judged = lint(edited, schema, ["rule_id"]).filter("ok")
-    return _as_revisions(_next(judged, F.lit(NEEDS_REVIEW), F.lit(None)), at)
+    joined = edits.join(newest, "rule_id", "left")
+    linted = lint(joined, schema, ["rule_id"])
+    fault = F.when(F.col("revision").isNull(), F.lit(UNKNOWN_RULE)).when(~F.col("ok"), F.col("reason"))
+    judged = linted.withColumn("__fault", fault).drop("ok", "reason")
+    sound = _numbered(judged.filter(F.col("__fault").isNull()), order)
+    sound = sound.withColumn("__fault", F.when(F.col("__step").isNull(), F.lit(NO_ORDER)))
+    return sound.unionByName(judged.filter(F.col("__fault").isNotNull()), allowMissingColumns=True)
+
 
+def amend(
+    rules: DataFrame,
+    edits: DataFrame,
+    schema: DataFrame,
+    at: Column | None = None,
+    order: Sequence[Column | str] | None = None,
+) -> DataFrame:
+    """The next revision of each edited rule (``rule_id, spec``), always held for review.
 
-def judge(rules: DataFrame, decisions: DataFrame, at: Column | None = None) -> DataFrame:
+    Several edits of one rule follow each other by ``order``. Edits that cannot be written are left
+    out; ``refused_edits`` returns them.
+    """
+    sound = _judged_edits(rules, edits, schema, order).filter(F.col("__fault").isNull())
+    return _as_revisions(_next(sound, F.lit(NEEDS_REVIEW), F.lit(None)), at)
+
+
+def refused_edits(
+    rules: DataFrame, edits: DataFrame, schema: DataFrame, order: Sequence[Column | str] | None = None
+) -> DataFrame:
+    """The edits ``amend`` leaves out, each with the ``fault``: together they are all edits."""
+    judged = _judged_edits(rules, edits, schema, order).filter(F.col("__fault").isNotNull())
+    return judged.select(*edits.columns, F.col("__fault").alias("fault"))
+
+
+def judge(
+    rules: DataFrame,
+    decisions: DataFrame,
+    at: Column | None = None,
+    order: Sequence[Column | str] | None = None,
+) -> DataFrame:
     """The next revision of each judged rule (``rule_id, status, reason``), its spec unchanged.
 
-    Decisions that could not be stored are left out; ``refused_judgments`` returns them.
+    Several decisions on one rule follow each other by ``order``. Decisions that could not be
+    stored are left out; ``refused_judgments`` returns them.
     """
     storable = decisions.filter(judgment_fault(F.col("status"), F.col("reason")).isNull())
+    numbered = _numbered(storable, order).filter(F.col("__step").isNotNull())
     newest = current(rules).select("rule_id", "revision", "table", "spec")
-    joined = newest.join(storable.select("rule_id", "status", "reason"), "rule_id")
+    joined = newest.join(numbered.select("rule_id", "status", "reason", "__step"), "rule_id")
     return _as_revisions(_next(joined, F.col("status"), F.col("reason")), at)
 
 
 def _next(df: DataFrame, status: Column, reason: Column) -> DataFrame:
     return df.withColumns(
-        {"revision": F.col("revision") + 1, "status": status, "reason": reason.cast("string")}
+        {"revision": F.col("revision") + F.col("__step"), "status": status, "reason": reason.cast("string")}
     )
 
 
-def refused_judgments(rules: DataFrame, decisions: DataFrame) -> DataFrame:
-    """Decisions on no known rule, or that break the rules of judging."""
+def refused_judgments(
+    rules: DataFrame, decisions: DataFrame, order: Sequence[Column | str] | None = None
+) -> DataFrame:
+    """Decisions on no known rule, that break the rules of judging, or that have no order."""
     known = rules.select("rule_id").distinct().withColumn("__known", F.lit(True))
+    marked = decisions.withColumn("__fault", judgment_fault(F.col("status"), F.col("reason")))
+    sound = _numbered(marked.filter(F.col("__fault").isNull()), order)
+    marked = sound.unionByName(marked.filter(F.col("__fault").isNotNull()), allowMissingColumns=True)
     fault = F.coalesce(
-        judgment_fault(F.col("status"), F.col("reason")),
-        F.when(F.col("__known").isNull(), F.lit("no rule has ever been written under this id")),
+        F.col("__fault"),
+        F.when(F.col("__known").isNull(), F.lit(UNKNOWN_RULE)),
+        F.when(F.col("__step").isNull(), F.lit(NO_ORDER)),
     )
-    joined = decisions.join(known, "rule_id", "left").withColumn("fault", fault)
-    return joined.filter(F.col("fault").isNotNull()).drop("__known")
+    joined = marked.join(known, "rule_id", "left").withColumn("fault", fault)
+    return joined.filter(F.col("fault").isNotNull()).select(*decisions.columns, "fault")
 
 
 def judge_batch(
@@ -184,33 +240,40 @@ def judge_batch(
     reason: str | None,
     schema: DataFrame,
     batch: str,
-    cap: int | None = BULK_CAP,
+    cap: int | None = None,
     at: Column | None = None,
 ) -> DataFrame:
     """One decision over unsaved candidates and stored rules together, as revisions to append.
 
     Candidates are proposed first and then judged, so both steps are in the history. Nothing
-    is returned for writing unless the whole selection can be judged.
+    is returned for writing unless the whole selection can be judged, which one job finds out:
+    a single row of counts and first faults. ``cap`` refuses a larger selection.
     """
-    spark = rules.sparkSession
-    selected = candidates.count() + rule_ids.count()
-    if not selected:
-        raise ValueError("a judgment with nothing selected")
-    if cap is not None and selected > cap:
-        raise ValueError(f"{selected} rules in one act, and the cap is {cap}")
-    probe = spark.range(1).select(judgment_fault(F.lit(status), F.lit(reason)).alias("fault")).first()
-    if probe.fault is not None:
-        raise ValueError(probe.fault)
-    rejected = refused(candidates, schema).select("reason").first()
-    if rejected is not None:
-        raise ValueError(rejected.reason)
-    fresh = propose(candidates, schema, batch, at)
-    ids = fresh.select("rule_id").unionByName(rule_ids.select("rule_id"))
-    decisions = ids.select("rule_id", F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
-    unknown = refused_judgments(rules.unionByName(fresh), decisions).first()
-    if unknown is not None:
-        raise LookupError(f"{unknown.rule_id}: {unknown.fault}")
-    return fresh.unionByName(judge(rules.unionByName(fresh), decisions, at))
+    judged = lint(candidates, schema, ["candidate_id"])
+    known = rules.select("rule_id").distinct().withColumn("__known", F.lit(True))
+    chosen = rule_ids.select("rule_id").distinct()
+    unknown = F.when(F.col("__known").isNull(), F.concat("rule_id", F.lit(f": {UNKNOWN_RULE}")))
+    nothing = F.lit(None).cast("string")
+    selection = judged.select(F.when(~F.col("ok"), F.col("reason")).alias("bad"), nothing.alias("unknown")).unionByName(
+        chosen.join(known, "rule_id", "left").select(nothing.alias("bad"), unknown.alias("unknown"))
+    )
+    act = judgment_fault(F.lit(status), F.lit(reason).cast("string"))
+    row = selection.agg(F.count(F.lit(1)).alias("n"), F.min("bad").alias("bad"), F.min("unknown").alias("unknown"), F.min(act).alias("act")).first()
+    if not row.n:
+        raise ValueError("nothing was selected to be judged")
+    if cap is not None and row.n > cap:
+        raise ValueError(f"{row.n} rules were selected, and {cap} may be judged at once")
+    if row.act is not None or row.bad is not None:
+        raise ValueError(row.act or row.bad)
+    if row.unknown is not None:
+        raise LookupError(row.unknown)
+    written = F.array(
+        F.struct(F.lit(1).alias("revision"), F.lit(PROPOSED).alias("status"), nothing.alias("reason")),
+        F.struct(F.lit(2).alias("revision"), F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason")),
+    )
+    fresh = _fresh(judged, batch).select("rule_id", "table", "spec", F.inline(written))
+    decisions = chosen.select("rule_id", F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
+    return _as_revisions(fresh, at).unionByName(judge(rules, decisions, at))
 
 
 # --- reading -------------------------------------------------------------------------
@@ -223,11 +286,11 @@ def rule_counts(tables: DataFrame, rules: DataFrame) -> DataFrame:
     return joined.withColumn("accepted_rules", F.coalesce("__n", F.lit(0)).cast("bigint")).drop("__n")
 
 
-def new_proposals(proposals: DataFrame, rules: DataFrame, key: Sequence[str]) -> DataFrame:
+def new_proposals(proposals: DataFrame, rules: DataFrame) -> DataFrame:
     """The proposals (``table, spec``) whose table does not already hold the same rule."""
     held = S.with_spec_key(current(rules)).select("table", "spec_key").distinct()
     keyed = S.with_spec_key(proposals)
-    return spread_join(keyed, held, ["table", "spec_key"], "left_anti", key)
+    return keyed.join(held, ["table", "spec_key"], "left_anti")
 
 
 def catalog_usage(rules: DataFrame, table: str | None = None) -> DataFrame:
@@ -252,7 +315,7 @@ def workbench(rules: DataFrame, profiled: DataFrame, table: str | None = None) -
     ``bulk`` marks what may be accepted in bulk, ``held`` what waits for one person.
     """
     newest = current(rules if table is None else rules.filter(F.col("table") == table))
-    dressed = with_evidence(described(newest), profiled, ["rule_id"])
+    dressed = with_evidence(described(newest), profiled)
     return (
         dressed.withColumns(
             {"bulk": F.col("status") == PROPOSED, "held": F.col("status") == NEEDS_REVIEW}

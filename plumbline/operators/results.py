@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import spec as S
@@ -27,9 +27,16 @@ def with_spec_key(df: DataFrame) -> DataFrame:
 
 
 def join_results(submitted: DataFrame, results: DataFrame) -> DataFrame:
-    """Each submitted rule with its result, paired by what the rule says and never by position."""
+    """Each submitted rule with its result, paired by what the rule says and never by position.
+
+    A rule that a run submitted twice has one result, the first that was reported for it.
+    """
     rules = with_spec_key(submitted).select("run_id", "spec_key", F.col("spec").alias("submitted_spec"))
-    return rules.join(with_spec_key(results), ["run_id", "spec_key"])
+    keyed = with_spec_key(results)
+    order = [c for c in ("position", "verdict") if c in keyed.columns]
+    nth = F.row_number().over(Window.partitionBy("run_id", "spec_key").orderBy(*order))
+    once = keyed.withColumn("__nth", nth).filter(F.col("__nth") <= 1).drop("__nth")
+    return rules.join(once, ["run_id", "spec_key"])
 
 
 def missing_results(submitted: DataFrame, results: DataFrame) -> DataFrame:
@@ -62,8 +69,8 @@ def rollup(results: DataFrame, by: Sequence[str] = ("run_id",)) -> DataFrame:
 def completed_runs(runs: DataFrame, submitted: DataFrame, results: DataFrame) -> DataFrame:
     """Every run with its status and coverage, or the reason it may not be recorded.
 
-    Refused are runs that submitted nothing, runs a submitted rule of which has not reported,
-    and runs all of whose rules errored. Submitted and reported rules are counted per run and
+    Refused are runs that submitted nothing, runs a submitted rule of which has not reported, runs
+    with more results than rules, and runs all of whose rules errored. Submitted and reported rules are counted per run and
     rule and then per run, so no run's rules are brought together to be compared.
     """
     asked = with_spec_key(submitted).select(
@@ -96,17 +103,21 @@ def completed_runs(runs: DataFrame, submitted: DataFrame, results: DataFrame) ->
         {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in counts}
     )
     refusal = (
-        F.when(F.col("submitted") == 0, F.lit("the run submitted no rules"))
+        F.when(F.col("submitted") == 0, F.lit("nothing was submitted in this run"))
         .when(
             F.col("reported") < F.col("submitted"),
             F.concat(
-                F.col("reported").cast("string"), F.lit(" of "),
-                F.col("submitted").cast("string"), F.lit(" submitted rules have reported"),
+                F.lit("results of "), F.col("reported").cast("string"), F.lit(" rules, and "),
+                F.col("submitted").cast("string"), F.lit(" were submitted"),
             ),
         )
+        .when(
+            F.col("results") > F.col("submitted"),
+            F.concat(F.col("results").cast("string"), F.lit(" results for "), F.col("submitted").cast("string"), F.lit(" rules")),
+        )
         .when(
             F.col("coverage") == 0,
-            F.concat(F.lit("every one of "), F.col("results").cast("string"), F.lit(" rules errored")),
+            F.concat(F.lit("no rule ran: all "), F.col("results").cast("string"), F.lit(" errored")),
         )
     )
     status = F.when(F.col("failed"), "failed").when(F.col("errored"), "errored").otherwise("passed")
@@ -127,14 +138,14 @@ def assemble_runs(
 ) -> DataFrame:
     """The records of the completed runs, their results nested in the order they were submitted.
 
-    Status and coverage come from the verdicts alone. A run's results are as many as the rules
-    of one table that a driver compiled into one suite, so the nested list is short.
+    Status and coverage come from the verdicts alone. A run with more results than submitted rules
+    has no record, so the nested list is as long as one suite.
     """
     complete = completed_runs(runs, submitted, results).filter(F.col("refusal").isNull())
     fields = [c for c in RESULT_FIELDS if c in results.columns or c == "spec_key"]
     keyed = with_spec_key(results)
     position = "position" if "position" in results.columns else "spec_key"
-    nested = keyed.groupBy("run_id").agg(
+    nested = keyed.join(complete.select("run_id"), "run_id", "left_semi").groupBy("run_id").agg(
         F.array_sort(F.collect_list(F.struct(F.col(position).alias("position"), *fields))).alias("results")
     )
     return complete.join(nested, "run_id").select(

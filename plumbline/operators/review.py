@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import spec as S
 from plumbline.functions import text
 from plumbline.operators.history import latest_per_table
 from plumbline.operators.intake import with_evidence
+from plumbline.operators.ranges import in_ranges
 from plumbline.operators.registry import ACCEPTED, NEEDS_REVIEW, current, described
-from plumbline.operators.skew import spread_join
-
-# Rule ids are hexadecimal; four digits cut a table's queue into up to 65,536 pieces.
-ID_PREFIX = 4
 
 
 def failing_results(records: DataFrame) -> DataFrame:
@@ -37,36 +34,34 @@ def review_queue(rules: DataFrame, records: DataFrame, table: str | None = None)
     newest = current(rules)
     held = newest.filter(F.col("status") == NEEDS_REVIEW)
     running = S.with_spec_key(newest.filter(F.col("status") == ACCEPTED))
-    failed = spread_join(
-        running, failing_results(records), ["table", "spec_key"], "inner", ["rule_id"]
-    ).drop("spec_key")
+    failed = running.join(failing_results(records), ["table", "spec_key"]).drop("spec_key")
     return failed.unionByName(held, allowMissingColumns=True)
 
 
-def with_position(queue: DataFrame, piece: Column | None = None) -> DataFrame:
+def with_position(queue: DataFrame) -> DataFrame:
     """Each item with ``position`` (by rule id) and ``total`` within its own table.
 
-    A table's queue is cut into pieces that follow the order of the ids; an item's position is
-    its rank in its piece after the sizes of the pieces before it. So a table with a third of
-    all items is ranked by many tasks, and only piece sizes are brought together.
+    The queue is computed once and kept in ranges of table and rule id, whatever the ids look
+    like. An item's position is its rank in its range after the table's items in the ranges
+    before. So a table with a third of all items is ranked by many tasks, and only the sizes of
+    ranges are brought together.
     """
-    cut = F.substring("rule_id", 1, ID_PREFIX) if piece is None else piece
-    pieced = queue.withColumn("__piece", cut)
-    sizes = pieced.groupBy("table", "__piece").agg(F.count(F.lit(1)).alias("__size"))
-    by_table = Window.partitionBy("table").orderBy("__piece")
-    whole = Window.partitionBy("table")
+    ranged = in_ranges(queue, [F.col("table").asc(), F.col("rule_id").asc()])
+    sizes = ranged.groupBy("table", "_part").agg(F.count(F.lit(1)).alias("__size"))
+    by_table = Window.partitionBy("table").orderBy("_part")
     offsets = sizes.withColumns(
         {
             "__before": F.sum("__size").over(by_table) - F.col("__size"),
-            "total": F.sum("__size").over(whole),
+            "total": F.sum("__size").over(Window.partitionBy("table")),
         }
     ).drop("__size")
-    within = Window.partitionBy("table", "__piece").orderBy("rule_id")
-    ranked = pieced.withColumn("__rank", F.row_number().over(within))
+    ranked = ranged.withColumn(
+        "__rank", F.row_number().over(Window.partitionBy("table", "_part").orderBy("rule_id"))
+    )
     return (
-        ranked.join(offsets, ["table", "__piece"])
+        ranked.join(offsets, ["table", "_part"])
         .withColumn("position", (F.col("__before") + F.col("__rank")).cast("bigint"))
-        .drop("__before", "__rank", "__piece")
+        .drop("__before", "__rank", "_part")
     )
 
 
@@ -81,7 +76,7 @@ def awaiting(
 ) -> DataFrame:
     """The queue as it is shown: sentence, evidence, failing verdict, place and time left."""
     queue = with_budget(with_position(review_queue(rules, records, table)))
-    dressed = with_evidence(described(queue), profiled, ["rule_id"])
+    dressed = with_evidence(described(queue), profiled)
     return dressed.select(
         "table", "rule_id", "revision", "column", "status", "state_label", "statement",
         "evidence", "failing", "magnitude", "position", "total", "budget", "reason",

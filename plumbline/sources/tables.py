@@ -17,28 +17,21 @@ SCRATCH_TABLES = "^lt[0-9]"
 
 @dataclass(frozen=True)
 class Scan:
-    """What a run saw of a table. A cap cannot be told from the data later, so it is carried."""
+    """What a run saw of a table: all of it, unless the caller read a part and says how many rows."""
 
     table: str
     total_rows: int
-    row_limit: int | None = None
+    seen: int | None = None
 
     @property
     def scanned_rows(self) -> int:
-        return self.total_rows if self.row_limit is None else min(self.row_limit, self.total_rows)
+        return self.total_rows if self.seen is None else self.seen
 
 
-def scan(
-    spark: SparkSession, path: str, table: str | None = None, row_limit: int | None = None
-) -> tuple[DataFrame, Scan]:
-    """A Parquet table and its scan marker. Whole by default; a cap is disclosed, never silent."""
+def scan(spark: SparkSession, path: str, table: str | None = None) -> tuple[DataFrame, Scan]:
+    """A whole Parquet table and its scan marker."""
     df = spark.read.parquet(path)
-    return scanned(df, table or path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet"), row_limit)
-
-
-def scanned(df: DataFrame, table: str, row_limit: int | None = None) -> tuple[DataFrame, Scan]:
-    marker = Scan(table, df.count(), row_limit)
-    return (df if row_limit is None else df.limit(row_limit)), marker
+    return df, Scan(table or path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet"), df.count())
 
 
 def read_jdbc(
@@ -48,10 +41,13 @@ def read_jdbc(
     def reader():
         return spark.read.format("jdbc").option("url", url).options(**options)
 
-    bounds = reader().option("query", f"select min({key}) lo, max({key}) hi from {table}").load().first()
+    def name(given: str) -> str:
+        return ".".join('"' + part.replace('"', '""') + '"' for part in given.split("."))
+
+    bounds = reader().option("query", f"select min({name(key)}) lo, max({name(key)}) hi from {name(table)}").load().first()
     return (
         reader()
-        .option("dbtable", table)
+        .option("dbtable", name(table))
         .option("partitionColumn", key)
         .option("lowerBound", str(bounds[0] or 0))
         .option("upperBound", str(bounds[1] or 0))

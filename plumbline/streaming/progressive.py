@@ -90,7 +90,7 @@ def _stored(
     if store is None:
         return None, None
     if not settled:
-        return None, "the run finished; the result was not saved. the run submitted no rules"
+        return None, "the run finished; the result was not saved. nothing was submitted in this run"
     identity = spark.range(1).select(F.uuid().alias("u")).first().u if run_id is None else run_id
     record = run_record(spark, identity, scan, settled)
     refused = record.filter(F.col("refusal").isNotNull()).first()

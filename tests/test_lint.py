@@ -10,44 +10,50 @@ from plumbline.operators import intake, lint, profile
 from plumbline.plans.catalog import RULE_TYPES
 from tests.conftest import spec
 
+# Two or three of each kind of fault, with a word that the reason names.
 REFUSED = [
-    (spec("column_values_to_be_between", column="x", min_value=100, max_value=1), "100"),
-    (spec("column_values_to_match_regex", column="e", regex="[unclosed"), "[unclosed"),
-    (spec("column_values_to_match_regex", column="e"), "regex"),
-    (spec("column_values_to_match_regex", column="e", regex=None), "regex"),
-    (spec("column_values_to_match_regex", column="e", regex=5), "5"),
-    (spec("column_values_to_be_in_type_list", column="e"), "type_list"),
-    (spec("table_row_count_to_be_between"), "min_value"),
-    (spec("column_mean_to_be_between", column="x"), "min_value"),
-    (spec("column_unique_value_count_to_be_between", column="x"), "min_value"),
-    (spec("column_values_to_be_in_set", column="s", value_set=[]), "value_set"),
-    (spec("column_values_to_be_in_set", column="s", value_set=None), "value_set"),
-    (spec("column_values_to_be_in_type_list", column="s", type_list=[]), "type_list"),
-    (spec("column_values_to_be_of_type", column="x", type_="NOT_A_TYPE"), "NOT_A_TYPE"),
-    (spec("column_values_to_be_of_type", column="x", type_=3), "3"),
-    (spec("column_values_to_be_unique", column="no_such_column"), "no_such_column"),
-    (spec("column_values_to_be_unique", column=5), "5"),
-    (spec("column_values_to_be_vibey", column="x"), "expect_column_values_to_be_vibey"),
-    (spec("column_values_to_be_between", column="x", min_valu=0), "min_valu"),
-    (spec("column_values_to_not_match_regex", column="e"), "regex"),
-    (spec("column_values_to_not_be_null", column="x", mostly=1.5), "mostly"),
-    (spec("column_values_to_not_be_null", column="x", mostly="0.5"), "mostly"),
-    (spec("column_values_to_not_be_null", column="x", mostly=None), "mostly"),
-    (spec("column_values_to_not_be_null", column="x", mostly=False), "mostly"),
-    (spec("column_pair_values_a_to_be_greater_than_b", column_A="a", column_B="b"), lint.NOT_IN_CATALOG),
-    (spec("column_pair_values_to_be_equal", column_A="a", column_B="b"), lint.NOT_IN_CATALOG),
-    (spec("compound_columns_to_be_unique", column_list=["a"]), lint.NOT_IN_CATALOG),
-    (spec("column_to_exist", column="custmer_id"), "custmer_id"),
+    # no such type
+    (spec("column_values_to_rhyme", column="s"), "expect_column_values_to_rhyme"),
+    (spec("row_sums_to_be_even", columns=["x", "s"]), lint.NOT_IN_CATALOG),
+    # a parameter too many or too few
+    (spec("column_values_to_be_null", column="x", nullable=True), "nullable"),
+    (spec("column_values_to_be_in_set", column="s", set=["a"], value_set=["a"]), "set"),
+    (spec("column_values_to_be_of_type", column="x"), "type_"),
+    (spec("column_values_to_not_match_regex", column="s", regex=None), "regex"),
+    (spec("column_values_to_not_be_in_set", column="s"), "value_set"),
+    # a tolerance that is none
+    (spec("column_values_to_be_unique", column="x", mostly=101), "mostly"),
+    (spec("column_values_to_be_unique", column="x", mostly=True), "mostly"),
+    (spec("column_values_to_be_unique", column="x", mostly="most"), "mostly"),
+    (spec("column_values_to_be_unique", column="x", mostly=None), "mostly"),
+    # bounds: none, or the wrong way round
+    (spec("column_value_lengths_to_be_between", column="s"), "min_value"),
+    (spec("column_values_to_be_between", column="x", min_value=None, max_value=None), "min_value"),
+    (spec("table_row_count_to_be_between", min_value=9, max_value=8), "8"),
+    (spec("column_mean_to_be_between", column="x", min_value=0.2, max_value=0.1), "0.2"),
+    # nothing in a set
+    (spec("column_values_to_not_be_in_set", column="s", value_set={}), "value_set"),
+    (spec("column_values_to_be_in_set", column="s", value_set=0), "value_set"),
+    (spec("column_values_to_be_in_type_list", column="s", type_list=""), "type_list"),
+    # patterns and type names
+    (spec("column_values_to_not_match_regex", column="s", regex="a{2,1}"), "a{2,1}"),
+    (spec("column_values_to_match_regex", column="s", regex=["a"]), "a"),
+    (spec("column_values_to_be_in_type_list", column="x", type_list=["TEXT", "STRINGS"]), "STRINGS"),
+    (spec("column_values_to_be_of_type", column="x", type_=[1]), "1"),
+    # columns
+    (spec("column_values_to_be_null", column="X"), "X"),
+    (spec("column_mean_to_be_between", column=True, min_value=1), "true"),
 ]
 ACCEPTED = [
-    spec("column_values_to_be_between", column="x", min_value=0),
-    spec("column_values_to_be_between", column="x", min_value="b", max_value=1),
-    spec("column_values_to_be_between", column="x", min_value=1, max_value=1),
-    spec("column_values_to_be_of_type", column="x", type_="double_precision"),
-    spec("column_values_to_match_regex", column="e", regex="^[[:alpha:]]+$"),
-    spec("column_values_to_not_be_null", column="x", mostly=0),
-    spec("table_row_count_to_be_between", max_value=10),
-    spec("column_to_exist", column="s"),
+    spec("column_values_to_not_be_in_set", column="s", value_set=["", None]),
+    spec("column_values_to_be_between", column="x", max_value="z"),
+    spec("column_values_to_be_between", column="x", min_value=-2, max_value=-2.0),
+    spec("column_value_lengths_to_be_between", column="s", min_value="1", max_value=0),
+    spec("column_values_to_be_in_type_list", column="x", type_list=["smallint", "Date"]),
+    spec("column_values_to_not_match_regex", column="e", regex="[[:upper:]]{4,}"),
+    spec("column_values_to_be_null", column="x", mostly=0.0),
+    spec("column_values_to_be_unique", column="e", mostly=1),
+    spec("table_row_count_to_be_between", min_value=3),
 ]
 
 
@@ -117,29 +123,37 @@ def test_proposals_carry_sentence_and_evidence(frame, schema, profiled):
     got = proposals(
         frame, schema, profiled,
         {
-            "good": json.dumps({"rules": good}),
-            "cut": json.dumps({"rules": [*good, bad]}),
-            "bad": json.dumps({"rules": [good[0], bad]}),
-            "none": json.dumps({"rules": []}),
-            "text": "no JSON",
-            "shape": json.dumps({"rules": ["x"]}),
-            "untyped": json.dumps({"rules": [{"type": 7, "kwargs": {}}]}),
-            "listed": json.dumps({"rules": [{"type": "expect_table_row_count_to_be_between", "kwargs": [1]}]}),
+            "sound": json.dumps({"rules": good}),
+            "longer": json.dumps({"rules": [*good, bad, good[0]]}),
+            "faulty": json.dumps({"rules": [good[0], bad]}),
+            "without": json.dumps({"rules": []}),
+            "prose": "two rules come to mind",
+            "words": json.dumps({"rules": ["unique"]}),
+            "numbered": json.dumps({"rules": [{"type": 1, "kwargs": {}}]}),
+            "listed": json.dumps({"rules": [{"type": "expect_table_row_count_to_be_between", "kwargs": [4]}]}),
         },
     )
-    assert [r.evidence for r in got["good"]] == ["40 rows scanned · 0 nulls · 3 distinct: 0, 1, 2", "40 rows scanned"]
-    assert [r.statement for r in got["cut"]] == ["Every x has a value", "Row count is at least 1"]
-    assert {r.status for r in got["good"]} == {"proposed"}
-    for refused, named in (("bad", "nope"), ("none", "no rules"), ("text", "no rules"), ("shape", "type"), ("untyped", "type"), ("listed", "min_value")):
-        assert len(got[refused]) == 1 and named in got[refused][0].refusal, refused
+    assert [r.evidence for r in got["sound"]] == ["40 rows scanned · 0 nulls · 3 distinct: 0, 1, 2", "40 rows scanned"]
+    assert [r.statement for r in got["longer"][:2]] == ["Every x has a value", "Row count is at least 1"]
+    assert [(r.position, r.refusal, r.status) for r in got["longer"][2:]] == [(i, intake.PAST_LIMIT, None) for i in (2, 3)]
+    assert {r.status for r in got["sound"]} == {"proposed"}
+    named = {"faulty": "nope", "without": "no rules", "prose": "no rules", "words": "type", "numbered": "type", "listed": "min_value"}
+    for refused, word in named.items():
+        assert len(got[refused]) == 1 and word in got[refused][0].refusal, refused
+
+
+def test_without_a_limit_all_rules_are_judged(frame, schema, profiled):
+    many = [spec("table_row_count_to_be_between", min_value=i) for i in range(1, 30)]
+    got = proposals(frame, schema, profiled, {"many": json.dumps({"rules": many})}, limit=None)["many"]
+    assert [r.statement for r in got] == [f"Row count is at least {i}" for i in range(1, 30)]
 
 
 def test_replies_become_drafts_or_refusals(frame, schema):
     replies = {
         "draft": {"check": spec("column_values_to_be_between", column="x", min_value=0)},
-        "pair": {"cannot": "multi_column", "why": " it compares two columns \n"},
-        "vague": {"cannot": "unclear", "why": "w" * 400},
-        "other": {"cannot": "bored"},
+        "pair": {"cannot": "multi_column", "why": "\t one column per rule \n"},
+        "vague": {"cannot": "unclear", "why": "so " * 400},
+        "other": {"cannot": "tired"},
         "both": {"cannot": "multi_column", "check": spec("column_to_exist", column="x")},
         "invalid": {"check": spec("column_to_exist", column="nope")},
         "untyped": {"check": {"type": 3}},
@@ -153,7 +167,7 @@ def test_replies_become_drafts_or_refusals(frame, schema):
         "invalid": "invalid", "untyped": "unclear", "empty": "unclear", "null": None,
     }
     assert got["draft"].statement == "Every x is at least 0" and got["draft"].message is None
-    assert got["pair"].detail == "it compares two columns" and len(got["vague"].detail) == 300
+    assert got["pair"].detail == "one column per rule" and got["vague"].detail == ("so " * 400).strip()
     refused = [r for r in got.values() if r.outcome == "refused"]
     assert all(r.message.endswith("Nothing was saved. Your coverage did not change.") for r in refused)
     assert "nope" in got["invalid"].message and got["invalid"].detail is None

@@ -1,12 +1,9 @@
-"""Tables of a metastore, specs of stored rules, and the sliced joins."""
+"""Tables of a metastore, specs of stored rules, and runs of stored rules."""
 
 import json
 
-import pytest
-from pyspark.sql import functions as F
-
-from plumbline.operators import suite
-from plumbline.operators.skew import spread_join
+from plumbline.operators import registry, suite
+from plumbline.operators.run import run_table
 from plumbline.sources import tables as T
 from tests.conftest import spec
 
@@ -28,12 +25,24 @@ def test_stored_rules_run(spark, frame):
     assert [r.verdict for r in suite.run_suite(spark.range(5), specs).orderBy("position").collect()] == ["failed", "passed"]
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_anti", "left_semi"])
-def test_sliced_joins_return_what_plain_ones_do(spark, how):
-    """A third of the rows has one key, and some have none."""
-    key = F.when(F.col("id") % 3 == 0, 0).when(F.col("id") % 50 != 1, F.col("id") % 40)
-    large = spark.range(3000).select("id", key.cast("int").alias("k"))
-    lookup = spark.range(20).select(F.col("id").cast("int").alias("k"), (F.col("id") * 2).alias("found"))
-    plain = large.join(lookup, "k", how)
-    sliced = spread_join(large, lookup, ["k"], how, ["id"], spread=7).select(*plain.columns)
-    assert sorted(map(str, sliced.collect())) == sorted(map(str, plain.collect()))
+def revisions(frame, *rows):
+    full = [(f"r{i}", 1, table, json.dumps(s), status, None, None) for i, (table, s, status) in enumerate(rows)]
+    return frame(full, registry.REVISION_SCHEMA)
+
+
+def test_a_table_is_run_from_its_stored_rules(spark, frame):
+    low, same = spec("column_values_to_be_between", column="id", min_value=2), spec("column_values_to_be_between", min_value=2.0, column="id")
+    rules = revisions(
+        frame, ("t", low, "accepted"), ("t", same, "accepted"), ("t", spec("column_to_exist", column="id"), "accepted"),
+        ("t", spec("column_to_exist", column="gone"), "proposed"), ("u", spec("column_to_exist", column="gone"), "accepted"),
+    )
+    run = run_table(spark.range(10), "t", rules, "run 1", ["id"])
+    found = {r.type: r for r in run.results.collect()}
+    assert {k: r.verdict for k, r in found.items()} == {low["type"]: "failed", "expect_column_to_exist": "passed"}
+    assert found[low["type"]].evidence == ["0", "1"]
+    row = run.record.first()
+    assert (row.record_id, row.table, row.status, row.coverage, len(row.results)) == ("run 1", "t", "failed", 2, 2)
+    nothing = run_table(spark.range(10), "v", rules, "run 2")
+    assert nothing.record.count() == 0 and "nothing was submitted" in nothing.run.first().refusal
+    dark = run_table(spark.range(10), "u", revisions(frame, ("u", spec("column_values_to_be_null", column="gone"), "accepted")), "run 3")
+    assert dark.record.count() == 0 and "errored" in dark.run.first().refusal

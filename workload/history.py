@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
@@ -53,6 +54,13 @@ def result_pairs(spark, sf_dir):
     return R.join_results(submitted(spark, sf_dir), results(spark, sf_dir)).select("run_id", "spec_key", "verdict")
 
 
+def result_pairs_of_repeated_rules(spark, sf_dir):
+    """Runs that submit each rule twice and report each result twice: a pair per submitted rule."""
+    asked, reported = submitted(spark, sf_dir), results(spark, sf_dir)
+    pairs = R.join_results(asked.unionByName(asked), reported.unionByName(reported))
+    return pairs.groupBy("run_id", "spec_key", "verdict").agg(F.count(F.lit(1)).alias("pairs"))
+
+
 def missing_results(spark, sf_dir):
     return R.missing_results(submitted(spark, sf_dir), results(spark, sf_dir)).select("run_id", "spec_key")
 
@@ -120,7 +128,7 @@ def user_tables(spark, sf_dir):
     events = D.table(spark, sf_dir, "events")
     name = F.concat(F.lit("user_"), F.col("user_id").cast("string"))
     seen = events.groupBy(name.alias("table")).agg(F.count(F.lit(1)).alias("approx_rows"))
-    customers = D.table(spark, sf_dir, "customer").filter("c_custkey >= 1000")
+    customers = D.table(spark, sf_dir, "customer")
     unseen = customers.select(
         F.concat(F.lit("buyer_"), F.col("c_custkey").cast("string")).alias("table"),
         (F.col("c_nationkey").cast("bigint") * 1000).alias("approx_rows"),
@@ -135,10 +143,11 @@ def coverage_ranking(spark, sf_dir):
 
 
 def coverage_order(spark, sf_dir):
-    """The place of each table in the ranking: how many come before it in its bucket."""
+    """Every table with its place in the ranking."""
     rules = D.from_sql(spark, sf_dir, D.USER_REVISIONS)
     ranked = H.coverage_listing(user_tables(spark, sf_dir), rules, event_records(spark, sf_dir))
-    return ranked.select("bucket", "table").limit(50)
+    listed = ranked.select("bucket", "table", F.monotonically_increasing_id().alias("row"))
+    return listed.select("bucket", "table", F.row_number().over(Window.orderBy("row")).alias("place"))
 
 
 def coverage_with_empty_bucket(spark, sf_dir):
@@ -189,7 +198,7 @@ def run_slots(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        result_pairs, missing_results, coverage, rollup, completed_runs, invalid_scans, run_records,
+        result_pairs, result_pairs_of_repeated_rules, missing_results, coverage, rollup, completed_runs, invalid_scans, run_records,
         record_results, latest_run, latest_per_table, find_run, status_atom, coverage_ranking,
         coverage_order, coverage_with_empty_bucket, run_slots, review_queue, review_queue_of_table,
         queue_position, budget, review_cards,
@@ -214,15 +223,15 @@ COMPLETED = f"""(
                left join {RESULTS} r on s.run_id = r.run_id and s.spec_key = r.spec_key group by 1) a on u.run_id = a.run_id
     left join (select run_id, count(*) as n, count(*) filter (where verdict <> 'errored') as covered, {LOUDEST} as status
                from {RESULTS} r group by 1) b on u.run_id = b.run_id,
-    lateral (select case when coalesce(a.n, 0) = 0 then 'the run submitted no rules'
-                         when a.m < a.n then a.m || ' of ' || a.n || ' submitted rules have reported'
-                         when b.covered = 0 then 'every one of ' || b.n || ' rules errored' end as refusal) f)"""
+    lateral (select case when coalesce(a.n, 0) = 0 then 'nothing was submitted in this run'
+                         when a.m < a.n then 'results of ' || a.m || ' rules, and ' || a.n || ' were submitted'
+                         when b.covered = 0 then 'no rule ran: all ' || b.n || ' errored' end as refusal) f)"""
 RECORDED = f"(select * from {COMPLETED} c where refusal is null and scanned_rows between 0 and total_rows)"
 EVENT_RECORDS = D.for_oracle(D.RECORDS)
 LATEST = f"(select * from ({EVENT_RECORDS}) v qualify row_number() over (partition by tab order by finished_at desc, record_id desc) = 1)"
 USER_TABLES = """(select 'user_' || user_id as tab, count(*) as approx_rows,
         count(*) filter (where user_id % 3 <> 0 and event_type = 'view') as accepted_rules from events group by user_id
-    union all select 'buyer_' || c_custkey, cast(c_nationkey as bigint) * 1000, 0 from customer where c_custkey >= 1000)"""
+    union all select 'buyer_' || c_custkey, cast(c_nationkey as bigint) * 1000, 0 from customer)"""
 RANKED = f"""(
     select t.tab, t.approx_rows, accepted_rules, record_id, v.status as verdict,
            case when record_id is null then 'NEVER RUN' || case when accepted_rules = 0 then ' · NO RULES' else '' end
@@ -246,6 +255,8 @@ PLACED = f"""(select *, row_number() over (partition by tab order by rule_id) as
 ORACLES = {
     "result_pairs": f"""select s.run_id, s.spec_key, r.verdict from {SUBMITTED} s
         join {RESULTS} r on s.run_id = r.run_id and s.spec_key = r.spec_key""",
+    "result_pairs_of_repeated_rules": f"""select s.run_id, s.spec_key, r.verdict, 2 * count(*) as pairs from {SUBMITTED} s
+        join {RESULTS} r on s.run_id = r.run_id and s.spec_key = r.spec_key group by all""",
     "missing_results": f"""select s.run_id, s.spec_key from {SUBMITTED} s
         left join {RESULTS} r on s.run_id = r.run_id and s.spec_key = r.spec_key where r.run_id is null""",
     "coverage": f"""select run_id, count(*) filter (where verdict <> 'errored') as coverage, count(*) as rules
@@ -270,8 +281,9 @@ ORACLES = {
     "coverage_ranking": f"""select bucket_no, b.bucket, heading, tab as "table",
         case when tab is not null then format('{{:,}}', approx_rows) end as rows, accepted_rules, status, verdict, record_id
         from {BUCKETS} left join {RANKED} r on b.bucket = r.bucket""",
-    "coverage_order": f"""select b.bucket, tab as "table" from {BUCKETS} left join {RANKED} r on b.bucket = r.bucket
-        order by bucket_no, accepted_rules > 0, approx_rows desc, tab limit 50""",
+    "coverage_order": f"""select b.bucket, tab as "table", cast(row_number() over (
+        order by bucket_no, coalesce(accepted_rules, 0) > 0, approx_rows desc, tab) as int) as place
+        from {BUCKETS} left join {RANKED} r on b.bucket = r.bucket""",
     "coverage_with_empty_bucket": f"""select bucket_no, b.bucket, heading, count(tab) as tables, max(status) as status
         from {BUCKETS} left join (select * from {RANKED} r where tab like 'buyer%') r
         on b.bucket = r.bucket group by all""",

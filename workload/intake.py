@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from plumbline.operators import intake as I
@@ -12,42 +14,35 @@ from workload.rules import profiles, schema
 # A candidate per order. What is wrong with it goes by its key; `{c}` stands for the customer
 # and `{k}` for the order. Each entry: the spec, and the fault named (None for a sound rule).
 CANDIDATES: tuple[tuple[str, str, str | None], ...] = (
-    ("expect_column_values_to_be_between", '"column":"o_totalprice","min_value":{c}', None),
-    ("expect_column_values_to_be_between", '"column":"o_totalprice","min_value":{c},"max_value":-1',
-     ": min_value={c} is above max_value=-1"),
-    ("expect_column_values_to_match_regex", '"column":"o_orderstatus","regex":"[unclosed"',
-     ': regex "[unclosed" does not compile'),
-    ("expect_column_values_to_match_regex", '"column":"o_orderstatus"', ": missing regex"),
-    ("expect_column_values_to_be_in_type_list", '"column":"o_orderstatus"', ": missing type_list"),
-    ("expect_table_row_count_to_be_between", "", ": neither min_value nor max_value was given"),
-    ("expect_column_mean_to_be_between", '"column":"o_totalprice"', ": neither min_value nor max_value was given"),
-    ("expect_column_unique_value_count_to_be_between", '"column":"o_custkey","min_value":null',
-     ": neither min_value nor max_value was given"),
-    ("expect_column_values_to_be_in_set", '"column":"o_orderstatus","value_set":[]', ": value_set is empty"),
-    ("expect_column_values_to_be_of_type", '"column":"o_orderkey","type_":"NOT_A_TYPE"',
-     ': "NOT_A_TYPE" is not a SQL type name'),
-    ("expect_column_values_to_be_unique", '"column":"column_{k}"', ': orders has no column "column_{k}"'),
-    ("expect_column_values_to_be_vibey", '"column":"o_orderkey"',
-     " is not one of the check types this product offers"),
-    ("expect_column_values_to_be_between", '"column":"o_totalprice","min_valu":0',
-     ": min_valu is not a parameter of this check"),
-    ("expect_column_values_to_not_match_regex", '"column":"o_orderstatus"', ": missing regex"),
-    ("expect_column_values_to_not_be_null", '"column":"o_orderkey","mostly":1.5',
-     ": mostly=1.5 is not a proportion between 0 and 1"),
-    ("expect_column_values_to_not_be_null", '"column":"o_orderkey","mostly":"0.5"',
-     ': mostly="0.5" is not a proportion between 0 and 1'),
-    ("expect_column_values_to_not_be_null", '"column":"o_orderkey","mostly":true',
-     ": mostly=true is not a proportion between 0 and 1"),
-    ("expect_column_values_to_be_in_type_list", '"column":"o_orderkey","type_list":["bigint","INTEGER","NOPE"]',
-     ': "NOPE" is not a SQL type name'),
-    ("expect_column_values_to_be_in_type_list", '"column":"o_orderkey","type_list":["bigint","INTEGER"]', None),
-    ("expect_column_values_to_match_regex", '"column":"o_orderstatus","regex":"^[[:alpha:]]{{1,3}}$"', None),
-    ("expect_column_values_to_be_between", '"column":"o_orderdate","min_value":"1999-01-01","max_value":{c}', None),
-    ("expect_column_values_to_be_between", '"column":"o_orderdate","min_value":"1999-01-01","max_value":"1998-01-01"',
-     ': min_value="1999-01-01" is above max_value="1998-01-01"'),
-    ("expect_column_pair_values_to_be_equal", '"column_A":"o_orderkey","column_B":"o_custkey"',
-     " is not one of the check types this product offers"),
-    ("expect_column_to_exist", '"column":"o_orderpriority"', None),
+    ("expect_column_values_to_not_be_null", '"column":"o_custkey","mostly":0.8', None),
+    ("expect_column_value_lengths_to_be_between", '"column":"o_orderpriority","min_value":40,"max_value":12',
+     ": min_value=40 is above max_value=12"),
+    ("expect_column_values_to_be_of_type", '"column":"o_orderdate"', ": missing type_"),
+    ("expect_column_median_to_be_between", '"column":"o_totalprice","min_value":{c}', " is no rule type of the catalog"),
+    ("expect_column_values_to_be_between", '"column":"o_custkey","max_value":{c},"min_value":1', None),
+    ("expect_column_values_to_be_unique", '"column":"o_orderkey","strictly":true',
+     ": strictly is not a parameter of this check"),
+    ("expect_table_row_count_to_be_between", '"min_value":null', ": neither min_value nor max_value was given"),
+    ("expect_column_values_to_not_be_in_set", '"column":"o_orderstatus","value_set":""', ": value_set is empty"),
+    ("expect_column_values_to_not_match_regex", '"column":"o_orderpriority","regex":"(low|high"',
+     ': regex "(low|high" does not compile'),
+    ("expect_column_values_to_be_of_type", '"column":"o_totalprice","type_":"NUMBERS"',
+     ': "NUMBERS" is not a SQL type name'),
+    ("expect_column_values_to_be_null", '"column":"note_{c}"', ': orders has no column "note_{c}"'),
+    ("expect_column_values_to_be_null", '"column":"o_orderdate","mostly":-0.1',
+     ": mostly=-0.1 is not a proportion between 0 and 1"),
+    ("expect_column_mean_to_be_between", '"column":"o_totalprice","max_value":{c}', None),
+    ("expect_column_values_to_be_in_type_list", '"column":"o_orderkey","type_list":[]', ": type_list is empty"),
+    ("expect_column_values_to_match_regex", '"column":"o_orderpriority","regex":"^[1-5]-"', None),
+    ("expect_column_unique_value_count_to_be_between", '"column":"o_orderstatus","min_value":9,"max_value":-{c}',
+     ": min_value=9 is above max_value=-{c}"),
+    ("expect_column_values_to_be_in_set", '"column":"o_orderstatus"', ": missing value_set"),
+    ("expect_column_values_to_not_be_null", '"column":"o_custkey","mostly":[1]',
+     ": mostly=[1] is not a proportion between 0 and 1"),
+    ("expect_column_values_to_match_regex", '"column":"o_orderstatus","regex":"*"', ': regex "*" does not compile'),
+    ("expect_table_row_count_to_be_between", '"max_value":{k}', None),
+    ("expect_multicolumn_sum_to_equal", '"columns":["o_orderkey"],"sum_total":{k}', " is no rule type of the catalog"),
+    ("expect_column_to_exist", '"column":"o_shippriority"', ': orders has no column "o_shippriority"'),
 )
 
 
@@ -80,8 +75,7 @@ def lint(spark, sf_dir):
 def lint_without_schema(spark, sf_dir):
     """With no schema to look in, every rule that names a column is refused."""
     candidates = D.from_sql(spark, sf_dir, CANDIDATE_SQL)
-    judged = L.lint(candidates, None, ["candidate_id"])
-    return judged.filter(F.col("candidate_id") % len(CANDIDATES) == 0).select("candidate_id", "ok", "reason")
+    return L.lint(candidates, None, ["candidate_id"]).select("candidate_id", "ok", "reason")
 
 
 # A reply per event: three rules, and a fourth that only counts when it is within the limit.
@@ -157,6 +151,14 @@ def _reason(rule_type: str, fault: str | None) -> str:
     return f"'{rule_type}' || " + _filled(fault)
 
 
+def _unread(kwargs: str, fault: str | None) -> str | None:
+    """The fault when there is no schema: rules that only a column could fault, and sound ones on a column."""
+    column = re.search(r'"column":("[^"]*")', kwargs)
+    looks = column and (fault is None or " has no column " in fault)
+    return f": no schema of orders to look for the column {column[1]}" if looks else fault
+
+
+UNREAD = _case([_reason(t, _unread(k, f)) for t, k, f in CANDIDATES], "o_orderkey", len(CANDIDATES))
 REASON = _case([_reason(t, f) for t, _, f in CANDIDATES], "o_orderkey", len(CANDIDATES))
 EVIDENCE = """(select format('{:,} rows scanned · 0 nulls · {:,} distinct · min observed {} · max observed {}',
     count(*), count(distinct o_totalprice), cast(min(o_totalprice) as varchar), cast(max(o_totalprice) as varchar)) from orders)"""
@@ -184,8 +186,8 @@ def _proposal(position: str, rule_type: str, column: str, sentence: str, evidenc
         cast(null as varchar) as refusal from events where {where}"""
 
 
-def _refused(reason: str, where: str) -> str:
-    return f"""select event_id, cast(null as int), cast(null as varchar), cast(null as varchar), cast(null as varchar),
+def _refused(reason: str, where: str, position: str = "null") -> str:
+    return f"""select event_id, cast({position} as int), cast(null as varchar), cast(null as varchar), cast(null as varchar),
         cast(null as varchar), cast(null as varchar), '{reason}' from events where {where}"""
 
 
@@ -194,9 +196,8 @@ ORACLES = {
         select candidate_id, reason is null as ok, reason
         from (select o_orderkey as candidate_id, {D.for_oracle(REASON)} as reason from orders) r""",
     "lint_without_schema": f"""
-        select o_orderkey as candidate_id, false as ok,
-               'expect_column_values_to_be_between: no schema of orders to look for the column "o_totalprice"' as reason
-        from orders where o_orderkey % {len(CANDIDATES)} = 0""",
+        select candidate_id, reason is null as ok, reason
+        from (select o_orderkey as candidate_id, {D.for_oracle(UNREAD)} as reason from orders) r""",
     "proposals": " union all ".join(
         [
             _proposal("0", "expect_column_values_to_be_between", "'o_totalprice'",
@@ -205,10 +206,11 @@ ORACLES = {
                       "'Every o_totalprice has a value, in at least 90% of rows'", EVIDENCE, _REST),
             _proposal(_PLACE.format(2, 1), "expect_table_row_count_to_be_between", "cast(null as varchar)",
                       "'Row count is at most ' || (user_id * 1000)", SIZE, _REST),
-            _refused("the reply carried no rules",
+            _refused("there are no rules in this reply",
                      "event_id % 5 = 0 or (event_id % 7 <> 0 and event_id % 11 <> 0 and event_id % 13 <> 0 and event_id % 17 = 0)"),
             _refused(NOWHERE, "event_id % 5 <> 0 and event_id % 7 = 0"),
-            _refused("a proposal must be an object carrying a type",
+            _refused("this rule comes after the number of rules asked for", _FIRST, "3"),
+            _refused("a rule is an object with a type",
                      "event_id % 5 <> 0 and event_id % 7 <> 0 and event_id % 11 <> 0 and event_id % 13 = 0"),
         ]
     ),
@@ -219,7 +221,7 @@ ORACLES = {
                case when k = 0 then 'Every o_totalprice is at least ' || turn end as statement,
                case when k = 0 then null when k = 1 then '{LIMIT}{SAVED}' when k = 4 then '{NOWHERE}{SAVED}'
                     else '{VAGUE}{SAVED}' end as message,
-               case when k in (1, 2, 3) and length(said) > 0 then substring(said, 1, 300) end as detail
+               case when k in (1, 2, 3) and length(said) > 0 then said end as detail
         from (select *, (conv_id + turn) % 8 as k,
                      trim(text, ' ' || chr(9) || chr(10) || chr(13) || chr(11) || chr(12)) as said from conversations) c""",
 }
