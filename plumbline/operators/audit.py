@@ -59,15 +59,20 @@ def orphans(df: DataFrame, key: str, reference: DataFrame, reference_key: str) -
 
 
 def mismatched(
-    left: DataFrame, right: DataFrame, on: tuple[str, str], values: tuple[str, str]
+    left: DataFrame, right: DataFrame, on: tuple[str, str], values: tuple[str, str], many: bool = False
 ) -> DataFrame:
-    """Joined rows whose two values differ, without joining.
+    """Joined rows whose two values differ; nulls never compare, so they are left out.
 
-    For each key that is (rows on the left) x (rows on the right), less the pairs that agree,
+    One join, for keys with a few rows on a side. With ``many`` rows of a key on both sides nothing
+    is joined: for each key the count is (rows on the left) x (rows on the right), less the pairs that agree,
     which are counted per key and value. Rows are counted before either shuffle, so a key with
-    a large share of both tables costs no more than its distinct values. Nulls never compare,
-    so they are left out.
+    a large share of both tables costs no more than its distinct values.
     """
+    if not many:
+        a = left.select(quoted(on[0]).alias("k"), quoted(values[0]).alias("v")).dropna()
+        b = right.select(quoted(on[1]).alias("k"), quoted(values[1]).alias("w")).dropna()
+        return a.join(b, "k").agg(F.count_if(F.col("v") != F.col("w")).alias("observed"))
+
     def side(df: DataFrame, key: str, value: str, a: int, b: int) -> DataFrame:
         present = df.select(quoted(key).alias("k"), quoted(value).alias("v")).dropna()
         return present.withColumns({"a": F.lit(a).cast("bigint"), "b": F.lit(b).cast("bigint")})
@@ -113,7 +118,7 @@ def by_reach(expected: DataFrame, count: str = "expected") -> DataFrame:
 
 
 def row_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
-    """A 60-bit prefix of the md5 of a row's values as text, each marked null or not."""
+    """The md5 of a row's values as text, each after its length, so that no two rows are one text."""
     chosen = [f for f in df.schema.fields if columns is None or f.name in columns]
     if columns is not None:
         chosen = sorted(chosen, key=lambda f: list(columns).index(f.name))
@@ -121,22 +126,24 @@ def row_hash(df: DataFrame, columns: Sequence[str] | None = None) -> Column:
     for f in chosen:
         plain = not isinstance(f.dataType, T.ArrayType | T.MapType | T.StructType | T.VariantType)
         shown = quoted(f.name).cast("string") if plain else F.to_json(quoted(f.name))
-        parts.append(F.coalesce(F.concat(F.lit("="), shown), F.lit("~")))
-    digest = F.md5(F.concat_ws("|", *parts).cast("binary"))
-    return F.conv(F.substring(digest, 1, 15), 16, 10).cast("bigint")
+        sized = F.concat(F.char_length(shown).cast("string"), F.lit(":"), shown)
+        parts.append(F.coalesce(sized, F.lit("~")))
+    return F.md5(F.concat(F.lit(""), *parts).cast("binary"))
 
 
 def fingerprint(df: DataFrame, table: str, columns: Sequence[str] | None = None) -> DataFrame:
     """One row that two tables share when they hold the same rows, in whatever order.
 
-    The exclusive-or alone would not see a row that occurs twice, so the sum goes with it.
+    The exclusive-or alone would not see a row that occurs twice, so the sum goes with it, each over
+    both 64-bit halves of the hashes.
     """
-    hashed = df.select(row_hash(df, columns).alias("h"))
-    return hashed.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.coalesce(F.bit_xor("h"), F.lit(0)).alias("xor_hash"),
-        F.coalesce(F.sum(F.col("h").cast("decimal(38,0)")), F.lit(0)).cast("string").alias("sum_hash"),
-    ).select(F.lit(table).alias("table"), "rows", "xor_hash", "sum_hash")
+    digest = df.select(row_hash(df, columns).alias("digest"))
+    halves = {name: F.conv(F.substring("digest", at, 16), 16, -10).cast("bigint") for name, at in (("a", 1), ("b", 17))}
+    found = [F.count(F.lit(1)).alias("rows")]
+    for name, half in halves.items():
+        found.append(F.coalesce(F.bit_xor(half), F.lit(0)).alias(f"xor_{name}"))
+        found.append(F.coalesce(F.sum(half.cast("decimal(38,0)")), F.lit(0)).cast("string").alias(f"sum_{name}"))
+    return digest.agg(*found).select(F.lit(table).alias("table"), "rows", "xor_a", "sum_a", "xor_b", "sum_b")
 
 
 def table_sizes(tables: Mapping[str, DataFrame]) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -23,7 +23,7 @@ SKETCH_VALUES = 64
 
 PROFILE_COLUMNS = (
     "table", "column", "position", "data_type", "total_rows", "non_null", "distinct",
-    "minimum", "maximum", "values",
+    "minimum", "maximum", "values", "estimated",
 )
 
 
@@ -38,7 +38,8 @@ def profile(
     Columns of one type are stacked as ``(column, value)`` pairs in their own type and counted
     per pair, so that a value is shuffled once per map task and never as text; the table is
     read once per type it has, each time only for that type's columns. ``approximate`` estimates
-    the distinct counts of columns with many values, which saves shuffling those values.
+    the distinct counts of columns with many values, which saves shuffling those values; such a
+    column is ``estimated`` and has no value set.
     """
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     if not fields:
@@ -58,10 +59,15 @@ def _family(data_type: T.DataType) -> str:
 
 def _value(field: T.StructField) -> Column:
     if isinstance(field.dataType, sqltypes.UNORDERED):
-        return F.to_json(quoted(field.name))
+        return F.to_json(sqltypes.in_order(quoted(field.name), field.dataType))
     return quoted(field.name)
 
 
+def _text(value: Column, data_type: T.DataType) -> Column:
+    """A value as text; bytes as hexadecimal digits, since not all are UTF-8."""
+    return F.hex(value) if isinstance(data_type, T.BinaryType) else value.cast("string")
+
+
 def value_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     """``position, value, n`` for columns of one type: each column's distinct values, counted."""
     names = [str(df.columns.index(f.name)) for f in fields]
@@ -73,16 +79,18 @@ def value_counts(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
 def _measured(df: DataFrame, fields: Sequence[T.StructField]) -> DataFrame:
     counts = value_counts(df, fields)
     present = F.col("value").isNotNull()
-    shown = F.col("value").cast("string")
+    data_type = fields[0].dataType
+    shown = _text(F.col("value"), data_type)
     ordered = not isinstance(fields[0].dataType, sqltypes.UNORDERED)
     nothing = F.lit(None).cast("string")
     return counts.groupBy("position").agg(
         F.sum("n").alias("total_rows"),
         F.coalesce(F.sum(F.when(present, F.col("n"))), F.lit(0)).alias("non_null"),
         F.count("value").alias("distinct"),
-        (F.min("value").cast("string") if ordered else F.first(nothing)).alias("minimum"),
-        (F.max("value").cast("string") if ordered else F.first(nothing)).alias("maximum"),
+        (_text(F.min("value"), data_type) if ordered else F.first(nothing)).alias("minimum"),
+        (_text(F.max("value"), data_type) if ordered else F.first(nothing)).alias("maximum"),
         _sketch(shown).alias("sketch"),
+        F.lit(False).alias("estimated"),
     )
 
 
@@ -111,7 +119,9 @@ def _described(
                 "total_rows": F.coalesce("total_rows", zero),
                 "non_null": F.coalesce("non_null", zero),
                 "distinct": F.coalesce("distinct", zero),
-                "values": F.when(few, items),
+                # the whole set or nothing: values that print alike are not listed as one
+                "values": F.when(few & (F.size(items) == F.col("distinct")), items),
+                "estimated": F.coalesce("estimated", F.lit(False)),
             }
         )
         .select(*PROFILE_COLUMNS)
@@ -148,8 +158,8 @@ def _bounds(df: DataFrame, estimated: Sequence[tuple[T.StructField, int]]) -> Da
         low, high = (F.min(value), F.max(value)) if ordered else (F.first(F.lit(None)),) * 2
         aggregates += [
             F.count(value).alias(f"non_null_{i}"),
-            low.cast("string").alias(f"minimum_{i}"),
-            high.cast("string").alias(f"maximum_{i}"),
+            _text(low, field.dataType).alias(f"minimum_{i}"),
+            _text(high, field.dataType).alias(f"maximum_{i}"),
         ]
         rows.append(
             F.struct(
@@ -160,6 +170,7 @@ def _bounds(df: DataFrame, estimated: Sequence[tuple[T.StructField, int]]) -> Da
                 F.col(f"minimum_{i}").alias("minimum"),
                 F.col(f"maximum_{i}").alias("maximum"),
                 F.lit(None).cast("array<struct<item:string,count:bigint>>").alias("sketch"),
+                F.lit(True).alias("estimated"),
             )
         )
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
@@ -183,13 +194,31 @@ def with_evidence_line(profiled: DataFrame) -> DataFrame:
 def fresh_profiles(
     profiles: DataFrame, now: Column | None = None, seconds: int = FRESH_SECONDS
 ) -> DataFrame:
-    """The stored profiles (column ``profiled_at``) young enough to be used again."""
+    """The stored profiles (column ``profiled_at``) young enough to be used again, none from after now."""
     clock = F.current_timestamp() if now is None else now
     return profiles.filter(
-        F.col("profiled_at") > clock - F.make_dt_interval(secs=F.lit(seconds))
+        (F.col("profiled_at") > clock - F.make_dt_interval(secs=F.lit(seconds))) & (F.col("profiled_at") <= clock)
     )
 
 
+def profiles_of(
+    tables: Mapping[str, DataFrame], stored: DataFrame, now: Column | None = None, seconds: int = FRESH_SECONDS
+) -> DataFrame:
+    """A profile of each table: its newest stored one while that is fresh, or a new one, stamped ``now``.
+
+    ``stored`` has the columns of a profile and ``profiled_at``. ``reused`` tells the two apart;
+    the new ones are what is left to append. Only names of tables reach the driver.
+    """
+    fresh = fresh_profiles(stored.filter(F.col("table").isin(list(tables))), now, seconds)
+    newest = fresh.groupBy("table").agg(F.max("profiled_at").alias("profiled_at"))
+    kept = fresh.join(newest, ["table", "profiled_at"], "left_semi").withColumn("reused", F.lit(True))
+    known = {row.table for row in newest.select("table").collect()}
+    new = [stamped(profile(df, name), now) for name, df in tables.items() if name not in known]
+    columns = [*PROFILE_COLUMNS, "profiled_at", "reused"]
+    taken = [df.withColumn("reused", F.lit(False)).select(*columns) for df in new]
+    return reduce(DataFrame.unionByName, taken, kept.select(*columns))
+
+
 def stamped(profiled: DataFrame, at: Column | None = None) -> DataFrame:
     """A profile with the time it was taken, ready to be appended to a table of profiles."""
     return profiled.withColumn("profiled_at", F.current_timestamp() if at is None else at)

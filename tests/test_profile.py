@@ -6,8 +6,10 @@ import pytest
 from pyspark.sql import functions as F
 
 from plumbline.operators import profile as P
+from plumbline.operators import suite
 from plumbline.sources import store
 from plumbline.sources import tables as T
+from tests.conftest import spec
 
 
 def by_column(df):
@@ -39,16 +41,26 @@ def test_counts_bounds_and_values(spark, approximate):
 
 def test_types_without_an_order(spark):
     n = F.col("id")
+    a, b = F.lit("a"), F.lit("b")
     df = spark.range(30).select(
         F.array(n % 2).alias("listed"),
-        F.create_map(F.lit("k"), n % 3).alias("mapped"),
+        F.when(n % 2 == 0, F.create_map(a, n % 3, b, F.lit(0))).otherwise(F.create_map(b, F.lit(0), a, n % 3)).alias("mapped"),
         F.struct((n % 4).alias("x")).alias("nested"),
         F.parse_json(F.concat(F.lit('{"a":'), n % 5, F.lit("}"))).alias("json"),
     )
     got = by_column(P.profile(df, "t"))
     assert {c: r.distinct for c, r in got.items()} == {"listed": 2, "mapped": 3, "nested": 4, "json": 5}
     assert all(r.minimum is None and r.maximum is None for r in got.values())
-    assert got["json"].values[0] == '{"a":0}'
+    assert got["json"].values[0] == '{"a":0}' and got["mapped"].values[0] == '{"a":0,"b":0}'
+    shared = [spec("column_values_to_be_unique", column="mapped"), spec("column_unique_value_count_to_be_between", column="mapped", max_value=3)]
+    rows = suite.run_suite(df, shared).orderBy("position").collect()
+    assert (rows[0].unexpected_count, rows[1].observed) == (30, "3")
+
+
+def test_bytes_that_are_no_text_stay_apart(spark):
+    df = spark.range(6).select(F.unhex(F.element_at(F.array(F.lit("FF"), F.lit("FE"), F.lit("C328")), (F.col("id") % 3 + 1).cast("int"))).alias("b"))
+    row = P.profile(df, "t").first()
+    assert (row.distinct, row["values"], row.minimum, row.maximum) == (3, ["C328", "FE", "FF"], "C328", "FF")
 
 
 def test_an_empty_table_still_lists_its_columns(frame):
@@ -83,6 +95,16 @@ def test_profiles_are_reused_for_five_minutes(spark, tmp_path):
     assert [r.table for r in fresh.collect()] == ["new"]
 
 
+def test_only_tables_without_a_fresh_profile_are_profiled(spark):
+    now = F.lit(dt.datetime(2024, 1, 1, 12)).cast("timestamp_ntz")
+    at = lambda s: F.lit(dt.datetime(2024, 1, 1, 12) - dt.timedelta(seconds=s)).cast("timestamp_ntz")
+    old = [P.stamped(P.profile(spark.range(3), n), at(s)) for n, s in (("a", 10), ("a", 200), ("b", 400), ("c", -5))]
+    stored = old[0].unionByName(old[1]).unionByName(old[2]).unionByName(old[3])
+    found = P.profiles_of({n: spark.range(7) for n in "abcd"}, stored, now).collect()
+    assert {r.table: (r.reused, r.total_rows) for r in found} == {"a": (True, 3), "b": (False, 7), "c": (False, 7), "d": (False, 7)}
+    assert len(found) == 4
+
+
 def test_samples(spark):
     assert P.sample_rows(spark.range(100)).count() == 20
     assert [r.id for r in P.sample_rows(spark.range(100), 3, ["id"]).collect()] == [0, 1, 2]

@@ -28,6 +28,12 @@ COLUMNS = {
 }
 UNORDERED = {"embedding"}
 
+# The names of the column types on the SQL side, as the Spark side gives them.
+TYPE = (
+    "case column_type when 'BIGINT' then 'bigint' when 'INTEGER' then 'int' when 'VARCHAR' then 'string' "
+    "when 'DOUBLE' then 'double' when 'FLOAT[]' then 'array<float>' when 'TIMESTAMP' then 'timestamp_ntz' else column_type end"
+)
+
 # Parquet files state the least zero as -0.0; adding zero makes the SQL side print it as 0.0.
 DOUBLES = {
     "c_acctbal", "s_acctbal", "p_retailprice", "o_totalprice", "l_quantity", "l_extendedprice",
@@ -84,7 +90,9 @@ def profile_with_nulls(spark, sf_dir):
         F.array(F.col("user_id") % 30, F.col("event_id") % 2).alias("pair"),
     )
     found = P.with_evidence_line(P.profile(rows, "events"))
-    return found.select("column", "total_rows", "non_null", "distinct", "minimum", "maximum", "evidence")
+    return found.select(
+        "column", "total_rows", "non_null", "distinct", "minimum", "maximum", F.array_join("values", "|").alias("values"), "evidence"
+    )
 
 
 def low_cardinality(spark, sf_dir):
@@ -99,7 +107,8 @@ def low_cardinality(spark, sf_dir):
 def profile_sketched(spark, sf_dir):
     """The option with estimated distinct counts; everything else in it is exact."""
     found = P.profile(table(spark, sf_dir, "lineitem"), "lineitem", approximate=True)
-    return found.select("column", "total_rows", "non_null", "minimum", "maximum")
+    exact = F.when(~F.col("estimated"), F.col("distinct")).alias("distinct")
+    return found.select("column", "total_rows", "non_null", "minimum", "maximum", exact, F.array_join("values", "|").alias("values"))
 
 
 def sample_rows(spark, sf_dir):
@@ -110,7 +119,7 @@ def fresh_profiles(spark, sf_dir):
     """Events as profiles taken at their time: those under 300 seconds old at noon."""
     taken = table(spark, sf_dir, "events").select("event_id", F.col("ts").alias("profiled_at"))
     noon = F.lit("2024-01-03 12:00:00").cast("timestamp_ntz")
-    return P.fresh_profiles(taken.filter(F.col("profiled_at") <= noon), noon)
+    return P.fresh_profiles(taken, noon)
 
 
 def list_tables(spark, sf_dir):
@@ -118,7 +127,8 @@ def list_tables(spark, sf_dir):
     tables["lt3_scratch"] = tables["orders"]
     listed = T.list_tables(tables)
     return listed.select(
-        "table", F.array_join(F.col("columns.name"), " ").alias("columns"), "approx_rows", "accepted_rules"
+        "table", F.array_join(F.transform("columns", lambda c: F.concat(c["name"], F.lit(":"), c["type"])), " ").alias("columns"),
+        "approx_rows", "accepted_rules",
     )
 
 
@@ -126,10 +136,42 @@ def table_columns(spark, sf_dir):
     """The columns of every table that is not empty, in declaration order."""
     tables = {n: table(spark, sf_dir, n) for n in TABLES}
     filled = T.list_tables(tables).filter("approx_rows > 0").select("table", F.posexplode("columns"))
-    return filled.select("table", F.col("pos").alias("position"), F.col("col.name").alias("column"))
+    return filled.select("table", F.col("pos").alias("position"), F.col("col.name").alias("column"), F.col("col.type").alias("type"))
+
+
+def profile_maps_and_bytes(spark, sf_dir):
+    """Equal maps whose entries come in two orders, and bytes that are no text."""
+    odd = F.col("event_id") % 2 == 1
+    user, kind = F.lit("user"), F.lit("kind")
+    a, b = F.col("user_id") % 3, F.col("event_id") % 5
+    rows = table(spark, sf_dir, "events").select(
+        F.when(odd, F.create_map(user, a, kind, b)).otherwise(F.create_map(kind, b, user, a)).alias("pairs"),
+        F.unhex(F.concat(F.lit("FFFE0"), (F.col("user_id") % 4).cast("string"))).alias("bytes"),
+    )
+    found = P.profile(rows, "events")
+    return found.select("column", "total_rows", "distinct", "minimum", "maximum", F.array_join("values", "|").alias("values"))
+
+
+NOON = "2024-01-03 12:00:00"
+
+
+def profile_reuse(spark, sf_dir):
+    """A fresh profile, a stale one, one from after now and none at all: who is profiled anew."""
+    names = ("orders", "customer", "supplier", "part")
+    ages = {"orders": 100, "customer": 1000, "supplier": -100}
+    now = F.lit(NOON).cast("timestamp_ntz")
+    stored = None
+    for name, age in ages.items():
+        taken = P.profile(table(spark, sf_dir, name), name).withColumn("total_rows", F.lit(-1).cast("bigint"))
+        one = P.stamped(taken, now - F.make_dt_interval(secs=F.lit(age)))
+        stored = one if stored is None else stored.unionByName(one)
+    found = P.profiles_of({n: table(spark, sf_dir, n) for n in names}, stored, now)
+    return found.select("table", "column", "total_rows", "non_null", "distinct", "reused")
 
 
 QUERIES |= {
+    "profile_maps_and_bytes": profile_maps_and_bytes,
+    "profile_reuse": profile_reuse,
     "profile_with_nulls": profile_with_nulls,
     "low_cardinality": low_cardinality,
     "profile_sketched": profile_sketched,
@@ -142,9 +184,23 @@ QUERIES |= {
 DERIVED_EVENTS = """(select nullif(event_type, 'error') as kind, cast(null as varchar) as nothing,
     case when value > 50 then value end as large, [user_id % 30, event_id % 2] as pair from events)"""
 UNORDERED.add("pair")
+PAIRS = "(select (user_id % 3) || ' ' || (event_id % 5) as p, 'FFFE0' || (user_id % 4) as b from events)"
 ORACLES |= {
+    "profile_maps_and_bytes": f"""
+        select 'pairs' as "column", count(*) as total_rows, count(distinct p) as "distinct", cast(null as varchar) as minimum,
+               cast(null as varchar) as maximum,
+               (select array_to_string(list(j order by j), '|') from (select distinct '{{"kind":' || (event_id % 5) || ',"user":' || (user_id % 3) || '}}' as j from events)) as "values"
+        from {PAIRS} e
+        union all
+        select 'bytes', count(*), count(distinct b), min(b), max(b), array_to_string(list_sort(list(distinct b)), '|') from {PAIRS} e""",
+    "profile_reuse": " union all ".join(
+        f"""select '{n}' as "table", '{c}' as "column", {"cast(-1 as bigint)" if n == "orders" else "count(*)"} as total_rows,
+            count({c}) as non_null, count(distinct {c}) as "distinct", {"true" if n == "orders" else "false"} as reused from {n}"""
+        for n in ("orders", "customer", "supplier", "part")
+        for c in COLUMNS[n].split()
+    ),
     "profile_with_nulls": " union all ".join(
-        'select "column", total_rows, non_null, "distinct", minimum, maximum, evidence from ('
+        'select "column", total_rows, non_null, "distinct", minimum, maximum, "values", evidence from ('
         + column_sql("events", c, DERIVED_EVENTS) + ") x"
         for c in ("kind", "nothing", "large", "pair")
     ),
@@ -157,7 +213,10 @@ ORACLES |= {
     ),
     "profile_sketched": " union all ".join(
         f"""select '{c}' as "column", count(*) as total_rows, count({c}) as non_null,
-            {bound_sql("min", c)} as minimum, {bound_sql("max", c)} as maximum from lineitem"""
+            {bound_sql("min", c)} as minimum, {bound_sql("max", c)} as maximum,
+            case when count(distinct {c}) <= 40 then count(distinct {c}) end as "distinct",
+            case when count(distinct {c}) between 1 and 20
+                 then array_to_string(list_sort(list(distinct cast({c} as varchar))), '|') end as "values" from lineitem"""
         for c in COLUMNS["lineitem"].split()
     ),
     "sample_rows": "select * from orders order by o_orderkey limit 20",
@@ -165,13 +224,13 @@ ORACLES |= {
         select event_id, ts as profiled_at from events
         where ts <= timestamp '2024-01-03 12:00:00' and ts > timestamp '2024-01-03 11:55:00'""",
     "list_tables": " union all ".join(
-        f"select '{n}' as \"table\", '{' '.join(c.split())}' as columns, count(*) as approx_rows, "
-        f"cast(0 as bigint) as accepted_rules from {n}"
+        f"select '{n}' as \"table\", (select string_agg(column_name || ':' || {TYPE}, ' ') from (describe {n})) as columns, "
+        f"count(*) as approx_rows, cast(0 as bigint) as accepted_rules from {n}"
         for n, c in COLUMNS.items()
     ),
     "table_columns": " union all ".join(
-        f"select '{n}' as \"table\", cast({i} as int) as position, '{c}' as \"column\" "
-        f"from {n} having count(*) > 0"
+        f"select '{n}' as \"table\", cast({i} as int) as position, '{c}' as \"column\", "
+        f"(select {TYPE} from (describe {n}) where column_name = '{c}') as type from {n} having count(*) > 0"
         for n, columns in COLUMNS.items()
         for i, c in enumerate(columns.split())
     ),
