@@ -107,7 +107,7 @@ def runs(block: int, hashes: np.ndarray, space: GramSpace) -> pa.RecordBatch:
     distinct, counts = np.unique(space.cut(hashes), return_counts=True)
     counts = np.minimum(counts, MOST).astype(np.uint8)
     ranges, starts = space.ranges(distinct)
-    cuts = list(zip(starts, [*starts[1:], len(distinct)], strict=True))
+    cuts = list(zip(starts, [*starts[1:], len(distinct)], strict=True)) if len(distinct) else []
     arrays = [
         pa.array(ranges, pa.int64()), pa.array([block] * len(ranges), pa.int64()),
         pa.array([squeezed(distinct[a:b]) for a, b in cuts], pa.binary()), pa.array([counts[a:b].tobytes() for a, b in cuts], pa.binary()),

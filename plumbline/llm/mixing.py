@@ -75,6 +75,11 @@ def targets(sources: DataFrame, weights: Sequence[float] = WEIGHTS, most: float
     return sources.withColumn("target", F.least(F.col("_bound"), F.col("_weight") * F.lit(float(level or 0)))), row["n"]
 
 
+def _exact(value: Column) -> Column:
+    """A sum in whole parts, which no order of adding up changes."""
+    return F.sum(F.round(value * PARTS).cast("decimal(38,0)")).cast("double") / PARTS
+
+
 def tilts(counts: DataFrame, sources: DataFrame, n_sources: int, most: float = MOST, steps: int = STEPS) -> DataFrame:
     """Sources with the ``_tilt`` of their rates, by Newton steps on the dual of the balancing problem.
 
@@ -97,8 +102,8 @@ def tilts(counts: DataFrame, sources: DataFrame, n_sources: int, most: float = M
             counts.join(_by_source(state.select("_rank", "_tilt", "_scale"), n_sources), "_rank")
             .groupBy("_rank")
             .agg(
-                F.sum(words * F.least(F.lit(float(most)), rate)).alias("_taken"),
-                F.sum(F.when(rate < most, words * x * rate).otherwise(0.0)).alias("_slope"),
+                _exact(words * F.least(F.lit(float(most)), rate)).alias("_taken"),
+                _exact(F.when(rate < most, words * x * rate).otherwise(0.0)).alias("_slope"),
             )
         )
         taken = F.coalesce("_taken", F.lit(0.0))

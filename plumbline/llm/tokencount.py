@@ -27,6 +27,8 @@ LIMIT = 512
 #: Pieces whose prefix counts a worker keeps at most; then it begins anew.
 KEPT_PIECES = 500_000
 NEVER = 1 << 60
+#: Longer pieces are plain letters, numbers, marks or white space: no contraction, no special token.
+SHORT_PIECE = 24
 # The white space and the pieces of this family of vocabularies: fixed values.
 _SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 _PIECES = r"'(?:s|t|re|ve|m|ll|d)| ?{L}+| ?{N}+| ?[^{S}{LN}]+|[{S}]+(?![^{S}])|[{S}]+"
@@ -237,13 +239,32 @@ class PrefixTable:
             return len(self.string)
         # white space cut at the end can save tokens, but only those of its own pieces
         k = bisect_right(self.before, budget)
-        while k < len(self.parts) and not self.parts[k].strip():
+        while k < len(self.parts) and _TAIL_SPACE.fullmatch(self.parts[k]):
             k += 1
-        for chars in range(self.starts[min(k + 1, len(self.parts))], 0, -1):
-            if self.at(chars) <= budget:
-                return chars
+        for j in range(min(k, len(self.parts) - 1), -1, -1):
+            if found := self._longest_in(j, budget):
+                return found
         return 0
 
+    def _longest_in(self, j: int, budget: int) -> int:
+        """The longest prefix within the budget that ends in a piece, past its start; 0 without one."""
+        first, start, end = j, self.starts[j], self.starts[j + 1]
+        least = start + 1
+        if end - start > SHORT_PIECE:
+            if space := _TAIL_SPACE.fullmatch(self.parts[j]):
+                while first and _TAIL_SPACE.fullmatch(self.parts[first - 1]):
+                    first -= 1
+            run = self.string[self.starts[first] : end]
+            counts = self.counter.piece(run)
+            left, at = budget - self.before[first], len(counts) - 1
+            least = start + 1 if space else start + 2  # a single leading blank is left to at()
+            for chars in range(end, least - 1, -1):
+                if counts[at] <= left:
+                    return chars
+                at -= len(self.string[chars - 1].encode())
+            end = least - 1
+        return next((chars for chars in range(end, start, -1) if self.at(chars) <= budget), 0)
+
 
 _LOADED: dict[str, PrefixCounter] = {}
 
