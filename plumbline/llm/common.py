@@ -11,6 +11,13 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from plumbline.operators.ranges import checkpointed, in_ranges, shared_folder
+
+__all__ = [
+    "WORD", "checkpointed", "in_ranges", "replaced", "shared_folder", "shipped", "text_or_empty", "tie_break",
+    "totals_before", "written",
+]
+
 #: The pattern of a word: a run of anything but the six ASCII white-space characters.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -32,23 +39,6 @@ def shipped(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
-    context = spark.sparkContext
-    folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None:
-        folder = tempfile.mkdtemp(prefix="plumbline-")
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(folder)
-    return folder
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """The rows, in the order and partitions they were computed in, in the shared folder."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
-
-
 def written(df: DataFrame, **options: str) -> DataFrame:
     """The rows as a Parquet table in the shared folder, read again."""
     path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
@@ -72,15 +62,6 @@ def tie_break(df: DataFrame) -> Column:
     return F.xxhash64(*[F.col(f"`{f.name}`").cast("string") for f in df.schema.fields])
 
 
-def in_ranges(df: DataFrame, order: Sequence[Column], part: str = "_part") -> DataFrame:
-    """The rows sorted over all partitions and kept that way, with the number of their partition.
-
-    The order should end in a tie break: ranges then also split equal keys.
-    """
-    dealt = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    return checkpointed(dealt.withColumn(part, F.spark_partition_id()))
-
-
 def totals_before(df: DataFrame, sums: dict[str, Column], by: Sequence[str] = ("_part",)) -> list[dict]:
     """Per group of ``by`` its sums and what all groups before it sum to: one row per partition and group.
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm import decontaminate, jaccard, lines, mixing, neighbours, sharding, substring, suffixes, tokencount, toxicity
 from plumbline.llm.common import text_or_empty
+from plumbline.llm.sql import ORACLES
 
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,7 +33,7 @@ def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_near_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with the component of their near copies."""
-    return jaccard.near_copies(read(spark, sf_dir, "documents"))
+    return jaccard.near_copies(read(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
 def op6_contained_items(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -96,6 +97,8 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return counts.withColumn("over_limit", F.col("n_tokens") > tokencount.LIMIT)
 
 
+__all__ = ["ORACLES", "QUERIES"]
+
 QUERIES = {
     "op1_byte_shards": op1_byte_shards,
     "op2_toxicity": op2_toxicity,
@@ -108,33 +111,3 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op10_token_counts": op10_token_counts,
 }
-
-ORACLES: dict[str, str] = {
-    "op6_contained_items": r"""
-        with d as (
-          select doc_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
-          from documents),
-        i as (
-          select item_id, list_filter(regexp_split_to_array(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') as w
-          from benchmark),
-        ds as (select distinct doc_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from d),
-        items as (select distinct item_id, unnest(case when len(w) >= 5 then list_transform(range(1, len(w) - 3), lambda k: array_to_string(w[k:k + 4], ' ')) when len(w) > 0 then [array_to_string(w, ' ')] else [] end) as s from i),
-        n as (select item_id, count(*) as n_shingles from items group by 1)
-        select doc_id, item_id, n_shingles, count(*) as n_shared, count(*) / n_shingles as containment
-        from ds join items using (s) join n using (item_id)
-        group by doc_id, item_id, n_shingles having count(*) * 100 >= n_shingles * 80
-        """,
-    "op9_line_dedup": r"""
-        with l as (
-          select doc_id, string_split(text, chr(10)) as lines from documents),
-        p as (select doc_id, lines, unnest(range(1, len(lines))) as k from l),
-        w as (select doc_id, k, row_number() over (partition by lines[k], lines[k + 1] order by doc_id, k) as n from p),
-        gone as (select distinct doc_id, unnest([k, k + 1]) as k from w where n > 1),
-        spans as (
-          select doc_id, count(*) as n_removed, list(k) as ks, cast(count(*) filter (k <> coalesce(before, -1) + 1) as integer) as n_runs
-          from (select doc_id, k, lag(k) over (partition by doc_id order by k) as before from gone) group by 1)
-        select doc_id, cast(len(lines) as integer) as n_lines, cast(coalesce(n_removed, 0) as integer) as n_removed, coalesce(n_runs, 0) as n_runs,
-               sha256(array_to_string(list_filter(lines, lambda x, j: not coalesce(list_contains(ks, j), false)), chr(10))) as kept_sha256
-        from l left join spans using (doc_id)
-        """,
-}
