@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from plumbline.functions import text
+from plumbline.operators.ranges import checkpointed
 from plumbline.operators.registry import rule_counts
 from plumbline.sources.local import local_frame
 
@@ -88,7 +89,7 @@ def coverage_listing(tables: DataFrame, rules: DataFrame, records: DataFrame) ->
 
     All three buckets are there: one without tables is a row that names none.
     """
-    ranked = ranked_tables(tables, rules, records)
+    ranked = checkpointed(ranked_tables(tables, rules, records))  # a row per table, read twice
     described = buckets(tables.sparkSession)
     rows = ranked.join(F.broadcast(described), "bucket")
     # Three rows at most on either side of the test for empty buckets.

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.operators import suite
+from plumbline.sources.local import local_frame
+from plumbline.sources.tables import Scan
+from plumbline.streaming.progressive import run_progressive
 from workload.derived import table
 
 SHOWN = (
@@ -521,6 +523,16 @@ def evidence_of_thirty_sql() -> str:
         from lineitem, range(30) r(i) where l_extendedprice < 3000 + 100 * i group by i"""
 
 
+def progressive(spark, sf_dir):
+    """The fifteen rules one verdict at a time; one row per verdict, in the order they came."""
+    lineitem = table(spark, sf_dir, "lineitem")
+    rules = [rule for rule, _ in LINEITEM_SUITE]
+    events = list(run_progressive(lineitem, rules, Scan("lineitem", lineitem.count())))
+    told = [e["result"] for e in events if e["event"] == "verdict"]
+    rows = [(e["type"], e["statement"], e["verdict"], e["unexpected_count"], e["magnitude"]) for e in told]
+    return local_frame(spark, rows, "type string, statement string, verdict string, unexpected_count bigint, magnitude string")
+
+
 def violation_counts_all(spark, sf_dir):
     """Every offending value with its rows, not the most frequent ones alone."""
     rule = spec("column_values_to_be_unique", column="l_partkey")
@@ -528,8 +540,12 @@ def violation_counts_all(spark, sf_dir):
     return counts.select(F.col("value").alias("l_partkey"), "rows")
 
 
-QUERIES |= {"long_sets": long_sets, "evidence_of_thirty": evidence_of_thirty, "violation_counts_all": violation_counts_all}
+QUERIES |= {
+    "long_sets": long_sets, "evidence_of_thirty": evidence_of_thirty, "progressive": progressive,
+    "violation_counts_all": violation_counts_all,
+}
 ORACLES |= {
+    "progressive": " union all ".join(f"select type, statement, verdict, unexpected_count, magnitude from ({sql}) s" for _, sql in LINEITEM_SUITE),
     "long_sets": long_sets_sql(),
     "evidence_of_thirty": evidence_of_thirty_sql(),
     "violation_counts_all": "select l_partkey, count(*) as rows from lineitem group by 1 having count(*) > 1",

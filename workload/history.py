@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,8 @@ from plumbline.functions import text
 from plumbline.operators import history as H
 from plumbline.operators import results as R
 from plumbline.operators import review as V
+from plumbline.operators.ranges import shared_folder
+from plumbline.sources import store
 from workload import derived as D
 from workload.checks import magnitude_sql
 from workload.rules import CURRENT, EVIDENCE, LABEL, key_sql, profiles, revisions, sentence_sql
@@ -90,6 +94,14 @@ def run_records(spark, sf_dir):
     )
 
 
+def stored_records(spark, sf_dir):
+    """The records written and read again, one row per nested result."""
+    path = f"{shared_folder(spark)}/records-{uuid.uuid4().hex}"
+    store.append_records(records(spark, sf_dir), path)
+    read = store.read_records(spark, path).select("record_id", F.explode("results").alias("r"))
+    return read.select("record_id", "r.spec_key", "r.verdict")
+
+
 def record_results(spark, sf_dir):
     """The nested results of every record, one row per result, from its JSON document."""
     documents = R.documents(records(spark, sf_dir))
@@ -199,7 +211,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         result_pairs, result_pairs_of_repeated_rules, missing_results, coverage, rollup, completed_runs, invalid_scans, run_records,
-        record_results, latest_run, latest_per_table, find_run, status_atom, coverage_ranking,
+        record_results, stored_records, latest_run, latest_per_table, find_run, status_atom, coverage_ranking,
         coverage_order, coverage_with_empty_bucket, run_slots, review_queue, review_queue_of_table,
         queue_position, budget, review_cards,
     )
@@ -272,6 +284,8 @@ ORACLES = {
     "record_results": f"""select c.run_id as record_id,
         cast(row_number() over (partition by c.run_id order by position, spec_key) - 1 as int) as place,
         spec_key, verdict, r.status, magnitude from {RECORDED} c join {RESULTS} r on c.run_id = r.run_id""",
+    "stored_records": f"""select c.run_id as record_id, spec_key, verdict from {RECORDED} c
+        join {RESULTS} r on c.run_id = r.run_id""",
     "latest_run": f"""select record_id, status, finished_at from ({EVENT_RECORDS}) v where tab = 'user_7'
         order by finished_at desc, record_id desc limit 1""",
     "latest_per_table": f"""select record_id, tab as "table", status, scanned_rows, total_rows, coverage, finished_at

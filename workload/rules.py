@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from plumbline.functions import spec as S
 from plumbline.functions import text
 from plumbline.operators import profile as P
 from plumbline.operators import registry as R
+from plumbline.operators.ranges import shared_folder
 from plumbline.operators.run import run_table
+from plumbline.sources import store
 from plumbline.sources import tables as T
 from workload import derived as D
 from workload.profiles import COLUMNS
@@ -35,6 +39,15 @@ def revision_history(spark, sf_dir):
     return R.revisions(revisions(spark, sf_dir))
 
 
+def stored_revisions(spark, sf_dir):
+    """The revisions written in two appends and read again."""
+    path = f"{shared_folder(spark)}/revisions-{uuid.uuid4().hex}"
+    rules = revisions(spark, sf_dir).withColumn("written_at", F.col("written_at").cast("timestamp"))
+    for part in (rules.filter("revision = 1"), rules.filter("revision <> 1")):
+        store.append_revisions(part, path)
+    return store.read_revisions(spark, path).select("rule_id", "revision", "table", "spec", "status", "reason")
+
+
 def table_history(spark, sf_dir):
     return R.revisions(revisions(spark, sf_dir), table="orders").select("rule_id", "revision", "status")
 
@@ -257,7 +270,7 @@ QUERIES = {
         revision_history, rule_history, current_rules, accepted_rules, executable_rules, rule_counts,
         rule_counts_per_user, revision_conflicts, invalid_revisions, amend, judge, refused_judgments,
         propose, judge_batch, new_proposals, catalog_usage, workbench, statement, spec_identity,
-        open_judgments, table_history, refused_edits, edit_outcomes, judge_in_order,
+        open_judgments, stored_revisions, table_history, refused_edits, edit_outcomes, judge_in_order,
         judgments_without_order, catalog_usage_of_table,
     )
 }
@@ -321,6 +334,7 @@ LABEL = """case status when 'proposed' then 'Unsaved proposal' when 'needs_revie
 
 ORACLES = {
     "revision_history": f"select {COLS} from ({REV}) v",
+    "stored_revisions": f"""select rule_id, revision, tab as "table", spec, status, reason from ({REV}) v""",
     "table_history": f"select rule_id, revision, status from ({REV}) v where tab = 'orders'",
     "rule_history": f"""select revision, tab as "table", status from ({REV}) v where rule_id < '1'""",
     "current_rules": f"select {COLS} from {CURRENT} c",
