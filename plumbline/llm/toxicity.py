@@ -37,8 +37,9 @@ FEATURES = 6_000
 #: Bytes of the word beginnings.
 STARTS = (4, 5, 6, 7)
 THRESHOLD = 0.3
-#: Words whose features a worker keeps.
-KEPT_WORDS = 300_000
+#: Words whose terms a worker keeps, and features that it counts before it passes them on.
+KEPT_WORDS = 150_000
+KEPT_FEATURES = 100_000
 _LETTERS = bytes(c if c >= 128 or chr(c).isalnum() else 32 for c in range(256))
 
 
@@ -231,13 +232,13 @@ def _text_counts(texts: DataFrame) -> DataFrame:
 
         often, toxic = Counter(), Counter()
         for batch in batches:
-            for text, p in zip(batch.column("text").to_pylist(), batch.column("p").to_pylist(), strict=True):
-                found = features_of(words_of(text))
+            for text, p in zip(batch.column("text"), batch.column("p").to_pylist(), strict=True):
+                found = features_of(words_of(text.as_py()))
                 often.update(found)
                 if p > 1e-3:
                     for f in found:
                         toxic[f] += p
-                if len(often) > 200_000:
+                if len(often) > KEPT_FEATURES:
                     yield out(often, toxic)
                     often, toxic = Counter(), Counter()
         yield out(often, toxic)
@@ -296,8 +297,8 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
         lookup, counts = Lookup(voters), Counter()
         for batch in batches:
             given = batch.column("p").to_pylist() if "p" in batch.schema.names else [None] * batch.num_rows
-            for text_, p in zip(batch.column("text").to_pylist(), given, strict=True):
-                counts[sum(1 << v for v in lookup(words_of(text_))), p] += 1
+            for text_, p in zip(batch.column("text"), given, strict=True):
+                counts[sum(1 << v for v in lookup(words_of(text_.as_py()))), p] += 1
         keys = list(counts)
         yield pa.RecordBatch.from_arrays(
             [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.float64()), pa.array([counts[k] for k in keys], pa.int64())],
@@ -319,7 +320,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(voters)
         for batch in batches:
-            p = [posterior[sum(1 << v for v in lookup(words_of(t)))] for t in batch.column("text").to_pylist()]
+            p = [posterior[sum(1 << v for v in lookup(words_of(t.as_py())))] for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(p, pa.float64())], ["text", "p"])
 
     share = min(1.0, TRAINED / max(1, sum(everything.values())))
@@ -335,7 +336,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(numbers_of)
         for batch in batches:
-            ids = [sorted(lookup(words_of(t))) for t in batch.column("text").to_pylist()]
+            ids = [sorted(lookup(words_of(t.as_py()))) for t in batch.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), batch.column("p")], ["ids", "p"])
 
     # about TRAINED rows; texts with the same features are one row with their mean label
