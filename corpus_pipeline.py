@@ -15,6 +15,8 @@ from plumbline.llm import decontaminate, jaccard, mixing, sharding, toxicity
 from plumbline.llm.common import checkpointed, written
 
 SHARDS = 40
+#: Near copies share at least 80 hundredths of their five-word shingles.
+WIDTH, PERCENT = 5, 80
 #: Keys up to which a set of documents to drop is broadcast (16 bytes each); beyond, the join shuffles.
 BROADCAST_KEYS = 200_000
 #: Columns that operators read; all others travel under names that no operator uses.
@@ -42,7 +44,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     safe, names = _shielded(docs)
     safe = safe.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = jaccard.near_copies(safe.select("_key", "text"), key="_key")
+    found = jaccard.near_copies(safe.select("_key", "text"), key="_key", width=WIDTH, percent=PERCENT)
     keys = safe.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
     groups = found.select("_key", "component_id").distinct().join(keys, "_key")
     groups = checkpointed(groups)
