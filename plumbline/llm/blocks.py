@@ -8,6 +8,7 @@ in the block's own order, so the answer to a block is one byte per distinct gram
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -28,6 +29,7 @@ SPARE_BITS = 12
 #: Counts are told up to this.
 MOST = 255
 U = np.uint64
+_LIBC = ctypes.CDLL(None)
 
 BLOCKS = "block long, keys array<long>, sizes array<int>, raw long, body binary"
 
@@ -63,6 +65,13 @@ def packed(df: DataFrame, text: str = "text", key: str = "doc_id", block_bytes:
     return written(rows.mapInArrow(pack, BLOCKS), compression="none")
 
 
+def released() -> None:
+    """Gives the memory that a block took back to the system, since workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(_LIBC, "malloc_trim", None):
+        trim(0)
+
+
 def total_bytes(blocks: DataFrame) -> int:
     return blocks.agg(F.sum("raw")).first()[0] or 0
 
@@ -144,6 +153,7 @@ def gram_counts(blocks: DataFrame, grams: Callable[[list[bytes]], np.ndarray], s
         for batch in batches:
             for row in batch.to_pylist():
                 yield runs(row["block"], grams(texts_of(row["body"], row["sizes"])), space)
+                released()
 
     return answered(blocks.select("block", "sizes", "body").mapInArrow(send, RUNS))
 

@@ -78,6 +78,8 @@ def shingle_sets(blocks: DataFrame, width: int, percent: int) -> DataFrame:
                 bits = np.bincount((tokens.view(W.U) >> W.U(54)).astype(np.int64), minlength=FOLDED_BITS) & 1
                 node |= {"unshared": unshared, "prefix": tokens[unshared:length], "tokens": tokens, "folded": np.packbits(bits.astype(np.uint8)).tobytes()}
             out.append(node)
+        del every, counts, sets
+        B.released()
         return pa.Table.from_pylist(out, ARROW_NODES)
 
     answers = B.gram_counts(blocks, grams, space)
@@ -134,7 +136,7 @@ def near_copies(
     members = checkpointed(members.select("group", "row"))
     postings = groups.select("group", "first", "n", F.posexplode("prefix").alias("place", "token"))
     postings = postings.select("group", "first", "n", "token")
-    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("long")).where("long > 1")
+    shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("long")).where("long > 1").select("token")
     postings = checkpointed(postings.join(shared, "token"))
 
     def tried(leaders: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -150,16 +152,19 @@ def near_copies(
         pairs = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
         return pairs.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b")
 
-    def chosen(order: Column) -> DataFrame:
-        lead = F.min(F.struct(order.alias("order"), F.col("first").alias("lead"), F.col("group").alias("lead_group"), F.col("n").alias("lead_n")))
-        return postings.groupBy("token").agg(lead.alias("l")).select("token", "l.lead", "l.lead_group", "l.lead_n")
+    def chosen(*orders: Column) -> DataFrame:
+        """The group of each list that is first in each order; an order is a number of the group."""
+        least = postings.groupBy("token").agg(*[F.min(o).alias(f"o{k}") for k, o in enumerate(orders)])
+        each = F.array(*[F.struct(F.lit(k).alias("k"), F.col(f"o{k}").alias("o")) for k in range(len(orders))])
+        least = least.select("token", F.inline(each))
+        numbers = F.array(*[F.struct(F.lit(k).alias("k"), o.alias("o")) for k, o in enumerate(orders)])
+        leaders = groups.select(F.col("first").alias("lead"), F.col("group").alias("lead_group"), F.col("n").alias("lead_n"), F.inline(numbers))
+        return least.join(leaders, ["k", "o"]).select("token", "lead", "lead_group", "lead_n").distinct()
 
     edges = checkpointed(_verified(tried(chosen(F.col("first")), None), distinct, percent))
     labels = components(edges)
-    some = chosen(F.xxhash64("first", F.lit(0)))
-    for k in range(1, TRIED):
-        some = some.union(chosen(F.xxhash64("first", F.lit(k))))
-    edges = checkpointed(edges.union(_verified(tried(some.distinct(), labels), distinct, percent)))
+    some = chosen(*[F.xxhash64("first", F.lit(k)) for k in range(TRIED)])
+    edges = checkpointed(edges.union(_verified(tried(some, labels), distinct, percent)))
     labels = components(edges)
     rest = _across(postings, members, distinct, labels, percent)
     more = checkpointed(_verified(rest, distinct, percent))

@@ -11,7 +11,7 @@ and beginnings of a bounded sample of texts is trained on the posteriors, and sc
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -208,6 +208,19 @@ def logistic(rows: list[list[int]], targets: np.ndarray, n: int, penalty: float
     return np.where(often > 0, w, 0.0), float(bias)
 
 
+class Judge:
+    """The posterior of a text's votes."""
+
+    def __init__(self, voters: dict[bytes, int], posterior: dict[int, float]) -> None:
+        self.voters, self.posterior, self.lookup = voters, posterior, Lookup(voters)
+
+    def fresh(self) -> Judge:
+        return Judge(self.voters, self.posterior)
+
+    def __call__(self, words: Counter) -> float:
+        return self.posterior[sum(1 << v for v in self.lookup(words))]
+
+
 @dataclass
 class Model:
     """The classifier, and the voters and label model that it was trained by."""
@@ -219,8 +232,11 @@ class Model:
     accuracies: list[float]
 
 
-def _text_counts(texts: DataFrame) -> DataFrame:
-    """(feature, toxic, often) from (text, p): sums over distinct features of texts, added up per task first."""
+def _text_counts(texts: DataFrame, judge: Callable[[Counter], float] | None = None) -> DataFrame:
+    """(feature, toxic, often) from (text, p): sums over distinct features of texts, added up per task first.
+
+    ``judge`` gives the p of a text's words where there is no such column.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(often: Counter, toxic: Counter) -> pa.RecordBatch:
@@ -232,8 +248,11 @@ def _text_counts(texts: DataFrame) -> DataFrame:
 
         often, toxic = Counter(), Counter()
         for batch in batches:
-            for text, p in zip(batch.column("text"), batch.column("p").to_pylist(), strict=True):
-                found = features_of(words_of(text.as_py()))
+            given = batch.column("p").to_pylist() if judge is None else [None] * batch.num_rows
+            for text, p in zip(batch.column("text"), given, strict=True):
+                words = words_of(text.as_py())
+                p = judge(words) if judge else p
+                found = features_of(words)
                 often.update(found)
                 if p > 1e-3:
                     for f in found:
@@ -317,27 +336,31 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
     model = fitted(patterns, counts, np.array([[labelled[n, 0], labelled[n, 1]] for n in numbers]))
     posterior = dict(zip(numbers, model.posterior(patterns).tolist(), strict=True))
 
-    def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(voters)
-        for batch in batches:
-            p = [posterior[sum(1 << v for v in lookup(words_of(t.as_py())))] for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([batch.column("text"), pa.array(p, pa.float64())], ["text", "p"])
-
+    judge = Judge(voters, posterior)
     share = min(1.0, TRAINED / max(1, sum(everything.values())))
     chosen = texts.where(~held_out("key") & (F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < int(share * (1 << 20))))
-    chosen = chosen.select("text").distinct().mapInArrow(judged, "text string, p double")
-    row = chosen.agg(F.sum("p"), F.count(F.lit(1))).first()
-    toxic, clean = float(row[0] or 0), float(row[1] - (row[0] or 0))
-    found = _telling(_text_counts(chosen), toxic, clean, FEATURES, ODDS / 2, SURE)
+    chosen = checkpointed(chosen.select("text").distinct())
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, toxic, n = judge.fresh(), 0.0, 0
+        for batch in batches:
+            toxic += sum(own(words_of(t.as_py())) for t in batch.column("text"))
+            n += batch.num_rows
+        yield pa.RecordBatch.from_arrays([pa.array([toxic]), pa.array([n], pa.int64())], ["p", "n"])
+
+    row = chosen.mapInArrow(summed, "p double, n long").agg(F.round(F.sum("p"), 6), F.sum("n")).first()
+    toxic, clean = float(row[0] or 0), float((row[1] or 0) - (row[0] or 0))
+    found = _telling(_text_counts(chosen, judge), toxic, clean, FEATURES, ODDS / 2, SURE)
     numbers_of = {f: i for i, (f, _) in enumerate(found)}
     for term in voters:
         numbers_of.setdefault(term, len(numbers_of))
 
     def encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup = Lookup(numbers_of)
+        lookup, own = Lookup(numbers_of), judge.fresh()
         for batch in batches:
-            ids = [sorted(lookup(words_of(t.as_py()))) for t in batch.column("text")]
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), batch.column("p")], ["ids", "p"])
+            words = [words_of(t.as_py()) for t in batch.column("text")]
+            ids, p = [sorted(lookup(w)) for w in words], [own(w) for w in words]
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(p, pa.float64())], ["ids", "p"])
 
     # about TRAINED rows; texts with the same features are one row with their mean label
     rows = chosen.mapInArrow(encoded, "ids array<int>, p double").orderBy("p", "ids").collect()

@@ -12,7 +12,7 @@ import numpy as np
 
 U = np.uint64
 #: Bytes of text hashed at a time; a longer text is a batch of its own.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _BASE = U(0x9E3779B97F4A7C15)
