@@ -87,11 +87,11 @@ def test_checksums_are_those_of_the_utf8_bytes(docs):
 # --- 3: near copies ------------------------------------------------------------------------
 
 
-def near_copies_by_force(rows, percent=90):
+def near_copies_by_force(rows, width=3, percent=90):
     sets = []
     for _, text, *_ in rows:
         w = words((text or "").encode().lower().decode())
-        sets.append(frozenset(tuple(w[i : i + 3]) for i in range(len(w) - 2)) if len(w) > 2 else frozenset([tuple(w)] if w else []))
+        sets.append(frozenset(tuple(w[i : i + width]) for i in range(len(w) - width + 1)) if len(w) >= width else frozenset([tuple(w)] if w else []))
     part = list(range(len(rows)))
 
     def root(i):
@@ -111,9 +111,10 @@ def near_copies_by_force(rows, percent=90):
     return Counter((key, len(sets[i]), low[root(i)]) for i, (key, *_) in enumerate(rows))
 
 
-def test_near_copies_agree_with_all_pairs(docs):
-    got = jaccard.near_copies(docs.withColumn("tokens", F.lit(1)))
-    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == near_copies_by_force(corpus())
+@pytest.mark.parametrize("width, percent", [(3, 90), (5, 80), (1, 50)])
+def test_near_copies_agree_with_all_pairs(docs, width, percent):
+    got = jaccard.near_copies(docs.withColumn("tokens", F.lit(1)), width=width, percent=percent)
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == near_copies_by_force(corpus(), width, percent)
 
 
 def test_lists_longer_than_a_block_lose_no_link(spark, frame, monkeypatch):
