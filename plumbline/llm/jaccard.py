@@ -6,7 +6,8 @@ groups, and only what passes is expanded to members and verified on the whole se
 
 Links are found in three steps, none of which writes out all pairs of a list: every posting list
 is tried against its smallest group, then against a few groups chosen by hash, and at last only
-the pairs of a list that lie in different components so far are tried, in blocks.
+the pairs of a list that lie in different components so far are tried, in blocks. Members of a group
+whose prefix no other group shares are a list of their own there.
 """
 
 from __future__ import annotations
@@ -131,13 +132,16 @@ def near_copies(
     group = F.xxhash64("n_shingles", "unshared", "prefix")
     members = distinct.select(group.alias("group"), "row", F.col("n_shingles").alias("n"), "unshared", "prefix")
     groups = checkpointed(
-        members.groupBy("group").agg(F.min("row").alias("first"), F.first("n").alias("n"), F.first("unshared").alias("unshared"), F.first("prefix").alias("prefix"))
+        members.groupBy("group").agg(F.min("row").alias("first"), F.first("n").alias("n"), F.first("unshared").alias("unshared"), F.first("prefix").alias("prefix"), F.count(F.lit(1)).alias("members"))
     )
     members = checkpointed(members.select("group", "row"))
     postings = groups.select("group", "first", "n", F.posexplode("prefix").alias("place", "token"))
     postings = postings.select("group", "first", "n", "token")
     shared = postings.groupBy("token").agg(F.count(F.lit(1)).alias("long")).where("long > 1").select("token")
     postings = checkpointed(postings.join(shared, "token"))
+    # all pairs of two members are tried with the first one; of more members, they need a list
+    alone = groups.where("members > 2").join(postings.select("group").distinct(), "group", "left_anti")
+    alone = alone.select(F.get("prefix", F.lit(0)).alias("token"), "group", "first", "n")
 
     def tried(leaders: DataFrame, labels: DataFrame | None) -> DataFrame:
         """Candidate rows from leading groups and the other groups of their lists, and from groups' members."""
@@ -166,7 +170,7 @@ def near_copies(
     some = chosen(*[F.xxhash64("first", F.lit(k)) for k in range(TRIED)])
     edges = checkpointed(edges.union(_verified(tried(some, labels), distinct, percent)))
     labels = components(edges)
-    rest = _across(postings, members, distinct, labels, percent)
+    rest = _across(postings.unionByName(alone), members, distinct, labels, percent)
     more = checkpointed(_verified(rest, distinct, percent))
     if more.take(1):
         labels = components(edges.union(more))

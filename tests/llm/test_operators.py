@@ -133,6 +133,18 @@ def test_lists_longer_than_a_block_lose_no_link(spark, frame, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == near_copies_by_force(rows)
 
 
+def test_members_of_one_group_link_without_its_first(frame):
+    """No other group shares the prefix of the three documents, and their first links with neither other."""
+    header, p, q = "h1 h2 h3 h4 h5 h6 h7", [f"p{i}" for i in range(31)], [f"q{i}" for i in range(31)]
+    p, q = " ".join(["s1", "s2", *p]), " ".join(["s1", "s2", *q])
+    texts = [f"{header} {q} x3", f"{header} {p} x1", f"{header} {p} x2"]
+    texts += [" ".join([f"l{i}w{k}" for k in range(90)] + [p, f"m{i}", q] + [f"r{i}w{k}" for k in range(90)]) for i in range(6)]
+    rows = [(i, t, None, None) for i, t in enumerate(texts)]
+    got = jaccard.near_copies(frame(rows, DDL).coalesce(1))
+    told = Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect())
+    assert told == near_copies_by_force(rows) and told[2, 39, 1] == 1
+
+
 def test_near_copies_of_nothing(nothing):
     assert jaccard.near_copies(nothing).collect() == []
 
