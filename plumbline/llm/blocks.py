@@ -23,6 +23,10 @@ from plumbline.llm.common import shipped, text_or_empty, written
 #: Text in a block, and text whose grams meet in one range.
 BLOCK_BYTES = 4 << 20
 RANGE_BYTES = 4 << 20
+#: Bits of a row's number within its block, and of a block's within its partition. Numbers of rows
+#: hold both and 23 bits of the partition, so they stay below 2 ** 63.
+ROW_BITS = 20
+BLOCK_BITS = 20
 #: Bits of a hash beyond those that number the bytes of the corpus: one gram in 2 ** 12 at most
 #: is taken for another one here. What follows compares the grams themselves.
 SPARE_BITS = 12
@@ -35,14 +39,19 @@ BLOCKS = "block long, keys array<long>, sizes array<int>, raw long, body binary"
 
 
 def packed(df: DataFrame, text: str = "text", key: str = "doc_id", block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """Blocks of whole texts (null: empty) with their keys, compressed, as a table in the shared folder."""
+    """Blocks of whole texts (null: empty) with their keys, compressed, as a table in the shared folder.
+
+    A block ends before ``block_bytes`` are exceeded, and after ``2 ** ROW_BITS`` texts.
+    """
     shipped(df.sparkSession)
     rows = df.select(F.col(f"`{key}`").cast("long").alias("key"), text_or_empty(text).alias("text"))
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        first, n, keys, texts, raw = TaskContext.get().partitionId() << 32, 0, [], [], 0
+        first, n, keys, texts, raw = TaskContext.get().partitionId() << BLOCK_BITS, 0, [], [], 0
 
         def block() -> pa.RecordBatch:
+            if n >> BLOCK_BITS:
+                raise OverflowError(f"more than {1 << BLOCK_BITS} blocks in a partition")
             body = zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
             arrays = [
                 pa.array([first + n], pa.int64()), pa.array([keys], pa.list_(pa.int64())),
@@ -53,7 +62,7 @@ def packed(df: DataFrame, text: str = "text", key: str = "doc_id", block_bytes:
         for batch in batches:
             for key_, value in zip(batch.column("key").to_pylist(), batch.column("text"), strict=True):
                 data = value.as_buffer().to_pybytes()
-                if raw and raw + len(data) > block_bytes:
+                if raw and raw + len(data) > block_bytes or len(keys) >> ROW_BITS:
                     yield block()
                     n, keys, texts, raw = n + 1, [], [], 0
                 keys.append(key_)

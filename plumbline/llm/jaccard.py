@@ -69,7 +69,7 @@ def shingle_sets(blocks: DataFrame, width: int, percent: int) -> DataFrame:
         for i, (key, tokens) in enumerate(zip(row["keys"], sets, strict=True)):
             n, often = len(tokens), counts[at : at + len(tokens)]
             at += n
-            node = {"row": (row["block"] << 24) + i, "key": key, "n_shingles": n}
+            node = {"row": (row["block"] << B.ROW_BITS) + i, "key": key, "n_shingles": n}
             node["set_a"], node["set_b"] = (int(W.mix(tokens + W.U(k)).sum(dtype=W.U).view(np.int64)) for k in (1, 2))
             if n and int((often > 1).sum()) >= least_common(n, percent):
                 order = np.lexsort((tokens, often))

@@ -145,6 +145,20 @@ def test_members_of_one_group_link_without_its_first(frame):
     assert told == near_copies_by_force(rows) and told[2, 39, 1] == 1
 
 
+def test_rows_are_numbered_in_every_partition(spark, monkeypatch):
+    """Partitions from the 129th on, and blocks that end by their number of empty texts."""
+    texts = F.when(F.col("id") < 8, F.lit("")).otherwise(F.concat_ws(" ", F.lit("one two three"), F.col("id") % 2))
+    docs = spark.range(0, 300, 1, 150).select(F.col("id").alias("doc_id"), texts.alias("text")).where("id < 8 or id > 255")
+    monkeypatch.setattr(blocks, "ROW_BITS", 0)
+    packed = blocks.packed(docs)
+    monkeypatch.undo()
+    assert packed.count() == 52 and max(len(r["keys"]) for r in packed.select("keys").collect()) == 1
+    packed = blocks.packed(docs)
+    sets = [r["row"] for r in jaccard.shingle_sets(packed, 3, 90).select("row").collect()]
+    assert len(set(sets)) == 52 and 149 << 40 <= max(sets) < 1 << 63
+    assert (((1 << 23) - 1) << blocks.BLOCK_BITS | (1 << blocks.BLOCK_BITS) - 1) << blocks.ROW_BITS < 1 << 63
+
+
 def test_near_copies_of_nothing(nothing):
     assert jaccard.near_copies(nothing).collect() == []
 
