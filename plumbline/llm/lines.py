@@ -13,10 +13,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import checkpointed, in_ranges, replaced, text_or_empty, totals_before, written
+from plumbline.llm.common import WORD, checkpointed, in_ranges, replaced, text_or_empty, totals_before, written
 
 #: Lines in the shortest run that is deleted.
 LINES = 2
+#: Words of a line that goes alone, for callers that ask for it.
+ALONE = 20
 #: Places: a document's number times this, and the line.
 STRIDE = 1 << 28
 
@@ -33,13 +35,13 @@ def _ahead(named: DataFrame, lines: int) -> DataFrame:
     return named.join(later, "place").select("place", "name", "then")
 
 
-def repeated_runs(lines: DataFrame, shortest: int = LINES) -> DataFrame:
+def repeated_runs(lines: DataFrame, shortest: int = LINES, named: DataFrame | None = None) -> DataFrame:
     """(place, first, longest) of later copies of runs of ``shortest`` lines, from (place, line_a, line_b).
 
     ``first`` is the first place that has the run and ``longest`` the longest power of two of lines
-    with which an earlier place begins alike (at least 1).
+    with which an earlier place begins alike (at least 1). ``named`` has the names of lines, if known.
     """
-    level, length = _named(lines, "line_a", "line_b"), 1
+    level, length = named or _named(lines, "line_a", "line_b"), 1
     runs = level if shortest == 1 else None
     longest = level.where("name < place").select("place", F.lit(1).alias("lines"))
     while level.take(1):
@@ -54,12 +56,14 @@ def repeated_runs(lines: DataFrame, shortest: int = LINES) -> DataFrame:
     return runs.where("name < place").join(longest, "place").select("place", F.col("name").alias("first"), "longest")
 
 
-def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", shortest: int = LINES) -> DataFrame:
+def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", shortest: int = LINES, alone: int | None = None) -> DataFrame:
     """Each row with ``n_lines``, the deleted ``spans`` of lines and the ``kept`` text; other columns stay.
 
     Lines end at newlines, an empty text is one empty line and a null text has none (kept: null).
     A line goes if a run of ``shortest`` lines that covers it also starts earlier: in a row with a
     smaller key (null is the largest; rows of one key come as they are read) or further up in the same text.
+    With ``alone``, so does a line that occurs earlier if it has that many words, or has words and is
+    its whole text.
     ``spans`` are structs of the first line and the line after the last. Repeated rows are later
     copies. No rows give no rows; input columns named like an output are replaced.
     """
@@ -71,17 +75,33 @@ def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", shortes
     number = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
     numbered = numbered.join(F.broadcast(starts), "_part").select("_row", number.alias("number"))  # a row per partition
 
-    each = F.transform(F.split(text_or_empty(text), "\n", -1), lambda x: F.struct(F.xxhash64(x).alias("line_a"), F.hash(x).alias("line_b")))
+    split = F.split(text_or_empty(text), "\n", -1)
+
+    def hashes(line: Column) -> Column:
+        both = [F.xxhash64(line).alias("line_a"), F.hash(line).alias("line_b")]
+        if alone is not None:
+            words = F.regexp_count(line, F.lit(WORD))
+            both.append(((words >= alone) | ((F.size(split) == 1) & (words > 0))).alias("alone"))
+        return F.struct(*both)
+
+    each = F.transform(split, hashes)
     hashed = rows.where(F.col(f"`{text}`").isNotNull()).select("_row", each.alias("lines"))
     places = hashed.join(numbered, "_row").select("_row", "number", F.posexplode("lines").alias("line", "hashes"))
-    places = checkpointed(places.select((F.col("number") * STRIDE + F.col("line")).alias("place"), "hashes.line_a", "hashes.line_b"))
-
-    runs = repeated_runs(places, shortest).select(F.floor(F.col("place") / STRIDE).alias("number"), (F.col("place") % STRIDE).cast("int").alias("line"))
+    places = checkpointed(places.select((F.col("number") * STRIDE + F.col("line")).alias("place"), "hashes.*"))
+
+    named = _named(places, "line_a", "line_b")
+    runs = repeated_runs(places, shortest, named).select("place", F.lit(shortest).alias("lines"))
+    if alone is not None:
+        single = named.where("name < place").join(places.where("alone"), "place", "left_semi")
+        runs = runs.union(single.select("place", F.lit(1).alias("lines")))
+    line = (F.col("place") % STRIDE).cast("int")
+    runs = runs.select(F.floor(F.col("place") / STRIDE).alias("number"), line.alias("line"), (line + F.col("lines")).alias("end"))
     # a document's runs, some lines each, join where one begins before the last has ended
-    in_text = Window.partitionBy("number").orderBy("line")
-    begins = F.coalesce(F.col("line") > F.lag("line").over(in_text) + shortest, F.lit(True))
-    islands = runs.withColumn("island", F.sum(begins.cast("int")).over(in_text))
-    spans = islands.groupBy("number", "island").agg(F.min("line").alias("start"), (F.max("line") + shortest).alias("end"))
+    in_text = Window.partitionBy("number").orderBy("line", "end")
+    earlier = in_text.rowsBetween(Window.unboundedPreceding, -1)
+    begins = F.coalesce(F.col("line") > F.max("end").over(earlier), F.lit(True))
+    islands = runs.withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(in_text))
+    spans = islands.groupBy("number", "island").agg(F.min("line").alias("start"), F.max("end").alias("end"))
     spans = spans.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
     found = checkpointed(numbered.join(spans, "number").select("_row", "spans"))
 

@@ -84,13 +84,18 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op9_line_dedup(spark: SparkSession, sf_dir: str, alone: int | None = None) -> DataFrame:
     """All documents without the runs of two lines that occur earlier."""
-    found = lines.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = lines.deduplicated(read(spark, sf_dir, "documents").select("doc_id", "text"), alone=alone)
     gone = F.aggregate("spans", F.lit(0), lambda a, s: a + s["end"] - s["start"])
     return found.select("doc_id", "n_lines", gone.alias("n_removed"), F.size("spans").alias("n_runs"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+def op9_line_dedup_alone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same, also without lines that occur earlier and have twenty words or are the whole text."""
+    return op9_line_dedup(spark, sf_dir, lines.ALONE)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None) -> DataFrame:
     """Tokens of every whole document, and what of it 512 tokens hold."""
     counts = tokencount.token_counts(read(spark, sf_dir, "documents"), path or tokenizer_path())
@@ -109,5 +114,6 @@ QUERIES = {
     "op7_repeated_passages": op7_repeated_passages,
     "op8_mix": op8_mix,
     "op9_line_dedup": op9_line_dedup,
+    "op9_line_dedup_alone": op9_line_dedup_alone,
     "op10_token_counts": op10_token_counts,
 }

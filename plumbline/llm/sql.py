@@ -95,6 +95,27 @@ LINES = """
         from l left join spans using (doc_id)
         """
 
+# Besides the runs of two lines, lines of twenty words and lines that are a whole text.
+LINES_ALONE = """
+        with l as (
+          select doc_id, string_split(text, chr(10)) as lines from documents),
+        p as (select doc_id, lines, unnest(range(1, len(lines) + 1)) as k from l),
+        w as (
+          select doc_id, k, row_number() over (partition by lines[k], lines[k + 1] order by doc_id, k) as n from p where k < len(lines)),
+        o as (
+          select doc_id, k, len(lines) as n_lines, len(regexp_extract_all(lines[k], '[^\\x20\\x09-\\x0D]+')) as words,
+                 row_number() over (partition by lines[k] order by doc_id, k) as n from p),
+        gone as (
+          select doc_id, unnest([k, k + 1]) as k from w where n > 1
+          union select doc_id, k from o where n > 1 and (words >= 20 or n_lines = 1 and words > 0)),
+        spans as (
+          select doc_id, count(*) as n_removed, list(k) as ks, cast(count(*) filter (k <> coalesce(before, -1) + 1) as integer) as n_runs
+          from (select doc_id, k, lag(k) over (partition by doc_id order by k) as before from gone) group by 1)
+        select doc_id, cast(len(lines) as integer) as n_lines, cast(coalesce(n_removed, 0) as integer) as n_removed, coalesce(n_runs, 0) as n_runs,
+               sha256(array_to_string(list_filter(lines, lambda x, j: not coalesce(list_contains(ks, j), false)), chr(10))) as kept_sha256
+        from l left join spans using (doc_id)
+        """
+
 ORACLES = {
     "op1_byte_shards": SHARDS,
     "op3_near_copies": NEAR_COPIES,
@@ -102,4 +123,5 @@ ORACLES = {
     "op6_contained_items": CONTAINED_ITEMS,
     "op7_repeated_passages": PASSAGES,
     "op9_line_dedup": LINES,
+    "op9_line_dedup_alone": LINES_ALONE,
 }

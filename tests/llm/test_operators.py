@@ -475,6 +475,29 @@ def test_line_dedup_agrees_with_brute_force(frame, shortest):
     assert told == line_dedup_by_force(rows, shortest)
 
 
+def test_long_lines_and_whole_texts_go_alone(frame):
+    r = random.Random(5)
+    pool = ["a", "b c", "", "one two  three", "x y z w", "\tp q r", "lone"]
+    rows = [(i, "\n".join(r.choice(pool) for _ in range(r.randint(1, 7))), None, None) for i in range(25)]
+    rows += [(30, "lone", None, None), (31, "lone", None, None), (32, "", None, None), (33, "", None, None), (34, None, None, None)]
+    seen, pairs, wanted = set(), set(), Counter()
+    for key, text, *_ in rows:
+        own = [] if text is None else text.split("\n")
+        gone = set()
+        for k, line in enumerate(own):
+            pair = tuple(own[k : k + 2])
+            if len(pair) == 2 and pair in pairs:
+                gone |= {k, k + 1}
+            if line in seen and (len(line.split()) >= 3 or len(own) == 1 and line.split()):
+                gone.add(k)
+            seen.add(line)
+            pairs.add(pair)
+        runs = sum(k - 1 not in gone for k in gone)
+        wanted[key, len(gone), runs, None if text is None else "\n".join(x for k, x in enumerate(own) if k not in gone)] += 1
+    got = lines.deduplicated(frame(rows, DDL), alone=3).collect()
+    assert Counter((g.doc_id, sum(s.end - s.start for s in g.spans), len(g.spans), g.kept) for g in got) == wanted
+
+
 def test_no_lines(nothing):
     assert lines.deduplicated(nothing).collect() == []
 
