@@ -10,6 +10,7 @@ from plumbline.functions import spec as S
 from plumbline.functions import text
 from plumbline.operators import profile as P
 from plumbline.operators import registry as R
+from plumbline.operators.lint import lint
 from plumbline.operators.ranges import shared_folder
 from plumbline.operators.run import run_table
 from plumbline.sources import store
@@ -184,7 +185,7 @@ def propose(spark, sf_dir):
 
 def judge_batch(spark, sf_dir):
     """One decision over candidates and stored rules."""
-    fine = candidates(spark, sf_dir).filter("candidate_id % 3 <> 0")
+    fine = lint(candidates(spark, sf_dir), schema(spark, sf_dir), ["candidate_id"]).filter("ok").drop("ok", "reason")
     rules = revisions(spark, sf_dir)
     held = R.current(rules).filter("status = 'needs_review'").select("rule_id")
     at = F.lit("2024-06-01").cast("timestamp_ntz")
@@ -194,6 +195,18 @@ def judge_batch(spark, sf_dir):
     return written.select("rule_id", "revision", "table", "spec", "status", "reason")
 
 
+def judge_batch_refused(spark, sf_dir):
+    """The same decision over all candidates, which the unsound ones refuse: their faults, and what the refusal told."""
+    rules, offered, fields = revisions(spark, sf_dir), candidates(spark, sf_dir), schema(spark, sf_dir)
+    held = R.current(rules).filter("status = 'needs_review'").select("rule_id")
+    told = None
+    try:
+        R.judge_batch(rules, offered, held, "rejected", "not ours", fields, "second")
+    except ValueError as refusal:
+        told = str(refusal)
+    return R.refused(offered, fields).select("candidate_id", "reason", F.lit(told).cast("string").alias("told"))
+
+
 def proposals_for_known_rules(spark, sf_dir):
     """Candidates that say what stored rules say, with other spellings of the same numbers."""
     return D.from_sql(
@@ -269,7 +282,7 @@ QUERIES = {
     for f in (
         revision_history, rule_history, current_rules, accepted_rules, executable_rules, rule_counts,
         rule_counts_per_user, revision_conflicts, invalid_revisions, amend, judge, refused_judgments,
-        propose, judge_batch, new_proposals, catalog_usage, workbench, statement, spec_identity,
+        propose, judge_batch, judge_batch_refused, new_proposals, catalog_usage, workbench, statement, spec_identity,
         open_judgments, stored_revisions, table_history, refused_edits, edit_outcomes, judge_in_order,
         judgments_without_order, catalog_usage_of_table,
     )
@@ -385,6 +398,10 @@ ORACLES = {
         union all select rule_id, 2, 'orders', spec, 'rejected', 'not ours' from fresh
         union all select rule_id, cast(revision + 1 as int), tab, spec, 'rejected', 'not ours'
         from {CURRENT} c where status = 'needs_review'""",
+    "judge_batch_refused": '''
+        select p_partkey as candidate_id, reason, reason as told
+        from part, (select 'expect_column_values_to_be_in_set: orders has no column "o_comment"' as reason) r
+        where p_partkey % 3 = 0''',
     "new_proposals": f"""
         with offered as (
           select l_orderkey as candidate_id, l_linenumber as line,
