@@ -19,7 +19,8 @@ from plumbline.llm.common import WORD, checkpointed, in_ranges, replaced, text_o
 #: Weights of the sources in code-point order, repeating; fixed by the task.
 WEIGHTS = (5, 2, 1)
 MOST = 3
-STEPS = 12
+#: Steps go on until the words taken of each source are within this share of its target.
+NEAR = 1e-6
 #: Rates are added up in whole parts of this size, so running totals are exact.
 PARTS = 1 << 20
 #: Up to so many sources, a table with one row per source is broadcast; more are joined by a shuffle.
@@ -80,11 +81,13 @@ def _exact(value: Column) -> Column:
     return F.sum(F.round(value * PARTS).cast("decimal(38,0)")).cast("double") / PARTS
 
 
-def tilts(counts: DataFrame, sources: DataFrame, n_sources: int, most: float = MOST, steps: int = STEPS) -> DataFrame:
+def tilts(counts: DataFrame, sources: DataFrame, n_sources: int, most: float = MOST) -> DataFrame:
     """Sources with the ``_tilt`` of their rates, by Newton steps on the dual of the balancing problem.
 
     A step is one aggregate over the ``counts`` of (_rank, size). A bracket per source keeps every
-    step inside what earlier steps have ruled out; where Newton leaves it, it is halved.
+    step inside what earlier steps have ruled out; where Newton leaves it, it is halved, or reaches
+    twice as far while it is open on that side. Steps end when every source is near its target or
+    its tilt no longer moves. Held sources need no tilt.
     """
     counts = counts.where("size > 0")
     words = F.col("_n") * F.col("size")
@@ -92,12 +95,12 @@ def tilts(counts: DataFrame, sources: DataFrame, n_sources: int, most: float = M
     state = checkpointed(
         sources.join(scale, "_rank", "left").select(
             *sources.columns, F.coalesce("_scale", F.lit(1.0)).alias("_scale"), F.lit(0.0).alias("_tilt"),
-            F.lit(-STEEPEST).alias("_low"), F.lit(STEEPEST).alias("_high"),
+            F.lit(float("-inf")).alias("_low"), F.lit(float("inf")).alias("_high"),
         )
     )
     x = F.col("size") / F.col("_scale")
     rate = F.exp(F.least(F.lit(STEEPEST), F.col("_tilt") * x))
-    for _ in range(steps):
+    while True:
         found = (
             counts.join(_by_source(state.select("_rank", "_tilt", "_scale"), n_sources), "_rank")
             .groupBy("_rank")
@@ -114,8 +117,19 @@ def tilts(counts: DataFrame, sources: DataFrame, n_sources: int, most: float = M
         })
         newton = F.col("_tilt") + (F.col("target") - taken) / F.nullif(F.col("_slope"), F.lit(0.0))
         inside = (newton > F.col("_low")) & (newton < F.col("_high"))
-        step = F.when(inside, newton).otherwise((F.col("_low") + F.col("_high")) / 2)
-        state = checkpointed(state.withColumn("_tilt", step).drop("_taken", "_slope"))
+        step = (
+            F.when(inside, newton)
+            .when(F.col("_low") == float("-inf"), 2 * F.col("_high") - STEEPEST)
+            .when(F.col("_high") == float("inf"), 2 * F.col("_low") + STEEPEST)
+            .otherwise((F.col("_low") + F.col("_high")) / 2)
+        )
+        far = (F.abs(F.col("target") - taken) > NEAR * F.col("target")) & (F.col("target") < F.col("_bound"))
+        state = state.withColumn("_step", F.when(far, step).otherwise(F.col("_tilt")))
+        state = checkpointed(state.withColumn("_moved", F.col("_step") != F.col("_tilt")).drop("_taken", "_slope"))
+        moved = state.where("_moved").take(1)
+        state = state.withColumn("_tilt", F.col("_step")).drop("_step", "_moved")
+        if not moved:
+            break
     return state
 
 

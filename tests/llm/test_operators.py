@@ -431,6 +431,15 @@ def test_rates_are_an_exponential_tilt(frame):
     assert rates and all(len(x) == 1 for x in rates.values())
 
 
+def test_tilts_reach_sources_of_very_long_and_short_documents(spark, frame):
+    """Half the words in one document of a million, half in short ones, and a tenth of them wanted."""
+    counts = frame([(0, 1_000_000, 1), (0, 500, 2000)], "_rank long, size long, _n long")
+    sources = frame([(0, 200_000.0, 6_000_000.0)], "_rank long, target double, _bound double")
+    found = mixing.tilts(counts, sources, 1).first()
+    rate = np.exp(found["_tilt"] * 500 / found["_scale"])
+    assert found["_tilt"] < -1000 and abs(1_000_000 * rate - 200_000) < 1
+
+
 def test_the_mix_carries_all_columns_and_repeats_rows(docs, nothing):
     mix = mixing.mixed(docs.withColumn("Size", F.lit("clash")))
     assert mix.columns == ["doc_id", "text", "source", "lang", "size", "source_size", "target", "rate", "copies"]
