@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard, lines, mixing, neighbours, sharding, substring, suffixes, tokencount, toxicity
+from plumbline.llm import decontaminate, jaccard, lines, merkle, mixing, neighbours, sharding, substring, suffixes, tokencount, toxicity
 from plumbline.llm.common import text_or_empty
 from plumbline.llm.sql import ORACLES
 
@@ -102,6 +102,20 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return counts.withColumn("over_limit", F.col("n_tokens") > tokencount.LIMIT)
 
 
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as leaves of one tree, a fifth of them checked against texts put into lower case."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    before = [merkle.field(c) for c in ("doc_id", "source", "lang", "n_chars")]
+    leaf = F.sha2(F.concat(*before, merkle.field("text")), 256)
+    changed = F.sha2(F.concat(*before, merkle.sized(F.translate("text", UPPER, LOWER))), 256)
+    seen = F.when(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, changed)
+    found = merkle.manifest(docs, leaf, "doc_id", "source", seen, keep=["doc_id"])
+    return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -116,4 +130,5 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op9_line_dedup_alone": op9_line_dedup_alone,
     "op10_token_counts": op10_token_counts,
+    "op12_manifest": op12_manifest,
 }
