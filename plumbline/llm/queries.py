@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import decontaminate, jaccard, lines, merkle, mixing, neighbours, sharding, substring, suffixes, tokencount, toxicity
-from plumbline.llm.common import text_or_empty
+from plumbline.llm import codes, decontaminate, jaccard, lines, merkle, mixing, neighbours, sharding, substring, suffixes, tokencount, toxicity
+from plumbline.llm.common import text_or_empty, written
 from plumbline.llm.sql import ORACLES
 
 
@@ -116,6 +116,13 @@ def op12_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", "verified")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors as four codes each, with what the codes miss, and the codebooks' checksum."""
+    found, books = codes.compressed(read(spark, sf_dir, "embeddings"), keep=["vec_id", "label"])
+    told = codes.with_label_errors(written(found), "label")
+    return told.select("vec_id", "code", "error", "label_error", F.lit(books.sha256()).alias("codebooks_sha256"))
+
+
 __all__ = ["ORACLES", "QUERIES"]
 
 QUERIES = {
@@ -131,4 +138,5 @@ QUERIES = {
     "op9_line_dedup_alone": op9_line_dedup_alone,
     "op10_token_counts": op10_token_counts,
     "op12_manifest": op12_manifest,
+    "op13_vector_codes": op13_vector_codes,
 }
