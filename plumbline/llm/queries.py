@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.llm import codes, decontaminate, jaccard, lines, merkle, mixing, neighbours, sharding, substring, suffixes, tokencount, toxicity
+from plumbline.llm import codes, decontaminate, jaccard, lines, merkle, mixing, neighbours, quality, sharding, substring, suffixes, tokencount, toxicity
 from plumbline.llm.common import text_or_empty, written
 from plumbline.llm.sql import ORACLES
 
@@ -102,6 +102,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str, path: str | None = None)
     return counts.withColumn("over_limit", F.col("n_tokens") > tokencount.LIMIT)
 
 
+def op11_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with the quality of their whole texts."""
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.quality(docs, read(spark, sf_dir, "labels")).select("doc_id", "held_out", "score", "predicted")
+
+
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -137,6 +143,7 @@ QUERIES = {
     "op9_line_dedup": op9_line_dedup,
     "op9_line_dedup_alone": op9_line_dedup_alone,
     "op10_token_counts": op10_token_counts,
+    "op11_quality": op11_quality,
     "op12_manifest": op12_manifest,
     "op13_vector_codes": op13_vector_codes,
 }
