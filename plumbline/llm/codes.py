@@ -297,7 +297,7 @@ def compressed(
     table = rows.select(F.col("v").cast(df.schema[vector].dataType).alias("v"), F.lit(None).cast("binary").alias("bounds"), *carried)
     names = table.columns
     extra = "part int, entry int, n bigint, sums array<decimal(38,0)>"
-    schema = T.StructType([*table.schema.fields, *T.StructType.fromDDL(extra).fields])
+    schema = T.StructType([*[T.StructField(f.name, f.dataType) for f in table.schema.fields], *T.StructType.fromDDL(extra).fields])
 
     def round_of(books: list[list[np.ndarray]]):
         def step(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,11 +1,13 @@
 """DuckDB SQL for the rows of the corpus queries that SQL can express.
 
-Neighbours (an approximate index), toxicity (a trained model), the mix (Newton steps and rounding)
-and token counts have none; they are tested against brute force, exact counts or held-out rows.
+Neighbours (an approximate index), toxicity and quality (trained models), the mix (Newton steps and
+rounding) and token counts have none; they are tested against brute force, exact counts or held-out rows.
 """
 
 from __future__ import annotations
 
+from plumbline.llm.sql_trees import MANIFEST, VECTOR_CODES
+
 SPACE = r"[\x20\x09-\x0D]+"
 WORDS = f"list_filter(regexp_split_to_array(coalesce(text, ''), '{SPACE}'), lambda x: x <> '')"
 LOWER_WORDS = (
@@ -124,4 +126,6 @@ ORACLES = {
     "op7_repeated_passages": PASSAGES,
     "op9_line_dedup": LINES,
     "op9_line_dedup_alone": LINES_ALONE,
+    "op12_manifest": MANIFEST,
+    "op13_vector_codes": VECTOR_CODES,
 }
