@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from plumbline.sources.local import local_frame
+
 # The SQL type names a rule may use, with the Spark types each one describes.
 SQL_TYPES: dict[str, tuple[type[T.DataType], ...]] = {
     "SMALLINT": (T.ShortType,),
@@ -78,3 +80,13 @@ def sql_name(data_type: T.DataType) -> str:
         if wanted and isinstance(data_type, wanted):
             return name
     return data_type.simpleString().upper()
+
+
+def failing_literals(spark: SparkSession, literals: set[tuple[str, str]]) -> set[tuple[str, str]]:
+    """Those of a suite's dates and times, as (type, text), that Spark does not read as their type."""
+    if not literals:
+        return set()
+    probe = local_frame(spark, sorted(literals), "type string, text string")
+    read = [(F.col("type") == kind) & F.col("text").try_cast(kind).isNotNull() for kind in sorted({k for k, _ in literals})]
+    unread = probe.filter(~F.coalesce(F.greatest(*read, F.lit(False)), F.lit(False)))
+    return {(row.type, row.text) for row in unread.collect()}

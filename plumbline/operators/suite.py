@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from plumbline.functions import regex, sqltypes, text
 from plumbline.functions.spec import with_spec_key
-from plumbline.plans.compile import Check, compile_rules, patterns, quoted
+from plumbline.plans.compile import Check, as_double, compile_rules, literals, patterns, quoted
 from plumbline.sources.local import local_frame
 from plumbline.sources.tables import Scan
 
@@ -49,6 +49,7 @@ def compiled(df: DataFrame, specs: Sequence[Mapping[str, Any]]) -> list[Check]:
     """The specs made ready for this table, each with its sentence and its key."""
     spark = df.sparkSession
     broken = regex.failing_patterns(spark, patterns(specs))
+    broken |= sqltypes.failing_literals(spark, literals(df.schema, specs))
     checks = compile_rules(df.schema, specs, broken)
     if not checks:
         return []
@@ -228,7 +229,7 @@ def percent(part: Column, whole: Column) -> Column:
 def described(spark: SparkSession, checks: Sequence[Check]) -> DataFrame:
     """What is known of each check without reading data: as many rows as the suite has rules."""
     def bound(value: Any) -> float | None:
-        return None if value is None else float(value)
+        return None if value is None else as_double(value)
 
     return local_frame(
         spark,

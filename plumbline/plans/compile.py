@@ -1,15 +1,17 @@
 """One rule and a table's schema in, Column expressions out.
 
 Nothing here reads data. A rule that cannot run on this table (a missing column, a bound of
-another kind than its column, a pattern that does not compile) becomes an errored check with
-the reason, so that it never reaches the query the other rules share.
+another kind than its column, a pattern that does not compile, a date that Spark does not read)
+becomes an errored check with the reason, so that it never reaches the query the other rules
+share. So does a rule whose compilation fails in any other way.
 """
 
 from __future__ import annotations
 
 import json
+import math
 import struct
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping, Sequence, Set
 from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal, localcontext
@@ -69,32 +71,75 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+#: What of a suite is known not to work here: patterns, and literals as (type, text).
+Broken = Set[str | tuple[str, str]]
+
+
 def compile_rules(
-    schema: T.StructType, specs: Sequence[Mapping[str, Any]], broken: set[str] = frozenset()
+    schema: T.StructType, specs: Sequence[Mapping[str, Any]], broken: Broken = frozenset()
 ) -> list[Check]:
-    """Every spec as a check, in order. ``broken`` holds patterns known not to compile."""
+    """Every spec as a check, in order. ``broken`` holds patterns and literals known not to work."""
     return [_compile(schema, i, spec, broken) for i, spec in enumerate(specs)]
 
 
+def _kwargs(spec: Mapping[str, Any]) -> dict[str, Any]:
+    given = spec.get("kwargs") or {}
+    return dict(given) if isinstance(given, Mapping) else {}
+
+
 def patterns(specs: Sequence[Mapping[str, Any]]) -> set[str]:
-    found = (dict(s.get("kwargs") or {}).get("regex") for s in specs)
+    found = (_kwargs(s).get("regex") for s in specs)
     return {p for p in found if isinstance(p, str)}
 
 
+def literals(schema: T.StructType, specs: Sequence[Mapping[str, Any]]) -> set[tuple[str, str]]:
+    """What the specs compare dates and times with, as (type, text)."""
+    types = {f.name: f.dataType for f in schema.fields if isinstance(f.dataType, sqltypes.TEMPORAL)}
+    found = set()
+    for kwargs in map(_kwargs, specs):
+        column = kwargs.get("column")
+        if isinstance(column, str) and column in types:
+            members = kwargs.get("value_set")
+            values = list(members) if isinstance(members, list | tuple | set | frozenset) else []
+            values += [kwargs.get("min_value"), kwargs.get("max_value")]
+            found |= {(types[column].simpleString(), _shown(v)) for v in values if v is not None}
+    return found
+
+
+def _finite(value: Any) -> Any:
+    """The value with infinite and NaN numbers as text, since JSON has none."""
+    if isinstance(value, Mapping):
+        return {k: _finite(v) for k, v in value.items()}
+    if isinstance(value, list | tuple):
+        return [_finite(v) for v in value]
+    if isinstance(value, float) and not math.isfinite(value):
+        return "NaN" if math.isnan(value) else "Infinity" if value > 0 else "-Infinity"
+    return value
+
+
+def _shown(value: Any) -> str:
+    return value.isoformat(sep=" ") if isinstance(value, datetime) else str(value)
+
+
 def _compile(
-    schema: T.StructType, position: int, spec: Mapping[str, Any], broken: set[str]
+    schema: T.StructType, position: int, spec: Mapping[str, Any], broken: Broken
 ) -> Check:
-    text = json.dumps({"type": spec.get("type"), "kwargs": spec.get("kwargs") or {}}, default=str)
+    given = spec.get("kwargs") or {}
+    text = json.dumps({"type": spec.get("type"), "kwargs": _finite(given)}, default=str, skipkeys=True)
     name = str(spec.get("type"))
     try:
-        parts = _parts(schema, name, dict(spec.get("kwargs") or {}), broken)
+        if not isinstance(given, Mapping):
+            raise CannotRun("kwargs is not an object")
+        parts = _parts(schema, name, dict(given), broken)
     except CannotRun as exc:
         parts = {"kind": "errored", "detail": str(exc)}
+    except Exception as exc:  # whatever a rule holds, the others run
+        parts = {"kind": "errored", "detail": f"{type(exc).__name__}: {exc}"}
     return Check(position=position, spec=text, type=name, **parts)
 
 
 def _parts(
-    schema: T.StructType, name: str, kwargs: dict[str, Any], broken: set[str]
+    schema: T.StructType, name: str, kwargs: dict[str, Any], broken: Broken
 ) -> dict[str, Any]:
     if name not in BY_NAME:
         raise CannotRun(f"{name} is not a rule type of this catalog")
@@ -124,7 +169,7 @@ def _parts(
 
 
 def _on_column(
-    name: str, c: Column, data_type: T.DataType, kwargs: dict[str, Any], broken: set[str]
+    name: str, c: Column, data_type: T.DataType, kwargs: dict[str, Any], broken: Broken
 ) -> dict[str, Any]:
     if name == "expect_column_values_to_not_be_null":
         return {"kind": "row", "violation": c.isNull(), "counts_nulls": True}
@@ -135,9 +180,10 @@ def _on_column(
     if name == "expect_column_unique_value_count_to_be_between":
         return {"kind": "distinct", **_number_bounds(kwargs)}
     if name in ("expect_column_values_to_be_in_set", "expect_column_values_to_not_be_in_set"):
-        return _membership(c, data_type, kwargs, negated=name.endswith("to_not_be_in_set"))
+        negated = name.endswith("to_not_be_in_set")
+        return _membership(c, data_type, kwargs, negated, broken)
     if name == "expect_column_values_to_be_between":
-        return {"kind": "row", "violation": _outside(c, *_typed_bounds(data_type, kwargs))}
+        return {"kind": "row", "violation": _outside(c, *_typed_bounds(data_type, kwargs, broken))}
     if name == "expect_column_mean_to_be_between":
         if not isinstance(data_type, sqltypes.NUMERIC):
             raise CannotRun(f"a mean needs numbers, and the column is {data_type.simpleString()}")
@@ -176,13 +222,13 @@ def _require_text(data_type: T.DataType, what: str) -> None:
 
 
 def _membership(
-    c: Column, data_type: T.DataType, kwargs: dict[str, Any], negated: bool
+    c: Column, data_type: T.DataType, kwargs: dict[str, Any], negated: bool, broken: Broken
 ) -> dict[str, Any]:
     given = kwargs["value_set"]
     if not isinstance(given, list | tuple | set | frozenset):
         raise CannotRun("value_set is not a list")
     # x IN (..., NULL) is never false, so a null member would hide every violation.
-    typed = dict.fromkeys(_typed(data_type, v) for v in given if v is not None)
+    typed = dict.fromkeys(_typed(data_type, v, broken) for v in given if v is not None)
     if not typed:
         raise CannotRun("value_set is empty")
     members = tuple(m for m in typed if _representable(data_type, m))
@@ -198,6 +244,9 @@ _BITS = {T.ByteType: 8, T.ShortType: 16, T.IntegerType: 32, T.LongType: 64}
 
 def _representable(data_type: T.DataType, member: Any) -> bool:
     """Whether a column of this type can hold the member exactly; no row equals one it cannot hold."""
+    exact_type = type(data_type) in _BITS or isinstance(data_type, T.DecimalType)
+    if exact_type and isinstance(member, float) and not math.isfinite(member):
+        return False
     if type(data_type) in _BITS:
         most = 1 << (_BITS[type(data_type)] - 1)
         return member == int(member) and -most <= member < most
@@ -221,7 +270,24 @@ def _outside(value: Column, low: Column | None, high: Column | None) -> Column:
 
 
 def _literal(value: Any) -> Column | None:
-    return None if value is None else F.lit(value)
+    return None if value is None else _number(value)
+
+
+def _number(value: Any) -> Column:
+    """A number as a literal: a long, else a decimal, else the nearest double, which no such column reaches."""
+    if not isinstance(value, int) or isinstance(value, bool) or -(1 << 63) <= value < 1 << 63:
+        return F.lit(value)
+    if abs(value) < 10**38:
+        return F.lit(Decimal(value))
+    return F.lit(as_double(value))
+
+
+def as_double(value: Any) -> float:
+    """The nearest double; infinity for a whole number beyond them all."""
+    try:
+        return float(value)
+    except OverflowError:
+        return math.inf if value > 0 else -math.inf
 
 
 def _number_bounds(kwargs: Mapping[str, Any]) -> dict[str, Any]:
@@ -233,13 +299,13 @@ def _number_bounds(kwargs: Mapping[str, Any]) -> dict[str, Any]:
 
 
 def _typed_bounds(
-    data_type: T.DataType, kwargs: Mapping[str, Any]
+    data_type: T.DataType, kwargs: Mapping[str, Any], broken: Broken
 ) -> tuple[Column | None, Column | None]:
     if isinstance(data_type, sqltypes.UNORDERED):
         raise CannotRun(f"a column of type {data_type.simpleString()} has no order")
     low, high = kwargs.get("min_value"), kwargs.get("max_value")
     return tuple(
-        None if v is None else _in_type(data_type, _typed(data_type, v)) for v in (low, high)
+        None if v is None else _in_type(data_type, _typed(data_type, v, broken)) for v in (low, high)
     )
 
 
@@ -248,7 +314,7 @@ def _plain(value: Any) -> Any:
     return int(value) if isinstance(value, float) and value.is_integer() else value
 
 
-def _typed(data_type: T.DataType, value: Any) -> Any:
+def _typed(data_type: T.DataType, value: Any, broken: Broken) -> Any:
     """A parameter checked against the kind of its column, before any row is read."""
     if isinstance(data_type, sqltypes.NUMERIC):
         if isinstance(value, bool) or not isinstance(value, int | float | Decimal):
@@ -259,11 +325,13 @@ def _typed(data_type: T.DataType, value: Any) -> Any:
             raise CannotRun(f"{value!r} is not true or false")
         return value
     if isinstance(data_type, sqltypes.TEMPORAL):
-        shown = value.isoformat(sep=" ") if isinstance(value, datetime) else str(value)
+        shown = _shown(value)
         try:
             (date if isinstance(data_type, T.DateType) and len(shown) == 10 else datetime).fromisoformat(shown)
         except ValueError as exc:
             raise CannotRun(f"{shown!r} is not a {data_type.simpleString()}") from exc
+        if (data_type.simpleString(), shown) in broken:
+            raise CannotRun(f"{shown!r} is not read as a {data_type.simpleString()}")
         return shown
     if isinstance(data_type, sqltypes.TEXT):
         if not isinstance(value, str):
@@ -275,6 +343,6 @@ def _typed(data_type: T.DataType, value: Any) -> Any:
 def _in_type(data_type: T.DataType, value: Any) -> Column:
     if isinstance(data_type, sqltypes.TEMPORAL):
         return F.lit(value).cast(data_type)
-    if isinstance(data_type, T.DecimalType) and isinstance(value, float):
+    if isinstance(data_type, T.DecimalType) and isinstance(value, float) and math.isfinite(value):
         return F.lit(Decimal(repr(value)))
-    return F.lit(value)
+    return _number(value)

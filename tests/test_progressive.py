@@ -65,3 +65,15 @@ def test_a_store_that_fails_does_not_lose_the_last_event(spark):
 def test_a_sampled_run_says_so(spark):
     events = list(run_progressive(spark.range(4), [RULES[2]], Scan("t", 10, seen=4)))
     assert events[1]["result"]["status"] == "PASSED · sampled 4 / 10"
+
+
+def test_odd_bounds_stop_no_other_verdict(spark):
+    df = spark.range(5).select("id", F.date_add(F.lit("2024-01-01").cast("date"), F.col("id").cast("int")).alias("d"))
+    rules = [
+        spec("column_values_to_be_between", column="d", min_value="2024-W01-1"),
+        spec("column_values_to_be_in_set", column="id", value_set=[1, float("nan")]),
+        spec("column_values_to_be_between", column="id", max_value=10**30),
+        RULES[2],
+    ]
+    verdicts = [e["result"]["verdict"] for e in run_progressive(df, rules, Scan("t", 5), ["id"]) if e["event"] == "verdict"]
+    assert verdicts == ["errored", "failed", "passed", "passed"]

@@ -225,6 +225,57 @@ def test_rules_that_cannot_run_are_errored_and_the_rest_still_run(frame):
     assert (got[len(BROKEN)].verdict, got[len(BROKEN)].unexpected_count) == ("failed", 1)
 
 
+NAN, INF = float("nan"), float("inf")
+#: On days 2024-01-01 to 2024-01-10 with n from 0 to 9: the rule, and its violating rows, or what its reason names.
+ODD = [
+    (spec("column_values_to_be_between", column="d", min_value="2024-W01-1"), "2024-W01-1"),
+    (spec("column_values_to_be_between", column="d", max_value="20240105"), "20240105"),
+    (spec("column_values_to_not_be_in_set", column="d", value_set=["2024-01-05", "20240106"]), "20240106"),
+    (spec("column_values_to_be_in_set", column="n", value_set=[3, NAN]), 9),
+    (spec("column_values_to_not_be_in_set", column="n", value_set=[3, INF, -INF]), 1),
+    (spec("column_values_to_be_between", column="n", max_value=10**30), 0),
+    (spec("column_values_to_be_between", column="n", min_value=10**30), 10),
+    (spec("column_values_to_be_between", column="n", min_value=-(10**50), max_value=4), 5),
+    (spec("column_values_to_be_between", column="m", max_value=INF), 0),
+    (spec("column_values_to_be_in_set", column="m", value_set=[INF, NAN, 2.5]), 10),
+    (spec("column_value_lengths_to_be_between", column="s", max_value=10**30), 0),
+    ({"type": "expect_column_values_to_be_null", "kwargs": ["n"]}, "kwargs"),
+    (spec("column_values_to_be_null", column=["n"]), "list"),
+    (spec("column_values_to_be_in_set", column="n", value_set=[[3], {}]), "[3]"),
+]
+
+
+@pytest.fixture
+def days(spark):
+    n = F.col("id")
+    return spark.range(10).select(
+        n.alias("n"), F.date_add(F.lit("2024-01-01").cast("date"), n.cast("int")).alias("d"),
+        n.cast("decimal(9,2)").alias("m"), n.cast("string").alias("s"),
+    )
+
+
+def test_odd_bounds_and_members_stop_no_other_rule(days):
+    rules = [rule for rule, _ in ODD] + [spec("column_values_to_be_between", column="n", min_value=7)]
+    for run in (suite.run_suite, suite.run_isolated):
+        got = by_position(run(days, rules))
+        assert (got[len(ODD)].verdict, got[len(ODD)].unexpected_count) == ("failed", 7)
+        for i, (_, outcome) in enumerate(ODD):
+            if isinstance(outcome, str):
+                assert got[i].verdict == "errored" and outcome in got[i].detail
+            else:
+                assert (got[i].unexpected_count, got[i].detail) == (outcome, None) and got[i].statement
+
+
+def test_a_date_that_spark_reads_still_runs(days):
+    rules = [
+        spec("column_values_to_be_between", column="d", min_value="2024-01-04"),
+        spec("column_values_to_be_between", column="d", min_value=dt.date(2024, 1, 4)),
+        spec("column_values_to_be_in_set", column="d", value_set=["2024-01-04"]),
+    ]
+    got = by_position(suite.run_suite(days, rules))
+    assert [got[i].unexpected_count for i in range(3)] == [3, 3, 9]
+
+
 def test_a_rule_that_raises_while_running_does_not_take_the_others_with_it(spark):
     texts = F.when(F.col("id") == 1, "x").otherwise(F.col("id").cast("string"))
     df = spark.range(2).select(texts.alias("s"), texts.cast("int").alias("n"))

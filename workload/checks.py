@@ -317,6 +317,32 @@ ORACLES |= {
 }
 
 
+# Bounds and members that no literal of the column's type can hold, beside a sound rule.
+ODD_SUITE = (
+    IN_SET,
+    spec("column_values_to_be_between", column="o_orderdate", min_value="1996-W01-1"),
+    spec("column_values_to_be_between", column="o_orderdate", max_value="19991231"),
+    spec("column_values_to_be_in_set", column="o_custkey", value_set=[7, float("nan")]),
+    spec("column_values_to_not_be_in_set", column="o_custkey", value_set=[7, float("inf")]),
+    spec("column_values_to_be_between", column="o_custkey", max_value=10**30),
+)
+
+
+def suite_odd_bounds(spark, sf_dir):
+    return shown(suite.run_suite(table(spark, sf_dir, "orders"), ODD_SUITE))
+
+
+QUERIES["suite_odd_bounds"] = suite_odd_bounds
+ORACLES["suite_odd_bounds"] = " union all ".join([
+    f"({ORACLES['check_in_set']})",
+    f"({errored_sql('expect_column_values_to_be_between', 'Every o_orderdate is at least 1996-W01-1')})",
+    f"({errored_sql('expect_column_values_to_be_between', 'Every o_orderdate is at most 19991231')})",
+    f"({counted_sql(ODD_SUITE[3], 'Every o_custkey is one of 7, NaN', 'orders', count_if('o_custkey <> 7'))})",
+    f"({counted_sql(ODD_SUITE[4], 'No o_custkey is one of 7, Infinity', 'orders', count_if('o_custkey = 7'))})",
+    f"({counted_sql(ODD_SUITE[5], 'Every o_custkey is at most 1' + '0' * 30, 'orders', '0')})",
+])
+
+
 def proportions(spark, sf_dir):
     rules = [rule for rule, _ in LINEITEM_SUITE]
     counted = suite.run_suite(table(spark, sf_dir, "lineitem"), rules)
