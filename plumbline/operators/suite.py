@@ -1,15 +1,16 @@
 """Running a table's rules: every count of a suite in one pass over the table.
 
-All conditional counts, means and the row count are one aggregate over one scan. Uniqueness,
-distinct counts and long value sets need a column's values grouped; each such column is read
-once more on its own, however many rules ask about it.
+All conditional counts, means and the row count come from one scan, which counts rows by the mask of
+the rules they violate. Uniqueness, distinct counts and long value sets need a column's values grouped;
+each such column is read once more on its own, however many rules ask about it.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Mapping, Sequence
-from dataclasses import replace
+from dataclasses import dataclass, replace
+from datetime import date
 from functools import reduce
 from typing import Any
 
@@ -81,19 +82,32 @@ def results_of(df: DataFrame, checks: Sequence[Check], scan: Scan | None = None)
 
 # --- metrics -------------------------------------------------------------------------
 
+#: Rules that one mask has a bit for; a longer suite has several masks a row, all from one scan.
+MASK_BITS = 20
+#: Conditions that whole-stage code holds.
+LONG = 40
+#: Parts that violating rows are dealt into, each with its first key, to bound the first rows of all.
+BUCKETS = 64
+#: Masks that stand for a column's infinite and NaN values; its other values go by their exponent.
+NAN, INFINITE, MINUS_INFINITE = 9999, 9998, 9997
+#: A double is a whole number of three parts of so many bits, times a power of two.
+PART_BITS = 19
 
-def rules_per_scan(spark: SparkSession) -> int:
-    """Rules counted in one aggregate: as many as the session generates code for.
 
-    A rule is a field of the aggregate and at most one more for its column. A longer suite reads
-    the table again, each time for the next rules' columns only; no rule is left out.
-    """
-    fields = int(spark.conf.get("spark.sql.codegen.maxFields", "100"))
-    return max(1, (fields - 4) // 2)
+@dataclass(frozen=True)
+class First:
+    """The rows wanted of each rule: the ``n`` first ones by a key that compares like the row's own key."""
+
+    key: Column
+    n: int
+
 
+def metrics(df: DataFrame, checks: Sequence[Check], first: First | None = None) -> DataFrame:
+    """The numbers of every check, one row each; with ``first`` also a ``bound``.
 
-def metrics(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """The numbers of every check, one row each."""
+    No more than the wanted rows need keys above the bound: it is not below the last of them. It is
+    null where fewer rows violate the rule, and for checks on grouped values.
+    """
     grouped: dict[str, list[Check]] = {}
     counted, known = [], []
     for check in checks:
@@ -104,54 +118,154 @@ def metrics(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
         else:
             known.append(check)
     counted.sort(key=lambda c: c.column)
-    most = rules_per_scan(df.sparkSession)
-    scans = [counted[i : i + most] for i in range(0, len(counted), most)]
-    if known:
-        scans = [(scans[0] if scans else []) + known, *scans[1:]]
-    parts = [_scanned(df, members) for members in scans]
-    parts += [_grouped(df, column, members) for column, members in grouped.items()]
+    parts = [_scanned(df, counted + known, first)] if counted or known else []
+    for column, members in grouped.items():
+        part = _grouped(df, column, members)
+        parts.append(part if first is None else part.withColumn("bound", F.lit(None).cast(_key_type(df, first))))
     return reduce(DataFrame.unionByName, parts)
 
 
-def _rows_of(counts: DataFrame, rows: Sequence[Mapping[str, str]]) -> DataFrame:
+def _key_type(df: DataFrame, first: First) -> T.DataType:
+    return df.select(first.key.alias("key")).schema["key"].dataType
+
+
+def _rows_of(counts: DataFrame, rows: Sequence[Mapping[str, str]], extra: str = "") -> DataFrame:
     """One row of counts turned into a row per check; each says which count is which metric."""
     structs = [
         "struct(" + ", ".join(
             f"cast({row.get(name, 'null')} as {kind}) as {name}" for name, kind in METRICS.items()
-        ) + ")"
+        ) + (f", {row.get(extra, 'null')} as {extra}" if extra else "") + ")"
         for row in rows
     ]
     return counts.selectExpr(f"inline(array({', '.join(structs)}))")
 
 
-def _scanned(df: DataFrame, checks: Sequence[Check]) -> DataFrame:
-    """The shared aggregate over one scan."""
-    columns = sorted({c.column for c in checks if c.kind in ("row", "mean")})
-    non_null = {name: f"non_null_{i}" for i, name in enumerate(columns)}
-    aggregates = [F.count(F.lit(1)).alias("rows")]
-    aggregates += [F.count(quoted(name)).alias(alias) for name, alias in non_null.items()]
-    for check in checks:
-        if check.kind == "row":
-            aggregates.append(F.count_if(check.violation).alias(f"bad_{check.position}"))
-        elif check.kind == "mean":
-            mean = F.avg(quoted(check.column)).cast("double")
-            aggregates.append(mean.alias(f"mean_{check.position}"))
-    return _rows_of(df.agg(*aggregates), [_scanned_row(c, non_null) for c in checks])
+def violated(check: Check) -> Column:
+    """Whether a row violates a check that looks at rows one by one."""
+    present = F.lit(True) if check.counts_nulls else quoted(check.column).isNotNull()
+    return F.coalesce(check.violation & present, F.lit(False))
+
+
+def _scanned(df: DataFrame, checks: Sequence[Check], first: First | None) -> DataFrame:
+    """Every count and mean of one scan.
 
+    A row becomes the masks of the rules it violates and of the columns it has no value in, and rows are
+    counted by mask before the shuffle; the counts of rules are sums over the masks, of which there are
+    few. A mean's column adds its values as whole numbers, by their exponents, so that no order of rows
+    or partitions changes the sum.
+    """
+    columns = sorted({c.column for c in checks if c.kind == "row" and not c.counts_nulls})
+    rules = {f"bad_{c.position}": c.violation for c in checks if c.kind == "row"}
+    nulls = {f"null_{i}": quoted(c).isNull() for i, c in enumerate(columns)}
+    means = sorted({c.column for c in checks if c.kind == "mean"})
+    summed = _masked(df, rules | nulls, means, first, bounded=list(rules))
+    null_of = {column: f"null_{i}" for i, column in enumerate(columns)}
+    mean_of = {column: f"mean_{i}" for i, column in enumerate(means)}
+    rows = [_scanned_row(c, null_of, mean_of) for c in checks]
+    if first is None:
+        return _rows_of(summed, rows)
+    kind = _key_type(df, first).simpleString()
+    for check, row in zip(checks, rows, strict=True):
+        row["bound"] = f"bound_bad_{check.position}" if check.kind == "row" else f"cast(null as {kind})"
+    return _rows_of(summed, rows, "bound")
+
+
+def _masked(
+    df: DataFrame, bits: Mapping[str, Column], means: Sequence[str] = (), first: First | None = None, bounded: Sequence[str] = ()
+) -> DataFrame:
+    """One row: ``rows``, under its name how many rows have each bit, ``mean_i`` and for bounded bits ``bound_`` and the name."""
+    names = list(bits)
+    masks = [names[i : i + MASK_BITS] for i in range(0, len(names), MASK_BITS)] or [[]]
+    keys = [] if first is None else [
+        first.key.alias("key"), F.pmod(F.monotonically_increasing_id(), F.lit(BUCKETS)).cast("int").alias("bucket")
+    ]
+    kept = ["key", "bucket"] if keys else []
+    made = [_mask([bits[name] for name in mask]) for mask in masks]
+    if len(names) > LONG:
+        made[0] = made[0].bitwiseOR(F.expr(_INTERPRETED.format(x="`" + df.columns[0].replace("`", "``") + "`")))
+    rows = df.select(*keys, *[c.alias(f"mask_{i}") for i, c in enumerate(made)], *[quoted(c).cast("double").alias(f"x_{i}") for i, c in enumerate(means)])
+    if len(masks) == 1 and not means:
+        rows = rows.selectExpr(*kept, "0 as entry", "mask_0 as mask")
+    else:
+        of = range(len(means))
+        if means:
+            rows = rows.selectExpr("*", *[f"{_EXPONENT.format(x=f'x_{i}')} as e_{i}" for i in of])
+            rows = rows.selectExpr("*", *[f"{_NUMBER.format(x=f'x_{i}', e=f'e_{i}')} as m_{i}" for i in of])
+        nothing = ", cast(null as bigint) as p0, cast(null as bigint) as p1, cast(null as bigint) as p2" if means else ""
+        entries = [f"struct({i} as entry, mask_{i} as mask{nothing})" for i in range(len(masks))]
+        entries += [f"struct({-1 - i} as entry, {_PARTS.format(x=f'x_{i}', e=f'e_{i}', m=f'm_{i}')})" for i in of]
+        rows = rows.selectExpr(*kept, f"inline(array({', '.join(entries)}))")
+    aggregates = [F.count(F.lit(1)).alias("n")]
+    aggregates += [F.sum(p).alias(p) for p in ("p0", "p1", "p2") if means] + ([F.min("key").alias("low")] if keys else [])
+    counts = rows.groupBy("entry", "mask", *kept[1:]).agg(*aggregates)
+    told = ["coalesce(sum(case when entry = 0 then n end), 0) as rows"]
+    for i, mask in enumerate(masks):
+        for j, name in enumerate(mask):
+            has = f"entry = {i} and (mask & {1 << j}) <> 0"
+            told.append(f"coalesce(sum(case when {has} then n end), 0) as {name}")
+            if name in bounded and first is not None:
+                told.append(f"get(array_sort(collect_list(case when {has} then low end)), {first.n - 1}) as bound_{name}")
+    for i in range(len(means)):
+        told.append(f"collect_list(case when entry = {-1 - i} then struct(mask, n, p0, p1, p2) end) as sums_{i}")
+    summed = counts.agg(*[F.expr(x) for x in told])
+    if not means:
+        return summed
+    others = [c for c in summed.columns if not c.startswith("sums_")]
+    return summed.selectExpr(*others, *[f"{_MEAN.format(sums=f'sums_{i}')} as mean_{i}" for i in range(len(means))])
+
+
+def _mask(bits: Sequence[Column]) -> Column:
+    ones = [F.when(bit, F.lit(1 << i)).otherwise(F.lit(0)) for i, bit in enumerate(bits)]
+    return reduce(lambda a, b: a.bitwiseOR(b), ones) if ones else F.lit(0)
+
+
+# Always 0, but Spark interprets it, and so generates the projection that holds it in many small methods;
+# whole-stage code would be one method, which is too long for the compiler when there are many rules.
+_INTERPRETED = "cast(exists(array(isnull({x})), y -> y is null) as int)"
+
+# A double as an exponent (its mask) and a whole number in three parts; a null has no parts. The exponent
+# is two lower than it need be, for what the logarithm may be off, and is applied in two steps, as the
+# lowest powers of two lose digits.
+_FINITE = "{x} is not null and not isnan({x}) and abs({x}) < double('Infinity')"
+_EXPONENT = f"case when {_FINITE} then greatest(cast(floor(log2(greatest(abs({{x}}), 5e-324D))) as int) - 54, -1074) end"
+_NUMBER = "case when {e} is not null then cast({x} / pow(2D, greatest({e}, -1000)) * pow(2D, greatest(-1000 - {e}, 0)) as bigint) end"
+_REST = (1 << PART_BITS) - 1
+_PARTS = (
+    f"case when {{x}} is null then null when isnan({{x}}) then {NAN} when {{e}} is not null then {{e}} "
+    f"when {{x}} > 0 then {INFINITE} else {MINUS_INFINITE} end as mask, "
+    f"{{m}} & {_REST}L as p0, shiftright({{m}}, {PART_BITS}) & {_REST}L as p1, shiftright({{m}}, {2 * PART_BITS}) as p2"
+)
+# The mean from the sums by exponent: each sum is divided exactly, and they are added from the smallest.
+_TOTAL = (
+    f"cast(cast(s.p2 as decimal(38,0)) * {1 << 2 * PART_BITS}L + cast(s.p1 as decimal(38,0)) * {1 << PART_BITS}L + s.p0 as decimal(38,0))"
+)
+_COUNT = "aggregate(filter({sums}, s -> s.mask is not null), 0L, (a, s) -> a + s.n)"
+_SHARE = (
+    f"cast(({_TOTAL} - {_TOTAL} % {_COUNT}) / {_COUNT} as double) + cast({_TOTAL} % {_COUNT} as double) / {_COUNT}"
+)
+_MEAN = (
+    f"case when {_COUNT} = 0 then cast(null as double) "
+    f"when exists({{sums}}, s -> s.mask = {NAN}) or exists({{sums}}, s -> s.mask = {INFINITE}) and exists({{sums}}, s -> s.mask = {MINUS_INFINITE}) then double('NaN') "
+    f"when exists({{sums}}, s -> s.mask = {INFINITE}) then double('Infinity') "
+    f"when exists({{sums}}, s -> s.mask = {MINUS_INFINITE}) then double('-Infinity') "
+    f"else aggregate(array_sort(filter({{sums}}, s -> s.mask < {MINUS_INFINITE})), 0D, "
+    f"(a, s) -> a + ({_SHARE}) * pow(2D, greatest(s.mask, -1000)) * pow(2D, least(s.mask + 1000, 0))) end"
+)
 
-def _scanned_row(check: Check, non_null: Mapping[str, str]) -> dict[str, str]:
+
+def _scanned_row(check: Check, nulls: Mapping[str, str], means: Mapping[str, str]) -> dict[str, str]:
     row = {"position": str(check.position), "element_count": "rows"}
     if check.kind == "row" and check.counts_nulls:
         return row | {"checked_count": "rows", "unexpected_count": f"bad_{check.position}"}
     if check.kind == "row":
-        present = non_null[check.column]
+        present = f"rows - {nulls[check.column]}"
         return row | {
             "non_null_count": present,
             "checked_count": present,
             "unexpected_count": f"bad_{check.position}",
         }
     if check.kind == "mean":
-        return row | dict.fromkeys(("observed", "observed_number"), f"mean_{check.position}")
+        return row | dict.fromkeys(("observed", "observed_number"), means[check.column])
     if check.kind == "rows":
         return row | dict.fromkeys(("observed", "observed_number"), "rows")
     return row
@@ -260,7 +374,9 @@ def _success() -> Column:
     )
 
 
-def rendered(measured: DataFrame, checks: Sequence[Check], scan: Scan | None = None) -> DataFrame:
+def rendered(
+    measured: DataFrame, checks: Sequence[Check], scan: Scan | None = None, keep: Sequence[str] = ()
+) -> DataFrame:
     """The numbers with their rule, verdict, proportions and rendered lines."""
     c = F.col
     rules = F.broadcast(described(measured.sparkSession, checks))
@@ -282,7 +398,7 @@ def rendered(measured: DataFrame, checks: Sequence[Check], scan: Scan | None = N
         }
     )
     status = text.status_atom(c("verdict"), c("scanned_rows"), c("total_rows"))
-    return judged.withColumn("status", status).select(*RESULT_COLUMNS)
+    return judged.withColumn("status", status).select(*RESULT_COLUMNS, *keep)
 
 
 # --- violating rows ------------------------------------------------------------------
@@ -301,14 +417,15 @@ def violating_rows(df: DataFrame, check: Check) -> DataFrame:
     return keyed.join(values, "__key", "left_semi").drop("__key")
 
 
-def _violating_values(df: DataFrame, check: Check, id_cols: Sequence[str] = ()) -> DataFrame:
-    """The column values whose rows violate a grouped check, with row counts."""
-    keys = [quoted(c) for c in id_cols]
-    first = [F.min(keys[0] if len(keys) == 1 else F.struct(*keys)).alias("first_id")] if keys else []
+def _violating_values(df: DataFrame, check: Check, first: Column | None = None) -> DataFrame:
+    """The column values whose rows violate a grouped check, with row counts and their first key."""
+    # a value with a row that lacks a key starts before all others
+    lowest = [] if first is None else [F.when(F.count_if(F.col("key").isNull()) == 0, F.min("key")).alias("first")]
     values = (
         df.filter(quoted(check.column).isNotNull())
-        .groupBy(group_key(df, check.column).alias("value"))
-        .agg(F.count(F.lit(1)).alias("n"), *first)
+        .select(group_key(df, check.column).alias("value"), *([] if first is None else [first.alias("key")]))
+        .groupBy("value")
+        .agg(F.count(F.lit(1)).alias("n"), *lowest)
     )
     if check.kind == "unique":
         return values.filter(F.col("n") > 1)
@@ -370,29 +487,100 @@ def _printable(df: DataFrame, column: str) -> Column:
 
 
 def _first_rows(df: DataFrame, check: Check, id_cols: Sequence[str], n: int) -> DataFrame:
-    """The first ``n`` violating rows by key: a top-n per partition, never a full sort.
-
-    For grouped checks the rows are found from the ``n`` offending values that start earliest.
-    Each of them has a row at its first key, so no other value can reach into the first ``n``.
-    """
+    """The first ``n`` violating rows by key: a top-n per partition, never a full sort."""
     if not check.counted:
         raise ValueError(f"{check.type} has no violating rows to list")
     wanted = [quoted(c) for c in dict.fromkeys([*id_cols, check.column])]
+    rows, (hit,) = _hits(df, [check], id_cols, n, {check.position: (0, None)})
+    rows = rows.where(hit).select(*wanted)
     order = [quoted(c) for c in id_cols]
-    if check.kind == "row":
-        rows = violating_rows(df, check).select(*wanted)
-    else:
-        values = _violating_values(df, check, id_cols)
-        first = values.orderBy("first_id" if id_cols else "value").limit(n).select(
-            F.xxhash64("value").alias("__key")
-        )
-        # n hashes, however long the values are
-        keyed = df.select(*wanted, F.xxhash64(group_key(df, check.column)).alias("__key"))
-        keyed = keyed.filter(quoted(check.column).isNotNull())
-        rows = keyed.join(F.broadcast(first), "__key", "left_semi").drop("__key")
     return (rows.orderBy(*order) if order else rows).limit(n)
 
 
+def order_key(df: DataFrame, id_cols: Sequence[str]) -> Column | None:
+    """A number in the order of the rows' keys, equal for some that differ; None where rows have no key.
+
+    It is the first key column, or the first bytes of it, so that hashed aggregates can keep its
+    minimum. A null comes before all.
+    """
+    if not id_cols:
+        return None
+    key, kind = quoted(id_cols[0]), df.schema[id_cols[0]].dataType
+    if isinstance(kind, T.NumericType | T.DateType | T.TimestampNTZType):
+        return key
+    if isinstance(kind, T.TimestampType):
+        return F.unix_micros(key)
+    if isinstance(kind, T.BooleanType):
+        return key.cast("int")
+    if isinstance(kind, sqltypes.TEXT) or isinstance(kind, T.BinaryType):
+        digits = F.rpad(F.hex(F.substring(key.cast("binary"), 1, 14)), 28, "0")
+        half = lambda at: F.conv(F.substring(digits, at, 14), 16, 10).cast("decimal(18,0)")
+        return (half(1) * F.lit(1 << 56) + half(15)).cast("decimal(38,0)")
+    return None
+
+
+def _limit(bound: Any, kind: T.DataType) -> Column:
+    """A bound as the scan gave it, as a literal of the key's type; times go as text, in no time zone."""
+    return F.lit(bound.isoformat() if isinstance(bound, date) else bound).cast(kind)
+
+
+#: Violating rows up to which a rule's first rows are found without a bound.
+FEW_ROWS = 1000
+
+
+def _hits(
+    df: DataFrame, checks: Sequence[Check], id_cols: Sequence[str], n: int, counted: Mapping[int, tuple[int | None, Any]]
+) -> tuple[DataFrame, list[Column]]:
+    """The rows, and for each check whether a row violates it and may be among its first ``n`` by key.
+
+    ``counted`` has what is known of checks by position: how many rows violate it, and the bound of their
+    keys. Rules that lack a bound and have many rows are bounded together by one scan of the keys.
+    Grouped checks choose the values that start earliest; as a rule their hashes, ``n`` at most, are
+    part of the scan's own condition. What ties with the last of them is joined.
+    """
+    key = order_key(df, id_cols)
+    rows, hits, bounds = df, [], []
+    for check in checks:
+        many, bound = counted.get(check.position, (None, None))
+        if check.kind == "row":
+            hit = violated(check)
+        else:
+            hashed = F.xxhash64(group_key(df, check.column))
+            values = _violating_values(df, check, F.lit(0) if key is None else key)
+            low = F.col("first").asc_nulls_first()
+            firsts = values.orderBy(low, F.xxhash64("value")).select("first", F.xxhash64("value").alias("hash")).limit(n + 1).collect()
+            present = quoted(check.column).isNotNull()
+            last = firsts[n - 1].first if len(firsts) > n else None
+            if len(firsts) <= n or key is None or (last is not None and firsts[n].first > last):
+                hit = present & hashed.isin([r.hash for r in firsts[:n]])
+            else:
+                name = f"__hash_{check.position}"
+                starts = F.col("first").isNull()
+                tied = values.where(starts if last is None else starts | (F.col("first") <= _limit(last, _key_type(df, First(key, n)))))
+                tied = tied.select(F.xxhash64("value").alias(name)).distinct().withColumn(f"__hit_{check.position}", F.lit(True))
+                rows = rows.withColumn(name, F.when(present, hashed)).join(tied, name, "left")
+                hit = F.col(f"__hit_{check.position}").isNotNull()
+            bound = last if len(firsts) > n else None
+        hits.append(hit)
+        bounds.append((many, bound))
+    if key is None:
+        return rows, hits
+    loose = [i for i, (many, bound) in enumerate(bounds) if bound is None and (many is None or many > FEW_ROWS)]
+    if loose:
+        bits = {f"bad_{i}": hits[i] for i in loose}
+        found = _masked(rows, bits, (), First(key, n), list(bits)).first()
+        for i in loose:
+            bounds[i] = (None, found[f"bound_bad_{i}"])
+    kind = _key_type(df, First(key, n))
+    limits = [bound for _, bound in bounds]
+    near = [F.lit(True) if b is None else key.isNull() | (key <= _limit(b, kind)) for b in limits]
+    if all(b is not None for b in limits):
+        # one condition on the key alone, which the scan can use; NaN is above all
+        highest = max(limits, key=lambda b: (b != b, b))
+        rows = rows.where(key.isNull() | (key <= _limit(highest, kind)))
+    return rows, [near_ & hit for near_, hit in zip(near, hits, strict=True)]
+
+
 def run_with_evidence(
     df: DataFrame,
     specs: Sequence[Mapping[str, Any]],
@@ -402,33 +590,46 @@ def run_with_evidence(
 ) -> DataFrame:
     """``run_suite`` with up to ``n`` offending values and identified rows per rule.
 
-    The counts come first (one row per rule reaches the driver); the rules that found a violating
-    row are then looked up together, for their keys and checked columns alone.
+    The counts come first (one row per rule reaches the driver), and with them a bound of the first keys
+    of each rule's violating rows; the rows up to these bounds are then looked up together.
     """
     if not specs:
         raise ValueError("a suite with no rules checks nothing")
     checks = compiled(df, specs)
-    results = results_of(df, checks, scan)
-    counted = results.collect()
+    counted, bounds = counted_with_bounds(df, checks, id_cols, scan, n)
     found = {row.position for row in counted if row.unexpected_count}
-    kept = local_frame(df.sparkSession, counted, results.schema)
-    return with_evidence(kept, df, [c for c in checks if c.position in found], id_cols, n)
+    kept = local_frame(df.sparkSession, counted, results_of(df, checks, scan).schema)
+    return with_evidence(kept, df, [c for c in checks if c.position in found], id_cols, n, bounds)
+
+
+def counted_with_bounds(
+    df: DataFrame, checks: Sequence[Check], id_cols: Sequence[str], scan: Scan | None = None, n: int = SAMPLE_ROWS
+) -> tuple[list[Row], dict[int, tuple[int | None, Any]]]:
+    """The results of all checks, and by position how many rows violate each and the bound of the first keys."""
+    key = order_key(df, id_cols)
+    if key is None:
+        rows = results_of(df, checks, scan).collect()
+        return rows, {r.position: (r.unexpected_count, None) for r in rows}
+    measured = metrics(df, checks, First(key, n))
+    results = rendered(measured, checks, scan, keep=("bound",)).collect()
+    rows = [Row(*RESULT_COLUMNS)(*[r[c] for c in RESULT_COLUMNS]) for r in results]
+    return rows, {r.position: (r.unexpected_count, r.bound) for r in results}
 
 
 def with_evidence(
-    results: DataFrame, df: DataFrame, checks: Sequence[Check], id_cols: Sequence[str], n: int
+    results: DataFrame, df: DataFrame, checks: Sequence[Check], id_cols: Sequence[str], n: int,
+    counted: Mapping[int, tuple[int | None, Any]] | None = None,
 ) -> DataFrame:
     """Results with the first ``n`` violating rows of each check, all found in one scan of the table.
 
-    A row goes on with the positions of the rules it violates. Each task sends at most ``n`` rows per
-    rule, the first by key. Grouped checks choose their first values beforehand, one more read for
-    each of their columns, and take part in the same scan with those.
+    Only rows up to a bound of their key go on, with the positions of the rules they violate, and only
+    those are sorted. Each task sends at most ``n`` rows per rule.
     """
     empty = F.array().cast("array<string>")
     if not checks:
         return results.withColumns({"samples": empty, "evidence": empty, "identified": empty})
     listed = (
-        _violating_first(df, checks, id_cols, n)
+        _violating_first(df, checks, id_cols, n, counted or {})
         .groupBy("position")
         .agg(F.array_sort(F.collect_list(F.struct("key", "line", "value", "row"))).alias("rows"))
         .select(
@@ -442,28 +643,17 @@ def with_evidence(
     return joined.withColumns({c: F.coalesce(c, empty) for c in ("samples", "evidence", "identified")})
 
 
-def _violating_first(df: DataFrame, checks: Sequence[Check], id_cols: Sequence[str], n: int) -> DataFrame:
+def _violating_first(
+    df: DataFrame, checks: Sequence[Check], id_cols: Sequence[str], n: int, counted: Mapping[int, tuple[int | None, Any]]
+) -> DataFrame:
     """``position, key, value, line, row``: at most ``n`` rows per check, numbered by key."""
     wanted = list(dict.fromkeys([*id_cols, *[c.column for c in checks]]))
-    rows, broken = df, []
-    for check in checks:
-        if check.kind == "row":
-            present = F.lit(True) if check.counts_nulls else quoted(check.column).isNotNull()
-            hit = F.coalesce(check.violation & present, F.lit(False))
-        else:
-            values = _violating_values(df, check, id_cols)
-            first = values.orderBy("first_id" if id_cols else "value").limit(n)
-            key, flag = f"__key_{check.position}", f"__hit_{check.position}"
-            # n hashes, however long the values are
-            chosen = first.select(F.xxhash64("value").alias(key), F.lit(True).alias(flag))
-            hashed = F.when(quoted(check.column).isNotNull(), F.xxhash64(group_key(df, check.column)))
-            rows = rows.withColumn(key, hashed).join(F.broadcast(chosen), key, "left")
-            hit = F.col(flag).isNotNull()
-        broken.append(F.when(hit, F.lit(check.position)))
-    hits = rows.select(*[quoted(c) for c in wanted], F.explode(F.array_compact(F.array(*broken))).alias("__position"))
+    rows, hits = _hits(df, checks, id_cols, n, counted)
+    broken = F.array_compact(F.array(*[F.when(hit, F.lit(c.position)) for c, hit in zip(checks, hits, strict=True)]))
+    rows = rows.where(reduce(lambda a, b: a | b, hits)).select(*[quoted(c) for c in wanted], F.explode(broken).alias("__position"))
     order = [quoted(c) for c in id_cols] or [F.monotonically_increasing_id()]
     first = F.row_number().over(Window.partitionBy("__position").orderBy(*order))
-    hits = hits.withColumn("__key", first).filter(F.col("__key") <= n)
+    hits = rows.withColumn("__key", first).filter(F.col("__key") <= n)
 
     def by_check(shown) -> Column:
         return F.coalesce(*[F.when(F.col("__position") == c.position, shown(c)) for c in checks])
@@ -516,7 +706,7 @@ def errored_result(
     reason = f"{type(exc).__name__}: {exc}" if str(exc) else type(exc).__name__
     failed = replace(check, kind="errored", violation=None, detail=reason)
     counted = local_frame(df.sparkSession, [(scanned,)], "rows bigint")
-    return rendered(_rows_of(counted, [_scanned_row(failed, {})]), [failed], scan).first()
+    return rendered(_rows_of(counted, [{"position": str(check.position), "element_count": "rows"}]), [failed], scan).first()
 
 
 def specs_of(spark: SparkSession, executable: DataFrame) -> list[dict[str, Any]]:

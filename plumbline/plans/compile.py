@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence, Set
 from dataclasses import dataclass
 from datetime import date, datetime
 from decimal import Decimal, localcontext
+from functools import reduce
 from typing import Any
 
 from pyspark.sql import Column
@@ -234,7 +235,8 @@ def _membership(
     members = tuple(m for m in typed if _representable(data_type, m))
     if len(members) > INLINE_SET:
         return {"kind": "members", "members": members, "negated": negated}
-    found = c.isin([_in_type(data_type, v) for v in members]) if members else F.lit(False)
+    # null for a null, as the comparison with members is
+    found = c.isin([_in_type(data_type, v) for v in members]) if members else F.when(c.isNotNull(), F.lit(False))
     return {"kind": "row", "violation": found if negated else ~found}
 
 
@@ -264,9 +266,8 @@ def _representable(data_type: T.DataType, member: Any) -> bool:
 
 
 def _outside(value: Column, low: Column | None, high: Column | None) -> Column:
-    below = F.lit(False) if low is None else value < low
-    above = F.lit(False) if high is None else value > high
-    return below | above
+    sides = ([] if low is None else [value < low]) + ([] if high is None else [value > high])
+    return reduce(lambda a, b: a | b, sides) if sides else F.lit(False)
 
 
 def _literal(value: Any) -> Column | None:

@@ -285,14 +285,76 @@ def test_a_rule_that_raises_while_running_does_not_take_the_others_with_it(spark
     assert got[1].detail and got[1].scanned_rows == 2
 
 
-def test_a_suite_longer_than_one_scan(spark):
-    df = spark.range(100).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(5)])
+def test_a_long_suite_is_one_scan(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(100).select(*[(F.col("id") + i).alias(f"c{i}") for i in range(5)]).write.parquet(path)
+    df = spark.read.parquet(path)
     rules = [spec("column_values_to_be_between", column=f"c{i % 5}", min_value=i) for i in range(130)]
-    got = by_position(suite.run_suite(df, rules))
+    results = suite.run_suite(df, rules)
+    assert results._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = by_position(results)
     assert len(got) == 130
     assert all(got[i].unexpected_count == min(100, max(0, i - i % 5)) for i in range(130))
 
 
+def test_a_mean_at_its_bound_is_one_verdict_over_any_partitions(spark):
+    n = F.col("id")
+    df = spark.range(1000).select(
+        F.lit(0.1).alias("same"), F.when(n % 3 > 0, n * 0.7 - 1e12).alias("far"), (n * 1e-310).alias("tiny"),
+        F.when(n != 7, n).otherwise(F.lit(float("nan"))).alias("odd"), F.lit(None).cast("double").alias("none"),
+        F.when(n == 3, float("inf")).otherwise(1.0).alias("inf"), n.cast("decimal(8,1)").alias("dec"),
+    )
+    rules = [spec("column_mean_to_be_between", column=c, min_value=0.1, max_value=0.1) for c in df.columns]
+    seen = set()
+    for parts in (1, 4, 40):
+        got = by_position(suite.run_suite(df.repartition(parts), rules))
+        seen.add(tuple((got[i].verdict, str(got[i].observed_number)) for i in range(len(rules))))
+    (told,) = seen
+    assert told[0] == ("passed", "0.1") and told[3][1] == "nan" and told[4][1] == "None" and told[5][1] == "inf"
+    assert float(told[1][1]) == pytest.approx(-1e12 + 350, rel=1e-12) and float(told[6][1]) == 499.5
+    assert float(told[2][1]) == pytest.approx(4.995e-308, rel=1e-9)
+
+
+@pytest.mark.parametrize("key", ["n", "x", "s", "t", "d", "b", "one"])
+def test_evidence_is_that_of_a_full_sort_for_any_key(spark, key):
+    r = F.xxhash64("id")
+    df = spark.range(3000).select(
+        r.alias("r"), (r % 7).alias("v"), F.pmod(r, F.lit(500)).alias("u"), F.pmod(r, F.lit(3)).alias("few"),
+        F.when(r % 40 != 0, r).alias("n"), F.when(r % 9 == 0, float("nan")).otherwise(r.cast("double")).alias("x"),
+        F.concat(F.lit("Reader#"), F.pmod(r, F.lit(90_000)).cast("string")).alias("s"),
+        F.timestamp_micros(F.pmod(r, F.lit(10**15))).alias("t"), F.lit(1).alias("one"), (r % 2 == 0).alias("b"),
+        F.date_add(F.lit("2020-01-01").cast("date"), F.pmod(r, F.lit(300)).cast("int")).alias("d"),
+    ).repartition(5)
+    rules = [spec("column_values_to_be_between", column="v", min_value=m) for m in (-6, 0, 6)]
+    rules += [spec("column_values_to_be_unique", column=c) for c in ("u", "few")]
+    got = by_position(suite.run_with_evidence(df, rules, [key, "r"]))
+    for i, rule in enumerate(rules):
+        row = F.to_json(F.struct(key, "r", rule["kwargs"]["column"])).alias("row")
+        first = suite.violations(df, rule).orderBy(key, "r").limit(20).select(row)
+        assert list(got[i].identified) == [x.row for x in first.collect()]
+
+
+def test_only_rows_up_to_a_bound_are_sorted_for_evidence(spark, tmp_path):
+    path = str(tmp_path / "t")
+    spark.range(20_000).select("id", (F.col("id") % 50).alias("v")).write.parquet(path)
+    df = spark.read.parquet(path)
+    checks = suite.compiled(df, [spec("column_values_to_be_between", column="v", min_value=i) for i in (20, 40)])
+    rows, bounds = suite.counted_with_bounds(df, checks, ["id"])
+    assert [r.unexpected_count for r in rows] == [8000, 16000]
+    assert all(n > 1000 and 19 <= bound < 1000 for n, bound in bounds.values())
+    plan = suite.metrics(df, checks, suite.First(F.col("id"), 20))._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan and plan.count("FileScan") == 1
+    kept, hits = suite._hits(df, checks, ["id"], 20, bounds)
+    assert kept.where(hits[0] | hits[1]).count() < 2000
+    assert "PushedFilters: [Or(IsNull(id),LessThanOrEqual(id" in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_members_that_no_column_can_hold_leave_nulls_alone(frame):
+    df = frame([(1,), (None,), (2,)], "n int")
+    row = suite.run_suite(df, [spec("column_values_to_be_in_set", column="n", value_set=[0.5, float("inf")])]).first()
+    assert (row.unexpected_count, row.missing_count) == (2, 1)
+
+
 def test_all_types_run(probe):
     given = {
         "column": "parcel", "value_set": [4], "regex": "^o", "min_value": 1, "type_": "INTEGER", "type_list": ["TEXT"],
@@ -353,7 +415,7 @@ def test_the_evidence_of_all_row_rules_is_one_scan(spark, tmp_path):
     df = spark.read.parquet(path)
     checks = suite.compiled(df, [spec("column_values_to_be_between", column="v", min_value=i) for i in range(1, 31)])
     counted = suite.results_of(df, checks)
-    found = suite._violating_first(df, checks, ["id"], 20)
+    found = suite._violating_first(df, checks, ["id"], 20, {c.position: (500, 200) for c in checks})
     assert found._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
     rows = by_position(suite.with_evidence(counted, df, checks, ["id"], 20))
     assert rows[2].evidence == [f"#{i * 50 + j} {j}" for i in range(10) for j in range(3)][:20]
