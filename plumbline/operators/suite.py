@@ -180,10 +180,14 @@ def _masked(
         first.key.alias("key"), F.pmod(F.monotonically_increasing_id(), F.lit(BUCKETS)).cast("int").alias("bucket")
     ]
     kept = ["key", "bucket"] if keys else []
-    made = [_mask([bits[name] for name in mask]) for mask in masks]
+    if first is None and not means and len(names) <= LONG:
+        # few counts need no masks: one aggregate without keys
+        return df.agg(F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(name) for name, c in bits.items()])
+    rows = df.select(*keys, *[c.alias(name) for name, c in bits.items()], *[quoted(c).cast("double").alias(f"x_{i}") for i, c in enumerate(means)])
+    made = [" | ".join([f"if({name}, {1 << j}, 0)" for j, name in enumerate(mask)] or ["0"]) for mask in masks]
     if len(names) > LONG:
-        made[0] = made[0].bitwiseOR(F.expr(_INTERPRETED.format(x="`" + df.columns[0].replace("`", "``") + "`")))
-    rows = df.select(*keys, *[c.alias(f"mask_{i}") for i, c in enumerate(made)], *[quoted(c).cast("double").alias(f"x_{i}") for i, c in enumerate(means)])
+        made[0] += " | " + _INTERPRETED.format(x=names[0])
+    rows = rows.selectExpr(*kept, *[f"{mask} as mask_{i}" for i, mask in enumerate(made)], *[f"x_{i}" for i in range(len(means))])
     if len(masks) == 1 and not means:
         rows = rows.selectExpr(*kept, "0 as entry", "mask_0 as mask")
     else:
@@ -210,13 +214,10 @@ def _masked(
     summed = counts.agg(*[F.expr(x) for x in told])
     if not means:
         return summed
-    others = [c for c in summed.columns if not c.startswith("sums_")]
-    return summed.selectExpr(*others, *[f"{_MEAN.format(sums=f'sums_{i}')} as mean_{i}" for i in range(len(means))])
-
-
-def _mask(bits: Sequence[Column]) -> Column:
-    ones = [F.when(bit, F.lit(1 << i)).otherwise(F.lit(0)) for i, bit in enumerate(bits)]
-    return reduce(lambda a, b: a.bitwiseOR(b), ones) if ones else F.lit(0)
+    of = range(len(means))
+    summed = summed.withColumns({f"sums_{i}": F.expr(_SUMS.format(sums=f"sums_{i}")) for i in of})
+    summed = summed.withColumns({f"n_{i}": F.expr(_COUNT.format(sums=f"sums_{i}")) for i in of})
+    return summed.withColumns({f"mean_{i}": F.expr(_MEAN.format(sums=f"sums_{i}", n=f"n_{i}")) for i in of})
 
 
 # Always 0, but Spark interprets it, and so generates the projection that holds it in many small methods;
@@ -239,17 +240,16 @@ _PARTS = (
 _TOTAL = (
     f"cast(cast(s.p2 as decimal(38,0)) * {1 << 2 * PART_BITS}L + cast(s.p1 as decimal(38,0)) * {1 << PART_BITS}L + s.p0 as decimal(38,0))"
 )
-_COUNT = "aggregate(filter({sums}, s -> s.mask is not null), 0L, (a, s) -> a + s.n)"
-_SHARE = (
-    f"cast(({_TOTAL} - {_TOTAL} % {_COUNT}) / {_COUNT} as double) + cast({_TOTAL} % {_COUNT} as double) / {_COUNT}"
-)
+_SUMS = f"transform(filter({{sums}}, s -> s.mask is not null), s -> struct(s.mask as mask, s.n as n, {_TOTAL} as t))"
+_COUNT = "aggregate({sums}, 0L, (a, s) -> a + s.n)"
 _MEAN = (
-    f"case when {_COUNT} = 0 then cast(null as double) "
+    f"case when {{n}} = 0 then cast(null as double) "
     f"when exists({{sums}}, s -> s.mask = {NAN}) or exists({{sums}}, s -> s.mask = {INFINITE}) and exists({{sums}}, s -> s.mask = {MINUS_INFINITE}) then double('NaN') "
     f"when exists({{sums}}, s -> s.mask = {INFINITE}) then double('Infinity') "
     f"when exists({{sums}}, s -> s.mask = {MINUS_INFINITE}) then double('-Infinity') "
     f"else aggregate(array_sort(filter({{sums}}, s -> s.mask < {MINUS_INFINITE})), 0D, "
-    f"(a, s) -> a + ({_SHARE}) * pow(2D, greatest(s.mask, -1000)) * pow(2D, least(s.mask + 1000, 0))) end"
+    f"(a, s) -> a + (cast((s.t - s.t % {{n}}) / {{n}} as double) + cast(s.t % {{n}} as double) / {{n}}) "
+    f"* pow(2D, greatest(s.mask, -1000)) * pow(2D, least(s.mask + 1000, 0))) end"
 )
 
 
@@ -279,13 +279,27 @@ def group_key(df: DataFrame, column: str) -> Column:
     return quoted(column)
 
 
+def digest_key(df: DataFrame, column: str) -> Column:
+    """What equal values of a column share and others don't: texts and bytes go by their SHA-256.
+
+    So no value travels to be counted, however long it is; 32 bytes do.
+    """
+    data_type = df.schema[column].dataType
+    plain_text = isinstance(data_type, sqltypes.TEXT) and getattr(data_type, "collation", "UTF8_BINARY") == "UTF8_BINARY"
+    if plain_text or isinstance(data_type, T.BinaryType | T.MapType | T.StructType | T.VariantType):
+        return F.unhex(F.sha2(group_key(df, column).cast("binary"), 256))
+    return group_key(df, column)
+
+
 def grouped_values(df: DataFrame, column: str) -> DataFrame:
     """``value`` and ``n``: each distinct value with its rows, counted before the shuffle."""
     return df.groupBy(group_key(df, column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
 
 def _grouped(df: DataFrame, column: str, checks: Sequence[Check]) -> DataFrame:
-    values = grouped_values(df, column)
+    # only value sets have to see the values themselves
+    key = group_key if any(c.kind == "members" for c in checks) else digest_key
+    values = df.groupBy(key(df, column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     present = F.col("value").isNotNull()
     aggregates = [
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
@@ -412,18 +426,23 @@ def violating_rows(df: DataFrame, check: Check) -> DataFrame:
         violation = check.violation
         return df.filter(violation if check.counts_nulls else violation & quoted(check.column).isNotNull())
     values = _violating_values(df, check).select(F.col("value").alias("__key"))
-    keyed = df.withColumn("__key", group_key(df, check.column))
+    keyed = df.withColumn("__key", _key_of(df, check))
     # a value with a large share of the rows is split at run time, on the side of the rows
     return keyed.join(values, "__key", "left_semi").drop("__key")
 
 
+def _key_of(df: DataFrame, check: Check) -> Column:
+    """What a grouped check tells values apart by."""
+    return (digest_key if check.kind == "unique" else group_key)(df, check.column)
+
+
 def _violating_values(df: DataFrame, check: Check, first: Column | None = None) -> DataFrame:
-    """The column values whose rows violate a grouped check, with row counts and their first key."""
+    """The keys of column values whose rows violate a grouped check, with row counts and their first row key."""
     # a value with a row that lacks a key starts before all others
     lowest = [] if first is None else [F.when(F.count_if(F.col("key").isNull()) == 0, F.min("key")).alias("first")]
     values = (
         df.filter(quoted(check.column).isNotNull())
-        .select(group_key(df, check.column).alias("value"), *([] if first is None else [first.alias("key")]))
+        .select(_key_of(df, check).alias("value"), *([] if first is None else [first.alias("key")]))
         .groupBy("value")
         .agg(F.count(F.lit(1)).alias("n"), *lowest)
     )
@@ -448,7 +467,9 @@ def violations(df: DataFrame, spec: Mapping[str, Any]) -> DataFrame:
 def violation_counts(df: DataFrame, spec: Mapping[str, Any], n: int | None = SAMPLE_ROWS) -> DataFrame:
     """The ``n`` most frequent offending values (all without ``n``), with the rows each one accounts for."""
     check = _one(df, spec)
-    if check.kind in ("unique", "members"):
+    if check.kind == "unique":
+        values = grouped_values(df, check.column).filter(F.col("value").isNotNull() & (F.col("n") > 1))
+    elif check.kind == "members":
         values = _violating_values(df, check).select("value", "n")
     else:
         values = grouped_values(violating_rows(df, check), check.column)
@@ -545,7 +566,7 @@ def _hits(
         if check.kind == "row":
             hit = violated(check)
         else:
-            hashed = F.xxhash64(group_key(df, check.column))
+            hashed = F.xxhash64(_key_of(df, check))
             values = _violating_values(df, check, F.lit(0) if key is None else key)
             low = F.col("first").asc_nulls_first()
             firsts = values.orderBy(low, F.xxhash64("value")).select("first", F.xxhash64("value").alias("hash")).limit(n + 1).collect()

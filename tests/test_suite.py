@@ -78,6 +78,29 @@ def test_uniqueness_counts_every_row_of_a_shared_value(frame):
     assert [tuple(r) for r in suite.violation_counts(df, rule).collect()] == [("a", 3), ("c", 2)]
 
 
+def test_uniqueness_of_texts_sends_no_text(spark, frame):
+    df = frame([("a" * 5000,), ("a" * 5000,), ("b" * 5000,), ("",), ("",), (None,), (None,)], "t string")
+    rules = [spec("column_values_to_be_unique", column="t"), spec("column_unique_value_count_to_be_between", column="t", max_value=3)]
+    got = by_position(suite.run_suite(df, rules))
+    assert (got[0].unexpected_count, got[0].missing_count, got[1].observed) == (4, 2, "3")
+    plan = suite.run_suite(df, rules[:1])._jdf.queryExecution().executedPlan().toString()
+    keys = [line for line in plan.splitlines() if "HashAggregate(keys=[" in line or "Exchange hashpartitioning" in line]
+    assert keys and not any("[t#" in line or "(t#" in line for line in keys)
+    assert suite.violations(df, rules[0]).count() == 4
+    assert {(r.value[:1], r.rows) for r in suite.violation_counts(df, rules[0]).collect()} == {("a", 2), ("", 2)}
+
+
+@pytest.mark.parametrize("kind, values, shared", [
+    ("binary", [b"x", b"x", b"", None], 2), ("double", [0.0, -0.0, float("nan"), float("nan"), 1.0], 4),
+    ("array<int>", [[1], [1], [2], []], 2), ("struct<a:int,b:string>", [(1, "x"), (1, "x"), (1, None)], 2),
+])
+def test_uniqueness_of_other_types(frame, kind, values, shared):
+    df = frame([(v,) for v in values], f"v {kind}")
+    rule = spec("column_values_to_be_unique", column="v")
+    assert suite.run_suite(df, [rule]).first().unexpected_count == shared
+    assert suite.violations(df, rule).count() == shared
+
+
 def test_a_value_with_a_third_of_all_rows(spark):
     n = F.col("id")
     df = spark.range(30_000).select(
