@@ -1,13 +1,16 @@
-"""Running rules one at a time, each verdict handed over as it lands.
+"""Running a suite while someone waits: each verdict handed over, in order, as it lands.
 
-For a reader who waits for the first verdict. ``run_suite`` answers all rules in one pass and
-is the better choice when the whole result is wanted. The table is not cached: each rule reads
-its own columns only, which is less than keeping every column of the table.
+Rules that look at rows one by one share a scan for their counts and one for their evidence; each
+column whose values are grouped has its own two. These groups run side by side, so the number of
+scans follows the columns that need grouping, not the rules, and cheap verdicts don't wait for dear
+ones that come after them. The table is not cached: each group reads its own columns only.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +21,7 @@ from plumbline.operators import results as R
 from plumbline.operators.suite import (
     SAMPLE_ROWS,
     compiled,
+    counted_with_bounds,
     errored_result,
     results_of,
     with_evidence,
@@ -28,6 +32,10 @@ from plumbline.sources.tables import Scan
 
 STARTED, VERDICT, COMPLETED = "started", "verdict", "completed"
 
+#: Groups of rules that run side by side, and the scheduler pool of their jobs where the session has pools.
+SIDE_BY_SIDE = 4
+POOL = "plumbline-progressive"
+
 Event = dict[str, Any]
 
 
@@ -53,11 +61,11 @@ def run_progressive(
         ],
     }
     settled = []
-    for check in checks:
-        settled.append(_settle(df, check, scan, id_cols))
+    for check, result in zip(checks, _settled(df, checks, scan, id_cols), strict=True):
+        settled.append(result)
         yield {
             "event": VERDICT, "index": check.position, "total": len(checks),
-            "reported": len(settled), "result": settled[-1],
+            "reported": len(settled), "result": result,
         }
     record_id, detail = _stored(spark, scan, settled, store, run_id)
     yield {
@@ -67,17 +75,57 @@ def run_progressive(
     }
 
 
-def _settle(df: DataFrame, check: Check, scan: Scan, id_cols: Sequence[str]) -> dict[str, Any]:
+def scan_groups(checks: Sequence[Check]) -> list[list[Check]]:
+    """The checks that share their scans: all that look at rows, and those on one column's grouped values."""
+    groups: dict[str | None, list[Check]] = {}
+    for check in checks:
+        grouped = check.kind in ("unique", "distinct", "members")
+        groups.setdefault(check.column if grouped else None, []).append(check)
+    return list(groups.values())
+
+
+def _settled(
+    df: DataFrame, checks: Sequence[Check], scan: Scan, id_cols: Sequence[str]
+) -> Iterator[dict[str, Any]]:
+    """The result of each check in order, as soon as its group has run; a reader who leaves ends what still runs."""
+    spark, tag = df.sparkSession, f"progressive-{uuid.uuid4().hex}"
+
+    def run(group: Sequence[Check]) -> dict[int, dict[str, Any]]:
+        spark.addTag(tag)
+        spark.sparkContext.setLocalProperty("spark.scheduler.pool", POOL)
+        return {r["position"]: r for r in _settle_group(df, group, scan, id_cols)}
+
+    pool = ThreadPoolExecutor(SIDE_BY_SIDE)
+    over = False
+    try:
+        running = {c.position: future for group in scan_groups(checks) for future in [pool.submit(run, group)] for c in group}
+        for check in checks:
+            yield running[check.position].result()[check.position]
+        over = True
+    finally:
+        pool.shutdown(wait=False, cancel_futures=True)
+        if not over:
+            spark.interruptTag(tag)
+
+
+def _settle_group(
+    df: DataFrame, checks: Sequence[Check], scan: Scan, id_cols: Sequence[str]
+) -> list[dict[str, Any]]:
+    """The results of checks that share their scans; one at a time where they fail together."""
+    nothing = {"samples": [], "evidence": [], "identified": []}
     try:
-        counted = results_of(df, [check], scan)
-        row = counted.first()
-        if not row.unexpected_count:
-            return {**row.asDict(), "samples": [], "evidence": [], "identified": []}
-        kept = local_frame(df.sparkSession, [row], counted.schema)
-        return with_evidence(kept, df, [check], id_cols, SAMPLE_ROWS).first().asDict()
+        rows, bounds = counted_with_bounds(df, checks, id_cols, scan, SAMPLE_ROWS)
+        failing = {row.position for row in rows if row.unexpected_count}
+        if not failing:
+            return [row.asDict() | nothing for row in rows]
+        kept = local_frame(df.sparkSession, rows, results_of(df, checks, scan).schema)
+        found = with_evidence(kept, df, [c for c in checks if c.position in failing], id_cols, SAMPLE_ROWS, bounds)
+        return [row.asDict() for row in found.collect()]
     except Exception as exc:  # one broken rule may not end the run for the others
-        row = errored_result(df, check, exc, scan.scanned_rows, scan)
-        return {**row.asDict(), "samples": [], "evidence": [], "identified": []}
+        if len(checks) > 1:
+            return [result for check in checks for result in _settle_group(df, [check], scan, id_cols)]
+        row = errored_result(df, checks[0], exc, scan.scanned_rows, scan)
+        return [row.asDict() | nothing]
 
 
 def _stored(

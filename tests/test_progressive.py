@@ -3,9 +3,10 @@
 import pytest
 from pyspark.sql import functions as F
 
+from plumbline.operators import suite
 from plumbline.sources import store
 from plumbline.sources.tables import Scan
-from plumbline.streaming.progressive import run_progressive
+from plumbline.streaming.progressive import run_progressive, scan_groups
 from tests.conftest import spec
 
 RULES = [
@@ -38,6 +39,16 @@ def test_verdicts_arrive_before_the_run_is_over(spark):
     run.close()
 
 
+def test_rules_share_their_scans(spark):
+    rules = [spec("column_values_to_be_between", column="id", max_value=i) for i in range(25)]
+    rules += [spec("column_values_to_be_unique", column="id"), spec("column_unique_value_count_to_be_between", column="id", max_value=3)]
+    groups = scan_groups(suite.compiled(spark.range(3), rules))
+    assert [len(g) for g in groups] == [25, 2]
+    verdicts = [e["result"] for e in run_progressive(spark.range(30), rules, Scan("t", 30), ["id"]) if e["event"] == "verdict"]
+    assert [v["unexpected_count"] for v in verdicts] == [29 - i for i in range(25)] + [0, None]
+    assert verdicts[7]["evidence"] == [str(i) for i in range(8, 28)] and verdicts[26]["verdict"] == "failed"
+
+
 def test_a_rule_that_raises_while_it_runs_is_errored(spark):
     df = spark.range(3).select(F.when(F.col("id") < 9, F.concat(F.lit("x"), "id")).cast("int").alias("n"), "id")
     rules = [spec("column_values_to_not_be_null", column="n"), RULES[2]]
