@@ -12,6 +12,8 @@ whose prefix no other group shares are a list of their own there.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -25,8 +27,10 @@ from plumbline.llm.graph import components
 #: Width of a shingle in words, and the least share of shingles in common, in hundredths.
 WIDTH = 3
 PERCENT = 90
-#: Groups by hash that each list is tried against in the second step.
+#: Groups by hash that each list is tried against in a round of the second step, and the links that a
+#: round must have found for another one.
 TRIED = 3
+LEAST_JOINED = 64
 #: Rows on either side of a block of pairs in the last step, and the bits a set is folded into.
 BLOCK_ROWS = 1024
 FOLDED_BITS = 1024
@@ -165,11 +169,24 @@ def near_copies(
         leaders = groups.select(F.col("first").alias("lead"), F.col("group").alias("lead_group"), F.col("n").alias("lead_n"), F.inline(numbers))
         return least.join(leaders, ["k", "o"]).select("token", "lead", "lead_group", "lead_n").distinct()
 
+    def own_leaders(round_: int) -> DataFrame:
+        """TRIED groups of each list by hashes that differ from list to list, so that many groups lead."""
+        marks = [F.xxhash64("first", "token", F.lit(round_ * TRIED + k)).alias(f"o{k}") for k in range(TRIED)]
+        marked = postings.select("token", "group", "first", "n", *marks)
+        least = marked.groupBy("token").agg(*[F.min(f"o{k}").alias(f"m{k}") for k in range(TRIED)])
+        leads = reduce(lambda a, b: a | b, [F.col(f"o{k}") == F.col(f"m{k}") for k in range(TRIED)])
+        found = marked.join(least, "token").where(leads)
+        return found.select("token", F.col("first").alias("lead"), F.col("group").alias("lead_group"), F.col("n").alias("lead_n"))
+
     edges = checkpointed(_verified(tried(chosen(F.col("first")), None), distinct, percent))
-    labels = components(edges)
-    some = chosen(*[F.xxhash64("first", F.lit(k)) for k in range(TRIED)])
-    edges = checkpointed(edges.union(_verified(tried(some, labels), distinct, percent)))
-    labels = components(edges)
+    labels, round_, joined = components(edges), 0, LEAST_JOINED
+    # what is left apart is compared pair by pair, so leaders go on while they join much
+    while joined >= LEAST_JOINED:
+        some = own_leaders(round_)
+        new = checkpointed(_verified(tried(some, labels), distinct, percent))
+        joined, round_ = new.count(), round_ + 1
+        edges = edges.union(new)
+        labels = components(edges) if joined else labels
     rest = _across(postings.unionByName(alone), members, distinct, labels, percent)
     more = checkpointed(_verified(rest, distinct, percent))
     if more.take(1):
