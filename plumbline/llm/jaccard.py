@@ -116,7 +116,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_copies(
-    df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT
+    df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, patient: bool = False
 ) -> DataFrame:
     """Per row of the input its key, ``n_shingles``, ``component_id`` and ``copies`` of its very set.
 
@@ -124,7 +124,9 @@ def near_copies(
     lower-cased in A-Z; a text with fewer words than ``width`` is one shingle. Null and empty texts
     and texts without words have no shingles and link with nothing. A null key is no smallest key
     unless all keys of its component are null. Repeated rows are copies of each other; no rows
-    give no rows; other columns are not read.
+    give no rows; other columns are not read. ``patient`` tries lists against leaders of their own, in
+    rounds that go on while they join much; the rows are the same, with fewer pairs in the last step
+    where many near copies of a text don't link with each other, and more jobs.
     """
     nodes = written(shingle_sets(B.packed(df, text, key), width, percent), compression="none")
     sets = ["n_shingles", "set_a", "set_b"]
@@ -182,11 +184,11 @@ def near_copies(
     labels, round_, joined = components(edges), 0, LEAST_JOINED
     # what is left apart is compared pair by pair, so leaders go on while they join much
     while joined >= LEAST_JOINED:
-        some = own_leaders(round_)
+        some = own_leaders(round_) if patient else chosen(*[F.xxhash64("first", F.lit(k)) for k in range(TRIED)])
         new = checkpointed(_verified(tried(some, labels), distinct, percent))
-        joined, round_ = new.count(), round_ + 1
-        edges = edges.union(new)
-        labels = components(edges) if joined else labels
+        joined, round_ = new.count() if patient else 0, round_ + 1
+        edges = checkpointed(edges.union(new))
+        labels = components(edges)
     rest = _across(postings.unionByName(alone), members, distinct, labels, percent)
     more = checkpointed(_verified(rest, distinct, percent))
     if more.take(1):
