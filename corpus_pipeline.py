@@ -44,7 +44,7 @@ def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     """
     safe, names = _shielded(docs)
     safe = safe.withColumn("_key", F.xxhash64("doc_id", "text"))
-    found = jaccard.near_copies(safe.select("_key", "text"), key="_key", width=WIDTH, percent=PERCENT)
+    found = jaccard.near_copies(safe.select("_key", "text"), key="_key", width=WIDTH, percent=PERCENT, patient=True)
     keys = safe.groupBy("_key").agg(F.min("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("rows"))
     groups = found.select("_key", "component_id").distinct().join(keys, "_key")
     groups = checkpointed(groups)

@@ -10,10 +10,12 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where the session names none."""
+    """The folder that driver and executors share; a temporary one only for a local session that names none."""
     context = spark.sparkContext
     folder = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
+        if not context.master.partition("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir names no folder that the executors share")
         folder = tempfile.mkdtemp(prefix="plumbline-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(folder)

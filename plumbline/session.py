@@ -6,7 +6,7 @@ from pyspark.sql import SparkSession
 
 
 def local_session(cpus: int = 8, memory: str = "8g") -> SparkSession:
-    """A session for tests and benchmarks. No job here cuts its lineage, so none needs a checkpoint."""
+    """A session for tests and benchmarks; what has to be kept goes to a temporary folder of this machine."""
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName("plumbline")
