@@ -15,7 +15,7 @@ from plumbline.operators.ranges import checkpointed, in_ranges, shared_folder
 
 __all__ = [
     "WORD", "checkpointed", "in_ranges", "replaced", "shared_folder", "shipped", "text_or_empty", "tie_break",
-    "totals_before", "written",
+    "totals_before", "unused", "written",
 ]
 
 #: The pattern of a word: a run of anything but the six ASCII white-space characters.
@@ -57,6 +57,14 @@ def replaced(df: DataFrame, **columns: Column) -> DataFrame:
     return df.select(*kept, *[c.alias(name) for name, c in columns.items()])
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """The name, or one like it, that no column of the frame has in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def tie_break(df: DataFrame) -> Column:
     """A number from all columns, so that rows that tie on the order come in one order every time."""
     return F.xxhash64(*[F.col(f"`{f.name}`").cast("string") for f in df.schema.fields])

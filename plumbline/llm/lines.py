@@ -13,7 +13,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, checkpointed, in_ranges, replaced, text_or_empty, totals_before, written
+from plumbline.llm.common import WORD, checkpointed, in_ranges, text_or_empty, totals_before, unused, written
 
 #: Lines in the shortest run that is deleted.
 LINES = 2
@@ -67,13 +67,14 @@ def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", shortes
     ``spans`` are structs of the first line and the line after the last. Repeated rows are later
     copies. No rows give no rows; input columns named like an output are replaced.
     """
-    rows = written(replaced(df, _row=F.monotonically_increasing_id()), compression="zstd")
-    order = [F.col(f"`{key}`").asc_nulls_last(), F.col("_row").asc()]
-    numbered = in_ranges(rows.select(f"`{key}`", "_row"), order)
+    row = unused(df, "_row")
+    rows = written(df.withColumn(row, F.monotonically_increasing_id()), compression="zstd")
+    order = [F.col("key").asc_nulls_last(), F.col("row").asc()]
+    numbered = in_ranges(rows.select(F.col(f"`{key}`").alias("key"), F.col(row).alias("row")), order)
     parts = totals_before(numbered, {"n": F.lit(1)})
     starts = rows.sparkSession.createDataFrame([(p["_part"], p["before_n"]) for p in parts], "_part int, _start long")
     number = F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy(*order)) - 1
-    numbered = numbered.join(F.broadcast(starts), "_part").select("_row", number.alias("number"))  # a row per partition
+    numbered = numbered.join(F.broadcast(starts), "_part").select("row", number.alias("number"))  # a row per partition
 
     split = F.split(text_or_empty(text), "\n", -1)
 
@@ -85,8 +86,8 @@ def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", shortes
         return F.struct(*both)
 
     each = F.transform(split, hashes)
-    hashed = rows.where(F.col(f"`{text}`").isNotNull()).select("_row", each.alias("lines"))
-    places = hashed.join(numbered, "_row").select("_row", "number", F.posexplode("lines").alias("line", "hashes"))
+    hashed = rows.where(F.col(f"`{text}`").isNotNull()).select(F.col(row).alias("row"), each.alias("lines"))
+    places = hashed.join(numbered, "row").select("number", F.posexplode("lines").alias("line", "hashes"))
     places = checkpointed(places.select((F.col("number") * STRIDE + F.col("line")).alias("place"), "hashes.*"))
 
     named = _named(places, "line_a", "line_b")
@@ -103,12 +104,12 @@ def deduplicated(df: DataFrame, text: str = "text", key: str = "doc_id", shortes
     islands = runs.withColumn("begins", begins.cast("int")).withColumn("island", F.sum("begins").over(in_text))
     spans = islands.groupBy("number", "island").agg(F.min("line").alias("start"), F.max("end").alias("end"))
     spans = spans.groupBy("number").agg(F.sort_array(F.collect_list(F.struct("start", "end"))).alias("spans"))
-    found = checkpointed(numbered.join(spans, "number").select("_row", "spans"))
+    found = checkpointed(numbered.join(spans, "number").select(F.col("row").alias(row), "spans"))
 
     lines = F.split(F.col(f"`{text}`").cast("string"), "\n", -1)
     spans = F.coalesce("spans", F.array().cast("array<struct<start:int,end:int>>"))
     outputs = ("n_lines", "spans", "kept")
-    result = rows.drop(*[c for c in rows.columns if c.lower() in outputs and c != text]).join(found, "_row", "left")
+    result = rows.drop(*[c for c in rows.columns if c.lower() in outputs and c != text]).join(found, row, "left")
     carried = [F.col(f"`{c}`") for c in df.columns if c.lower() not in outputs]
     return result.select(
         *carried, F.when(F.col(f"`{text}`").isNull(), 0).otherwise(F.size(lines)).alias("n_lines"),

@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from plumbline.llm.common import WORD, checkpointed, in_ranges, replaced, text_or_empty, tie_break, totals_before, written
+from plumbline.llm.common import WORD, checkpointed, in_ranges, text_or_empty, tie_break, totals_before, unused, written
 
 #: Weights of the sources in code-point order, repeating; fixed by the task.
 WEIGHTS = (5, 2, 1)
@@ -147,14 +147,17 @@ def mixed(
     """
     outputs = ("size", "source_size", "target", "rate", "copies")
     carried = [c for c in (df.columns if keep is None else keep) if c.lower() not in outputs]
+    tie = tie_break(df)
+    row = None
     if keep is None:
-        df = written(replaced(df, _row=F.monotonically_increasing_id()), compression="zstd")
-        keep = ["_row"]
+        row = unused(df, "_row")
+        df = written(df.withColumn(row, F.monotonically_increasing_id()), compression="zstd")
+        keep = [row]
     size = F.regexp_count(text_or_empty(text), F.lit(WORD)).cast("long")
     narrow = df.select(
         *[F.col(f"`{c}`").alias(f"_k{i}") for i, c in enumerate(keep)],
         F.col(f"`{order}`").alias("_order"), F.col(f"`{source}`").cast("string").alias("_source"),
-        size.alias("size"), tie_break(df).alias("_tie"),
+        size.alias("size"), tie.alias("_tie"),
     )
     narrow = written(narrow)
     sizes = checkpointed(narrow.groupBy("_source", "size").agg(F.count(F.lit(1)).alias("_n")))
@@ -192,12 +195,13 @@ def mixed(
         step = F.when(free & (smaller < F.abs("_missing")), F.when(more, 1).otherwise(-1)).otherwise(0)
         rows = rows.withColumn("copies", F.col("copies") + step).drop("_missing", "_upto", "_room")
     result = [F.col(c) for c in outputs]
-    if "_row" in keep:
-        copies = rows.select("_k0", *outputs).withColumnRenamed("_k0", "_row")
-        return df.drop(*[c for c in df.columns if c.lower() in outputs]).join(copies, "_row").select(*[F.col(f"`{c}`") for c in carried], *result)
+    if row is not None:
+        copies = rows.select("_k0", *outputs).withColumnRenamed("_k0", row)
+        return df.drop(*[c for c in df.columns if c.lower() in outputs]).join(copies, row).select(*[F.col(f"`{c}`") for c in carried], *result)
     return rows.select(*[F.col(f"_k{i}").alias(c) for i, c in enumerate(keep)], *result)
 
 
 def repeated(mix: DataFrame, copies: str = "copies") -> DataFrame:
     """The rows as often as their copies say."""
-    return mix.withColumn("_copy", F.explode(F.array_repeat(F.lit(0), F.col(copies)))).drop("_copy")
+    copy = unused(mix, "_copy")
+    return mix.withColumn(copy, F.explode(F.array_repeat(F.lit(0), F.col(copies)))).drop(copy)

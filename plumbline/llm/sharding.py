@@ -38,7 +38,8 @@ def byte_shards(
     shipped(df.sparkSession)
     carried = [c for c in (df.columns if keep is None else keep) if c.lower() not in ("size", "shard", "slot")]
     df = df.select(
-        *[F.col(f"`{c}`") for c in carried], size.alias("size"), tie_break(df).alias("_tie"),
+        # under names of their own, so that no column has a helper's name
+        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(carried)], size.alias("size"), tie_break(df).alias("_tie"),
         F.col(f"`{order}`").alias("_order"),
     )
     rows = in_ranges(df, [F.col("_order").asc_nulls_first(), F.col("_tie").asc()])
@@ -81,4 +82,4 @@ def byte_shards(
         seen[p["shard"]] = seen.get(p["shard"], 0) + p["n"]
     fields = [f for f in rows.schema.fields if f.name not in helpers]
     schema = T.StructType([*fields, T.StructField("shard", T.IntegerType()), T.StructField("slot", T.LongType())])
-    return rows.mapInArrow(lambda it: dealt(it, starts), schema)
+    return rows.mapInArrow(lambda it: dealt(it, starts), schema).toDF(*carried, "size", "shard", "slot")

@@ -79,6 +79,20 @@ def test_shards_of_one_hot_key_and_of_nothing(spark, nothing):
     assert sharding.byte_shards(nothing).collect() == []
 
 
+def test_no_column_name_clashes_with_a_helper(docs):
+    names = ["_part", "_tie", "_order", "_row", "_copy", "_c0", "_k0", "_START", "number", "key", "row", "place", "island"]
+    wide = docs.select("*", *[F.concat(F.lit(n), F.col("doc_id").cast("string")).alias(n) for n in names])
+    for result in (
+        sharding.byte_shards(wide, shards=3), mixing.mixed(wide), lines.deduplicated(wide),
+        mixing.repeated(mixing.mixed(wide).withColumn("copies", F.lit(1))),
+    ):
+        assert result.columns[: len(wide.columns)] == wide.columns
+        rows = result.collect()
+        assert len(rows) == len(corpus())
+        for r in rows:
+            assert all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for n in names)
+
+
 def test_checksums_are_those_of_the_utf8_bytes(docs):
     for r in docs.select("text", F.crc32(text_or_empty("text")).alias("c")).collect():
         assert r.c == zlib.crc32((r.text or "").encode())
