@@ -26,6 +26,8 @@ from plumbline.llm.common import shipped, text_or_empty
 LIMIT = 512
 #: Pieces whose prefix counts a worker keeps at most; then it begins anew.
 KEPT_PIECES = 500_000
+#: Bytes of the longest piece that is kept, so that its counts and lengths fit a byte each.
+LONGEST_KEPT = 255
 NEVER = 1 << 60
 #: Longer pieces are plain letters, numbers, marks or white space: no contraction, no special token.
 SHORT_PIECE = 24
@@ -128,7 +130,7 @@ class PrefixCounter:
     def _prefixes(self, piece: str) -> tuple[Sequence[int], Sequence[int]]:
         """Of each byte prefix the tokens and the length of the last one."""
         counts, lengths, done = [0], [0], 0
-        for cut in range(len(piece) - 1, 0, -1):
+        for cut in range(min(len(piece), LONGEST_KEPT + 1) - 1, 0, -1):
             if (known := self.kept.get(piece[:cut])) is not None:
                 counts, lengths = list(known[0]), list(known[1])
                 done = len(counts) - 1
@@ -158,7 +160,7 @@ class PrefixCounter:
         if (known := self.kept.get(piece)) is not None:
             return known[0]
         counts, lengths = self._prefixes(piece)
-        if len(counts) <= 256:  # both numbers fit a byte; longer pieces are not kept
+        if len(counts) <= LONGEST_KEPT + 1:
             if len(self.kept) >= KEPT_PIECES:
                 self.kept.clear()
                 self.totals.clear()
