@@ -10,6 +10,7 @@ and beginnings of a bounded sample of texts is trained on the posteriors, and sc
 
 from __future__ import annotations
 
+import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
@@ -362,7 +363,7 @@ def fit(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id
             ids, p = [sorted(lookup(w)) for w in words], [own(w) for w in words]
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.list_(pa.int32())), pa.array(p, pa.float64())], ["ids", "p"])
 
-    # about TRAINED rows; texts with the same features are one row with their mean label
+    # about TRAINED rows, in an order that no partitioning changes
     rows = chosen.mapInArrow(encoded, "ids array<int>, p double").orderBy("p", "ids").collect()
     weights, bias = logistic([r["ids"] for r in rows], np.array([r["p"] for r in rows]), len(numbers_of))
     kept = {f: float(weights[i]) for f, i in numbers_of.items() if weights[i]}
@@ -377,10 +378,12 @@ def scored(df: DataFrame, model: Model, text: str = "text", name: str = "score")
     """
     numbers = {f: i for i, f in enumerate(model.weights)}
     weights, bias = np.array([*model.weights.values(), 0.0]), model.bias
+    mark = hashlib.sha256(repr(list(numbers)).encode()).digest()
+    shipped(df.sparkSession)
 
     @F.pandas_udf("double")
     def score(texts):
-        lookup = _lookup(numbers)
+        lookup = _lookup(mark, numbers)
         sums = np.array([weights[list(lookup(words_of(t)))].sum() if t else 0.0 for t in texts]) + bias
         return type(texts)(1 / (1 + np.exp(-np.clip(sums, -40, 40))))
 
@@ -388,15 +391,15 @@ def scored(df: DataFrame, model: Model, text: str = "text", name: str = "score")
     return df.select(*kept, score(text_or_empty(text)).alias(name))
 
 
-_LOOKUPS: dict[int, Lookup] = {}
+_LOOKUPS: dict[bytes, Lookup] = {}
 
 
-def _lookup(numbers: dict[bytes, int]) -> Lookup:
-    """The lookup of this process for one model's features."""
-    if id(numbers) not in _LOOKUPS:
+def _lookup(mark: bytes, numbers: dict[bytes, int]) -> Lookup:
+    """The lookup of this process for one model's features, which ``mark`` stands for."""
+    if mark not in _LOOKUPS:
         _LOOKUPS.clear()
-        _LOOKUPS[id(numbers)] = Lookup(numbers)
-    return _LOOKUPS[id(numbers)]
+        _LOOKUPS[mark] = Lookup(numbers)
+    return _LOOKUPS[mark]
 
 
 def toxicity(df: DataFrame, labels: DataFrame, text: str = "text", key: str = "doc_id", threshold: float = THRESHOLD) -> DataFrame:

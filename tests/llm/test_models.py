@@ -1,6 +1,7 @@
 """Token counts against the library, toxicity on held-out rows, the pipeline against its parts."""
 
 import random
+import time
 from collections import Counter
 
 import numpy as np
@@ -53,6 +54,20 @@ def test_token_counts_of_a_table(spark, frame, library):
     assert tokencount.token_counts(df.filter("false"), queries.tokenizer_path()).collect() == []
 
 
+def test_a_very_long_piece_takes_time_by_its_length(library):
+    counter = tokencount.counter(queries.tokenizer_path())
+    long = "abcdefghij" * 30_000
+    began = time.perf_counter()
+    n = counter.count(long)
+    assert time.perf_counter() - began < 20
+    assert n == count(library, long)
+
+
+def test_lookups_follow_the_model():
+    found = [toxicity._lookup(m, n) for m, n in ((b"a", {b"x\x001": 0}), (b"b", {b"y\x001": 0}), (b"b", {b"y\x001": 0}))]
+    assert found[1] is found[2] and found[0] is not found[1]
+
+
 # --- toxicity ------------------------------------------------------------------------------
 
 VOCABULARY = ["".join(random.Random(i).choice("klmnoprstuv") for _ in range(4)) for i in range(500)]
