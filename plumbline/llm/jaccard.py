@@ -6,13 +6,15 @@ groups, and only what passes is expanded to members and verified on the whole se
 
 Links are found in three steps, none of which writes out all pairs of a list: every posting list
 is tried against its smallest group, then against a few groups chosen by hash, and at last only
-the pairs of a list that lie in different components so far are tried, in blocks. Members of a group
-whose prefix no other group shares are a list of their own there.
+the pairs of a list that lie in different components so far are tried, in blocks. A block finds the
+rows that may link, is sent their whole sets, and tells the links that join what is still apart:
+fewer than it has rows. Members of a group whose prefix no other group shares are a list of their
+own there.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +29,11 @@ from plumbline.llm.graph import components
 #: Width of a shingle in words, and the least share of shingles in common, in hundredths.
 WIDTH = 3
 PERCENT = 90
-#: Groups by hash that each list is tried against in a round of the second step, and the links that a
-#: round must have found for another one.
+#: Groups by hash that each list is tried against in the second step.
 TRIED = 3
-LEAST_JOINED = 64
-#: Rows on either side of a block of pairs in the last step, and the bits a set is folded into.
+#: Rows and shingles on either side of a block in the last step (about), and the bits a set is folded into.
 BLOCK_ROWS = 1024
+BLOCK_TOKENS = 1 << 21
 FOLDED_BITS = 1024
 
 NODES = (
@@ -116,7 +117,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def near_copies(
-    df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT, patient: bool = False
+    df: DataFrame, text: str = "text", key: str = "doc_id", width: int = WIDTH, percent: int = PERCENT
 ) -> DataFrame:
     """Per row of the input its key, ``n_shingles``, ``component_id`` and ``copies`` of its very set.
 
@@ -124,9 +125,7 @@ def near_copies(
     lower-cased in A-Z; a text with fewer words than ``width`` is one shingle. Null and empty texts
     and texts without words have no shingles and link with nothing. A null key is no smallest key
     unless all keys of its component are null. Repeated rows are copies of each other; no rows
-    give no rows; other columns are not read. ``patient`` tries lists against leaders of their own, in
-    rounds that go on while they join much; the rows are the same, with fewer pairs in the last step
-    where many near copies of a text don't link with each other, and more jobs.
+    give no rows; other columns are not read.
     """
     nodes = written(shingle_sets(B.packed(df, text, key), width, percent), compression="none")
     sets = ["n_shingles", "set_a", "set_b"]
@@ -171,26 +170,11 @@ def near_copies(
         leaders = groups.select(F.col("first").alias("lead"), F.col("group").alias("lead_group"), F.col("n").alias("lead_n"), F.inline(numbers))
         return least.join(leaders, ["k", "o"]).select("token", "lead", "lead_group", "lead_n").distinct()
 
-    def own_leaders(round_: int) -> DataFrame:
-        """TRIED groups of each list by hashes that differ from list to list, so that many groups lead."""
-        marks = [F.xxhash64("first", "token", F.lit(round_ * TRIED + k)).alias(f"o{k}") for k in range(TRIED)]
-        marked = postings.select("token", "group", "first", "n", *marks)
-        least = marked.groupBy("token").agg(*[F.min(f"o{k}").alias(f"m{k}") for k in range(TRIED)])
-        leads = reduce(lambda a, b: a | b, [F.col(f"o{k}") == F.col(f"m{k}") for k in range(TRIED)])
-        found = marked.join(least, "token").where(leads)
-        return found.select("token", F.col("first").alias("lead"), F.col("group").alias("lead_group"), F.col("n").alias("lead_n"))
-
     edges = checkpointed(_verified(tried(chosen(F.col("first")), None), distinct, percent))
-    labels, round_, joined = components(edges), 0, LEAST_JOINED
-    # what is left apart is compared pair by pair, so leaders go on while they join much
-    while joined >= LEAST_JOINED:
-        some = own_leaders(round_) if patient else chosen(*[F.xxhash64("first", F.lit(k)) for k in range(TRIED)])
-        new = checkpointed(_verified(tried(some, labels), distinct, percent))
-        joined, round_ = new.count() if patient else 0, round_ + 1
-        edges = checkpointed(edges.union(new))
-        labels = components(edges)
-    rest = _across(postings.unionByName(alone), members, distinct, labels, percent)
-    more = checkpointed(_verified(rest, distinct, percent))
+    some = chosen(*[F.xxhash64("first", F.lit(k)) for k in range(TRIED)])
+    edges = checkpointed(edges.union(_verified(tried(some, components(edges)), distinct, percent)))
+    labels = components(edges)
+    more = checkpointed(_across(postings.unionByName(alone), members, distinct, labels, percent))
     if more.take(1):
         labels = components(edges.union(more))
 
@@ -206,41 +190,80 @@ def near_copies(
     )
 
 
-def _across(postings: DataFrame, members: DataFrame, distinct: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
-    """Candidate rows of one list and different components, in blocks of at most BLOCK_ROWS a side.
+def _able(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Of each left row of a block the right ones of other components that it may link with.
 
     A set is folded into parities of FOLDED_BITS bits. Two sets differ by at least the bits that
     differ, so a pair whose bits differ by more than a link allows is left out; that is exact.
     """
+    component, size = table["component"].to_numpy(), table["size"].to_numpy().astype(np.int64)
+    bits = np.frombuffer(b"".join(table["folded"].to_pylist()), np.uint64).reshape(len(size), -1)
+    second, same_part = table["second"].to_numpy(zero_copy_only=False), table["p"][0] == table["q"][0]
+    left = np.flatnonzero(~second)
+    right = left if same_part else np.flatnonzero(second)
+    for i in left:
+        other = right[(component[right] != component[i]) & (size[right] * 100 >= size[i] * percent) & (size[i] * 100 >= size[right] * percent)]
+        if same_part:
+            other = other[other > i]
+        differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        # common = (both sizes - difference) / 2 at most
+        other = other[(size[other] + size[i] - differ) * 100 >= (size[other] + size[i] + differ) * percent]
+        if len(other):
+            yield int(i), other
+
+
+def joining(table: pa.Table, percent: int) -> pa.Table:
+    """Links (a, b) of a block's rows, verified on whole sets, that join its components: a forest."""
+    row, size = table["row"].to_numpy(), table["size"].to_numpy().astype(np.int64)
+    tokens = table["tokens"].combine_chunks()
+    ends = np.cumsum(size)
+    values, codes = np.unique(tokens.flatten().to_numpy(), return_inverse=True)
+    sets = [codes[e - n : e] for e, n in zip(ends.tolist(), size.tolist(), strict=True)]
+    _, label = np.unique(table["component"].to_numpy(), return_inverse=True)
+    held = np.zeros(len(values), bool)
+    a, b = [], []
+    for i, other in _able(table, percent):
+        other = other[label[other] != label[i]]
+        if not len(other):
+            continue
+        held[sets[i]] = True
+        starts = np.cumsum([0, *size[other[:-1]].tolist()])
+        common = np.add.reduceat(held[np.concatenate([sets[j] for j in other])].astype(np.int64), starts)
+        held[sets[i]] = False
+        for j in other[common * 100 >= (size[other] + size[i] - common) * percent]:
+            if label[j] != label[i]:
+                label[label == label[j]] = label[i]
+                a.append(min(row[i], row[j]))
+                b.append(max(row[i], row[j]))
+    return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+
+def _across(postings: DataFrame, members: DataFrame, distinct: DataFrame, labels: DataFrame, percent: int) -> DataFrame:
+    """Links between rows of one list and different components, enough to join all that link there.
+
+    A list is cut into blocks of about BLOCK_ROWS rows or BLOCK_TOKENS shingles a side. First a
+    block keeps its rows that may link with another one; only these are sent with their whole sets.
+    """
     rows = postings.select("token", "group", "n").join(members, "group")
     rows = rows.join(labels.withColumnRenamed("node", "row"), "row", "left").withColumn("component", F.coalesce("component", "row"))
-    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("long"), F.min("component").alias("c0"), F.max("component").alias("c1"))
-    lists = lists.where("c0 <> c1").select("token", F.ceil(F.col("long") / BLOCK_ROWS).cast("int").alias("parts"))
-    rows = rows.join(lists, "token")
+    lists = rows.groupBy("token").agg(F.count(F.lit(1)).alias("long"), F.sum("n").alias("all"), F.min("component").alias("c0"), F.max("component").alias("c1"))
+    parts = F.greatest(F.ceil(F.col("long") / BLOCK_ROWS), F.ceil(F.col("all") / BLOCK_TOKENS)).cast("int")
+    rows = rows.join(lists.where("c0 <> c1").select("token", parts.alias("parts")), "token")
     part = F.pmod(F.xxhash64("row"), F.col("parts")).cast("int")
     # each part of a list meets each other part once, and itself
     rows = rows.withColumn("part", part).withColumn("with", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     rows = rows.select("token", "row", "component", F.col("n").alias("size"), F.least("part", "with").alias("p"), F.greatest("part", "with").alias("q"), (F.col("part") > F.col("with")).alias("second"))
     rows = rows.join(distinct.select("row", "folded"), "row")
-
-    def pairs(table: pa.Table) -> pa.Table:
-        row, component = table["row"].to_numpy(), table["component"].to_numpy()
-        size = table["size"].to_numpy().astype(np.int64)
-        bits = np.frombuffer(b"".join(table["folded"].to_pylist()), np.uint64).reshape(len(row), -1)
-        second, same_part = table["second"].to_numpy(zero_copy_only=False), table["p"][0] == table["q"][0]
-        left = np.flatnonzero(~second)
-        right = left if same_part else np.flatnonzero(second)
-        a, b = [], []
-        for i in left:
-            other = right[(component[right] != component[i]) & (size[right] * 100 >= size[i] * percent) & (size[i] * 100 >= size[right] * percent)]
-            if same_part:
-                other = other[other > i]
-            differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
-            # common = (both sizes - difference) / 2 at most
-            able = other[(size[other] + size[i] - differ) * 100 >= (size[other] + size[i] + differ) * percent]
-            a.append(np.minimum(row[able], row[i]))
-            b.append(np.maximum(row[able], row[i]))
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a]), "b": np.concatenate([empty, *b])})
-
-    return rows.groupBy("token", "p", "q").applyInArrow(pairs, "a long, b long").distinct()
+    names = ["token", "row", "component", "size", "p", "q", "second"]
+
+    def promising(table: pa.Table) -> pa.Table:
+        may = np.zeros(table.num_rows, bool)
+        for i, other in _able(table, percent):
+            may[i] = True
+            may[other] = True
+        return table.select(names).filter(pa.array(may))
+
+    schema = rows.select(*names).schema
+    rest = checkpointed(rows.groupBy("token", "p", "q").applyInArrow(promising, schema))
+    rest = rest.join(distinct.select("row", "folded", "tokens"), "row")
+    return rest.groupBy("token", "p", "q").applyInArrow(lambda table: joining(table, percent), "a long, b long").distinct()

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def near_copies_by_force(rows, width=3, percent=90):
 
 @pytest.mark.parametrize("width, percent", [(3, 90), (5, 80), (1, 50)])
 def test_near_copies_agree_with_all_pairs(docs, width, percent):
-    got = jaccard.near_copies(docs.withColumn("tokens", F.lit(1)), width=width, percent=percent, patient=width == 5)
+    got = jaccard.near_copies(docs.withColumn("tokens", F.lit(1)), width=width, percent=percent)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == near_copies_by_force(corpus(), width, percent)
 
 
@@ -147,6 +148,31 @@ def test_lists_longer_than_a_block_lose_no_link(spark, frame, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == near_copies_by_force(rows)
 
 
+@pytest.mark.parametrize("n", [100, 200, 400])
+def test_a_block_tells_fewer_links_than_it_has_rows(n):
+    """Near copies of one set: the links of a block join what all its links join."""
+    r = np.random.default_rng(n)
+    sets = [np.unique(np.where(r.random(60) < r.choice([0.02, 0.08, 0.2]), r.integers(100, 2**60, 60), np.arange(60))) for _ in range(n)]
+    folded = [np.packbits((np.bincount(x % 1024, minlength=1024) & 1).astype(np.uint8)).tobytes() for x in sets]
+    component = [i - i % 2 for i in range(n)]  # each second row is joined to the one before it
+    table = pa.table({
+        "row": pa.array(range(n), pa.int64()), "component": pa.array(component, pa.int64()), "size": [len(x) for x in sets],
+        "p": [0] * n, "q": [0] * n, "second": [False] * n, "folded": folded, "tokens": [x.tolist() for x in sets],
+    })
+    found = jaccard.joining(table, 80).to_pylist()
+    assert 0 < len(found) < n // 2 + n % 2  # components less one
+
+    def label(edges):
+        own = list(component)
+        for a, b in edges:
+            low, high = sorted((own[a], own[b]))
+            own = [low if c == high else c for c in own]
+        return own
+
+    every = [(i, j) for i in range(n) for j in range(i) if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))]
+    assert len(every) > len(found) and label((e["a"], e["b"]) for e in found) == label(every)
+
+
 def test_members_of_one_group_link_without_its_first(frame):
     """No other group shares the prefix of the three documents, and their first links with neither other."""
     header, p, q = "h1 h2 h3 h4 h5 h6 h7", [f"p{i}" for i in range(31)], [f"q{i}" for i in range(31)]
