@@ -31,7 +31,7 @@ WIDTH = 3
 PERCENT = 90
 #: Groups by hash that each list is tried against in the second step.
 TRIED = 3
-#: Rows and shingles on either side of a block in the last step (about), and the bits a set is folded into.
+#: Rows and shingles on either side of a block in the last step (about), and the fewest bits that a set is folded into.
 BLOCK_ROWS = 1024
 BLOCK_TOKENS = 1 << 21
 FOLDED_BITS = 1024
@@ -47,6 +47,44 @@ def least_common(n: int, percent: int) -> int:
     return -(-n * percent // 100)
 
 
+def folded(tokens: np.ndarray) -> bytes:
+    """The parities of a set's tokens in as many classes as it has tokens, up to a power of two.
+
+    Both halves of the parities, one over the other, are those in half as many classes.
+    """
+    width = max(FOLDED_BITS, 1 << (len(tokens) - 1).bit_length())
+    classes = (tokens.view(W.U) >> W.U(32)).astype(np.int64) & (width - 1)
+    return np.packbits((np.bincount(classes, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+class Folds:
+    """The parities of a block's sets, of rows of one width as a matrix."""
+
+    def __init__(self, each: list[bytes]) -> None:
+        self.widths = np.array([len(x) for x in each])
+        self.place, self.at = np.zeros(len(each), np.int64), {}
+        for w in np.unique(self.widths).tolist():
+            own = np.flatnonzero(self.widths == w)
+            self.place[own] = np.arange(len(own))
+            self.at[w, w] = np.frombuffer(b"".join(each[i] for i in own), np.uint64).reshape(len(own), -1)
+
+    def folded_to(self, wide: int, narrow: int) -> np.ndarray:
+        if (wide, narrow) not in self.at:
+            found = self.folded_to(wide, 2 * narrow)
+            half = found.shape[1] // 2
+            self.at[wide, narrow] = found[:, :half] ^ found[:, half:]
+        return self.at[wide, narrow]
+
+    def differ(self, i: int, other: np.ndarray) -> np.ndarray:
+        """In how many classes, of the fewer ones of both, set ``i`` and each other one differ in parity."""
+        out, own = np.zeros(len(other), np.int64), int(self.widths[i])
+        for w in np.unique(self.widths[other]).tolist():
+            at, m = np.flatnonzero(self.widths[other] == w), min(own, w)
+            bits = self.folded_to(w, m)[self.place[other[at]]] ^ self.folded_to(own, m)[self.place[i]]
+            out[at] = np.bitwise_count(bits).sum(axis=1, dtype=np.int64)
+        return out
+
+
 def shingle_sets(blocks: DataFrame, width: int, percent: int) -> DataFrame:
     """Per document its set's size and identity; with tokens, rare first, where a link is possible.
 
@@ -81,8 +119,7 @@ def shingle_sets(blocks: DataFrame, width: int, percent: int) -> DataFrame:
                 length = n - least_common(n, percent) + 1
                 unshared = int((often == 1).sum())
                 tokens = tokens[order].view(np.int64)
-                bits = np.bincount((tokens.view(W.U) >> W.U(54)).astype(np.int64), minlength=FOLDED_BITS) & 1
-                node |= {"unshared": unshared, "prefix": tokens[unshared:length], "tokens": tokens, "folded": np.packbits(bits.astype(np.uint8)).tobytes()}
+                node |= {"unshared": unshared, "prefix": tokens[unshared:length], "tokens": tokens, "folded": folded(tokens)}
             out.append(node)
         del every, counts, sets
         B.released()
@@ -193,11 +230,11 @@ def near_copies(
 def _able(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
     """Of each left row of a block the right ones of other components that it may link with.
 
-    A set is folded into parities of FOLDED_BITS bits. Two sets differ by at least the bits that
-    differ, so a pair whose bits differ by more than a link allows is left out; that is exact.
+    Sets are folded into parities. Two sets differ by at least the parities that differ, so a pair
+    with more of them than a link allows is left out; that is exact.
     """
     component, size = table["component"].to_numpy(), table["size"].to_numpy().astype(np.int64)
-    bits = np.frombuffer(b"".join(table["folded"].to_pylist()), np.uint64).reshape(len(size), -1)
+    folds = Folds(table["folded"].to_pylist())
     second, same_part = table["second"].to_numpy(zero_copy_only=False), table["p"][0] == table["q"][0]
     left = np.flatnonzero(~second)
     right = left if same_part else np.flatnonzero(second)
@@ -205,7 +242,7 @@ def _able(table: pa.Table, percent: int) -> Iterator[tuple[int, np.ndarray]]:
         other = right[(component[right] != component[i]) & (size[right] * 100 >= size[i] * percent) & (size[i] * 100 >= size[right] * percent)]
         if same_part:
             other = other[other > i]
-        differ = np.bitwise_count(bits[other] ^ bits[i]).sum(axis=1, dtype=np.int64)
+        differ = folds.differ(i, other)
         # common = (both sizes - difference) / 2 at most
         other = other[(size[other] + size[i] - differ) * 100 >= (size[other] + size[i] + differ) * percent]
         if len(other):

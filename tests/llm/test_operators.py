@@ -148,12 +148,26 @@ def test_lists_longer_than_a_block_lose_no_link(spark, frame, monkeypatch):
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()) == near_copies_by_force(rows)
 
 
+def test_parities_differ_at_most_as_sets_do():
+    r = np.random.default_rng(4)
+    pool = r.integers(-(2**63), 2**63 - 1, 6000)
+    sets = [np.unique(pool[r.random(6000) < share]) for share in (0.001, 0.1, 0.16, 0.18, 0.5, 0.9, 0.95, 1) for _ in range(3)]
+    folds = jaccard.Folds([jaccard.folded(x) for x in sets])
+    assert len(set(folds.widths.tolist())) == 4
+    for i, x in enumerate(sets):
+        found = folds.differ(i, np.arange(len(sets)))
+        exact = [len(np.setxor1d(x, y)) for y in sets]
+        assert found[i] == 0 and all(a <= b and a % 2 == b % 2 for a, b in zip(found, exact))
+        # sizes that may link: the parities tell unlike sets apart
+        assert all(a >= b / 4 for a, b, y in zip(found, exact, sets) if 0.8 * len(x) <= len(y) <= len(x) / 0.8)
+
+
 @pytest.mark.parametrize("n", [100, 200, 400])
 def test_a_block_tells_fewer_links_than_it_has_rows(n):
     """Near copies of one set: the links of a block join what all its links join."""
     r = np.random.default_rng(n)
     sets = [np.unique(np.where(r.random(60) < r.choice([0.02, 0.08, 0.2]), r.integers(100, 2**60, 60), np.arange(60))) for _ in range(n)]
-    folded = [np.packbits((np.bincount(x % 1024, minlength=1024) & 1).astype(np.uint8)).tobytes() for x in sets]
+    folded = [jaccard.folded(x) for x in sets]
     component = [i - i % 2 for i in range(n)]  # each second row is joined to the one before it
     table = pa.table({
         "row": pa.array(range(n), pa.int64()), "component": pa.array(component, pa.int64()), "size": [len(x) for x in sets],
