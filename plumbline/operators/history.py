@@ -66,10 +66,12 @@ def run_slot(record_id: Column, accepted_rules: Column, status: Column, scanned:
 
 def ranked_tables(tables: DataFrame, rules: DataFrame, records: DataFrame) -> DataFrame:
     """Every table with its bucket, verdict slot and accepted rules, in no order."""
-    newest = latest_per_table(records).select(
-        "table", "record_id", F.col("status").alias("verdict"), "scanned_rows", "total_rows",
+    # only the number of results is ranked, not the results
+    counted = records.select(
+        "table", "record_id", "finished_at", F.col("status").alias("verdict"), "scanned_rows", "total_rows",
         "coverage", F.size("results").alias("rules"),
     )
+    newest = latest_per_table(counted).drop("finished_at")
     listed = rule_counts(tables, rules).join(newest, "table", "left")
     c = F.col
     return listed.select(

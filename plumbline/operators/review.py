@@ -15,11 +15,11 @@ from plumbline.operators.registry import ACCEPTED, NEEDS_REVIEW, current, descri
 
 def failing_results(records: DataFrame) -> DataFrame:
     """``table, spec_key, failing, magnitude`` of the failed rules of each table's latest run."""
-    newest = latest_per_table(records).select("table", F.explode("results").alias("r"))
-    failed = newest.filter(F.col("r.verdict") == "failed")
-    return failed.select(
-        "table", "r.spec_key", F.col("r.status").alias("failing"), "r.magnitude"
-    ).dropDuplicates(["table", "spec_key"])
+    # runs are ranked with what failed in them alone
+    bad = F.filter("results", lambda r: r["verdict"] == "failed")
+    kept = F.transform(bad, lambda r: F.struct(r["spec_key"].alias("spec_key"), r["status"].alias("failing"), r["magnitude"].alias("magnitude")))
+    narrow = records.select("table", "record_id", "finished_at", kept.alias("failed"))
+    return latest_per_table(narrow).select("table", F.inline("failed")).dropDuplicates(["table", "spec_key"])
 
 
 def review_queue(rules: DataFrame, records: DataFrame, table: str | None = None) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from plumbline.sources.local import local_frame
@@ -34,6 +34,16 @@ def scan(spark: SparkSession, path: str, table: str | None = None) -> tuple[Data
     return df, Scan(table or path.rstrip("/").rsplit("/", 1)[-1].removesuffix(".parquet"), df.count())
 
 
+def scan_where(df: DataFrame, table: str, condition: Column) -> tuple[DataFrame, Scan]:
+    """The rows of a table that meet a condition, and the marker that says how many of all they are.
+
+    Results of a run over them carry both numbers, and the run counts as sampled. Rows for which
+    the condition is null are not read.
+    """
+    total, seen = df.agg(F.count(F.lit(1)), F.count_if(condition)).first()
+    return df.filter(condition), Scan(table, total, seen)
+
+
 def read_jdbc(
     spark: SparkSession, url: str, table: str, key: str, partitions: int, **options: str
 ) -> DataFrame:

@@ -5,9 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from plumbline.operators import audit as A
+from plumbline.sources.layout import bucketed
 from workload.derived import TABLES, from_sql, table
 
 
+# Buckets of the tables laid out by key; more for larger tables.
+BUCKETS = 16
+
+
 def tables(spark, sf_dir, *names):
     return [table(spark, sf_dir, n) for n in names]
 
@@ -74,6 +79,27 @@ def audit_mismatched_pairs(spark, sf_dir):
     return A.mismatched(left, right, ("l_suppkey", "key"), ("number", "size"), many=True)
 
 
+def audits_by_key(spark, sf_dir):
+    """Four audits on the key of an order, over two tables laid out by it once."""
+    lineitem, orders = tables(spark, sf_dir, "lineitem", "orders")
+    lines = bucketed(lineitem.select("l_orderkey", "l_linenumber", "l_extendedprice", "l_shipdate"), "l_orderkey", BUCKETS)
+    heads = bucketed(orders.select("o_orderkey", "o_totalprice", "o_orderdate", "o_orderstatus"), "o_orderkey", BUCKETS)
+    return A.named(audits_of_orders(lines, heads))
+
+
+def audits_of_orders(lines, heads):
+    cents = F.round(F.col("l_extendedprice") * 100).cast("bigint")
+    sums = lines.groupBy("l_orderkey").agg(F.sum(cents).alias("lines"))
+    totals = heads.select("o_orderkey", F.round(F.col("o_totalprice") * 100).cast("bigint").alias("total"))
+    pairs = lines.join(heads, lines.l_orderkey == heads.o_orderkey)
+    return {
+        "orphans": A.orphans(lines, "l_orderkey", heads.filter("o_orderstatus <> 'P'"), "o_orderkey"),
+        "totals": A.mismatched(totals, sums, ("o_orderkey", "l_orderkey"), ("total", "lines")),
+        "duplicate keys": A.duplicate_rows(lines, ["l_orderkey", "l_linenumber"]),
+        "out of order": A.out_of_order(pairs, "o_orderdate", "l_shipdate"),
+    }
+
+
 def audit_incomplete(spark, sf_dir):
     (orders,) = tables(spark, sf_dir, "orders")
     paid = orders.withColumn("paid_at", F.when(F.col("o_orderkey") % 10 != 0, F.col("o_orderdate")))
@@ -173,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         audit_row_predicates, audit_out_of_order, audit_column_pair, audit_orphans,
-        audit_orphan_lines, audit_reconciliation, audit_mismatched_pairs, audit_incomplete,
+        audit_orphan_lines, audit_reconciliation, audit_mismatched_pairs, audits_by_key, audit_incomplete,
         audit_duplicates, audit_duplicate_keys, audit_future, manifest_check, reach_summary,
         fingerprint, fingerprint_of_separators, table_sizes,
     )
@@ -263,3 +289,12 @@ ORACLES["manifest_check"] = " union all ".join(
         observed, true as match from ({OBSERVED[a]}) o"""
     for a, t, r in MANIFEST
 )
+ORACLES["audits_by_key"] = """
+    select 'orphans' as audit, count(*) as observed from lineitem
+        where not exists (select 1 from orders where o_orderkey = l_orderkey and o_orderstatus <> 'P')
+    union all select 'totals', count(*) from orders join (
+        select l_orderkey, sum(cast(round(l_extendedprice * 100) as bigint)) as lines from lineitem group by 1) s
+        on l_orderkey = o_orderkey where cast(round(o_totalprice * 100) as bigint) <> lines
+    union all select 'duplicate keys', cast(coalesce(sum(n), 0) as bigint) from (
+        select count(*) as n from lineitem group by l_orderkey, l_linenumber having count(*) > 1) d
+    union all select 'out of order', count(*) from lineitem join orders on l_orderkey = o_orderkey where l_shipdate < o_orderdate"""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from plumbline.operators import suite
 from plumbline.sources.local import local_frame
-from plumbline.sources.tables import Scan
+from plumbline.sources.tables import Scan, scan_where
 from plumbline.streaming.progressive import run_progressive
 from workload.derived import table
 
@@ -576,3 +576,36 @@ ORACLES |= {
     "evidence_of_thirty": evidence_of_thirty_sql(),
     "violation_counts_all": "select l_partkey, count(*) as rows from lineitem group by 1 having count(*) > 1",
 }
+
+
+# --- a part of a table -----------------------------------------------------------------
+
+PART = "l_shipdate >= timestamp '1997-01-01'"
+PART_SUITE = (
+    (spec("column_values_to_be_between", column="l_discount", max_value=0.07), "l_discount > 0.07"),
+    (spec("column_values_to_not_be_null", column="l_returnflag"), "l_returnflag is null"),
+)
+
+
+def suite_of_a_part(spark, sf_dir):
+    """Rules on the lines shipped since 1997: each result says how many of all lines it saw."""
+    since = F.col("l_shipdate") >= F.lit("1997-01-01").cast("timestamp_ntz")
+    part, seen = scan_where(table(spark, sf_dir, "lineitem"), "lineitem", since)
+    results = suite.run_suite(part, [rule for rule, _ in PART_SUITE], seen)
+    return results.select(
+        "type", "verdict", "status", "unexpected_count", "magnitude",
+        F.lit(seen.scanned_rows).cast("bigint").alias("scanned_rows"), F.lit(seen.total_rows).cast("bigint").alias("total_rows"),
+    )
+
+
+def part_sql(rule: dict, bad: str) -> str:
+    return f"""
+    select '{rule["type"]}' as type, verdict,
+           upper(verdict) || case when r < t then format(' · sampled {{:,}} / {{:,}}', r, t) else '' end as status,
+           b as unexpected_count, {magnitude_sql("b", "r")} as magnitude, r as scanned_rows, t as total_rows
+    from (select *, case when b = 0 then 'passed' else 'failed' end as verdict
+          from (select count(*) filter (where {PART}) as r, count(*) as t, count(*) filter (where {PART} and {bad}) as b from lineitem) c) j"""
+
+
+QUERIES["suite_of_a_part"] = suite_of_a_part
+ORACLES["suite_of_a_part"] = " union all ".join(part_sql(rule, bad) for rule, bad in PART_SUITE)
