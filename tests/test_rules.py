@@ -69,6 +69,21 @@ def test_only_the_newest_revision_counts(book, revisions):
     assert registry.revisions(withdrawn, table="stations").count() == 2
 
 
+def test_rows_that_a_higher_number_replaced_are_not_ranked(frame):
+    rows = [(f"r{i % 7}", n, f"s{i % 3}") for i in range(200) for n in (i % 5, None)]
+    rules = frame([*rows, (None, 1, "s"), (None, 4, "t"), ("lone", None, "u")], "rule_id string, revision int, spec string")
+    newest = registry.current(rules)
+
+    def last(rule):
+        return max(((n is not None, n, s) for r, n, s in [*rows, (None, 1, "s"), (None, 4, "t"), ("lone", None, "u")] if r == rule), key=str)[1:]
+
+    assert {r.rule_id: (r.revision, r.spec) for r in newest.collect()} == {
+        r: last(r) for r in [*{f"r{i}" for i in range(7)}, None, "lone"]
+    }
+    plan = newest._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" in plan[plan.index("Window"):]  # so the sort gets one row a rule, but for ties
+
+
 def test_invalid_and_conflicting_revisions_are_found(revisions):
     bad = revisions(
         ("fine", 2, "readings", DRY, "rejected", "too wet"),
