@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 import zipfile
 from collections.abc import Sequence
 from pathlib import Path
@@ -11,7 +10,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from plumbline.operators.ranges import checkpointed, in_ranges, shared_folder
+from plumbline.operators.ranges import checkpointed, in_ranges, shared_folder, written
 
 __all__ = [
     "WORD", "checkpointed", "in_ranges", "replaced", "shared_folder", "shipped", "text_or_empty", "tie_break",
@@ -39,13 +38,6 @@ def shipped(spark: SparkSession) -> None:
     _SHIPPED.add(context.applicationId)
 
 
-def written(df: DataFrame, **options: str) -> DataFrame:
-    """The rows as a Parquet table in the shared folder, read again."""
-    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.options(**options).parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def text_or_empty(text: str) -> Column:
     return F.coalesce(F.col(text).cast("string"), F.lit(""))
 

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -28,6 +30,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def written(df: DataFrame, **options: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder, read again; each is computed once.
+
+    Columns of nothing but untyped nulls, which Parquet does not hold, are left out and come back.
+    """
+    path = f"{shared_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    void = {f.name for f in df.schema.fields if isinstance(f.dataType, T.NullType)}
+    stored = df.drop(*void)
+    stored.write.options(**options).parquet(path)
+    read = df.sparkSession.read.schema(stored.schema).parquet(path)
+    return read.select(*[F.lit(None).alias(c) if c in void else F.col(f"`{c}`") for c in df.columns]) if void else read
+
+
 def in_ranges(df: DataFrame, order: Sequence[Column], part: str = "_part") -> DataFrame:
     """The rows sorted over all partitions and kept that way, with the number of their partition.
 

@@ -15,6 +15,7 @@ from plumbline.functions import spec as S
 from plumbline.functions import text
 from plumbline.operators.intake import with_evidence
 from plumbline.operators.lint import lint
+from plumbline.operators.ranges import written
 from plumbline.plans.catalog import catalog
 
 # The four states of a rule.
@@ -256,15 +257,16 @@ def judge_batch(
 
     Candidates are proposed first and then judged, so both steps are in the history. Nothing
     is returned for writing unless the whole selection can be judged, which one job finds out:
-    a single row of counts and first faults. ``cap`` refuses a larger selection.
+    a single row of counts and first faults. ``cap`` refuses a larger selection. What was selected
+    is found once and kept in the shared folder.
     """
-    judged = lint(candidates, schema, ["candidate_id"])
-    known = rules.select("rule_id").distinct().withColumn("__known", F.lit(True))
-    chosen = rule_ids.select("rule_id").distinct()
+    judged = written(lint(candidates, schema, ["candidate_id"]).select("candidate_id", "table", "spec", "ok", "reason"))
+    newest = current(rules).select("rule_id", "revision", "table", "spec", F.lit(True).alias("__known"))
+    chosen = written(rule_ids.select("rule_id").distinct().join(newest, "rule_id", "left"))
     unknown = F.when(F.col("__known").isNull(), F.concat("rule_id", F.lit(f": {UNKNOWN_RULE}")))
     nothing = F.lit(None).cast("string")
     selection = judged.select(F.when(~F.col("ok"), F.col("reason")).alias("bad"), nothing.alias("unknown")).unionByName(
-        chosen.join(known, "rule_id", "left").select(nothing.alias("bad"), unknown.alias("unknown"))
+        chosen.select(nothing.alias("bad"), unknown.alias("unknown"))
     )
     act = judgment_fault(F.lit(status), F.lit(reason).cast("string"))
     row = selection.agg(F.count(F.lit(1)).alias("n"), F.min("bad").alias("bad"), F.min("unknown").alias("unknown"), F.min(act).alias("act")).first()
@@ -276,13 +278,14 @@ def judge_batch(
         raise ValueError(row.act or row.bad)
     if row.unknown is not None:
         raise LookupError(row.unknown)
-    written = F.array(
+    both = F.array(
         F.struct(F.lit(1).alias("revision"), F.lit(PROPOSED).alias("status"), nothing.alias("reason")),
         F.struct(F.lit(2).alias("revision"), F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason")),
     )
-    fresh = _fresh(judged, batch).select("rule_id", "table", "spec", F.inline(written))
-    decisions = chosen.select("rule_id", F.lit(status).alias("status"), F.lit(reason).cast("string").alias("reason"))
-    return _as_revisions(fresh, at).unionByName(judge(rules, decisions, at))
+    fresh = _fresh(judged, batch).select("rule_id", "table", "spec", F.inline(both))
+    # a rule is chosen once, so its decision is the first
+    held = chosen.filter("__known").withColumn("__step", F.lit(1))
+    return _as_revisions(fresh, at).unionByName(_as_revisions(_next(held, F.lit(status), F.lit(reason)), at))
 
 
 # --- reading -------------------------------------------------------------------------
