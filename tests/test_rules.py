@@ -124,6 +124,21 @@ def test_amending_appends_and_refuses_the_rest(book, schema, frame, spark, tmp_p
     assert registry.revision_conflicts(store.read_revisions(spark, path)).count() == 0
 
 
+def test_edits_judged_once_serve_both_outcomes(book, schema, frame, monkeypatch):
+    edits = frame(
+        [("dry", text_of(DRY), 1), ("fog", text_of(SENT), 1), ("wind", text_of(WIND), 2), ("wind", text_of(SENT), 1)],
+        "rule_id string, spec string, nth int",
+    ).withColumn("note", F.lit(None))
+    given, ranked = (book, edits, schema), []
+    newest = registry.current
+    monkeypatch.setattr(registry, "current", lambda rules: ranked.append(1) or newest(rules))
+    judged = registry.judged_edits(*given)
+    done, left = registry.amend(*given, judged=judged), registry.refused_edits(*given, judged=judged)
+    assert left.columns == ["rule_id", "spec", "nth", "note", "fault"] and len(ranked) == 1
+    assert [r.rule_id for r in done.collect()] == ["dry"]
+    assert sorted((r.rule_id, r.nth, r.note) for r in left.collect()) == [("fog", 1, None), ("wind", 1, None), ("wind", 2, None)]
+
+
 def test_a_batch_ranks_the_stored_rules_once(book, schema, frame, monkeypatch):
     ranked, newest = [], registry.current
     monkeypatch.setattr(registry, "current", lambda rules: ranked.append(1) or newest(rules))

@@ -126,7 +126,8 @@ def refused_edits(spark, sf_dir):
 def edit_outcomes(spark, sf_dir):
     """Edits written and edits refused: together they are all edits."""
     given = (revisions(spark, sf_dir), edits(spark, sf_dir), schema(spark, sf_dir))
-    written, kept_out = R.amend(*given), R.refused_edits(*given)
+    judged = R.judged_edits(*given)
+    written, kept_out = R.amend(*given, judged=judged), R.refused_edits(*given, judged=judged)
     counts = [df.agg(F.count(F.lit(1)).alias("edits")).select(F.lit(n).alias("outcome"), "edits") for n, df in (("written", written), ("refused", kept_out))]
     return counts[0].unionByName(counts[1])
 
