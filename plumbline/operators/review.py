@@ -9,7 +9,7 @@ from plumbline.functions import spec as S
 from plumbline.functions import text
 from plumbline.operators.history import latest_per_table
 from plumbline.operators.intake import with_evidence
-from plumbline.operators.ranges import in_ranges
+from plumbline.operators.ranges import in_ranges, written
 from plumbline.operators.registry import ACCEPTED, NEEDS_REVIEW, current, described
 
 
@@ -41,12 +41,12 @@ def review_queue(rules: DataFrame, records: DataFrame, table: str | None = None)
 def with_position(queue: DataFrame) -> DataFrame:
     """Each item with ``position`` (by rule id) and ``total`` within its own table.
 
-    The queue is computed once and kept in ranges of table and rule id, whatever the ids look
-    like. An item's position is its rank in its range after the table's items in the ranges
+    The queue is computed once, as bounds are drawn from it before it is dealt, and kept in ranges of
+    table and rule id, whatever the ids look like. An item's position is its rank in its range after the table's items in the ranges
     before. So a table with a third of all items is ranked by many tasks, and only the sizes of
     ranges are brought together.
     """
-    ranged = in_ranges(queue, [F.col("table").asc(), F.col("rule_id").asc()])
+    ranged = in_ranges(written(queue), [F.col("table").asc(), F.col("rule_id").asc()])
     sizes = ranged.groupBy("table", "_part").agg(F.count(F.lit(1)).alias("__size"))
     by_table = Window.partitionBy("table").orderBy("_part")
     offsets = sizes.withColumns(

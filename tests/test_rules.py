@@ -389,6 +389,13 @@ def test_an_amended_rule_drops_the_verdict_on_its_former_self(waiting, revisions
     assert [r.rule_id for r in review.review_queue(back, records, "readings").collect()] == ["sent"]
 
 
+def test_the_queue_is_computed_once_to_be_placed(spark):
+    seen = spark.sparkContext.accumulator(0)
+    rows = spark.range(0, 500, 1, 4).rdd.map(lambda r: seen.add(1) or (f"rule-{r.id}", "readings"))
+    placed = review.with_position(spark.createDataFrame(rows, "rule_id string, table string"))
+    assert placed.count() == 500 and seen.value == 500
+
+
 @pytest.mark.parametrize("ids", ["hexadecimal", "numbered"])
 def test_positions_count_within_a_table(spark, ids):
     n = F.col("id")
