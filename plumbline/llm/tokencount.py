@@ -4,6 +4,10 @@ A piece (what the pattern below cuts out) is encoded by dynamic programming over
 encoding of a prefix ends in the one vocabulary token whose start is the end of a shorter prefix
 and which follows that prefix's last token in a valid pair; a pair is valid if encoding its bytes
 gives just the pair. So every prefix has its exact count, and a text is the sum of its pieces.
+The tokens that end at a byte are read off a trie with links (Aho and Corasick), the longest first.
+
+Of many texts the pieces not met before are encoded in order, so that each begins with the prefixes
+that it shares with the one before.
 """
 
 from __future__ import annotations
@@ -11,11 +15,13 @@ from __future__ import annotations
 import json
 import re
 from bisect import bisect_right
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator
 from functools import cached_property
-from itertools import accumulate
+from itertools import accumulate, pairwise, repeat
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -24,10 +30,12 @@ from plumbline.llm.common import shipped, text_or_empty
 
 #: Tokens beyond which a text counts as over the limit.
 LIMIT = 512
-#: Pieces whose prefix counts a worker keeps at most; then it begins anew.
+#: Pieces whose counts a worker keeps at most; then it drops those that were not met of late.
 KEPT_PIECES = 500_000
-#: Bytes of the longest piece that is kept, so that its counts and lengths fit a byte each.
+#: Characters of the longest piece that is kept.
 LONGEST_KEPT = 255
+#: Bytes of the texts whose pieces are held at a time.
+AT_ONCE = 2_000_000
 NEVER = 1 << 60
 #: Longer pieces are plain letters, numbers, marks or white space: no contraction, no special token.
 SHORT_PIECE = 24
@@ -41,6 +49,11 @@ _LATIN = re.compile(r"'(?:s|t|re|ve|m|ll|d)| ?[^\W\d_]+| ?\d+| ?(?:_|[^\w{S}])+|
 _TAIL_SPACE = re.compile(f"[{_SPACE}]+\\Z")
 
 
+def _cut(text: str) -> list[str]:
+    """The pieces of a text without special tokens."""
+    return (_LATIN if text.isascii() or not _ODD.search(text) else _ANY).findall(text)
+
+
 def _bytes_of_letters() -> dict[str, int]:
     """The printable letter that stands for each byte in such vocabulary files: printable bytes for themselves, the others from 256 on."""
     plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -48,6 +61,17 @@ def _bytes_of_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
 
 
+class Totals(dict):
+    """Tokens of whole pieces; one that is not here is counted."""
+
+    def __init__(self, count: Callable[[str], int]) -> None:
+        super().__init__()
+        self.count = count
+
+    def __missing__(self, piece: str) -> int:
+        return self.count(piece)
+
+
 class PrefixCounter:
     """Counts of all prefixes of pieces and texts, for the vocabulary in a tokenizers file."""
 
@@ -58,16 +82,43 @@ class PrefixCounter:
         raw = lambda t: bytes(letters[c] for c in t)
         special = [t["content"] for t in model["added_tokens"] if t["special"]]
         self.special = re.compile("|".join(map(re.escape, special))) if special else None
-        self.tokens = {raw(t) for t in model["model"]["vocab"] if t not in special}
+        self.tokens = [raw(t) for t in model["model"]["vocab"] if t not in special]
         pairs = (m if isinstance(m, list) else m.split(" ") for m in model["model"]["merges"])
         self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         self.made = {a + b: (a, b, i) for (a, b), i in self.ranks.items()}
         self.edges: tuple[dict, dict] = ({}, {})
-        self.longest = max(map(len, self.tokens))
-        self.alone: dict[bytes, bool] = {}
-        self.valid: dict[tuple[bytes, bytes], bool] = {}
-        self.kept: dict[str, tuple[bytes, bytes]] = {}
-        self.totals: dict[str, int] = {}
+        #: whether a token (by its number) follows another; before the first one is the number -1
+        self.valid: dict[int, bool] = {}
+        self.latest: tuple[bytes, list[int], list[int], list[int]] = b"", [], [], []
+        self.totals, self.older = Totals(self.count), {}
+        self._link()
+
+    def _link(self) -> None:
+        """The trie of the tokens; of each state the longest token that ends there, of each token the next shorter one."""
+        self.lengths = list(map(len, self.tokens))
+        self.goto: dict[int, int] = {}  # by state and byte
+        whole, depth = [-1], [0]  # by state
+        for number, token in enumerate(self.tokens):
+            state = 0
+            for byte in token:
+                if (child := self.goto.get(state << 8 | byte)) is None:
+                    child = self.goto[state << 8 | byte] = len(whole)
+                    whole.append(-1)
+                    depth.append(depth[state] + 1)
+                state = child
+            whole[state] = number
+        self.back, self.ends, self.shorter = [0] * len(whole), whole, [-1] * len(self.tokens)
+        for key, child in sorted(self.goto.items(), key=lambda x: depth[x[1]]):
+            state, byte, found = key >> 8, key & 255, None
+            while state and found is None:
+                state = self.back[state]
+                found = self.goto.get(state << 8 | byte)
+            self.back[child] = found or 0
+            less = self.ends[self.back[child]]
+            if whole[child] < 0:
+                self.ends[child] = less
+            else:
+                self.shorter[whole[child]] = less
 
     def merged(self, piece: bytes) -> list[bytes]:
         """The encoding of a short byte string, merge by merge."""
@@ -118,88 +169,97 @@ class PrefixCounter:
             else:
                 j += 1
 
-    def follows(self, last: bytes | None, token: bytes) -> bool:
-        if last is None:
-            found = self.alone[token] = self.merged(token) == [token]
-            return found
+    def follows(self, last: int, token: int) -> bool:
         if len(self.valid) > KEPT_PIECES * 2:
             self.valid.clear()
-        found = self.valid[last, token] = self.apart(last, token)
+        own = self.tokens[token]
+        found = self.merged(own) == [own] if last < 0 else self.apart(self.tokens[last], own)
+        self.valid[last * len(self.tokens) + token] = found
         return found
 
-    def _prefixes(self, piece: str) -> tuple[Sequence[int], Sequence[int]]:
-        """Of each byte prefix the tokens and the length of the last one."""
-        counts, lengths, done = [0], [0], 0
-        for cut in range(min(len(piece), LONGEST_KEPT + 1) - 1, 0, -1):
-            if (known := self.kept.get(piece[:cut])) is not None:
-                counts, lengths = list(known[0]), list(known[1])
-                done = len(counts) - 1
+    def _prefixes(self, piece: str) -> list[int]:
+        """Of each byte prefix the tokens; what the piece before it began with is taken from there."""
+        goto, back, ends, valid = self.goto, self.back, self.ends, self.valid
+        lengths, shorter, size = self.lengths, self.shorter, len(self.tokens)
+        data, (known, counts, lasts, states), done = piece.encode(), self.latest, 0
+        for byte, other in zip(data, known, strict=False):
+            if byte != other:
                 break
-        data, tokens, valid, alone = piece.encode(), self.tokens, self.valid, self.alone
+            done += 1
+        self.latest = b"", [], [], []
+        if not done:
+            counts, lasts, states = [0], [-size], [0]  # the last token's number, times their number
+        del counts[done + 1 :], lasts[done + 1 :], states[done + 1 :]
+        state = states[done]
         for end in range(done + 1, len(data) + 1):
-            for start in range(max(0, end - self.longest), end):
-                token = data[start:end]
-                if token in tokens:
-                    if start:
-                        last = data[start - lengths[start] : start]
-                        fits = valid.get((last, token))
-                    else:
-                        last, fits = None, alone.get(token)
-                    if fits is None:
-                        fits = self.follows(last, token)
-                    if fits:
-                        counts.append(counts[start] + 1)
-                        lengths.append(end - start)
-                        break
+            byte = data[end - 1]
+            while (found := goto.get(state << 8 | byte)) is None:
+                if not state:
+                    raise ValueError("the vocabulary lacks a byte")
+                state = back[state]
+            state, token = found, ends[found]
+            while token >= 0:
+                last = lasts[start := end - lengths[token]]
+                if (fits := valid.get(last + token)) is None:
+                    fits = self.follows(last // size, token)
+                if fits:
+                    counts.append(counts[start] + 1)
+                    lasts.append(token * size)
+                    states.append(state)
+                    break
+                token = shorter[token]
             else:
                 raise ValueError("the vocabulary lacks a byte")
-        return counts, lengths
+        self.latest = data, counts, lasts, states
+        return counts
 
-    def piece(self, piece: str) -> Sequence[int]:
+    def piece(self, piece: str) -> list[int]:
         """Tokens of each byte prefix of a piece, the empty one included."""
-        if (known := self.kept.get(piece)) is not None:
-            return known[0]
-        counts, lengths = self._prefixes(piece)
-        if len(counts) <= LONGEST_KEPT + 1:
-            if len(self.kept) >= KEPT_PIECES:
-                self.kept.clear()
-                self.totals.clear()
-            self.kept[piece] = bytes(counts), bytes(lengths)
-            self.totals[piece] = counts[-1]
-        return counts
+        return self._prefixes(piece)[:]
+
+    def count(self, piece: str) -> int:
+        """Tokens of a piece, which are kept."""
+        if (found := self.totals.get(piece, self.older.get(piece))) is None:
+            special = self.special is not None and self.special.fullmatch(piece)
+            found = 1 if special else self._prefixes(piece)[-1]
+        if len(piece) <= LONGEST_KEPT:
+            if len(self.totals) >= KEPT_PIECES // 2:
+                self.totals, self.older = Totals(self.count), self.totals
+            self.totals[piece] = found
+        return found
 
     def pieces(self, text: str) -> Iterator[str]:
         """The pieces of a text; a special token is one piece."""
         if self.special is None or not self.special.search(text):
-            return iter((_ANY if _ODD.search(text) else _LATIN).findall(text))
+            return iter(_cut(text))
         return self._with_special(text)
 
     def _with_special(self, text: str) -> Iterator[str]:
         at = 0
         for m in self.special.finditer(text):
-            yield from (_ANY if _ODD.search(text) else _LATIN).findall(text[at : m.start()])
+            yield from _cut(text[at : m.start()])
             yield m[0]
             at = m.end()
-        yield from (_ANY if _ODD.search(text) else _LATIN).findall(text[at:])
-
-    def count(self, piece: str) -> int:
-        if self.special is not None and self.special.fullmatch(piece):
-            return 1
-        return self.piece(piece)[-1]
+        yield from _cut(text[at:])
 
     def text(self, text: str) -> PrefixTable:
         return PrefixTable(self, text)
 
+    def texts(self, texts: list[str]) -> Iterator[PrefixTable]:
+        """The same of many texts, whose new pieces are counted in order."""
+        parts = [list(self.pieces(text)) for text in texts]
+        for piece in sorted(set().union(*parts) - self.totals.keys()):
+            self.count(piece)
+        yield from map(PrefixTable, repeat(self), texts, parts)
+
 
 class PrefixTable:
     """One text's pieces with the tokens before each, from which any prefix is answered."""
 
-    def __init__(self, counter: PrefixCounter, text: str) -> None:
+    def __init__(self, counter: PrefixCounter, text: str, parts: list[str] | None = None) -> None:
         self.counter, self.string = counter, text
-        self.parts = list(counter.pieces(text))
-        self.counts = list(map(counter.totals.get, self.parts))
-        if None in self.counts:
-            self.counts = [counter.count(p) if c is None else c for p, c in zip(self.parts, self.counts, strict=True)]
+        self.parts = list(counter.pieces(text)) if parts is None else parts
+        self.counts = list(map(counter.totals.__getitem__, self.parts))
         self.total = sum(self.counts)
 
     @cached_property
@@ -291,16 +351,17 @@ def token_counts(df: DataFrame, path: str, budget: int = LIMIT, text: str = "tex
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = counter(path)
         for batch in batches:
-            sizes, tokens, fits = [], [], []
-            for value in batch.column("_text"):
-                string = value.as_py()
-                table = own.text(string)
-                n = value.as_buffer().size
-                sizes.append(n)
-                tokens.append(table.total)
-                fits.append(n if table.total <= budget else len(string[: table.longest(budget)].encode()))
-            arrays = [batch.column("_key"), *[pa.array(x, pa.int64()) for x in (sizes, tokens, fits)]]
-            yield pa.RecordBatch.from_arrays(arrays, ["_key", "n_bytes", "n_tokens", "budget_bytes"])
+            texts = batch.column("_text")
+            sizes = pc.binary_length(texts).to_numpy().astype(np.int64)
+            part = np.cumsum(sizes) // AT_ONCE
+            bounds = [0, *(np.flatnonzero(np.diff(part)) + 1), len(part)]
+            for first, end in pairwise(bounds):
+                tokens, fits = [], []
+                for table, n in zip(own.texts(texts[first:end].to_pylist()), sizes[first:end].tolist(), strict=True):
+                    tokens.append(table.total)
+                    fits.append(n if table.total <= budget else len(table.string[: table.longest(budget)].encode()))
+                arrays = [batch.column("_key")[first:end], *[pa.array(x, pa.int64()) for x in (sizes[first:end], tokens, fits)]]
+                yield pa.RecordBatch.from_arrays(arrays, ["_key", "n_bytes", "n_tokens", "budget_bytes"])
 
     kind = rows.schema["_key"].dataType.simpleString()
     return rows.mapInArrow(counted, f"_key {kind}, n_bytes long, n_tokens long, budget_bytes long").withColumnRenamed("_key", key)

@@ -63,6 +63,33 @@ def test_a_very_long_piece_takes_time_by_its_length(library):
     assert n == count(library, long)
 
 
+def test_pieces_met_often_are_encoded_once(spark, library, monkeypatch):
+    monkeypatch.setattr(tokencount, "KEPT_PIECES", 100)
+    counter = tokencount.PrefixCounter(queries.tokenizer_path())
+    encoded, prefixes = Counter(), counter._prefixes
+
+    def counted(piece):
+        encoded[piece] += 1
+        return prefixes(piece)
+
+    monkeypatch.setattr(counter, "_prefixes", counted)
+    r = random.Random(4)
+    for _ in range(300):
+        text = "often " + "".join(r.choice("abcdefgh") for _ in range(8))
+        assert counter.text(text).total == count(library, text)
+    assert encoded["often"] == 1 and len(counter.totals) + len(counter.older) <= 100
+
+
+def test_many_texts_are_counted_like_each_alone(library):
+    counter = tokencount.PrefixCounter(queries.tokenizer_path())
+    r = random.Random(8)
+    texts = ["".join(r.choice(PIECES) for _ in range(r.randint(0, 30))) for _ in range(300)]
+    for some in (texts[:200], texts[100:], []):
+        tables = list(counter.texts(some))
+        assert [t.total for t in tables] == [count(library, text) for text in some]
+        assert [t.longest(4) for t in tables] == [counter.text(text).longest(4) for text in some]
+
+
 def test_lookups_follow_the_model():
     found = [toxicity._lookup(m, n) for m, n in ((b"a", {b"x\x001": 0}), (b"b", {b"y\x001": 0}), (b"b", {b"y\x001": 0}))]
     assert found[1] is found[2] and found[0] is not found[1]
